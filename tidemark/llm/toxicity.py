@@ -1,12 +1,15 @@
 """Toxicity by multiple-instance learning: sentences are the instances, documents carry the labels.
 
-A sentence's probability is a logistic function of its words; a document is toxic if any sentence
-is, so their probabilities combine by noisy-or: 1 - prod(1 - p). Training maximises the likelihood of
+A sentence's probability is a logistic function of its words and their beginnings (insults come
+inflected and compounded); a document is toxic if any sentence is, so their probabilities combine by
+noisy-or: 1 - prod(1 - p). Only features whose documents' labels differ clearly from the average
+get a weight, so rare words of toxic training documents are not learned by heart. Training maximises the likelihood of
 the document labels, and the fitted sentence scores then point at the offending sentences.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -17,8 +20,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: At most so many labelled documents are fitted on, and so many words have a weight.
-SAMPLE, WORDS = 8000, 30_000
+#: At most so many labelled documents are fitted on, and so many features have a weight.
+SAMPLE, WORDS = 6000, 30_000
+#: Lengths of word beginnings that are features, beside whole words.
+BEGINNINGS = (4, 5, 6)
 
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _TOKEN = re.compile(r"[^\W\d_]+")
@@ -31,30 +36,44 @@ def sentence_spans(text: str) -> Iterator[tuple[int, int, set[str]]]:
             yield m.start(), m.end(), words
 
 
+def features(word: str) -> list[str]:
+    """The word, and its beginnings marked by a dash."""
+    return [word, *(f"{word[:n]}-" for n in BEGINNINGS if len(word) >= n)]
+
+
 @dataclass
 class ToxicityModel:
-    """Word weights and a bias; the prior is the score of a text without words."""
+    """Feature weights and a bias; the prior is the score of a text without words."""
 
     bias: float = -20.0
     prior: float = 0.0
     weights: dict[str, float] = field(default_factory=dict)
+    _memo: dict[str, float] = field(default_factory=dict, repr=False)
+
+    def weight(self, word: str) -> float:
+        """The sum of a word's features; a bounded number of words is remembered."""
+        got = self._memo.get(word)
+        if got is None:
+            if len(self._memo) >= 300_000:
+                self._memo.clear()
+            got = self._memo[word] = sum(self.weights.get(f, 0.0) for f in features(word))
+        return got
 
     def sentences(self, text: str) -> list[tuple[int, int, float]]:
         """Begin, end and probability of each sentence."""
-        get = self.weights.get
-        z = [(a, b, self.bias + sum(get(w, 0.0) for w in words)) for a, b, words in sentence_spans(text)]
+        z = [(a, b, self.bias + sum(map(self.weight, words))) for a, b, words in sentence_spans(text)]
         return [(a, b, float(1 / (1 + np.exp(-min(max(s, -60.0), 60.0))))) for a, b, s in z]
 
     def score(self, text: str | None) -> float:
         """Noisy-or over all sentences, summed as log(1 + e^z)."""
-        get, total, any_words = self.weights.get, 0.0, False
+        total, any_words = 0.0, False
         for m in _SENTENCE.finditer((text or "").lower()):
             words = set(_TOKEN.findall(m[0]))
             if words:
                 any_words = True
-                z = self.bias + sum([get(w, 0.0) for w in words])
-                total += z if z > 30 else np.log1p(np.exp(z))
-        return float(-np.expm1(-total)) if any_words else self.prior
+                z = self.bias + sum(map(self.weight, words))
+                total += z if z > 30 else math.log1p(math.exp(z))
+        return float(-math.expm1(-total)) if any_words else self.prior
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -76,29 +95,42 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def _fit(bags: list[list[set[str]]], y: np.ndarray, min_docs: int = 5, steps: int = 300, ridge: float = 0.02) -> ToxicityModel:
-    """Noisy-or likelihood by gradient steps (Adam) with a ridge on word weights."""
+def _chosen(bags: list[list[set[str]]], y: np.ndarray, min_docs: int, least_z: float) -> dict[str, int]:
+    """Numbers of the features whose documents are toxic clearly more, or less, often than the average."""
+    df: Counter[str] = Counter()
+    toxic: Counter[str] = Counter()
+    for bag, label in zip(bags, y.tolist(), strict=True):
+        own = {f for words in bag for w in words for f in features(w)}
+        df.update(own)
+        if label:
+            toxic.update(own)
+    prior = float(y.mean())
+    z = {f: (toxic[f] - n * prior) / (n * prior * (1 - prior)) ** 0.5 for f, n in df.items() if n >= min_docs}
+    best = sorted((f for f in z if abs(z[f]) >= least_z), key=lambda f: (-abs(z[f]), f))
+    return {f: i for i, f in enumerate(best[:WORDS])}
+
+
+def _fit(bags: list[list[set[str]]], y: np.ndarray, min_docs: int = 4, least_z: float = 4.5, steps: int = 200, ridge: float = 0.05) -> ToxicityModel:
+    """Noisy-or likelihood by gradient steps (Adam) with a ridge on the weights."""
     if not len(y):
         return ToxicityModel()
     prior = float(y.mean())
     if prior in (0.0, 1.0):
         return ToxicityModel(bias=-20.0 if prior == 0 else 20.0, prior=prior)
-    df = Counter(w for bag in bags for w in set().union(*bag))
-    known = sorted(df.items(), key=lambda x: (-x[1], x[0]))[:WORDS]
-    place = {w: i for i, (w, n) in enumerate(known) if n >= min_docs}
+    place = _chosen(bags, y, min_docs, least_z)
     doc_of = np.array([d for d, bag in enumerate(bags) for _ in bag], dtype=np.int64)
-    pairs = [(s, place[w]) for s, words in enumerate(words for bag in bags for words in bag) for w in words if w in place]
-    sent, word = np.array(pairs, dtype=np.int64).reshape(-1, 2).T
+    pairs = [(s, place[f]) for s, words in enumerate(words for bag in bags for words in bag) for w in words for f in features(w) if f in place]
+    sent, feat = np.array(pairs, dtype=np.int64).reshape(-1, 2).T
     w, bias = np.zeros(len(place)), float(np.log(prior / max(1.0, len(doc_of) / len(y))))
     m, v = np.zeros(len(place) + 1), np.zeros(len(place) + 1)
-    share = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum())) * len(y)  # both classes weigh alike
+    share = np.where(y == 1, 0.5 / prior, 0.5 / (1 - prior))  # both labels weigh alike
     for step in range(1, steps + 1):
-        z = bias + np.bincount(sent, weights=w[word], minlength=len(doc_of))
+        z = bias + np.bincount(sent, weights=w[feat], minlength=len(doc_of))
         total = np.bincount(doc_of, weights=np.logaddexp(0, z), minlength=len(y))  # -log(1 - P)
         p = 1 / (1 + np.exp(-np.clip(z, -60, 60)))
         up = share * np.where(y == 1, 1 / np.maximum(np.expm1(np.minimum(total, 50)), 1e-9), -1.0)
         g = up[doc_of] * p
-        grad = np.append(np.bincount(word, weights=g[sent], minlength=len(place)) - ridge * w, g.sum() - ridge * bias * 0)
+        grad = np.append(np.bincount(feat, weights=g[sent], minlength=len(place)) - ridge * w, g.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         delta = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, bias = w + delta[:-1], bias + delta[-1]
