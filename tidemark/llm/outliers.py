@@ -24,7 +24,7 @@ from tidemark.sources.scratch import cut
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 DIM = 5
 #: Least standard deviation of each transformed statistic: strata may be constant in some.
-FLOORS = (0.3, 0.08, 0.03, 0.05, 0.05)
+FLOORS = (0.5, 0.12, 0.1, 0.1, 0.12)
 
 _WORD, _SYMBOL = re.compile(WORD), re.compile(r"[#*$%&|<>]")
 
