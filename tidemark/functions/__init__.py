@@ -1 +1 @@
-
+"""Small functions that the operators share."""

@@ -1 +1 @@
-
+"""Jobs composed of operators, and the query registry."""

@@ -1 +1 @@
-
+"""DataFrame operators: splits, cohorts, labels, features, matrices, scores, ranks, metrics, selection."""
