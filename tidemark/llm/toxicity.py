@@ -154,7 +154,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
         rows = [("", model.bias), (" ", model.prior), *model.weights.items()]
         yield pd.DataFrame(rows, columns=["word", "weight"])
 
-    got = training_rows(docs, labels, sample).coalesce(1).mapInPandas(fit, "word string, weight double").collect()
+    got = training_rows(docs, labels, sample).repartition(1).mapInPandas(fit, "word string, weight double").collect()
     weights = {r.word: r.weight for r in got}
     return ToxicityModel(weights.pop("", -20.0), weights.pop(" ", 0.0), weights)
 
