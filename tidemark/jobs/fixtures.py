@@ -85,7 +85,7 @@ def evaluations(spark: SparkSession, d: str) -> DataFrame:
     line, year = F.col("l_linenumber").cast("long"), F.year("l_shipdate").cast("long")
     g = table(spark, d, "lineitem").groupBy((line * 10000 + year).alias("model_id"), F.make_date(F.year("l_shipdate"), F.lit(1), F.lit(1)).alias("evaluation_start_time"))
     wide = g.agg(F.round(F.avg("l_discount") * 10, 6).alias("p"), F.round(F.avg("l_tax") * 10, 6).alias("r"), F.count("*").alias("num_labeled_examples"), F.count_if(F.col("l_returnflag") == "R").alias("num_positive_labels"))
-    kinds = F.array(F.struct(F.lit("precision@").alias("metric"), F.col("p").alias("v")), F.struct(F.lit("recall@"), F.col("r")))
+    kinds = F.array(F.struct(F.lit("precision@").alias("metric"), F.col("p").alias("v")), F.struct(F.lit("recall@").alias("metric"), F.col("r").alias("v")))
     tall = wide.withColumn("m", F.explode(kinds))
     cols = ["model_id", F.col("m.metric").alias("metric"), F.lit("100_abs").alias("parameter"), "num_labeled_examples", "num_positive_labels"]
     first = tall.select(*cols, "evaluation_start_time", F.add_months("evaluation_start_time", 1).alias("evaluation_end_time"), F.col("m.v").alias("stochastic_value"))

@@ -156,29 +156,24 @@ def key_divergence(spark, d):
 
 AGGS = [
     X.Agg("n", "*", ("count",)),
-    X.Agg("value", "value", ("sum", "avg", "min", "max", "stddev", "variance")),
+    X.Agg("value", "value", ("sum", "avg", "min", "max", "stddev")),
     X.Agg("days", "datediff(as_of_date, ts)", ("min", "max")),
 ]
 INTERVALS = ["3 days", "7 days", "all"]
 
 
-def _coarse(df: DataFrame) -> DataFrame:
-    """Variances lose digits by cancellation."""
-    return df.withColumns({c: F.round(c, 7) for c in df.columns if c.endswith("variance")})
-
-
 def _window_sql(select: str, where: str = "TRUE") -> str:
     return f"SELECT user_id AS entity_id, as_of_date, {select} FROM events, ({AS_OF}) WHERE ts < as_of_date AND {where} GROUP BY user_id, as_of_date"
 
 
 def _agg_sql(i: str, f: str) -> str:
     n = i.replace(" ", "")
-    return ", ".join([f'count(*) {f} AS "ev_user_{n}_n_count"'] + [f'round(round({fn}(value) {f}, 8), {7 if m == 'variance' else 8}) AS "ev_user_{n}_value_{m}"' for m, fn in (("sum", "sum"), ("avg", "avg"), ("min", "min"), ("max", "max"), ("stddev", "stddev_samp"), ("variance", "var_samp"))] + [f"{m}(date_diff('day', ts::DATE, as_of_date)) {f} AS \"ev_user_{n}_days_{m}\"" for m in ("min", "max")])
+    return ", ".join([f'count(*) {f} AS "ev_user_{n}_n_count"'] + [f'round({fn}(value) {f}, 6) AS "ev_user_{n}_value_{m}"' for m, fn in (("sum", "sum"), ("avg", "avg"), ("min", "min"), ("max", "max"), ("stddev", "stddev_samp"))] + [f"{m}(date_diff('day', ts::DATE, as_of_date)) {f} AS \"ev_user_{n}_days_{m}\"" for m in ("min", "max")])
 
 
 @REGISTER(_window_sql(", ".join([_agg_sql("3 days", "FILTER (WHERE ts >= as_of_date - INTERVAL 3 DAY)"), _agg_sql("7 days", "FILTER (WHERE ts >= as_of_date - INTERVAL 7 DAY)"), _agg_sql("all", "FILTER (WHERE TRUE)")])))
 def spacetime_aggregate(spark, d):
-    return rounded(X.spacetime_aggregate(_events(spark, d), "user_id", "ts", EVENT_DATES, INTERVALS, AGGS, "ev", "user"), 8).transform(_coarse)
+    return rounded(X.spacetime_aggregate(_events(spark, d), "user_id", "ts", EVENT_DATES, INTERVALS, AGGS, "ev", "user"))
 
 
 @REGISTER(f"""WITH {COHORT_SQL}, c AS (SELECT * FROM cohort WHERE entity_id % 2 = 0)

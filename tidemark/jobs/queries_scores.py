@@ -360,8 +360,12 @@ def _labelled(spark, d):
     return matrix(spark, d).join(p, "entity_id")
 
 
-@REGISTER(_EVALUATE_SQL.format(pred=f"""{MATRIX}, {_LINEAR}, y AS (SELECT l_orderkey AS entity_id, max(CASE l_returnflag WHEN 'R' THEN 1 WHEN 'A' THEN 0 END) AS label FROM lineitem WHERE l_linenumber = 1 GROUP BY 1),
-pred AS (SELECT 1::BIGINT AS model_id, entity_id, as_of_date, round(least(quantity, q) / q * 0.75::DOUBLE + least(lines, l) / l * 0.25::DOUBLE, 8) AS score, label FROM matrix JOIN y USING (entity_id), caps)"""))
+_SCORED = f"""{MATRIX}, y AS (SELECT l_orderkey AS entity_id, max(CASE l_returnflag WHEN 'R' THEN 1 WHEN 'A' THEN 0 END) AS label FROM lineitem WHERE l_linenumber = 1 GROUP BY 1),
+m AS (SELECT * FROM matrix JOIN y USING (entity_id)), caps AS (SELECT quantile_cont(quantity, 0.99) AS q, quantile_cont(lines, 0.99) AS l FROM m),
+pred AS (SELECT 1::BIGINT AS model_id, entity_id, as_of_date, round(least(quantity, q) / q * 0.75::DOUBLE + least(lines, l) / l * 0.25::DOUBLE, 8) AS score, label FROM m, caps)"""
+
+
+@REGISTER(_EVALUATE_SQL.format(pred=_SCORED))
 def run_scoring(spark, d):
     """Score, rank and evaluate a matrix."""
     return rounded(pipelines.run_scoring(_labelled(spark, d), ["quantity", "lines"], [3, 1], _defs(spark)))
