@@ -114,28 +114,21 @@ def piece_digests(docs: DataFrame, model: str) -> DataFrame:
     return docs.select("doc_id", encode_decode(F.col("text"), model).alias("e")).select("doc_id", "e.*")
 
 
-def frequent_lengths(docs: DataFrame, model: str, sample_docs: int = 4096, entries: int = 65_536, longest: int = 64) -> dict[str, int]:
+def frequent_lengths(docs: DataFrame, model: str, sample_docs: int = 2048, sample_chars: int = 8000, entries: int = 65_536, longest: int = 64) -> dict[str, int]:
     """The first tier: token counts of frequent marked words.
 
-    Taken from at most ``sample_docs`` texts, since a word that is missing here only costs an
-    encoding by the second tier. At most ``entries`` words of at most ``longest`` characters, so the
-    table stays under 20 MB whatever the corpus.
+    Taken from the beginnings of at most ``sample_docs`` texts, for which Spark reads as few input
+    splits as have so many rows. A word that is missing here only costs an encoding by the second
+    tier. At most ``entries`` words of at most ``longest`` characters, so the table stays under 20 MB
+    whatever the corpus.
     """
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: dict[str, int] = {}
-        for batch in batches:
-            for text in batch["text"]:
-                for w in marked_words(text or ""):
-                    if len(w) <= longest:
-                        seen[w] = seen.get(w, 0) + 1
-        most = sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:entries]
-        words = [w for w, n in most if n > 1]
-        lengths = [len(x) for x in PieceCoder.of(model)._encode(words)] if words else []
-        yield pd.DataFrame({"word": words, "length": lengths}).astype({"length": "int64"})
-
-    rows = docs.select("text").limit(sample_docs).coalesce(1).mapInPandas(count, "word string, length long").collect()
-    return {r.word: r.length for r in rows}
+    seen: dict[str, int] = {}
+    for (text,) in docs.select(F.substring("text", 1, sample_chars)).limit(sample_docs).collect():
+        for w in marked_words(text or ""):
+            if len(w) <= longest:
+                seen[w] = seen.get(w, 0) + 1
+    words = [w for w, n in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:entries] if n > 1]
+    return dict(zip(words, map(len, PieceCoder.of(model)._encode(words)), strict=True)) if words else {}
 
 
 def count_tokens(text: Column, model: str, frequent: Broadcast, misses: int = 300_000) -> Column:
