@@ -61,35 +61,53 @@ def slices(texts: Iterable[str | None], limit: int = 4_000_000) -> Iterator[list
         yield part
 
 
-class ChunkTable:
-    """Ids of distinct text chunks: each chunk is encoded once per worker, then found by look-up.
+class Cache:
+    """What keys were found to be, for one Python worker; at most ``most`` characters of keys.
+
+    When full, only keys of the call at hand stay: that costs time and never changes a result.
+    """
+
+    def __init__(self, most: int):
+        self.most, self.size, self.known = most, 0, {}
+
+    def get_all(self, keys: Iterable[str], make: Callable[[list[str]], list[bytes]]) -> dict[str, bytes]:
+        """A dictionary that has all ``keys``; those that are new are made in one call."""
+        keys = list(keys)
+        new = [k for k in keys if k not in self.known]
+        grown = self.size + sum(map(len, new))
+        if grown > self.most:
+            self.known = {k: self.known[k] for k in keys if k in self.known}
+            grown = sum(map(len, self.known)) + sum(map(len, new))
+        self.known.update(zip(new, make(new), strict=True) if new else ())
+        self.size = grown
+        return self.known
 
-    ``encode`` maps a list of chunks to a list of integer arrays. The table keeps at most ``most``
-    characters of chunks; when full it starts anew, which costs time and never changes a result.
+
+def joined_ids(parts: list[bytes], flat: np.ndarray, per_text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All ids in order, and each text's number of ids.
+
+    ``parts`` has the ids (unsigned 32 bits) of each distinct chunk, ``flat`` the chunk numbers of
+    all texts in order, ``per_text`` how many of them each text has.
     """
+    if not len(flat):
+        return np.zeros(0, np.uint32), np.zeros(len(per_text), np.int64)
+    width = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // 4
+    table, begin = np.frombuffer(b"".join(parts), dtype="<u4"), np.concatenate([[0], np.cumsum(width)[:-1]])
+    each = width[flat]
+    ends = np.cumsum(each)
+    out = table[np.arange(ends[-1]) + np.repeat(begin[flat] - (ends - each), each)]
+    return out, np.diff(np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(per_text)])])
+
+
+class ChunkTable:
+    """Ids of texts by way of their distinct chunks: each chunk is encoded once, then looked up."""
 
     def __init__(self, encode: Callable[[list[str]], list[np.ndarray]], most: int = 4_000_000):
-        self.encode, self.most, self.size = encode, most, 0
-        self.known: dict[str, bytes] = {}
+        self.encode, self.cache = encode, Cache(most)
 
     def ids(self, chunks: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """For lists of chunks (one for each text): all ids in order, and each text's number of ids."""
         place: dict[str, int] = {}
         flat = np.fromiter((place.setdefault(c, len(place)) for text in chunks for c in text), dtype=np.int64)
-        per_text = np.fromiter(map(len, chunks), dtype=np.int64, count=len(chunks))
-        if not len(flat):
-            return np.zeros(0, np.uint32), np.zeros(len(chunks), np.int64)
-        if self.size > self.most:
-            self.known, self.size = {}, 0
-        new = [c for c in place if c not in self.known]
-        for c, ids in zip(new, self.encode(new), strict=True):
-            self.known[c] = np.asarray(ids, dtype="<u4").tobytes()
-            self.size += len(c)
-        parts = [self.known[c] for c in place]
-        width = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // 4
-        table, begin = np.frombuffer(b"".join(parts), dtype="<u4"), np.concatenate([[0], np.cumsum(width)[:-1]])
-        each = width[flat]
-        ends = np.cumsum(each)
-        out = table[np.arange(ends[-1]) + np.repeat(begin[flat] - (ends - each), each)]
-        total = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(per_text)])]
-        return out, np.diff(total)
+        known = self.cache.get_all(place, lambda new: [np.asarray(x, dtype="<u4").tobytes() for x in self.encode(new)])
+        return joined_ids([known[c] for c in place], flat, np.fromiter(map(len, chunks), dtype=np.int64, count=len(chunks)))

@@ -3,25 +3,39 @@
 from __future__ import annotations
 
 import os
+import re
+import unicodedata
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ChunkTable, slices
+from tidemark.llm.common import Cache, joined_ids, slices
 from tidemark.sources.scratch import cut
 
 #: Ranks of pieces of one length are dealt over so many salts, so no length is ranked in one task.
 SALTS = 32
 
 
+#: A run of letters and the punctuation behind it, up to Latin Extended-B; an apostrophe may begin a
+#: pre-token of its own and stays out.
+_PLAIN = re.compile(r"([A-Za-z\u00c0-\u024f]+)([!-&(-/:-@\[-`{-~]*)")
+
+
 class WordCoder:
-    """A ``tokenizers`` file whose pre-tokens never cross white space, with a table of distinct words."""
+    """A ``tokenizers`` file that lower-cases and whose pre-tokens never cross white space.
+
+    Distinct words are encoded once per worker and batch cache. Most are letters with punctuation
+    behind, which are two pre-tokens: the letters are looked up, or encoded many in one text, where
+    the tokens that end a word tell them apart. All other words go through the library one by one.
+    """
 
     _made: dict[str, WordCoder] = {}
 
@@ -30,7 +44,8 @@ class WordCoder:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.table = ChunkTable(lambda words: [x.ids for x in self.model.encode_batch_fast(words, add_special_tokens=False)] if words else [])
+        self.ends = np.array([str(self.model.id_to_token(i)).endswith("</w>") for i in range(self.model.get_vocab_size())])
+        self.words, self.roots, self.tails = Cache(4_000_000), Cache(3_000_000), Cache(100_000)
 
     @classmethod
     def of(cls, path: str) -> WordCoder:
@@ -38,9 +53,36 @@ class WordCoder:
             cls._made[path] = cls(path)
         return cls._made[path]
 
+    def _each(self, words: list[str]) -> list[bytes]:
+        return [np.array(x.ids, "<u4").tobytes() for x in self.model.encode_batch_fast(words, add_special_tokens=False)] if words else []
+
+    def _joined(self, roots: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for i in range(0, len(roots), 500):
+            part = roots[i : i + 500]
+            ids = np.array(self.model.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            out += [x.tobytes() for x in np.split(ids, stops[:-1])] if len(stops) == len(part) else self._each(part)
+        return out
+
+    def _encode(self, words: list[str]) -> list[bytes]:
+        split: list[tuple[str, str] | None] = []
+        for w in words:
+            m = _PLAIN.fullmatch(w)
+            root = m[1].lower() if m and unicodedata.is_normalized("NFC", w) else ""
+            split.append((root, m[2]) if root.isalpha() else None)
+        roots = self.roots.get_all({x[0] for x in split if x}, self._joined)
+        tails = self.tails.get_all({x[1] for x in split if x and x[1]}, self._each)
+        rest = iter(self._each([w for w, x in zip(words, split, strict=True) if not x]))
+        return [roots[x[0]] + (tails[x[1]] if x[1] else b"") if x else next(rest) for x in split]
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        # Only spaces and newlines part the words here; other white space stays for the library.
-        ids, each = self.table.ids([[w for w in t.replace("\n", " ").split(" ") if w] for t in texts])
+        """Ids of each text. Spaces and newlines part the words here; other white space stays for the library."""
+        parts = pc.split_pattern(pa.array([t.replace("\n", " ") for t in texts], pa.large_string()), " ")
+        coded = parts.values.dictionary_encode()
+        table = coded.dictionary.to_pylist()
+        known = self.words.get_all(table, self._encode)
+        ids, each = joined_ids([known[w] for w in table], coded.indices.to_numpy(), np.diff(parts.offsets.to_numpy()))
         return np.split(ids, np.cumsum(each)[:-1])
 
 
