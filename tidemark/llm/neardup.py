@@ -122,8 +122,9 @@ def sketch(text: Column, width: int, rows: int, bands: int = BANDS) -> Column:
                             key = _mixed(key * _ODD + sig[:, j])
                     node = np.uint64(xxhash.xxh3_64_intdigest(s.tobytes()))
                     out.append((len(s), int(node.view(np.int64)), key.view(np.int64)))
-            got = pd.DataFrame(out, columns=["n_shingles", "node", "bands"])
-            yield got.astype({"n_shingles": "int64", "node": "Int64"})
+            # Column by column: digests next to nulls must not pass through floats.
+            sizes, nodes, keys = list(zip(*out, strict=True)) or [()] * 3
+            yield pd.DataFrame({"n_shingles": pd.array(list(sizes), dtype="int64"), "node": pd.array(list(nodes), dtype="Int64"), "bands": pd.Series(list(keys), dtype=object)})
 
     return run(text)
 

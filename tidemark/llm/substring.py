@@ -82,7 +82,10 @@ def spans(keyed: DataFrame) -> DataFrame:
             yield _frame(rows)
 
     def _frame(rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=["_id", "_copy", "first", "end", "h1", "h2"]).astype({"h1": "Int64", "h2": "Int32", "first": "int32", "end": "int32", "_id": "int64", "_copy": "int64"})
+        # Column by column: hashes next to nulls must not pass through floats.
+        cols = list(zip(*rows, strict=True)) or [()] * 6
+        kinds = {"_id": "int64", "_copy": "int64", "first": "int32", "end": "int32", "h1": "Int64", "h2": "Int32"}
+        return pd.DataFrame({name: pd.array(list(c), dtype=kind) for (name, kind), c in zip(kinds.items(), cols, strict=True)})
 
     return keyed.select("_id", "_copy", "text").mapInPandas(run, "_id long, _copy long, first int, end int, h1 long, h2 int")
 
