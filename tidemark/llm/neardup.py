@@ -36,7 +36,7 @@ _WORD = re.compile(WORD)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def rows_per_band(percent: int, bands: int = BANDS, miss: float = 5e-6) -> int:
+def rows_per_band(percent: int, bands: int = BANDS, miss: float = 1e-6) -> int:
     """The most bins in a band with which a pair at the threshold shares no bucket with a chance under ``miss``."""
     s = percent / 100
     return max(r for r in range(1, 33) if r == 1 or (1 - s**r) ** bands <= miss)
@@ -182,7 +182,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     shingles. ``component_id`` is the smallest id reachable; rows alike in set are one class from the
     start. A text without words (null, empty, white space) is linked with nothing.
 
-    Two sets at the threshold share no bucket, and so may be missed, with a chance under 5e-6; at 5
+    Two sets at the threshold share no bucket, and so may be missed, with a chance under 1e-6; at 5
     percent above it the chance is under 1e-8. Rows that repeat an id and text stay together.
     """
     rows = cut(docs.select("doc_id", sketch(F.col("text"), width, rows_per_band(percent)).alias("s")).select("doc_id", "s.*"), "sketches")
