@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import key_filter, with_maybe
 from tidemark.llm.linededup import line_dedup
 from tidemark.llm.neardup import near_duplicates
 from tidemark.llm.packing import pack_documents
@@ -26,9 +27,15 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates (five-word shingles, similarity 0.8) the smallest id stays."""
-    gone = near_duplicates(docs, width=5, percent=80).filter("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of each class of near duplicates (five-word shingles, similarity 0.8) the smallest id stays.
+
+    Rows that share an id go together; rows without an id stay. Only documents that may have to go
+    are shuffled.
+    """
+    gone = cut(near_duplicates(docs, width=5, percent=80).filter("not kept").select("doc_id").distinct(), "gone")
+    marked = with_maybe(docs, key_filter(gone, "doc_id"), "_maybe", "doc_id")
+    rest = marked.filter("_maybe").join(gone, "doc_id", "left_anti")
+    return marked.filter("not _maybe").select(*docs.columns).unionByName(rest.select(*docs.columns))
 
 
 def drop_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
