@@ -27,10 +27,8 @@ from tidemark.llm.common import WORD, key_filter, slices, with_maybe
 from tidemark.sources.scratch import cut
 
 BANDS = 32
-#: Centres of a bucket in each round after the first.
-CENTRES = 8
 #: All pairs across components are checked once there are at most so many for each bucket row.
-REST = 4
+REST = 1
 
 _WORD = re.compile(WORD)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -188,9 +186,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     rows = cut(docs.select("doc_id", sketch(F.col("text"), width, rows_per_band(percent)).alias("s")).select("doc_id", "s.*"), "sketches")
     reps = cut(rows.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
     banded = reps.select("node", F.explode("bands").alias("band"))
-    heads = banded.groupBy("band").agg(F.min("node").alias("head"), F.count("*").alias("m")).filter("m > 1").drop("m")
-    live = cut(banded.join(heads, "band"), "buckets")
+    shared = cut(banded.join(banded.groupBy("band").agg(F.count("*").alias("m")).filter("m > 1"), "band"), "shared")
+    # The member that meets most others over all its buckets is the centre in each of them: it is
+    # close to the middle of its family, and stars of different buckets have the same pairs.
+    met_by = shared.groupBy("node").agg((F.sum("m") * 2**24 + F.pmod("node", F.lit(2**24))).alias("weight"))
+    live = cut(shared.select("band", "node").join(met_by, "node"), "buckets")
     bucket_rows = live.count()
+    starred = live.join(live.groupBy("band").agg(F.max_by("node", "weight").alias("head")), "band").filter("node <> head")
 
     # Texts of the classes that are in some pair; others are left out before the shuffle.
     wanted = live.select("node").distinct().join(reps.drop("bands"), "node")
@@ -199,33 +201,31 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     mine = own.withColumn("_own", sketch(F.col("text"), width, 1, 1)["node"]).filter("_own = node")
     texts = cut(mine.dropDuplicates(["node"]).drop("_own"), "class-texts")
 
-    pairs = live.filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
-    left, links, tested = live.filter("node <> head").select("band", "node"), None, None
+    pairs, left, links, tested = starred.select(F.col("head").alias("a"), F.col("node").alias("b")), starred.select("band", "node", "weight"), None, None
     while True:
         # ``left``: members that were no centre yet; a centre has met its whole bucket.
-        pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         found = cut(_confirmed(pairs, texts, width, percent), "confirmed")
         links = found if links is None else links.unionByName(found)
         tested = pairs if tested is None else tested.unionByName(pairs)
         labels = components(links)
-        members = left.join(labels, "node", "left").select("band", "node", F.coalesce("comp", "node").alias("comp"))
+        members = left.join(labels, "node", "left").select("band", "node", "weight", F.coalesce("comp", "node").alias("comp"))
         sizes = members.groupBy("band", "comp").agg(F.count("*").alias("c"))
         open_bands = sizes.groupBy("band").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("sq")).filter("sq < m * m")
-        members = cut(members.join(open_bands.select("band", ((F.col("m") * F.col("m") - F.col("sq")) / 2).alias("cross"), "m"), "band"), "buckets")
-        cross = members.agg(F.sum(F.col("cross") / F.col("m"))).first()[0] or 0
+        members = cut(members.join(open_bands.select("band", ((F.col("m") * F.col("m") - F.col("sq")) / 2 / F.col("m")).alias("share")), "band"), "buckets")
+        cross = members.agg(F.sum("share")).first()[0] or 0  # pairs in different components, over all buckets
         if not cross:
             break
-        if rest := cross <= REST * bucket_rows:
-            centres = members.select("band", F.col("node").alias("head"), F.col("comp").alias("head_comp"))
-        else:
-            least = members.groupBy("band", F.pmod("node", F.lit(CENTRES)).alias("_s")).agg(F.min("node").alias("head"))
-            centres = cut(least.join(labels.select(F.col("node").alias("head"), F.col("comp").alias("hc")), "head", "left").select("band", "head", F.coalesce("hc", "head").alias("head_comp")), "centres")
-        met = members.join(centres, "band").filter("comp <> head_comp and " + ("head < node" if rest else "head <> node"))
-        pairs = met.select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        if rest:
-            labels = components(links.unionByName(cut(_confirmed(cut(pairs, "pairs"), texts, width, percent), "confirmed")))
+        if cross <= REST * bucket_rows:
+            other = members.select("band", F.col("node").alias("head"), F.col("comp").alias("head_comp"))
+            pairs = members.join(other, "band").filter("comp <> head_comp and head < node").select(F.col("head").alias("a"), F.col("node").alias("b"))
+            pairs = cut(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+            labels = components(links.unionByName(cut(_confirmed(pairs, texts, width, percent), "confirmed")))
             break
-        left = members.select("band", "node").join(centres.select("band", F.col("head").alias("node")), ["band", "node"], "left_anti")
+        heads = members.groupBy("band").agg(F.max_by("node", "weight").alias("head"), F.max_by("comp", "weight").alias("head_comp"))
+        met = members.join(heads, "band").filter("node <> head")
+        pairs, left = met.filter("comp <> head_comp").select(F.col("head").alias("a"), F.col("node").alias("b")), met.select("band", "node", "weight")
 
     named = reps.select("node", "first_id").join(labels, "node", "left").select("node", "first_id", F.coalesce("comp", "node").alias("comp"))
     least = named.groupBy("comp").agg(F.min("first_id").alias("component_id"))
