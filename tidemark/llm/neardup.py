@@ -223,9 +223,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
             pairs = cut(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
             labels = components(links.unionByName(cut(_confirmed(pairs, texts, width, percent), "confirmed")))
             break
-        heads = members.groupBy("band").agg(F.max_by("node", "weight").alias("head"), F.max_by("comp", "weight").alias("head_comp"))
-        met = members.join(heads, "band").filter("node <> head")
-        pairs, left = met.filter("comp <> head_comp").select(F.col("head").alias("a"), F.col("node").alias("b")), met.select("band", "node", "weight")
+        # The fewer buckets are open, the more centres each of them gets: a round builds at most
+        # about as many pairs as there were bucket rows.
+        centres = max(1, int(bucket_rows // members.count()))
+        heads = members.groupBy("band", F.pmod(F.xxhash64("node"), F.lit(centres)).alias("_s")).agg(F.max_by("node", "weight").alias("head"), F.max_by("comp", "weight").alias("head_comp"))
+        heads = cut(heads.select("band", "head", "head_comp"), "centres")
+        pairs = members.join(heads, "band").filter("comp <> head_comp and node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+        left = members.select("band", "node", "weight").join(heads.select("band", F.col("head").alias("node")), ["band", "node"], "left_anti")
 
     named = reps.select("node", "first_id").join(labels, "node", "left").select("node", "first_id", F.coalesce("comp", "node").alias("comp"))
     least = named.groupBy("comp").agg(F.min("first_id").alias("component_id"))
