@@ -27,8 +27,9 @@ from tidemark.llm.common import WORD, key_filter, slices, with_maybe
 from tidemark.sources.scratch import cut
 
 BANDS = 32
-#: All pairs across components are checked once there are at most so many for each bucket row.
-REST = 1
+#: All pairs across components are checked once there are at most so many for each bucket row; until
+#: then a round builds about PAIRS for each at most.
+REST, PAIRS = 2, 4
 
 _WORD = re.compile(WORD)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -223,9 +224,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
             pairs = cut(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
             labels = components(links.unionByName(cut(_confirmed(pairs, texts, width, percent), "confirmed")))
             break
-        # The fewer buckets are open, the more centres each of them gets: a round builds at most
-        # about as many pairs as there were bucket rows.
-        centres = max(1, int(bucket_rows // members.count()))
+        # The fewer buckets are open, the more centres each of them gets, so that a round's pairs
+        # stay linear in the bucket rows.
+        centres = max(1, int(PAIRS * bucket_rows // members.count()))
         heads = members.groupBy("band", F.pmod(F.xxhash64("node"), F.lit(centres)).alias("_s")).agg(F.max_by("node", "weight").alias("head"), F.max_by("comp", "weight").alias("head_comp"))
         heads = cut(heads.select("band", "head", "head_comp"), "centres")
         pairs = members.join(heads, "band").filter("comp <> head_comp and node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
