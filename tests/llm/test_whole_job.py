@@ -2,7 +2,11 @@
 
 import random
 
+import numpy as np
+
 import corpus_pipeline
+from tests.llm.test_operators import toxic_rows
+from tidemark.llm import toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -13,3 +17,13 @@ def test_boilerplate_of_few_pages_goes(spark):
     out = corpus_pipeline.drop_lines(spark, spark.createDataFrame(docs, SCHEMA), "").collect()
     texts = "\n".join(r.text for r in out)
     assert "Licensed" not in texts and texts.count("On four pages.") == 4 and texts.count("On five.") == 5
+
+
+def test_length_alone_is_not_toxic():
+    texts, labels = toxic_rows()
+    bags = [[words for _, _, words in toxicity.sentence_spans(t)] for _, t in texts]
+    model = toxicity._fit(bags, np.array([y for *_, y in labels]))
+    clean = " ".join(t for (_, t), (*_, y) in zip(texts, labels, strict=True) if not y)
+    assert clean.count(".") > 5000
+    assert model.score(clean) < 0.3 and model.score(clean * 3) == model.score(clean)
+    assert model.score(clean + " w1 w2 grumbling w3. w4 sneerer.") >= 0.7

@@ -2,7 +2,8 @@
 
 A sentence's probability is a logistic function of its words and their beginnings (insults come
 inflected and compounded); a document is toxic if any sentence is, so their probabilities combine by
-noisy-or: 1 - prod(1 - p). Only features whose documents' labels differ clearly from the average
+noisy-or: 1 - prod(1 - p). What a sentence without any feature has, the background, counts once a document
+and is taken out of each sentence, so length alone never makes a text toxic. Only features whose documents' labels differ clearly from the average
 get a weight, so rare words of toxic training documents are not learned by heart. Training maximises the likelihood of
 the document labels, and the fitted sentence scores then point at the offending sentences.
 """
@@ -43,7 +44,7 @@ def features(word: str) -> list[str]:
 
 @dataclass
 class ToxicityModel:
-    """Feature weights and a bias; the prior is the score of a text without words."""
+    """Feature weights and a bias; the prior is the score of a text without words, and of all texts without weights."""
 
     bias: float = -20.0
     prior: float = 0.0
@@ -65,14 +66,18 @@ class ToxicityModel:
         return [(a, b, float(1 / (1 + np.exp(-min(max(s, -60.0), 60.0))))) for a, b, s in z]
 
     def score(self, text: str | None) -> float:
-        """Noisy-or over all sentences, summed as log(1 + e^z)."""
-        total, any_words = 0.0, False
+        """Noisy-or over the document's background and what its sentences have above it, summed as log(1 + e^z)."""
+        if not self.weights:
+            return self.prior
+        ground = math.log1p(math.exp(self.bias))
+        total, any_words = ground, False
         for m in _SENTENCE.finditer((text or "").lower()):
             words = set(_TOKEN.findall(m[0]))
             if words:
                 any_words = True
-                z = self.bias + sum(map(self.weight, words))
-                total += z if z > 30 else math.log1p(math.exp(z))
+                if (w := sum(map(self.weight, words))) > 0:
+                    z = self.bias + w
+                    total += (z if z > 30 else math.log1p(math.exp(z))) - ground
         return float(-math.expm1(-total)) if any_words else self.prior
 
 
@@ -111,7 +116,7 @@ def _chosen(bags: list[list[set[str]]], y: np.ndarray, min_docs: int, least_z: f
 
 
 def _fit(bags: list[list[set[str]]], y: np.ndarray, min_docs: int = 4, least_z: float = 4.5, steps: int = 200, ridge: float = 0.05) -> ToxicityModel:
-    """Noisy-or likelihood by gradient steps (Adam) with a ridge on the weights."""
+    """Noisy-or likelihood, as in ``score``, by gradient steps (Adam) with a ridge on the weights."""
     if not len(y):
         return ToxicityModel()
     prior = float(y.mean())
@@ -126,11 +131,14 @@ def _fit(bags: list[list[set[str]]], y: np.ndarray, min_docs: int = 4, least_z:
     share = np.where(y == 1, 0.5 / prior, 0.5 / (1 - prior))  # both labels weigh alike
     for step in range(1, steps + 1):
         z = bias + np.bincount(sent, weights=w[feat], minlength=len(doc_of))
-        total = np.bincount(doc_of, weights=np.logaddexp(0, z), minlength=len(y))  # -log(1 - P)
+        ground, p0 = np.logaddexp(0, bias), 1 / (1 + np.exp(-np.clip(bias, -60, 60)))
+        above = z >= bias
+        total = ground + np.bincount(doc_of, weights=np.where(above, np.logaddexp(0, z) - ground, 0.0), minlength=len(y))  # -log(1 - P)
         p = 1 / (1 + np.exp(-np.clip(z, -60, 60)))
         up = share * np.where(y == 1, 1 / np.maximum(np.expm1(np.minimum(total, 50)), 1e-9), -1.0)
-        g = up[doc_of] * p
-        grad = np.append(np.bincount(feat, weights=g[sent], minlength=len(place)) - ridge * w, g.sum())
+        g = np.where(above, up[doc_of] * p, 0.0)
+        rest = np.where(above, up[doc_of] * p0, 0.0)
+        grad = np.append(np.bincount(feat, weights=g[sent], minlength=len(place)) - ridge * w, up.sum() * p0 + g.sum() - rest.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         delta = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, bias = w + delta[:-1], bias + delta[-1]
