@@ -6,7 +6,7 @@ import numpy as np
 
 import corpus_pipeline
 from tests.llm.test_operators import toxic_rows
-from tidemark.llm import toxicity
+from tidemark.llm import outliers, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -27,3 +27,32 @@ def test_length_alone_is_not_toxic():
     assert clean.count(".") > 5000
     assert model.score(clean) < 0.3 and model.score(clean * 3) == model.score(clean)
     assert model.score(clean + " w1 w2 grumbling w3. w4 sneerer.") >= 0.7
+
+
+def words(rng, n):
+    vocabulary = random.Random(1)
+    known = ["".join(vocabulary.choices("abcdefghij", k=vocabulary.randrange(3, 9))) for _ in range(2000)]
+    return rng.choices(known, k=n)
+
+
+def test_each_statistic_rejects(spark):
+    """Texts that differ from the others in one statistic each; a single odd symbol, line or repeat is none."""
+    rng = random.Random(6)
+    lines = lambda ws, k: "\n".join(" ".join(ws[i : i + k]) for i in range(0, len(ws), k))
+    good = [lines(words(rng, rng.randrange(150, 400)), 8) for _ in range(400)]
+    base = words(rng, 240)
+    odd = {
+        "length": lines(words(rng, 40_000), 8),
+        "long words": lines([w * 5 for w in base], 8),
+        "symbols": lines([w + "#" * (i % 7 < 2) for i, w in enumerate(base)], 8),
+        "lines": lines(base[:200], 4).replace("\n", "\nok\n"),
+        "repeats": lines(base + base[:25], 8),
+    }
+    fine = {"symbol": lines(base, 8) + " #", "line": lines(base, 8) + "\nof the" * 2, "repeat": lines([*base, *base[:5]], 8)}
+    texts = [*good, *odd.values(), *fine.values()]
+    got = outliers.quality_outliers(spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")).collect()
+    by = {r.doc_id: r for r in got}
+    names = dict(enumerate([*odd, *fine], len(good)))
+    assert {names[i]: by[i].kept for i in names} == {**dict.fromkeys(odd, False), **dict.fromkeys(fine, True)}
+    assert not any(by[i].base_failed for i in names)
+    assert sum(by[i].kept for i in range(len(good))) >= 390

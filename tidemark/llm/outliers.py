@@ -23,8 +23,8 @@ from tidemark.sources.scratch import cut
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 DIM = 5
-#: Least standard deviation of each transformed statistic: strata may be constant in some.
-FLOORS = (0.5, 0.12, 0.1, 0.1, 0.12)
+#: A variance under this is none; it is also the ridge where all rows are alike in a statistic.
+NONE = 1e-6
 
 _WORD, _SYMBOL = re.compile(WORD), re.compile(r"[#*$%&|<>]")
 
@@ -87,15 +87,46 @@ def transformed() -> list[Column]:
     return [F.log1p("n_words"), F.log1p(F.col("word_chars") / n), F.sqrt(F.col("n_symbols") / n), F.sqrt(F.col("n_dup_lines") / n), F.sqrt(F.col("n_repeat_words") / n)]
 
 
-def _inverse(cov: Column) -> Column:
-    """Inverse of a flat covariance matrix with the floors on its diagonal."""
+def _inverse(cov: Column, spare: Column) -> Column:
+    """Inverse of a flat covariance matrix; ``spare`` has the variances of ``_spare``.
+
+    Lengths take theirs where they have no scatter, rates are raised to theirs.
+    """
 
     @F.pandas_udf("array<double>")
-    def run(cov: pd.Series) -> pd.Series:
-        floor = np.diag(np.square(FLOORS))
-        return pd.Series([np.linalg.inv(np.asarray(c, dtype=float).reshape(DIM, DIM) + floor).ravel() for c in cov], dtype=object)
+    def run(cov: pd.Series, spare: pd.Series) -> pd.Series:
+        out = []
+        for c, least in zip(cov, spare, strict=True):
+            m, least = np.asarray(c, dtype=float).reshape(DIM, DIM), np.asarray(least, dtype=float)
+            own = m.diagonal()
+            need = np.where(np.arange(DIM) < 2, own < NONE, own < least)
+            out.append(np.linalg.inv(m + np.diag(np.where(need, np.maximum(least - own, 0), 0) + NONE * 1e-3)).ravel())
+        return pd.Series(out, dtype=object)
+
+    return run(cov, spare)
+
+
+def _spare(rows: DataFrame) -> DataFrame:
+    """``stratum, spare``: variances for statistics without scatter of their own.
+
+    For the two lengths they are pooled over the language (all rows for a stratum of many), by
+    quartiles, or plain if those are equal. For the roots of rates it is what chance alone gives in a text of
+    the stratum's median length n: the root of a count has a variance of 1/4, so that of count / n has
+    1 / (4 n), and five times that for repeated words, which come by windows of five.
+    """
+
+    def pooled(i: int) -> Column:
+        q = F.percentile_approx(f"x{i}", [0.25, 0.75], 1000)
+        return F.coalesce(F.nullif(F.pow((q[1] - q[0]) / 1.349, 2), F.lit(0.0)), F.nullif(F.var_pop(f"x{i}"), F.lit(0.0)))
 
-    return run(cov)
+    langs = rows.groupBy("_lang").agg(pooled(0).alias("a0"), pooled(1).alias("a1"))
+    whole = rows.agg(pooled(0).alias("b0"), pooled(1).alias("b1"))
+    chance = 1 / (4 * F.greatest(F.expm1(F.percentile_approx("x0", 0.5, 1000)), F.lit(1.0)))
+    own = rows.groupBy("stratum").agg(chance.alias("c"), F.min("_lang").alias("_lang"), F.max("_lang").alias("_last"))
+    own = own.withColumn("_lang", F.when(F.col("_lang") == F.col("_last"), F.col("_lang")))
+    # One row for each language, and one row.
+    joined = own.join(F.broadcast(langs), "_lang", "left").crossJoin(F.broadcast(whole))
+    return joined.select("stratum", F.array(*[F.coalesce(f"a{i}", f"b{i}", F.lit(NONE)) for i in range(2)], "c", "c", 5 * F.col("c")).alias("spare"))
 
 
 def _distance() -> Column:
@@ -113,7 +144,7 @@ def strata(rows: DataFrame, min_rows: int) -> DataFrame:
 
 
 def mcd_estimates(rows: DataFrame, h: float = 0.75, steps: int = 6) -> DataFrame:
-    """``stratum, center, inverse, scale``: the robust estimates from ``stratum, x0..x4``.
+    """``stratum, center, inverse, scale``: the robust estimates from ``stratum, _lang, x0..x4``.
 
     ``scale`` makes the median distance that of a chi-square law. Medians are approximate to
     1/1000 of the rows; a tie in distance falls on one side as a whole, and the share kept is at
@@ -121,8 +152,9 @@ def mcd_estimates(rows: DataFrame, h: float = 0.75, steps: int = 6) -> DataFrame
     """
     spreads = [F.percentile_approx(f"x{i}", [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i in range(DIM)]
     cov0 = F.array(*[F.pow((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, 2) if i == j else F.lit(0.0) for i in range(DIM) for j in range(DIM)])
-    first = rows.groupBy("stratum").agg(*spreads)
-    estimate = cut(first.select("stratum", F.array(*[F.col(f"q{i}")[1] for i in range(DIM)]).alias("center"), _inverse(cov0).alias("inverse")), "mcd")
+    spare = cut(_spare(rows), "spare")
+    first = rows.groupBy("stratum").agg(*spreads).join(spare, "stratum")
+    estimate = cut(first.select("stratum", F.array(*[F.col(f"q{i}")[1] for i in range(DIM)]).alias("center"), _inverse(cov0, F.col("spare")).alias("inverse")), "mcd")
     sums = [F.sum(f"x{i}").alias(f"s{i}") for i in range(DIM)] + [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}{j}") for i in range(DIM) for j in range(i, DIM)]
     names = [f"s{i}" for i in range(DIM)] + [f"s{i}{j}" for i in range(DIM) for j in range(i, DIM)]
     for _ in range(steps):
@@ -133,7 +165,7 @@ def mcd_estimates(rows: DataFrame, h: float = 0.75, steps: int = 6) -> DataFrame
         kept = ranked.filter(F.col("_before") < h * F.col("_all")).groupBy("stratum").agg(F.sum("n").alias("n"), *[F.sum(s).alias(s) for s in names])
         center = [F.col(f"s{i}") / F.col("n") for i in range(DIM)]
         cov = F.array(*[F.col(f"s{min(i, j)}{max(i, j)}") / F.col("n") - center[i] * center[j] for i in range(DIM) for j in range(DIM)])
-        estimate = cut(kept.select("stratum", F.array(*center).alias("center"), _inverse(cov).alias("inverse")), "mcd")
+        estimate = cut(kept.join(spare, "stratum").select("stratum", F.array(*center).alias("center"), _inverse(cov, F.col("spare")).alias("inverse")), "mcd")
     median = rows.join(estimate, "stratum").groupBy("stratum").agg(F.percentile_approx(_distance(), 0.5, 1000).alias("_median"))
     return estimate.join(median, "stratum").select("stratum", "center", "inverse", F.greatest(F.col("_median") / chi_square_quantile(0.5, DIM), F.lit(1.0)).alias("scale"))
 
@@ -152,7 +184,7 @@ def quality_outliers(docs: DataFrame, quantile: float = 0.99999, min_rows: int =
     rows = cut(counted.withColumn("base_failed", failed).withColumns({f"x{i}": x for i, x in enumerate(transformed())}), "text-stats")
     fit = rows.filter(~F.col("base_failed"))
     found = cut(strata(fit, min_rows), "strata")
-    estimates = cut(mcd_estimates(fit.join(found, "_cell").select("stratum", *[f"x{i}" for i in range(DIM)]), h), "mcd")
+    estimates = cut(mcd_estimates(fit.join(found, "_cell").select("stratum", "_lang", *[f"x{i}" for i in range(DIM)]), h), "mcd")
     distance = F.when(~F.col("base_failed"), _distance() / F.col("scale"))
     cutoff = chi_square_quantile(quantile, DIM)
     return (
