@@ -56,3 +56,14 @@ def test_each_statistic_rejects(spark):
     assert {names[i]: by[i].kept for i in names} == {**dict.fromkeys(odd, False), **dict.fromkeys(fine, True)}
     assert not any(by[i].base_failed for i in names)
     assert sum(by[i].kept for i in range(len(good))) >= 390
+
+
+def test_small_cells_are_held_against_their_language(spark):
+    """Rows of rare sources and languages are judged by all rows of their language, or of the table."""
+    rng = random.Random(8)
+    docs = [(i, " ".join(words(rng, rng.randrange(150, 400))), "en", "hot") for i in range(400)]
+    spoilt = " ".join(w + "#$" for w in words(rng, 250))
+    docs += [(1000, spoilt, "en", "rare"), (1001, " ".join(words(rng, 250)), "en", "rare"), (1002, spoilt, "xx", "rare"), (1003, " ".join(words(rng, 250)), None, None), (1004, spoilt, "en", None)]
+    got = {r.doc_id: r for r in outliers.quality_outliers(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")).collect()}
+    assert {i: got[i].kept for i in range(1000, 1005)} == {1000: False, 1001: True, 1002: False, 1003: True, 1004: False}
+    assert sum(got[i].kept for i in range(400)) >= 390

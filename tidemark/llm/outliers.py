@@ -137,10 +137,17 @@ def _distance() -> Column:
 
 
 def strata(rows: DataFrame, min_rows: int) -> DataFrame:
-    """``_cell, stratum``: a (language, source) with too few rows joins its language, then all."""
+    """``_cell, stratum, members``: a (language, source) with too few rows looks up its language, then all.
+
+    ``members`` are the strata that a cell's rows help to estimate: its own if it is large enough, and
+    its language and all wherever some small cell looks these up.
+    """
     cells = rows.groupBy("_cell", "_lang").agg(F.count("*").alias("n"))
-    langs = cells.groupBy("_lang").agg(F.sum("n").alias("n_lang"))
-    return cells.join(langs, "_lang").select("_cell", F.when(F.col("n") >= min_rows, F.col("_cell")).when(F.col("n_lang") >= min_rows, F.col("_lang")).otherwise(F.lit("all")).alias("stratum"))
+    langs = cells.groupBy("_lang").agg(F.sum("n").alias("n_lang"), (F.min("n") < min_rows).alias("asked"))
+    whole = langs.agg((F.min("n_lang") < min_rows).alias("asked_all"))
+    own, lang = F.when(F.col("n") >= min_rows, F.col("_cell")), F.when(F.col("n_lang") >= min_rows, F.col("_lang"))
+    members = F.array_compact(F.array(own, F.when(F.col("asked"), lang), F.when(F.col("asked_all"), F.lit("all"))))
+    return cells.join(langs, "_lang").crossJoin(F.broadcast(whole)).select("_cell", F.coalesce(own, lang, F.lit("all")).alias("stratum"), members.alias("members"))
 
 
 def mcd_estimates(rows: DataFrame, h: float = 0.75, steps: int = 6) -> DataFrame:
@@ -178,17 +185,18 @@ def quality_outliers(docs: DataFrame, quantile: float = 0.99999, min_rows: int =
     scaled, is at most the chi-square ``quantile``. Null language or source is a value of its own.
     Rows alike get the same verdict.
     """
-    cell, lang = F.to_json(F.struct("lang", "source")), F.to_json(F.struct("lang"))
+    nulls = {"ignoreNullFields": "false"}  # a cell without source is not its language
+    cell, lang = F.to_json(F.struct("lang", "source"), nulls), F.to_json(F.struct("lang"), nulls)
     counted = docs.select("doc_id", cell.alias("_cell"), lang.alias("_lang"), text_stats(F.col("text")).alias("s")).select("doc_id", "_cell", "_lang", "s.*")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     rows = cut(counted.withColumn("base_failed", failed).withColumns({f"x{i}": x for i, x in enumerate(transformed())}), "text-stats")
     fit = rows.filter(~F.col("base_failed"))
     found = cut(strata(fit, min_rows), "strata")
-    estimates = cut(mcd_estimates(fit.join(found, "_cell").select("stratum", "_lang", *[f"x{i}" for i in range(DIM)]), h), "mcd")
+    estimates = cut(mcd_estimates(fit.join(found, "_cell").withColumn("stratum", F.explode("members")).select("stratum", "_lang", *[f"x{i}" for i in range(DIM)]), h), "mcd")
     distance = F.when(~F.col("base_failed"), _distance() / F.col("scale"))
     cutoff = chi_square_quantile(quantile, DIM)
     return (
-        rows.join(found, "_cell", "left")
+        rows.join(found.drop("members"), "_cell", "left")
         .join(estimates, "stratum", "left")
         .withColumn("distance", distance)
         .select("doc_id", *STATS, "base_failed", (~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True))).alias("kept"), "stratum", "distance")
