@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a local folder only where that is unset (tests)."""
+    """The session's ``spark.checkpoint.dir``; a local folder only where that is unset on one machine (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return base or f"file://{tempfile.gettempdir()}/tidemark-scratch"
 
 
@@ -28,3 +30,13 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables that ``cut`` wrote, once no plan that is still to run reads them."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if folder.removeprefix("file:").lstrip("/").startswith(scratch_dir(spark).removeprefix("file:").strip("/")):
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
