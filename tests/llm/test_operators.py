@@ -1,6 +1,7 @@
 """Each operator against a plain version, with nulls, empty and long texts, ties, repeated rows, no rows."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -110,11 +111,27 @@ def test_near_duplicates(docs, rows, width, percent):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
-def test_near_duplicates_in_rounds(docs, rows, monkeypatch):
-    """Without the short cut to all remaining pairs, new centres settle the same links."""
-    monkeypatch.setattr(neardup, "REST", -1)
-    got = neardup.near_duplicates(docs, 3, 93).collect()
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == components(rows, 3, 93)
+def test_links_that_stars_miss(spark, monkeypatch):
+    """Families around a base: many members lie too far from any centre and link among themselves only."""
+    rng = random.Random(3)
+    rows = []
+    for family in range(4):
+        base = [f"f{family}w{k}" for k in range(160)]
+        for i in range(40):
+            words = list(base)
+            for k in rng.sample(range(160), rng.choice([1, 2, 3, 4, 6, 8])):
+                words[k] = f"e{family}x{k}" if i % 2 else f"u{family}x{i}x{k}"
+            rows.append((family * 40 + i, " ".join(words)))
+    asked = []
+    inner = neardup._prefix_pairs
+    monkeypatch.setattr(neardup, "_prefix_pairs", lambda *a: asked.append(inner(*a)) or asked[-1])
+    monkeypatch.setattr(neardup, "forget", lambda *a: None)
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    for percent in (80, 85, 90):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(d, 3, percent).collect()}
+        assert got == components(rows, 3, percent)
+    # Components are bridged, and far fewer pairs are compared than there are.
+    assert all(0 < p.count() < 4 * 40 * 39 / 2 / 3 for p in asked)
 
 
 def test_signatures_estimate_similarity():
@@ -124,7 +141,9 @@ def test_signatures_estimate_similarity():
     same = np.mean(neardup.signature(a, 512) == neardup.signature(b, 512))
     assert abs(same - len(np.intersect1d(a, b)) / len(np.union1d(a, b))) < 0.1
     assert len(neardup.signature(a[:1], 64)) == 64 and (neardup.signature(a[:1], 64) == a[0]).all()
-    assert neardup.rows_per_band(85) == 6 and neardup.rows_per_band(80) == 4
+    for percent in (50, 80, 85, 93, 100):
+        bands, rows = neardup.bands_for(percent)
+        assert bands <= neardup.BANDS and (1 - (percent / 100) ** rows) ** bands <= 1e-6
 
 
 def test_components_of_a_chain(spark):

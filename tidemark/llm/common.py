@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -11,8 +12,8 @@ from pyspark.sql import functions as F
 #: A word: a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Bits of a key filter. Its broadcast side has at most FILTER_BITS / 64 rows of two longs.
-FILTER_BITS = 1 << 22
+#: Most bits of a key filter, whose broadcast side has a row of two longs for each 64 bits at most (2^20 rows, 32 MB).
+FILTER_BITS = 1 << 26
 
 
 def ascii_lower(text: Column) -> Column:
@@ -22,27 +23,38 @@ def ascii_lower(text: Column) -> Column:
     )
 
 
-def key_filter(keys: DataFrame, *cols: str, bits: int = FILTER_BITS) -> DataFrame:
-    """A one-hash Bloom filter of the keys as a table ``(_fw, _fb)`` of 64-bit words.
+@dataclass
+class KeyFilter:
+    """A one-hash Bloom filter: a table ``(_fw, _fb)`` of 64-bit words, and its number of bits."""
 
-    Its size is bounded by ``bits`` whatever the number of keys, so it may be broadcast. With more
-    keys more other rows pass; none of the keys is ever missed.
+    words: DataFrame
+    bits: int
+
+
+def key_filter(keys: DataFrame, *cols: str, most: int = FILTER_BITS) -> KeyFilter:
+    """A filter of the keys with 32 bits or more for each, ``most`` in all.
+
+    Its size is bounded by ``most`` whatever the number of keys, so it may be broadcast. From ``most``
+    keys on it lets nearly all rows pass, which costs a shuffle of them; none of the keys is ever missed.
+    ``keys`` should be a written table: it is counted first.
     """
+    bits = min(most, 1 << max(20, (32 * keys.count()).bit_length()))
     place = F.pmod(F.xxhash64(*cols), F.lit(bits))
-    return (
+    words = (
         keys.select(F.floor(place / 64).alias("_fw"), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int")).alias("_b"))
         .groupBy("_fw")
         .agg(F.bit_or("_b").alias("_fb"))
     )
+    return KeyFilter(words, bits)
 
 
-def with_maybe(df: DataFrame, filt: DataFrame, name: str, *cols: str, bits: int = FILTER_BITS) -> DataFrame:
+def with_maybe(df: DataFrame, filt: KeyFilter, name: str, *cols: str) -> DataFrame:
     """``df`` with a boolean column ``name``: false if the row's key is surely not in the filter."""
-    place = F.pmod(F.xxhash64(*cols), F.lit(bits))
+    place = F.pmod(F.xxhash64(*cols), F.lit(filt.bits))
     hit = F.coalesce(F.getbit("_fb", (place % 64).cast("int")) == 1, F.lit(False))
     return (
         df.withColumn("_fp", place)
-        .join(F.broadcast(filt), F.floor(F.col("_fp") / 64) == F.col("_fw"), "left")
+        .join(F.broadcast(filt.words), F.floor(F.col("_fp") / 64) == F.col("_fw"), "left")
         .withColumn(name, hit)
         .drop("_fp", "_fw", "_fb")
     )
