@@ -16,6 +16,16 @@ WORD = r"[^\x20\x09-\x0D]+"
 FILTER_BITS = 1 << 26
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores in front where ``df`` has such columns (whatever their case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only. ``lower`` does that (and is quick) where all characters are ASCII."""
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(

@@ -1,6 +1,7 @@
 """Substring dedup by sliding spans of consecutive sentences.
 
-A text is cut into sentences, clauses of a sentence counting as such, so that a passage lifted into
+A text is cut into sentences by what it says there and not by where it stands: after stops (those of
+clauses too), line ends, and words whose hash meets a condition, so that a passage lifted into
 another text shares whole sentences with its source wherever it was pasted. Every run of
 sentences (the shortest that starts at a sentence, has two sentences or more and enough words) is
 hashed; runs are joined over the corpus, and sentences covered by any run that is not the first of
@@ -10,6 +11,7 @@ its kind are removed.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,76 +20,100 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import key_filter, with_maybe
+from tidemark.llm.common import free_names, key_filter, with_maybe
 from tidemark.sources.scratch import cut
 
-#: A run has this many words at least; a sentence is cut after MOST words without a stop.
-WORDS, MOST = 15, 12
+#: A run has this many words at least. One word in CUT (on average) ends a sentence by its hash; where none does,
+#: and no stop, a sentence ends after MOST words.
+WORDS, CUT, MOST = 25, 6, 10
 
-_TOKEN = re.compile(r"\s*\S+\s*|\s+")
-_STOP = frozenset(".!?,;:。！？")
+#: Scripts without spaces between words, with their punctuation: each character counts as a word.
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3000-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff00-\uffef\U00020000-\U0003ffff"
+_TOKEN = re.compile(rf"\s*(?:[{_UNSPACED}]|[^\s{_UNSPACED}]+)\s*|\s+")
+_STOPS = ".!?,;:\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f"
 
 
-def sentences(text: str) -> list[str]:
-    """Parts that together are the text: each ends with a stop, a line end, or after MOST words."""
-    out, part = [], []
-    for token in _TOKEN.findall(text):
-        part.append(token)
+class _Kinds(dict):
+    """For tokens: 2 if there is a word in it, and 1 more if it ends a sentence. Bounded by starting anew."""
+
+    def __missing__(self, token: str) -> int:
+        if len(self) > 50_000:
+            self.clear()
         word = token.strip()
-        if len(part) == MOST or "\n" in token or (word and word[-1] in _STOP):
-            out.append("".join(part))
-            part = []
-    if part:
-        out.append("".join(part))
-    return out
-
-
-def runs(parts: list[str], words: int = WORDS) -> list[tuple[int, int, str]]:
-    """``(first, end, content)`` of the run at each sentence; white space is one space, outer left out."""
-    plain = [p.split() for p in parts]
-    count = np.concatenate([[0], np.cumsum([len(p) for p in plain])]).astype(np.int64)
+        ends = "\n" in token or (word and (word[-1] in _STOPS or zlib.crc32(word.encode("utf-8", "surrogatepass")) % CUT == 0))
+        self[token] = kind = 2 * bool(word) + bool(ends)
+        return kind
+
+
+_kinds = _Kinds()
+
+
+def sentences(text: str) -> tuple[list[str], np.ndarray]:
+    """Parts that together are the text, and the words before each part and in all."""
+    tokens = _TOKEN.findall(text)
+    kinds = np.fromiter(map(_kinds.__getitem__, tokens), dtype=np.int8, count=len(tokens))
+    ends = np.flatnonzero(kinds & 1) + 1
+    if len(tokens) and (not len(ends) or ends[-1] < len(tokens)):
+        ends = np.append(ends, len(tokens))
+    begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+    if len(wide := np.flatnonzero(ends - begins > MOST)):
+        ends = np.unique(np.concatenate([ends, *[np.arange(begins[i] + MOST, ends[i], MOST) for i in wide]]))
+        begins = np.concatenate([[0], ends[:-1]])
+    words = np.concatenate([[0], np.cumsum(kinds >> 1)])
+    return ["".join(tokens[i:j]) for i, j in zip(begins.tolist(), ends.tolist(), strict=False)], words[np.concatenate([[0], ends]).astype(np.int64)]
+
+
+def runs(text: str, words: int = WORDS) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """First sentence, end and digest of the run at each sentence; white space counts as one space."""
+    parts, count = sentences(text)
+    if count[-1] < words:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), []
     ends = np.maximum(np.searchsorted(count, count[:-1] + words), np.arange(len(parts)) + 2)
-    joined = [" ".join(p) for p in plain]
-    return [(i, int(e), " ".join(joined[i:e])) for i, e in enumerate(ends.tolist()) if e <= len(parts) and plain[i]]
+    first = np.flatnonzero((ends <= len(parts)) & (np.diff(count) > 0))
+    each = b"".join(xxhash.xxh3_128_digest(" ".join(p.split())) for p in parts)
+    return first, ends[first], [xxhash.xxh3_128_digest(each[16 * i : 16 * j]) for i, j in zip(first.tolist(), ends[first].tolist(), strict=True)]
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """Adds ``_id`` (a null id is the least number) and ``_copy``, which tells rows of one id apart."""
-    ids = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)).cast("long")))
-    again = ids.groupBy("_id").count().filter("count > 1")
+    """``_row`` (all columns), ``text``, ``_id`` and ``_copy``, which tells rows of one id apart.
+
+    A null id comes before all others; ids that are not whole numbers are ordered as strings.
+    """
+    whole = docs.schema["doc_id"].dataType.typeName() in ("byte", "short", "integer", "long")
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)).cast("long")) if whole else F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    ids = docs.select(F.struct("*").alias("_row"), "text", key.alias("_id"))
+    again = cut(docs.select(key.alias("_id")).groupBy("_id").count().filter("count > 1").select("_id"), "repeated-ids")
     return with_maybe(ids, key_filter(again, "_id"), "_again", "_id").withColumn("_copy", F.when(F.col("_again"), F.xxhash64("text")).otherwise(F.lit(0)).cast("long")).drop("_again")
 
 
 def spans(keyed: DataFrame) -> DataFrame:
-    """``_id, _copy, first, end, h1, h2``: each distinct run of each text once.
-
-    Later runs of the same content in the text need no join: they come with null hashes.
-    """
+    """``_id, _copy, first, end, h1, h2, again``: the runs of each text; ``again`` where the text has it before."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows: list[tuple] = []
-            for i, c, text in zip(batch["_id"], batch["_copy"], batch["text"], strict=True):
-                seen: set[str] = set()
-                for first, end, content in runs(sentences(text or "")):
-                    if content in seen:
-                        rows.append((i, c, first, end, None, None))
-                    else:
-                        seen.add(content)
-                        h = xxhash.xxh3_128_intdigest(content)
-                        rows.append((i, c, first, end, (h >> 64) - 2**63, (h & 0xFFFFFFFF) - 2**31))
-                if len(rows) > 200_000:
-                    yield _frame(rows)
-                    rows = []
-            yield _frame(rows)
-
-    def _frame(rows: list[tuple]) -> pd.DataFrame:
-        # Column by column: hashes next to nulls must not pass through floats.
-        cols = list(zip(*rows, strict=True)) or [()] * 6
-        kinds = {"_id": "int64", "_copy": "int64", "first": "int32", "end": "int32", "h1": "Int64", "h2": "Int32"}
-        return pd.DataFrame({name: pd.array(list(c), dtype=kind) for (name, kind), c in zip(kinds.items(), cols, strict=True)})
-
-    return keyed.select("_id", "_copy", "text").mapInPandas(run, "_id long, _copy long, first int, end int, h1 long, h2 int")
+            ids, copies = batch["_id"].to_numpy(), batch["_copy"].to_numpy()
+            at, firsts, ends, keys, again = [], [], [], [], []
+
+            def frame() -> pd.DataFrame:
+                row = np.repeat(np.array(at, dtype=np.int64), [len(x) for x in firsts])
+                h = np.frombuffer(b"".join(keys), dtype="<i8").reshape(-1, 2)
+                join = lambda parts: np.concatenate([np.zeros(0, np.int64), *parts]).astype(np.int32)
+                return pd.DataFrame({"_id": ids[row], "_copy": copies[row], "first": join(firsts), "end": join(ends), "h1": h[:, 0], "h2": (h[:, 1] >> 32).astype(np.int32), "again": np.array(again, dtype=bool)})
+
+            for i, text in enumerate(batch["text"]):
+                first, end, own = runs(text or "")
+                at.append(i), firsts.append(first), ends.append(end), keys.extend(own)
+                seen: set[bytes] = set()
+                for k in own:
+                    again.append(k in seen)
+                    seen.add(k)
+                if len(keys) > 50_000:
+                    yield frame()
+                    at, firsts, ends, keys, again = [], [], [], [], []
+            yield frame()
+
+    kind = keyed.schema["_id"].dataType.simpleString()
+    return keyed.select("_id", "_copy", "text").mapInPandas(run, f"_id {kind}, _copy long, first int, end int, h1 long, h2 int, again boolean")
 
 
 def _without(text: Column, ranges: Column) -> Column:
@@ -97,7 +123,7 @@ def _without(text: Column, ranges: Column) -> Column:
     def run(text: pd.Series, ranges: pd.Series) -> pd.DataFrame:
         out = []
         for t, rs in zip(text, ranges, strict=True):
-            parts = sentences(t or "")
+            parts, _ = sentences(t or "")
             drop = np.zeros(len(parts) + 1, dtype=np.int64)
             for r in rs if rs is not None else ():
                 drop[r["first"]] += 1
@@ -110,24 +136,28 @@ def _without(text: Column, ranges: Column) -> Column:
 
 
 def substring_dedup(docs: DataFrame) -> DataFrame:
-    """All columns of ``docs`` with the text cut, and ``_n_sentences``, ``_n_removed``.
+    """All columns of ``docs`` with the text cut, and two more: how many sentences it had and lost.
 
-    The first of equal runs is the one in the smallest ``doc_id``, earliest there. Each row stays, with
-    an empty text if all of it repeats; null stays null. Rows that share an id are not held against
-    each other: they count as one document.
+    These are ``_n_sentences`` and ``_n_removed``, with more underscores in front where ``docs`` has such
+    columns. The first of equal runs is the one in the smallest ``doc_id``, earliest there. Each row stays,
+    with an empty text if all of it repeats; null stays null. Rows that share an id are not held
+    against each other: they count as one document.
     """
     keyed = _keyed(docs)
     found = cut(spans(keyed), "spans")
-    shared = found.filter("h1 is not null").groupBy("h1", "h2").agg(F.min("_id").alias("_first"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
-    far = found.join(shared, ["h1", "h2"]).filter("_id <> _first").select("_id", "_copy", "first", "end")
-    near = found.filter("h1 is null").select("_id", "_copy", "first", "end")
+    shared = cut(found.filter("not again").groupBy("h1", "h2").agg(F.min("_id").alias("_first"), F.count("*").alias("_n")).filter("_n > 1").drop("_n"), "shared-spans")
+    # Only runs that may be shared are shuffled again.
+    maybe = with_maybe(found.filter("not again"), key_filter(shared, "h1", "h2"), "_maybe", "h1", "h2").filter("_maybe")
+    far = maybe.join(shared, ["h1", "h2"]).filter("_id <> _first").select("_id", "_copy", "first", "end")
+    near = found.filter("again").select("_id", "_copy", "first", "end")
     drop = cut(far.unionByName(near).groupBy("_id", "_copy").agg(F.collect_list(F.struct("first", "end")).alias("_ranges")), "covered")
 
     marked = with_maybe(keyed, key_filter(drop, "_id", "_copy"), "_maybe", "_id", "_copy")
+    names = free_names(docs, "_n_sentences", "_n_removed")
 
     def result(df: DataFrame, ranges: Column) -> DataFrame:
         cut_text = df.withColumn("_out", _without(F.col("text"), ranges))
-        return cut_text.select(*[F.col("_out.text").alias("text") if c == "text" else F.col(c) for c in docs.columns], F.col("_out.n_sentences").alias("_n_sentences"), F.col("_out.n_removed").alias("_n_removed"))
+        return cut_text.select(*[F.col("_out.text") if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns], F.col("_out.n_sentences").alias(names[0]), F.col("_out.n_removed").alias(names[1]))
 
     none = F.lit(None).cast("array<struct<first:int,end:int>>")
     return result(marked.filter("not _maybe"), none).unionByName(result(marked.filter("_maybe").join(drop, ["_id", "_copy"], "left"), F.col("_ranges")))
