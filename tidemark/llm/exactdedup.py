@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import ascii_lower, key_filter, with_maybe
-from tidemark.sources.scratch import cut, new_path
+from tidemark.sources.scratch import cut, forget, new_path
 
 
 def sha256_digest(text: Column) -> Column:
@@ -14,21 +14,27 @@ def sha256_digest(text: Column) -> Column:
     return F.unhex(F.sha2(text.cast("binary"), 256))
 
 
+#: Hits of one digest are verified in groups of about so many rows.
+GROUP = 2000
+
+
 class DigestIndex:
-    """Sorted runs of ``digest, keep_id, n`` in the shared folder.
+    """Sorted runs of ``digest, keep_id, n`` in the shared folder, in levels.
 
     ``flush`` turns each input split into one sorted run file: the task's sort buffer is the
-    memtable, and the file carries the digests' range and a Bloom filter for later look-ups.
-    ``compact`` merges all runs into one that has a row for each digest, with its smallest (or
-    largest) identifier. More runs may be flushed and compacted at any time.
+    memtable, and the file carries the digests' range and a Bloom filter for look-ups. ``compact``
+    merges all runs into the next level: a row for each digest with its smallest (or largest)
+    identifier, dealt by ranges of digests, so that files of a level don't overlap and a look-up reads one
+    of them. A flush compacts by itself once there are ``fan`` runs.
     """
 
-    def __init__(self, spark: SparkSession, path: str, keep: str = "min"):
-        self.spark, self.path, self.keep, self.runs, self.count = spark, path, keep, [], 0
+    def __init__(self, spark: SparkSession, path: str, keep: str = "min", id_type: str = "bigint", fan: int = 8):
+        self.spark, self.path, self.keep, self.id_type, self.fan = spark, path, keep, id_type, fan
+        self.runs, self.count, self.level = [], 0, 0
 
-    def _write(self, df: DataFrame, level: int) -> str:
+    def _write(self, df: DataFrame) -> str:
         self.count += 1
-        run = f"{self.path}/level{level}/run-{self.count:05d}"
+        run = f"{self.path}/level{self.level}/run-{self.count:05d}"
         (
             df.sortWithinPartitions("digest")
             .write.option("parquet.bloom.filter.enabled#digest", "true")
@@ -39,12 +45,16 @@ class DigestIndex:
         return run
 
     def read(self, *runs: str) -> DataFrame:
-        return self.spark.read.schema("digest binary, keep_id long, n long").parquet(*runs)
+        return self.spark.read.schema(f"digest binary, keep_id {self.id_type}, n long").parquet(*runs)
 
     def flush(self, docs: DataFrame) -> DataFrame:
         """Adds rows ``doc_id, digest``; gives back the run, a row for each of them."""
-        run = self._write(docs.select("digest", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("n")), 0)
+        level, self.level = self.level, 0
+        run = self._write(docs.select("digest", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("n")))
+        self.level = level
         self.runs.append(run)
+        if len(self.runs) >= self.fan:
+            self.compact()
         return self.read(run)
 
     def compact(self) -> DataFrame:
@@ -52,7 +62,8 @@ class DigestIndex:
         of all rows have reaches its task as one row from each map task."""
         best = F.min if self.keep == "min" else F.max
         merged = self.read(*self.runs).groupBy("digest").agg(best("keep_id").alias("keep_id"), F.sum("n").alias("n"))
-        self.runs = [self._write(merged, 1)]
+        self.level += 1
+        self.runs = [self._write(merged.repartitionByRange("digest"))]
         return self.read(*self.runs)
 
     def lookup(self, digest: bytes) -> DataFrame:
@@ -64,33 +75,45 @@ def exact_dedup(docs: DataFrame, keep: str = "max", digest=sha256_digest, path:
     """``doc_id, keep_id, group_size, kept, text_sha256`` for each row.
 
     Texts are equal when identical after lower-casing A-Z; null counts as empty. Of equal texts the
-    row with the largest (``keep="max"``) or smallest ``doc_id`` stays. Rows that repeat both id and
-    text are one document: each counts in ``group_size``, and they stay together. Null ids stay only
-    where no row of the group has an id. ``text_sha256`` is the digest in hexadecimal.
+    row with the largest (``keep="max"``) or smallest ``doc_id`` stays; ids may be of any type that has an
+    order. Rows that repeat both id and text are one document: each counts in ``group_size``, and they
+    stay together. Null ids stay only where no row of the group has an id. ``text_sha256`` is the digest in
+    hexadecimal.
 
     Hits (rows whose digest another row has) are compared byte for byte with the row that stays.
-    Only their texts are shuffled: a fixed-size filter of the repeated digests leaves out the rest.
-    Should bytes differ under one digest, the rows of that digest are grouped by the text itself.
+    Only their texts are shuffled, by id and then by digest and salt: a digest of very many rows is
+    verified in groups of GROUP, each with its own copy of the one text that stays. Should bytes
+    differ under one digest, the rows of that digest are grouped by the text itself.
     """
     spark = docs.sparkSession
-    index = DigestIndex(spark, path or new_path(spark, "digest-index"), keep)
+    index = DigestIndex(spark, path or new_path(spark, "digest-index"), keep, docs.schema["doc_id"].dataType.simpleString())
     best = F.min if keep == "min" else F.max
-    normal = docs.select("doc_id", ascii_lower(F.coalesce("text", F.lit(""))).alias("norm")).withColumn("digest", digest(F.col("norm")))
-    rows = index.flush(normal).select("digest", F.col("keep_id").alias("doc_id"))
-    merged = index.compact()
-    repeated = merged.filter("n > 1")
 
-    hits = with_maybe(normal, key_filter(repeated, "digest"), "_maybe", "digest").filter("_maybe").drop("_maybe").join(repeated, "digest")
-    stays = hits.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.min("norm").alias("kept_norm"))
-    differ = cut(hits.join(stays, "digest", "left").filter(~F.col("norm").eqNullSafe(F.col("kept_norm"))).select("digest").distinct(), "collisions")
+    def normal(df: DataFrame) -> DataFrame:
+        return df.select("doc_id", ascii_lower(F.coalesce("text", F.lit(""))).alias("norm")).withColumn("digest", digest(F.col("norm")))
+
+    rows = index.flush(normal(docs)).select("digest", F.col("keep_id").alias("doc_id"))
+    repeated = index.compact().filter("n > 1")
+    found = cut(rows.join(repeated, "digest", "left"), "looked-up")
+
+    hits = cut(found.filter("n > 1").groupBy("doc_id", "digest").agg(F.first("keep_id").alias("keep_id"), F.first("n").alias("n")), "hits")
+    few = normal(with_maybe(docs.select("doc_id", "text"), key_filter(hits, "doc_id"), "_maybe", "doc_id").filter("_maybe")).alias("t")
+    same = (F.col("t.digest") == F.col("h.digest")) & F.col("t.doc_id").eqNullSafe(F.col("h.doc_id"))
+    salts = F.ceil(F.col("n") / GROUP)
+    texts = few.join(hits.alias("h"), same).select("h.*", "norm").withColumn("_salt", F.pmod(F.xxhash64("doc_id"), salts))
+    texts = cut(texts, "hit-texts")
+    stays = texts.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.min("norm").alias("kept_norm"), F.first("n").alias("n"))
+    stays = stays.select("digest", "kept_norm", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("_salt"))
+    differ = cut(texts.join(stays, ["digest", "_salt"], "left").filter(~F.col("norm").eqNullSafe(F.col("kept_norm"))).select("digest").distinct(), "collisions")
 
     def result(joined: DataFrame) -> DataFrame:
         keep_id = F.when(F.col("n") > 1, F.col("keep_id")).otherwise(F.col("doc_id"))
         return joined.select("doc_id", keep_id.alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep_id).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
-    out = result(rows.join(repeated, "digest", "left"))
-    if differ.isEmpty():
-        return out
-    clash = normal.join(differ, "digest", "left_semi")
+    none = differ.isEmpty()
+    forget(hits, texts)
+    if none:
+        return result(found)
+    clash = normal(docs).join(differ, "digest", "left_semi")
     groups = clash.groupBy("digest", "norm").agg(best("doc_id").alias("keep_id"), F.count("*").alias("n"))
-    return result(rows.join(differ, "digest", "left_anti").join(repeated, "digest", "left")).unionByName(result(clash.join(groups, ["digest", "norm"])))
+    return result(found.join(differ, "digest", "left_anti")).unionByName(result(clash.join(groups, ["digest", "norm"])))
