@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.exactdedup import exact_dedup
-from tidemark.llm.linededup import line_dedup
+from tidemark.llm.linededup import line_dedup, page_line_dedup
 from tidemark.llm.neardup import near_duplicates
 from tidemark.llm.outliers import quality_outliers
 from tidemark.llm.packing import pack_documents
@@ -26,7 +26,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return substring_dedup(docs).withColumnsRenamed({"_n_sentences": "n_sentences", "_n_removed": "n_removed"})
+    return substring_dedup(docs).toDF("doc_id", "text", "n_sentences", "n_removed")
 
 
 def op2_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,13 +62,19 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages by host."""
+    return page_line_dedup(_table(spark, sf_dir, "pages"))
+
+
+def line_dedup_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over documents, which have no address: their source is the site."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return line_dedup(docs, F.col("source")).withColumnsRenamed({"_n_lines": "n_lines", "_n_dropped": "n_dropped"})
+    return line_dedup(docs, F.col("source")).toDF("doc_id", "source", "text", "n_lines", "n_dropped")
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_substring_dedup, op2_virtual_slots, op3_mcd_outliers, op4_token_counts, op5_exact_dedup, op6_toxicity, op7_pieces, op8_near_dedup, op9_packing, op10_line_dedup)
+    for f in (op1_substring_dedup, op2_virtual_slots, op3_mcd_outliers, op4_token_counts, op5_exact_dedup, op6_toxicity, op7_pieces, op8_near_dedup, op9_packing, op10_line_dedup, line_dedup_by_source)
 }
 
 LINE_DEDUP_SQL = """
@@ -90,6 +96,15 @@ WITH pages AS (
 )
 """
 
+PAGE_LINES_SQL = r"""(
+  SELECT page_id AS doc_id, lower(nullif(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1), '')) AS source,
+         regexp_replace(regexp_replace(regexp_replace(html,
+           '(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->', '', 'g'),
+           '(?i)</?(?:html|head|title|body|p|div|h[1-6]|ul|ol|li|dl|dt|dd|br|hr|pre|table|tr|td|th|nav|header|footer|section|article|aside|main|form|blockquote)(?:[\x20\x09-\x0D/][^>]*)?>', chr(10), 'g'),
+           '</?[a-zA-Z][^>]*>|<![^>]*>', '', 'g') AS text
+  FROM pages
+)"""
+
 SQL = {
     "op5_exact_dedup": """
 WITH n AS (
@@ -98,9 +113,14 @@ WITH n AS (
 SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(norm) AS text_sha256
 FROM n JOIN g USING (norm)
 """,
-    "op10_line_dedup": LINE_DEDUP_SQL.format(docs="documents")
+    "line_dedup_by_source": LINE_DEDUP_SQL.format(docs="documents")
     + """SELECT p.doc_id, p.source, CASE WHEN p.text IS NULL THEN NULL ELSE k.text END AS text,
        coalesce(k.n_lines, 0) AS n_lines, coalesce(k.n_dropped, 0) AS n_dropped
 FROM pages p LEFT JOIN kept k USING (r)
+""",
+    "op10_line_dedup": LINE_DEDUP_SQL.replace("WITH pages AS", "WITH sited AS").replace("FROM pages", "FROM sited").format(docs=PAGE_LINES_SQL)
+    + """SELECT p.doc_id AS page_id, p.source AS host, CASE WHEN p.text IS NULL THEN NULL ELSE k.text END AS text,
+       coalesce(k.n_lines, 0) AS n_lines, coalesce(k.n_dropped, 0) AS n_dropped
+FROM sited p LEFT JOIN kept k USING (r)
 """,
 }
