@@ -67,19 +67,54 @@ def test_substring_dedup(docs, rows):
     first, cover = {}, defaultdict(set)
     texts = sorted({(i, t) for i, t, *_ in rows}, key=lambda x: x[0])
     for i, t in texts:
-        for a, b, content in substring.runs(substring.sentences(t or "")):
-            if content in first:
-                cover[i].update(range(a, b))
-            first.setdefault(content, i)
-    want = sorted((i, None if t is None else "".join(p for k, p in enumerate(substring.sentences(t)) if k not in cover[i])) for i, t, *_ in rows)
+        parts = substring.sentences(t or "")[0]
+        words = [p.split() for p in parts]
+        for a in range(len(parts)):
+            b = next((b for b in range(a + 2, len(parts) + 1) if sum(map(len, words[a:b])) >= substring.WORDS), None)
+            if b and words[a]:
+                content = " ".join(w for ws in words[a:b] for w in ws)
+                if content in first:
+                    cover[i].update(range(a, b))
+                first.setdefault(content, i)
+    want = sorted((i, None if t is None else "".join(p for k, p in enumerate(substring.sentences(t)[0]) if k not in cover[i])) for i, t, *_ in rows)
     out = substring.substring_dedup(docs)
     assert sorted((r.doc_id, r.text) for r in out.collect()) == want
     assert out.columns[:6] == docs.columns
 
 
-@pytest.mark.parametrize("text", ["", "a", " lead. And, then\n\nmore " + "word " * 40, "x　y. z", "\n\n"])
+@pytest.mark.parametrize("text", ["", "a", " lead. And, then\n\nmore " + "word " * 40, "x　y. z", "\n\n", "中文。日本語、ไทย no spaces"])
 def test_sentences_tile_the_text(text):
-    assert "".join(substring.sentences(text)) == text
+    parts, words = substring.sentences(text)
+    assert "".join(parts) == text and len(words) == len(parts) + 1
+
+
+def test_passages_are_found_wherever_they_stand(spark):
+    """Passages of over 50 words without a stop, and texts without spaces, pasted at any offset."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    rows, lost = [], {}
+    for i in range(40):
+        passage = [word() for _ in range(55)] if i % 2 else ["".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(120))]
+        for k in range(2):
+            before, after = [word() for _ in range(rng.randrange(30))], [word() for _ in range(rng.randrange(30))]
+            rows.append((2 * i + k, " ".join([*before, *passage, *after])))
+        lost[2 * i + 1] = len(" ".join(passage))
+    out = {r.doc_id: r for r in substring.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    texts = dict(rows)
+    assert all(out[2 * i].text == texts[2 * i] for i in range(40))
+    assert sum(len(texts[i]) - len(out[i].text) >= 0.5 * n for i, n in lost.items()) >= 39
+
+
+def test_clashing_columns_and_string_ids(spark):
+    text = "a shared line\n" + " ".join(f"w{i}" for i in range(60))
+    cols = ["_id", "_copy", "_maybe", "_row", "_out", "_ranges", "_site", "_all", "_drop", "_stay", "_n_removed", "_N_LINES", "digest", "node", "n"]
+    d = spark.createDataFrame([(f"id{i}", text, "S", *[f"{c}{i}" for c in cols]) for i in range(6)], "doc_id string, text string, source string, " + ", ".join(f"{c} string" for c in cols))
+    own = lambda df: sorted(tuple(r[c] for c in ("doc_id", *cols)) for r in df.collect())
+    for out in (substring.substring_dedup(d), linededup.line_dedup(d, F.col("source"))):
+        assert out.columns[: len(d.columns)] == d.columns and len(out.columns) == len(d.columns) + 2 and own(out) == own(d)
+    assert {r.doc_id for r in substring.substring_dedup(d).collect() if " w30 " in r.text} == {"id0"}
+    assert {(r.doc_id, r.keep_id, r.group_size) for r in exactdedup.exact_dedup(d).collect()} == {(f"id{i}", "id5", 6) for i in range(6)}
+    assert {r.component_id for r in neardup.near_duplicates(d).collect()} == {"id0"}
 
 
 def components(rows, width, percent):
@@ -308,3 +343,12 @@ def test_filters_miss_nothing(spark):
     keys = spark.range(0, 5000, 7)
     out = common.with_maybe(spark.range(5000), common.key_filter(keys, "id"), "m", "id")
     assert out.filter("m").join(keys, "id").count() == keys.count() and out.filter("m").count() < 1.02 * keys.count()
+
+
+def test_lines_of_pages_by_host(spark):
+    page = lambda i: f"<html><head><style>p{{}}</style></head><body><nav><li>Home</li></nav><!-- <p>x</p> --><p>own <b>words</b> {i}</p>two\nlines<BR/>end</body></html>"
+    rows = [(i, f"http://u@A.example:80/p{i}", page(i)) for i in range(8)] + [(20, "https://b.example/x", page(20)), (21, None, page(21)), (22, "mailto:x", None)]
+    out = {r.page_id: r for r in linededup.page_line_dedup(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out[0].host == "a.example" and [x for x in out[3].text.split("\n") if x] == ["own words 3"]
+    assert [x for x in out[20].text.split("\n") if x] == ["Home", "own words 20", "two", "lines", "end"] and out[20].n_dropped == 0
+    assert out[21].host is None and (out[22].text, out[22].n_lines, out[22].n_dropped) == (None, 0, 0) and out[3].n_dropped == 4

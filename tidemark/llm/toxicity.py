@@ -55,7 +55,7 @@ class ToxicityModel:
         """The sum of a word's features; a bounded number of words is remembered."""
         got = self._memo.get(word)
         if got is None:
-            if len(self._memo) >= 300_000:
+            if len(self._memo) >= 100_000:
                 self._memo.clear()
             got = self._memo[word] = sum(self.weights.get(f, 0.0) for f in features(word))
         return got
@@ -100,7 +100,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def _chosen(bags: list[list[set[str]]], y: np.ndarray, min_docs: int, least_z: float) -> dict[str, int]:
+def _chosen(bags: list[list[tuple[str, ...]]], y: np.ndarray, min_docs: int, least_z: float) -> dict[str, int]:
     """Numbers of the features whose documents are toxic clearly more, or less, often than the average."""
     df: Counter[str] = Counter()
     toxic: Counter[str] = Counter()
@@ -115,7 +115,7 @@ def _chosen(bags: list[list[set[str]]], y: np.ndarray, min_docs: int, least_z: f
     return {f: i for i, f in enumerate(best[:WORDS])}
 
 
-def _fit(bags: list[list[set[str]]], y: np.ndarray, min_docs: int = 4, least_z: float = 4.5, steps: int = 200, ridge: float = 0.05) -> ToxicityModel:
+def _fit(bags: list[list[tuple[str, ...]]], y: np.ndarray, min_docs: int = 4, least_z: float = 4.5, steps: int = 200, ridge: float = 0.05) -> ToxicityModel:
     """Noisy-or likelihood, as in ``score``, by gradient steps (Adam) with a ridge on the weights."""
     if not len(y):
         return ToxicityModel()
@@ -153,9 +153,10 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bags, y = [], []
+        known: dict[str, str] = {}  # a word is held once
         for batch in batches:
             for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
-                if bag := [words for _, _, words in sentence_spans(text or "")]:
+                if bag := [tuple(known.setdefault(w, w) for w in words) for _, _, words in sentence_spans(text or "")]:
                     bags.append(bag)
                     y.append(int(toxic))
         model = _fit(bags, np.array(y, dtype=np.int64))
