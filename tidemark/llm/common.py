@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -83,6 +86,26 @@ def slices(texts: Iterable[str | None], limit: int = 4_000_000) -> Iterator[list
         yield part
 
 
+_holders: dict[str, Callable[[], object]] = {}
+
+
+def claim(operator: str, clear: Callable[[], object] = bool) -> None:
+    """Called by an operator's task as it begins: what other operators hold in this Python worker goes.
+
+    Spark keeps workers for later stages, so tokenizers and caches of one stage would take memory from
+    all that follow. ``clear`` drops what ``operator`` holds itself.
+    """
+    others = [o for o in _holders if o != operator]
+    for other in others:
+        _holders.pop(other)()
+    _holders[operator] = clear
+    if others:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+
 class Cache:
     """What keys were found to be, for one Python worker; at most ``most`` characters of keys.
 

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, key_filter, slices, with_maybe
+from tidemark.llm.common import WORD, claim, key_filter, slices, with_maybe
 from tidemark.sources.scratch import cut, forget
 
 #: Most bands of a signature. Each costs a row for each distinct set.
@@ -119,6 +119,7 @@ def sketch(text: Column, width: int, bands: int, rows: int) -> Column:
 
     @F.pandas_udf("n_shingles long, node binary, bands array<long>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        claim("neardup")
         for batch in batches:
             out = []
             for texts in slices(batch, SLICE):
@@ -142,6 +143,7 @@ def full_sets(texts: DataFrame, width: int) -> DataFrame:
     """``node, set``: digest and sorted shingles of each text that has words."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        claim("neardup")
         for batch in batches:
             for part in slices(batch["text"], SLICE):
                 sets = [s for s in shingle_sets(part, width) if len(s)]

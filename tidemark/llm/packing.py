@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Cache, joined_ids, slices
+from tidemark.llm.common import Cache, claim, joined_ids, slices
 from tidemark.sources.scratch import cut
 
 #: Ranks of pieces of one length are dealt over so many salts, so no length is ranked in one task.
@@ -93,6 +93,7 @@ def cut_pieces(docs: DataFrame, model: str, max_len: int = 2048, end_id: int = 1
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        claim("packing", WordCoder._made.clear)
         coder = WordCoder.of(model)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:

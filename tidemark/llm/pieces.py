@@ -17,7 +17,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ChunkTable, slices
+from tidemark.llm.common import ChunkTable, claim, slices
 
 MARK = "▁"
 #: Marked words of a text in which spaces are already markers; newlines stand alone.
@@ -71,6 +71,7 @@ def encode_decode(text: Column, model: str) -> Column:
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        claim("pieces", PieceCoder._made.clear)
         coder = PieceCoder.of(model)
         ends = np.array([coder.model.bos_id()], "<u4").tobytes(), np.array([coder.model.eos_id()], "<u4").tobytes()
         for batch in batches:
@@ -90,6 +91,7 @@ def encode_ids(text: Column, model: str) -> Column:
 
     @F.pandas_udf("array<int>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        claim("pieces", PieceCoder._made.clear)
         coder = PieceCoder.of(model)
         for batch in batches:
             yield pd.Series([[coder.model.bos_id(), *ids.tolist(), coder.model.eos_id()] for texts in slices(batch) for ids in coder.encode(texts)], dtype=object)
@@ -102,6 +104,7 @@ def decode_ids(ids: Column, model: str) -> Column:
 
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        claim("pieces", PieceCoder._made.clear)
         coder = PieceCoder.of(model)
         for batch in batches:
             yield pd.Series([None if x is None else coder.model.decode([int(i) for i in x]) for x in batch], dtype=object)
@@ -140,6 +143,7 @@ def count_tokens(text: Column, model: str, frequent: Broadcast, misses: int = 30
 
     @F.pandas_udf("long")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        claim("pieces", PieceCoder._made.clear)
         coder, common = PieceCoder.of(model), frequent.value
         cache: dict[str, int] = {}
         for batch in batches:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import free_names, key_filter, with_maybe
+from tidemark.llm.common import claim, free_names, key_filter, with_maybe
 from tidemark.sources.scratch import cut
 
 #: A run has this many words at least. One word in CUT (on average) ends a sentence by its hash; where none does,
@@ -90,6 +90,7 @@ def spans(keyed: DataFrame) -> DataFrame:
     """``_id, _copy, first, end, h1, h2, again``: the runs of each text; ``again`` where the text has it before."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        claim("substring", _kinds.clear)
         for batch in batches:
             ids, copies = batch["_id"].to_numpy(), batch["_copy"].to_numpy()
             at, firsts, ends, keys, again = [], [], [], [], []
@@ -121,6 +122,7 @@ def _without(text: Column, ranges: Column) -> Column:
 
     @F.pandas_udf("text string, n_sentences long, n_removed long")
     def run(text: pd.Series, ranges: pd.Series) -> pd.DataFrame:
+        claim("substring", _kinds.clear)
         out = []
         for t, rs in zip(text, ranges, strict=True):
             parts, _ = sentences(t or "")

@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import claim
+
 #: At most so many labelled documents are fitted on, and so many features have a weight.
 SAMPLE, WORDS = 6000, 30_000
 #: Lengths of word beginnings that are features, beside whole words.
@@ -152,6 +154,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     """
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        claim("toxicity")
         bags, y = [], []
         known: dict[str, str] = {}  # a word is held once
         for batch in batches:
@@ -174,6 +177,7 @@ def toxicity_score(text: Column, model: ToxicityModel, spark) -> Column:
 
     @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        claim("toxicity")
         for batch in batches:
             yield pd.Series([shared.value.score(t) for t in batch], dtype="float64")
 
