@@ -109,3 +109,40 @@ def test_t_tail():
     # Two-sided p of t = 2.228 with 10 degrees of freedom is 0.05; of t = 1 with 1 degree, 0.5.
     assert beta_inc(np.array([5.0]), 0.5, np.array([10 / (10 + 2.2281388519649385**2)]))[0] == pytest.approx(0.05, abs=1e-6)
     assert beta_inc(np.array([0.5]), 0.5, np.array([0.5]))[0] == pytest.approx(0.5, abs=1e-9)
+
+
+def test_upsert_keeps_the_last(spark):
+    from tidemark.sources.tables import upsert
+
+    old = spark.createDataFrame([(1, "a", 0), (2, "b", 0)], "k long, v string, at long")
+    new = spark.createDataFrame([(2, "z", 1), (2, "c", 3), (2, "d", 2), (3, None, 1)], "k long, v string, at long")
+    assert sorted(map(tuple, upsert(old, new, ["k"], ["at"]).collect()), key=str) == [(1, "a", 0), (2, "c", 3), (3, None, 1)]
+
+
+def test_models_without_evaluations_stay(spark):
+    from tidemark.operators.reports import model_performance
+
+    models = spark.sql("select id as model_id, 1L as model_group_id, date '2015-01-01' as train_end_time from range(2)")
+    evals = spark.sql("select 1L as model_id, 'f1' as metric, '' as parameter, 0.5 as stochastic_value")
+    assert {(r.model_id, r["value"] is None) for r in model_performance(models, evals, "f1", "").collect()} == {(0, True), (1, False)}
+
+
+def test_directions_come_from_the_metrics(spark):
+    from tidemark.operators import evaluate as V
+    from tidemark.operators import selection as S
+
+    V.register_metric("cost@", lambda: V.F.col("fp").cast("double"), False)
+    try:
+        assert S._signed("cost@") == -1 and S._signed("roc_auc") == 1
+        assert [r[0] for r in spark.createDataFrame([("cost@",), ("fpr@",), ("f1",)], "m string").select(S.better_is_greater(V.F.col("m"))).collect()] == [False, False, True]
+    finally:
+        V.METRICS.pop("cost@")
+
+
+def test_error_trees_for_each_model(spark):
+    from tidemark.operators import analysis as A
+
+    rows = spark.sql("select m.id as model_id, cast(r.id % 2 as int) as predicted, cast(r.id % 4 = 1 as int) as error_fp, cast(r.id % 4 = 0 as int) as error_fn, cast(r.id % 4 < 2 as int) as error, cast(r.id % 4 as double) as x, cast(m.id as double) as y from range(2) m, range(40) r")
+    out = A.error_trees(rows, ["x", "y"], depths=(2,)).collect()
+    assert {(r.model_id, r.target) for r in out} == {(m, t) for m in range(2) for t in ("error", "error_fp", "error_fn")}
+    assert all(r.importance == (1.0 if r.feature == "x" else 0.0) for r in out)

@@ -300,6 +300,25 @@ def impute_rules(spark, d):
     return rounded(I.impute(_cohort(spark, d), _rare(spark, d), _rare_rules()))
 
 
+_HALF_AGGS = [X.Agg("value", "value", ("sum", "avg"), rules={"sum": "zero", "avg": "mean"})]
+
+
+@REGISTER(f"""WITH h AS (SELECT DISTINCT user_id AS entity_id, as_of_date FROM events, ({AS_OF}) WHERE ts < as_of_date AND event_type = 'purchase' AND as_of_date > DATE '{EVENT_DATES[0]}'), {_RARE},
+z AS (SELECT user_id AS entity_id, as_of_date, {', '.join(f"{m}((event_type = 'error')::INTEGER) AS e{k}, {m}((event_type IS NULL)::INTEGER) AS n{k}" for k, m in enumerate(('avg', 'max', 'sum')))} FROM events, ({AS_OF}) WHERE ts < as_of_date AND ts >= as_of_date - INTERVAL 1 DAY AND value > 60 GROUP BY ALL),
+j AS (SELECT h.entity_id, h.as_of_date, s, n, e0, e1, e2, n0, n1, n2 FROM h LEFT JOIN rare USING (entity_id, as_of_date) LEFT JOIN z USING (entity_id, as_of_date))
+SELECT entity_id, as_of_date, round(coalesce(s, 0), 6) AS c_u_1day_value_sum, round(coalesce(s / n, avg(s / n) OVER d, 0), 6) AS c_u_1day_value_avg, (n IS NULL)::INTEGER::BIGINT AS c_u_1day_value_imp,
+  round(coalesce(e0, avg(e0) OVER d, 0), 6) AS c_u_1day_event_type_error_avg, coalesce(n0, 1)::DOUBLE AS c_u_1day_event_type__NULL_avg,
+  coalesce(e1, 1)::BIGINT AS c_u_1day_event_type_error_max, coalesce(n1, 1)::BIGINT AS c_u_1day_event_type__NULL_max,
+  coalesce(e2, 0)::BIGINT AS c_u_1day_event_type_error_sum, coalesce(n2, 1)::BIGINT AS c_u_1day_event_type__NULL_sum
+FROM j WINDOW d AS (PARTITION BY as_of_date)""")
+def impute_part_of_cohort(spark, d):
+    """Features also of entities and dates outside the cohort; a category under mean, constant and zero has no flag."""
+    kinds = X.categorical("event_type", ["error"], ("avg", "max", "sum"), rules={"avg": "mean", "max": ("constant", "error"), "sum": "zero"})
+    feats = X.spacetime_aggregate(_events(spark, d).filter("value > 60"), "user_id", "ts", EVENT_DATES, ["1 day"], [*_HALF_AGGS, *kinds], "c", "u")
+    buyers = E.cohort_from_events(_events(spark, d).filter("event_type = 'purchase'"), "user_id", "ts", EVENT_DATES)
+    return rounded(I.impute(buyers, feats, I.resolve_rules("c", "u", ["1 day"], [*_HALF_AGGS, *kinds]), dates=EVENT_DATES[1:]))
+
+
 @REGISTER(f"""WITH {COHORT_SQL}, {_RARE}, z AS (SELECT user_id AS entity_id, as_of_date, sum((event_type = 'error')::INTEGER) AS x, sum((event_type IS NULL)::INTEGER) AS nl FROM events, ({AS_OF}) WHERE ts < as_of_date AND ts >= as_of_date - INTERVAL 1 DAY AND value > 60 GROUP BY ALL)
 SELECT entity_id, as_of_date, coalesce(x, 0)::BIGINT AS k_u_1day_event_type_error_sum, coalesce(nl, 1)::BIGINT AS k_u_1day_event_type__NULL_sum FROM cohort LEFT JOIN z USING (entity_id, as_of_date)""")
 def impute_null_category(spark, d):

@@ -72,7 +72,7 @@ def error_labels(spark, d):
 
 
 def error_trees(spark, d):
-    rows = X.error_labels(_ranked(spark, d).filter("model_id = 1"), 3000).join(matrix(spark, d), ["entity_id", "as_of_date"])
+    rows = X.error_labels(_ranked(spark, d), 3000).join(matrix(spark, d), ["entity_id", "as_of_date"])
     return X.error_trees(rows, ["quantity", "tax", "lines"])
 
 
@@ -179,9 +179,9 @@ def group_summary(spark, d):
     return Q.group_summary(models(spark, d))
 
 
-@REGISTER(f"WITH {MODELS}, {EVALS} SELECT model_id, model_group_id, train_end_time, stochastic_value::DOUBLE AS value FROM models LEFT JOIN (SELECT * FROM evals WHERE metric = 'precision@' AND parameter = '100_abs' AND model_id % 2 = 0) e USING (model_id)")
+@REGISTER(f"WITH {MODELS}, {EVALS} SELECT model_id, model_group_id, train_end_time, stochastic_value::DOUBLE AS value FROM models LEFT JOIN (SELECT * FROM evals WHERE metric = 'precision@' AND parameter = '100_abs') e USING (model_id)")
 def model_performance(spark, d):
-    return rounded(Q.model_performance(models(spark, d), evaluations(spark, d).filter("model_id % 2 = 0"), "precision@", "100_abs"))
+    return rounded(Q.model_performance(models(spark, d), evaluations(spark, d), "precision@", "100_abs"))
 
 
 @REGISTER(f"WITH {MODELS}, {EVALS} SELECT model_id, model_group_id, train_end_time, coalesce(CASE WHEN model_id % 2 = 0 THEN 'even' END, 'full_cohort') AS subset, stochastic_value::DOUBLE AS value FROM models LEFT JOIN (SELECT * FROM evals WHERE metric = 'precision@') e USING (model_id)")

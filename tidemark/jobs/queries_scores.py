@@ -222,6 +222,21 @@ def evaluate(spark, d):
     return rounded(V.evaluate(predictions(spark, d), _defs(spark)))
 
 
+_SCORES_SQL = """g AS (SELECT model_id, score, sum(label) AS p, sum(1 - label) AS q, count(*) AS m FROM pred WHERE label IS NOT NULL GROUP BY ALL),
+u AS (SELECT model_id, p, q, m, sum(q) OVER (PARTITION BY model_id ORDER BY score ROWS UNBOUNDED PRECEDING) - q / 2 AS below,
+  sum(p) OVER w AS cp, sum(m) OVER w AS cm FROM g WINDOW w AS (PARTITION BY model_id ORDER BY score DESC ROWS UNBOUNDED PRECEDING)),
+v AS (SELECT model_id, sum(p * below) / nullif(sum(p) * sum(q), 0) AS auc, sum(p * cp / cm) / nullif(sum(p), 0) AS ap FROM u GROUP BY 1),
+n AS (SELECT model_id, count(label) AS labeled, coalesce(sum(label), 0)::BIGINT AS positive FROM pred GROUP BY 1)"""
+
+
+@REGISTER(f"""WITH {PRED}, {_SCORES_SQL}, r AS (SELECT model_id, 'roc_auc' AS metric, auc AS x FROM v UNION ALL SELECT model_id, 'average precision score', ap FROM v)
+SELECT model_id, metric, '' AS parameter, round(x, 6) AS best_value, round(x, 6) AS worst_value, round(x, 6) AS stochastic_value, 0.0::DOUBLE AS standard_deviation, 0 AS num_sort_trials,
+  labeled AS num_labeled_examples, labeled AS num_labeled_above_threshold, positive AS num_positive_labels FROM r JOIN n USING (model_id)""")
+def evaluate_scores(spark, d):
+    """AUC and average precision as metrics of a config."""
+    return rounded(V.evaluate(predictions(spark, d), V.metric_definitions(spark, [{"metrics": ["roc_auc", "average precision score"]}])))
+
+
 @REGISTER(_EVALUATE_SQL.format(pred=PRED.replace("FROM lineitem", "FROM lineitem WHERE l_orderkey % 2 = 0")))
 def evaluate_subset(spark, d):
     p = predictions(spark, d)

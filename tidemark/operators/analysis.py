@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -79,19 +80,25 @@ def error_labels(ranked: DataFrame, k: float, rank_col: str = "rank_abs_no_ties"
 
 
 def error_trees(rows: DataFrame, features: Sequence[str], depths: Sequence[int] = (2, 3)) -> DataFrame:
-    """A decision tree for each kind of error and depth: ``target, depth, feature, importance``. False
-    positives are told from true positives, false negatives from true negatives."""
+    """A decision tree for each model, kind of error and depth: ``model_id, target, depth, feature,
+    importance``. False positives are told from true positives, false negatives from true negatives.
+    Models are a list of a config's length; their fits overlap. A kind that a model has no rows of has no tree."""
     from pyspark.ml.classification import DecisionTreeClassifier
     from pyspark.ml.feature import VectorAssembler
 
     ready = VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="skip").transform(rows)
     slices = {"error": ready, "error_fp": ready.filter("predicted = 1"), "error_fn": ready.filter("predicted = 0")}
-    out = []
-    for target, part in slices.items():
-        for depth in depths:
-            model = DecisionTreeClassifier(featuresCol="_features", labelCol=target, maxDepth=depth, seed=0).fit(part)
-            out += [(target, depth, f, float(v)) for f, v in zip(features, model.featureImportances.toArray(), strict=True)]
-    return rows.sparkSession.createDataFrame(out, "target string, depth int, feature string, importance double")
+    counts = rows.groupBy("model_id").agg(F.count("*").alias("error"), F.sum("predicted").alias("error_fp"), F.sum(1 - F.col("predicted")).alias("error_fn")).collect()
+    jobs = [(r.model_id, target, depth) for r in counts for target in slices if r[target] for depth in depths]
+
+    def fit(job: tuple) -> list[tuple]:
+        model_id, target, depth = job
+        tree = DecisionTreeClassifier(featuresCol="_features", labelCol=target, maxDepth=depth, seed=0).fit(slices[target].filter(F.col("model_id") == model_id))
+        return [(*job, f, float(v)) for f, v in zip(features, tree.featureImportances.toArray(), strict=True)]
+
+    with ThreadPoolExecutor(4) as pool:
+        out = [row for part in pool.map(fit, jobs) for row in part]
+    return rows.sparkSession.createDataFrame(out, "model_id long, target string, depth int, feature string, importance double")
 
 
 def _pairwise(rows: DataFrame, key: Sequence[str], rank_col: str) -> DataFrame:

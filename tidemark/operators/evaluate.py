@@ -99,6 +99,9 @@ def metrics(conf: DataFrame, defs: DataFrame, value: str = "value_") -> DataFram
     """``metric, parameter`` and its value for each row of counts, as ``value``."""
     joined = conf.join(F.broadcast(defs.withColumnsRenamed({"unit": "_u", "value": "_v"})), (F.col("unit") == F.col("_u")) & (F.col("value") == F.col("_v")))
     column = F.lit(None).cast("double")
+    for name in SCORE_METRICS:
+        if name in conf.columns:
+            column = F.when(F.col("metric") == name, F.col(f"`{name}`")).otherwise(column)
     for name, (make, _) in METRICS.items():
         column = F.when(F.col("metric") == name, _fbeta_by_column() if name == "fbeta@" else make()).otherwise(column)
     return joined.withColumn(value, column).drop("_u", "_v")
@@ -123,6 +126,19 @@ def average_precision(pred: DataFrame) -> DataFrame:
     return g.withColumn("_s", F.col("p") * F.sum("p").over(w) / F.sum("m").over(w)).groupBy("model_id").agg(F.try_divide(F.sum("_s"), F.sum("p")).alias("average_precision"))
 
 
+#: Metrics of the scores alone, without a threshold: their values by model. Greater is better in both.
+SCORE_METRICS: dict[str, Callable[[DataFrame], DataFrame]] = {"roc_auc": roc_auc, "average precision score": average_precision}
+
+
+def greater_is_better(metric: str) -> bool:
+    """Of a known metric, registered ones included; others are an error."""
+    if metric in SCORE_METRICS:
+        return True
+    if metric not in METRICS:
+        raise ValueError(f"unknown metric {metric}")
+    return METRICS[metric][1]
+
+
 def tie_trials(pred: DataFrame, thresholds: DataFrame, trials: int = TRIALS) -> DataFrame:
     """Counts as in ``confusion`` for each of ``trials`` random tie orders, with a ``trial`` column.
 
@@ -151,14 +167,23 @@ def evaluate(pred: DataFrame, defs: DataFrame, trials: int = TRIALS, subset: Dat
     """Best, worst and stochastic value of each metric and threshold for each model.
 
     Best and worst order ties by label; where they differ by more than 1 %, the stochastic value
-    is the mean over random orders, with its deviation, else it is the worst value. A subset
-    is taken before ranking.
+    is the mean over random orders, with its deviation, else it is the worst value. Metrics of the scores
+    (AUC, average precision) don't depend on an order of ties; with one class only they are null. A
+    subset is taken before ranking. A metric without a definition is an error.
     """
+    wanted = {r.metric for r in defs.select("metric").distinct().collect()}  # a config's rows
+    for name in wanted:
+        greater_is_better(name)
     rows = pred if subset is None else pred.join(subset.select("entity_id", "as_of_date").distinct(), ["entity_id", "as_of_date"], "left_semi")
     at = _thresholds(defs)
     keys = ["model_id", "metric", "parameter"]
-    worst = metrics(confusion(rows, at, "worst"), defs, "worst_value").select(*keys, "unit", "value", "beta", "worst_value", "n_labeled", "n_above", "n_positive")
-    best = metrics(confusion(rows, at, "best"), defs, "best_value").select(*keys, "best_value")
+    worst = confusion(rows, at, "worst")
+    best = confusion(rows, at, "best")
+    for name in sorted(wanted & set(SCORE_METRICS)):
+        score = SCORE_METRICS[name](rows).toDF("model_id", name)
+        worst, best = worst.join(score, "model_id", "left"), best.join(score, "model_id", "left")
+    worst = metrics(worst, defs, "worst_value").select(*keys, "unit", "value", "beta", "worst_value", "n_labeled", "n_above", "n_positive")
+    best = metrics(best, defs, "best_value").select(*keys, "best_value")
     both = worst.join(best, keys)
     close = F.col("best_value").isNull() | (F.abs(F.col("best_value") - F.col("worst_value")) <= CLOSE * F.greatest(F.abs("best_value"), F.abs("worst_value")))
     both = both.withColumn("_close", close)

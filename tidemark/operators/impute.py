@@ -33,6 +33,8 @@ def resolve_rules(prefix: str, group: str, intervals: Sequence[str], aggs: Seque
                 kind, value = (rule, None) if isinstance(rule, str) else rule
                 if kind not in RULES:
                     raise ValueError(f"unknown imputation rule {kind}")
+                if kind == "binary_mode" and a.categorical:
+                    raise ValueError(f"{name} is a category, which has no binary mode")
                 out[name] = (kind, value, name.removesuffix(f"_{m}"), a.categorical)
     return out
 
@@ -40,6 +42,10 @@ def resolve_rules(prefix: str, group: str, intervals: Sequence[str], aggs: Seque
 def _filled(name: str, rule: tuple) -> Column:
     kind, value, _, is_category = rule
     c, null_column = F.col(f"`{name}`"), "__NULL" in name
+    if kind == "error":
+        return F.when(c.isNull(), F.raise_error(F.lit(f"{name} has nulls, which its imputation rule forbids"))).otherwise(c)
+    if kind == "mean" and is_category and null_column:
+        return F.coalesce(c.cast("double"), F.lit(1.0))
     if kind == "mean":
         return F.coalesce(c.cast("double"), F.col(f"`_mean_{name}`"), F.lit(0.0))
     if kind == "binary_mode":
@@ -55,27 +61,28 @@ def _filled(name: str, rule: tuple) -> Column:
     return F.coalesce(c, F.lit(0)) if kind == "zero_noflag" else c
 
 
-def impute(cohort: DataFrame, features: DataFrame, rules: dict[str, tuple], force: Iterable[str] = (), observed: Iterable[str] | None = None) -> DataFrame:
-    """A row for each cohort row on the features' dates, without nulls, columns sorted by name, and
-    flags ``…_imp``.
+def impute(cohort: DataFrame, features: DataFrame, rules: dict[str, tuple], force: Iterable[str] = (), observed: Iterable[str] | None = None, dates: Iterable[str] | None = None) -> DataFrame:
+    """A row for each cohort row (on ``dates``, where given), without nulls, columns sorted by name, and
+    flags ``…_imp``. Feature rows outside the cohort play no part, in means neither.
 
     Columns to fill are all of the rules', or those in ``observed`` (see ``find_nulls``) and
     ``force`` (columns that were filled in training). A flag says whether any metric of a quantity
-    and interval was filled by a rule other than ``zero_noflag``; categories of ``null_category``
-    have none, for their null column says the same. Means are per date and joined from a table of
-    one row per date.
+    and interval was filled by a rule other than ``zero_noflag``; categories
+    have none, for their null column says the same. Means are per date over the cohort's rows, and joined
+    from a table of one row per date. A null under the rule ``error`` fails the job.
     """
     names = [c for c in features.columns if c not in KEYS]
     todo = [n for n in names if n in rules and (observed is None or n in set(observed) | set(force))]
-    rows = cohort.select(*KEYS).join(features, list(KEYS), "left")
+    members = cohort.select(*KEYS) if dates is None else cohort.select(*KEYS).filter(F.col("as_of_date").cast("date").isin([F.to_date(F.lit(x)) for x in dates]))
+    rows = members.join(features, list(KEYS), "left")
     if means := [n for n in todo if rules[n][0] in ("mean", "binary_mode")]:
         # One row per date of a list of dates.
-        table = features.groupBy("as_of_date").agg(*[F.avg(F.col(f"`{n}`")).alias(f"_mean_{n}") for n in means])
+        table = rows.groupBy("as_of_date").agg(*[F.avg(F.col(f"`{n}`")).alias(f"_mean_{n}") for n in means])
         rows = rows.join(F.broadcast(table), "as_of_date", "left")
     flags: dict[str, Column] = {}
     for n in todo:
-        kind, _, base, _ = rules[n]
-        if kind not in ("zero_noflag", "null_category", "error"):
+        kind, _, base, is_category = rules[n]
+        if not is_category and kind not in ("zero_noflag", "error"):
             missing = F.col(f"`{n}`").isNull()
             flags[f"{base}_imp"] = flags[f"{base}_imp"] | missing if f"{base}_imp" in flags else missing
     columns = {n: (_filled(n, rules[n]) if n in todo else F.col(f"`{n}`")) for n in names} | {k: v.cast("tinyint") for k, v in flags.items()}

@@ -15,11 +15,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.operators.evaluate import METRICS, greater_is_better
+
 SERIES = ["model_group_id", "metric", "parameter"]
 
 
 def better_is_greater(metric: Column) -> Column:
-    return ~(metric.startswith("false") | metric.startswith("fpr"))
+    return ~metric.isin([name for name, (_, up) in METRICS.items() if not up])
 
 
 def assign_model_groups(models: DataFrame, existing: DataFrame | None = None) -> DataFrame:
@@ -128,7 +130,7 @@ def _one(h: DataFrame, metric: str, parameter: str) -> DataFrame:
 
 
 def _signed(metric: str) -> int:
-    return -1 if metric.startswith(("false", "fpr")) else 1
+    return 1 if greater_is_better(metric) else -1
 
 
 BY = ["as_of_time", "model_group_id"]

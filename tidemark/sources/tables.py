@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.sources.scratch import cut
 
@@ -48,7 +49,10 @@ def write_predictions(df: DataFrame, path: str) -> None:
     )
 
 
-def upsert(existing: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Existing rows without those whose keys come anew, and the new ones; of new rows with one key one stays."""
-    fresh = new.dropDuplicates(list(keys))
+def upsert(existing: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """Existing rows without those whose keys come anew, and the new ones. Of new rows with one key the last by
+    ``order`` stays; rows alike in that go by their other columns, so that the result is the same in each run."""
+    rest = [c for c in new.columns if c not in {*keys, *order}]
+    last = new.groupBy(*keys).agg(F.max(F.struct(*order, *rest)).alias("_last")) if order or rest else new.distinct()
+    fresh = last.select(*[c if c in keys else F.col("_last").getField(c).alias(c) for c in new.columns])
     return existing.join(fresh.select(*keys), list(keys), "left_anti").unionByName(fresh)
