@@ -1,9 +1,10 @@
 """Quality rules: text statistics, and robust multivariate outliers by language and source.
 
-The location and scatter of each stratum come from the minimum covariance determinant: start at
-medians and quartile ranges, then concentrate: keep the share ``h`` of rows with the least
-Mahalanobis distance, estimate from those, and repeat. Each step is one aggregation over all rows by
-(stratum, bin of the distance), of sums and cross products, so no stratum is gathered anywhere.
+The location and scatter of each stratum come from the minimum covariance determinant. Three starts (medians
+with quartile ranges, means with covariances, medians with spatial signs) are concentrated: keep the
+share ``h`` of rows with the least Mahalanobis distance, estimate from those, and repeat. The start
+whose covariance has the least determinant goes on. Each step is one aggregation over all rows by
+(stratum, start, bin of the distance), of sums and cross products, so no stratum is gathered anywhere.
 """
 
 from __future__ import annotations
@@ -87,21 +88,22 @@ def transformed() -> list[Column]:
     return [F.log1p("n_words"), F.log1p(F.col("word_chars") / n), F.sqrt(F.col("n_symbols") / n), F.sqrt(F.col("n_dup_lines") / n), F.sqrt(F.col("n_repeat_words") / n)]
 
 
-def _inverse(cov: Column, spare: Column) -> Column:
-    """Inverse of a flat covariance matrix; ``spare`` has the variances of ``_spare``.
+def _solved(cov: Column, spare: Column) -> Column:
+    """Inverse of a flat covariance matrix, and the logarithm of its determinant; ``spare`` has the variances of ``_spare``.
 
     Lengths take theirs where they have no scatter, rates are raised to theirs.
     """
 
-    @F.pandas_udf("array<double>")
-    def run(cov: pd.Series, spare: pd.Series) -> pd.Series:
+    @F.pandas_udf("inverse array<double>, logdet double")
+    def run(cov: pd.Series, spare: pd.Series) -> pd.DataFrame:
         out = []
         for c, least in zip(cov, spare, strict=True):
             m, least = np.asarray(c, dtype=float).reshape(DIM, DIM), np.asarray(least, dtype=float)
             own = m.diagonal()
             need = np.where(np.arange(DIM) < 2, own < NONE, own < least)
-            out.append(np.linalg.inv(m + np.diag(np.where(need, np.maximum(least - own, 0), 0) + NONE * 1e-3)).ravel())
-        return pd.Series(out, dtype=object)
+            full = m + np.diag(np.where(need, np.maximum(least - own, 0), 0) + NONE * 1e-3)
+            out.append((np.linalg.inv(full).ravel(), float(np.linalg.slogdet(full)[1])))
+        return pd.DataFrame({"inverse": pd.Series([x for x, _ in out], dtype=object), "logdet": np.array([x for _, x in out], dtype=float)})
 
     return run(cov, spare)
 
@@ -150,29 +152,68 @@ def strata(rows: DataFrame, min_rows: int) -> DataFrame:
     return cells.join(langs, "_lang").crossJoin(F.broadcast(whole)).select("_cell", F.coalesce(own, lang, F.lit("all")).alias("stratum"), members.alias("members"))
 
 
-def mcd_estimates(rows: DataFrame, h: float = 0.75, steps: int = 6) -> DataFrame:
+_PAIRS = [(i, j) for i in range(DIM) for j in range(i, DIM)]
+_SUMS = [f"s{i}" for i in range(DIM)] + [f"s{i}{j}" for i, j in _PAIRS]
+
+
+def _moments() -> list[Column]:
+    return [F.count("*").alias("n")] + [F.sum(f"x{i}").alias(f"s{i}") for i in range(DIM)] + [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}{j}") for i, j in _PAIRS]
+
+
+def _mean_cov() -> tuple[list[Column], Column]:
+    """Center and flat covariance from sums."""
+    center = [F.col(f"s{i}") / F.col("n") for i in range(DIM)]
+    return center, F.array(*[F.col(f"s{min(i, j)}{max(i, j)}") / F.col("n") - center[i] * center[j] for i in range(DIM) for j in range(DIM)])
+
+
+def _estimates(sums: DataFrame, center: list[Column], cov: Column, *keys: str) -> DataFrame:
+    return sums.select(*keys, F.array(*center).alias("center"), _solved(cov, F.col("spare")).alias("_s")).select(*keys, "center", "_s.inverse", "_s.logdet")
+
+
+def _starts(rows: DataFrame, spare: DataFrame) -> DataFrame:
+    """``stratum, start, center, inverse, logdet`` of the three starts."""
+    spreads = [F.percentile_approx(f"x{i}", [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i in range(DIM)]
+    first = cut(rows.groupBy("stratum").agg(*spreads, *_moments()).join(spare, "stratum"), "mcd-starts")
+    median = [F.col(f"q{i}")[1] for i in range(DIM)]
+    width = [F.greatest((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, F.lit(NONE**0.5)) for i in range(DIM)]
+    diagonal = F.array(*[F.pow((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, 2) if i == j else F.lit(0.0) for i in range(DIM) for j in range(DIM)])
+    z = [(F.col(f"x{i}") - median[i]) / width[i] for i in range(DIM)]
+    scaled = rows.join(first.select("stratum", *[f"q{i}" for i in range(DIM)]), "stratum").select("stratum", *[x.alias(f"z{i}") for i, x in enumerate(z)])
+    norm = sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(1, DIM)), F.col("z0") * F.col("z0"))
+    signs = scaled.withColumn("_r", norm).groupBy("stratum").agg(*[F.coalesce(F.avg(F.try_divide(F.col(f"z{i}") * F.col(f"z{j}"), F.col("_r"))), F.lit(0.0)).alias(f"u{i}{j}") for i, j in _PAIRS])
+    signed = F.array(*[DIM * width[i] * width[j] * F.col(f"u{min(i, j)}{max(i, j)}") for i in range(DIM) for j in range(DIM)])
+    number = lambda df, k: df.withColumn("start", F.lit(k))
+    out = _estimates(number(first, 0), median, diagonal, "stratum", "start")
+    out = out.unionByName(_estimates(number(first, 1), *_mean_cov(), "stratum", "start"))
+    return cut(out.unionByName(_estimates(number(first.join(signs, "stratum"), 2), median, signed, "stratum", "start")), "mcd")
+
+
+def _concentrated(rows: DataFrame, estimate: DataFrame, spare: DataFrame, h: float) -> DataFrame:
+    """One step for each stratum and start of ``estimate``."""
+    keys = ["stratum", "start"]
+    binned = rows.join(estimate, "stratum").withColumn("_bin", F.floor(16 * F.log2(_distance() + 1e-9)))
+    by_bin = binned.groupBy(*keys, "_bin").agg(*_moments())
+    w = W.partitionBy(*keys)
+    ranked = by_bin.withColumn("_before", F.sum("n").over(w.orderBy("_bin")) - F.col("n")).withColumn("_all", F.sum("n").over(w))
+    kept = ranked.filter(F.col("_before") < h * F.col("_all")).groupBy(*keys).agg(F.sum("n").alias("n"), *[F.sum(s).alias(s) for s in _SUMS])
+    return cut(_estimates(kept.join(spare, "stratum"), *_mean_cov(), *keys), "mcd")
+
+
+def mcd_estimates(rows: DataFrame, h: float = 0.75, steps: int = 6, trial_steps: int = 2) -> DataFrame:
     """``stratum, center, inverse, scale``: the robust estimates from ``stratum, _lang, x0..x4``.
 
-    ``scale`` makes the median distance that of a chi-square law. Medians are approximate to
+    After ``trial_steps`` the start with the least determinant (the first of equal ones) takes the other
+    steps. ``scale`` makes the median distance that of a chi-square law. Medians are approximate to
     1/1000 of the rows; a tie in distance falls on one side as a whole, and the share kept is at
     least ``h``.
     """
-    spreads = [F.percentile_approx(f"x{i}", [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i in range(DIM)]
-    cov0 = F.array(*[F.pow((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, 2) if i == j else F.lit(0.0) for i in range(DIM) for j in range(DIM)])
     spare = cut(_spare(rows), "spare")
-    first = rows.groupBy("stratum").agg(*spreads).join(spare, "stratum")
-    estimate = cut(first.select("stratum", F.array(*[F.col(f"q{i}")[1] for i in range(DIM)]).alias("center"), _inverse(cov0, F.col("spare")).alias("inverse")), "mcd")
-    sums = [F.sum(f"x{i}").alias(f"s{i}") for i in range(DIM)] + [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}{j}") for i in range(DIM) for j in range(i, DIM)]
-    names = [f"s{i}" for i in range(DIM)] + [f"s{i}{j}" for i in range(DIM) for j in range(i, DIM)]
-    for _ in range(steps):
-        binned = rows.join(estimate, "stratum").withColumn("_bin", F.floor(16 * F.log2(_distance() + 1e-9)))
-        by_bin = binned.groupBy("stratum", "_bin").agg(F.count("*").alias("n"), *sums)
-        w = W.partitionBy("stratum")
-        ranked = by_bin.withColumn("_before", F.sum("n").over(w.orderBy("_bin")) - F.col("n")).withColumn("_all", F.sum("n").over(w))
-        kept = ranked.filter(F.col("_before") < h * F.col("_all")).groupBy("stratum").agg(F.sum("n").alias("n"), *[F.sum(s).alias(s) for s in names])
-        center = [F.col(f"s{i}") / F.col("n") for i in range(DIM)]
-        cov = F.array(*[F.col(f"s{min(i, j)}{max(i, j)}") / F.col("n") - center[i] * center[j] for i in range(DIM) for j in range(DIM)])
-        estimate = cut(kept.join(spare, "stratum").select("stratum", F.array(*center).alias("center"), _inverse(cov, F.col("spare")).alias("inverse")), "mcd")
+    estimate = _starts(rows, spare)
+    for step in range(steps):
+        if step == trial_steps:
+            best = estimate.groupBy("stratum").agg(F.min(F.struct("logdet", "start")).alias("_b")).select("stratum", F.col("_b.start").alias("start"))
+            estimate = cut(estimate.join(best, ["stratum", "start"]), "mcd")
+        estimate = _concentrated(rows, estimate, spare, h)
     median = rows.join(estimate, "stratum").groupBy("stratum").agg(F.percentile_approx(_distance(), 0.5, 1000).alias("_median"))
     return estimate.join(median, "stratum").select("stratum", "center", "inverse", F.greatest(F.col("_median") / chi_square_quantile(0.5, DIM), F.lit(1.0)).alias("scale"))
 
