@@ -1,6 +1,7 @@
 """Each operator against a plain version, with nulls, empty and long texts, ties, repeated rows, no rows."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -352,3 +353,28 @@ def test_lines_of_pages_by_host(spark):
     assert out[0].host == "a.example" and [x for x in out[3].text.split("\n") if x] == ["own words 3"]
     assert [x for x in out[20].text.split("\n") if x] == ["Home", "own words 20", "two", "lines", "end"] and out[20].n_dropped == 0
     assert out[21].host is None and (out[22].text, out[22].n_lines, out[22].n_dropped) == (None, 0, 0) and out[3].n_dropped == 4
+
+
+def test_least_determinant_of_all_subsets(spark):
+    """Against the determinants of all subsets: outliers in a cluster, which means and covariances take in."""
+    rng = np.random.default_rng(4)
+    for seed in range(3):
+        clean = rng.normal([6, 1.5, 0.5, 0.5, 0.5], [1, 0.3, 0.3, 0.3, 0.3], (12, 5))
+        x = np.vstack([clean, rng.normal([9, 4, 4, 4, 4], 0.1, (3, 5))])
+        best = min(itertools.combinations(range(15), 12), key=lambda k: np.linalg.det(np.cov(x[list(k)].T, bias=True)))
+        rows = spark.createDataFrame([("s", "l", *map(float, v)) for v in x], "stratum string, _lang string, x0 double, x1 double, x2 double, x3 double, x4 double")
+        (got,) = outliers.mcd_estimates(rows).collect()
+        want = x[list(best)]
+        assert set(best) == set(range(12)) and np.allclose(got.center, want.mean(axis=0))
+        assert np.allclose(np.array(got.inverse).reshape(5, 5), np.linalg.inv(np.cov(want.T, bias=True)), rtol=0.05, atol=0.05)
+
+
+def test_a_large_cell_has_estimates_of_its_own(spark):
+    """A (language, source) of over 200 rows is judged by its own rows, a small one by its language."""
+    rng = random.Random(2)
+    text = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(3, 9))) for _ in range(n))
+    rows = [(i, text(rng.randrange(80, 120)), "en", "a") for i in range(260)] + [(1000 + i, text(rng.randrange(900, 1100)), "en", "b") for i in range(260)] + [(2000, text(100), "en", "c"), (2001, text(1000), "en", "a"), (2002, text(100), "en", "b")]
+    out = {r.doc_id: r for r in outliers.quality_outliers(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not out[2001].kept and not out[2002].kept and out[2000].kept
+    assert len({out[i].stratum for i in (0, 1000, 2000)}) == 3
+    assert sum(not out[i].kept for i in [*range(260), *range(1000, 1260)]) <= 5
