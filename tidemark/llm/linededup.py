@@ -87,5 +87,6 @@ def page_line_dedup(pages: DataFrame, max_ratio: float = 0.1, min_pages: int = 5
     ``text`` has the lines of a page that are not boilerplate of its host. Pages without an address, or with
     one without host, are a group of their own (null host). A null page has a null text and no lines.
     """
-    lines = pages.select("page_id", url_host(F.col("url")).alias("host"), html_lines(F.col("html")).alias("text"))
+    # Written once: both passes read the lines, and the markup is taken apart once.
+    lines = cut(pages.select("page_id", url_host(F.col("url")).alias("host"), html_lines(F.col("html")).alias("text")), "page-lines")
     return line_dedup(lines, F.col("host"), max_ratio, min_pages).toDF("page_id", "host", "text", "n_lines", "n_dropped")
