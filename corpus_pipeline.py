@@ -1,4 +1,8 @@
-"""A corpus pipeline of five operators; each stage works on what the one before it kept."""
+"""A corpus pipeline of five operators; each stage works on what the one before it kept.
+
+All stages but the last keep the columns of their input, whatever their names. A null text counts as empty in
+decisions and stays null; rows that repeat an id and text share a fate; no rows give no rows.
+"""
 
 from __future__ import annotations
 
@@ -21,13 +25,17 @@ LINE_RATIO = 0.001
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a score under 0.7; the model learns from the labels of documents that are here."""
+    """Documents with a score under 0.7; the model learns from the labels of documents that are here.
+
+    Null and wordless texts have the share of toxic labels as their score; without labels all rows stay.
+    """
     model = train_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return docs.filter(toxicity_score(F.col("text"), model, spark) < 0.7)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without lines that are boilerplate in their source; ``n_chars`` follows."""
+    """Texts without lines that are boilerplate in their source; ``n_chars`` follows. All rows stay, a null source
+    is a source of its own, and lines of white space alone are no boilerplate."""
     return _counted(line_dedup(docs, F.col("source"), max_ratio=LINE_RATIO), docs)
 
 
@@ -38,18 +46,20 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     are shuffled.
     """
     gone = cut(near_duplicates(docs, width=5, percent=80).filter("not kept").select("doc_id").distinct(), "gone")
-    marked = with_maybe(docs, key_filter(gone, "doc_id"), "_maybe", "doc_id")
+    marked = with_maybe(docs.select(F.struct("*").alias("_row"), "doc_id"), key_filter(gone, "doc_id"), "_maybe", "doc_id")
     rest = marked.filter("_maybe").join(gone, "doc_id", "left_anti")
-    return marked.filter("not _maybe").select(*docs.columns).unionByName(rest.select(*docs.columns))
+    return marked.filter("not _maybe").select("_row.*").unionByName(rest.select("_row.*"))
 
 
 def drop_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages that an earlier document has."""
+    """Texts without passages that an earlier document has. All rows stay, with an empty text if all of it
+    repeats; a null id counts as the earliest."""
     return _counted(substring_dedup(docs), docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents with their places in sequences of 2048 tokens."""
+    """The pieces of the documents with their places in sequences of 2048 tokens. Null and empty texts are one
+    piece, the end id; equal rows get places of their own."""
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
