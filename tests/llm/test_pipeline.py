@@ -34,3 +34,25 @@ def test_stages(spark, rows, tmp_path):
     assert chars(after) < chars(before)
     assert ids(seen["packing"][1]) == ids(after)
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == seen["packing"][1].count()
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    """No rows; null ids, sources and texts; a caller's columns with the operators' names."""
+    names = ["_maybe", "_row", "_fp", "_fw", "_id", "_site", "_n_removed", "node"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names)
+    own = [f"{n}!" for n in names]
+    text = "some line\n" + " ".join(f"w{i}" for i in range(80))
+    rows = [(1, text, "en", "a", 1, *own), (None, text, None, None, None, *own), (None, None, None, None, None, *own), (4, "", "en", "a", 0, *own), (5, text, "en", "a", 1, *own)]
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for k, given in enumerate((rows, [])):
+        docs = spark.createDataFrame(given, schema)
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, str(tmp_path))
+            got = out.collect()
+            if name == "packing":
+                assert len(got) == len(given)
+                continue
+            assert out.schema.simpleString() == docs.schema.simpleString()
+            assert all([r[n] for n in names] == own for r in got)
+            ids = [r.doc_id for r in got]
+            assert len(ids) == len(given) if name != "near_dedup" else 5 not in ids and {i for i in ids} == {i for i, *_ in given} - {5}
