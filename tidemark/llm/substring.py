@@ -48,8 +48,8 @@ class _Kinds(dict):
 _kinds = _Kinds()
 
 
-def sentences(text: str) -> tuple[list[str], np.ndarray]:
-    """Parts that together are the text, and the words before each part and in all."""
+def _cuts(text: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens of the text, where sentences begin and end among them, and whether there is a word in each."""
     tokens = _TOKEN.findall(text)
     kinds = np.fromiter(map(_kinds.__getitem__, tokens), dtype=np.int8, count=len(tokens))
     ends = np.flatnonzero(kinds & 1) + 1
@@ -59,7 +59,13 @@ def sentences(text: str) -> tuple[list[str], np.ndarray]:
     if len(wide := np.flatnonzero(ends - begins > MOST)):
         ends = np.unique(np.concatenate([ends, *[np.arange(begins[i] + MOST, ends[i], MOST) for i in wide]]))
         begins = np.concatenate([[0], ends[:-1]])
-    words = np.concatenate([[0], np.cumsum(kinds >> 1)])
+    return tokens, begins, ends, kinds >> 1
+
+
+def sentences(text: str) -> tuple[list[str], np.ndarray]:
+    """Parts that together are the text, and the words before each part and in all."""
+    tokens, begins, ends, is_word = _cuts(text)
+    words = np.concatenate([[0], np.cumsum(is_word)])
     return ["".join(tokens[i:j]) for i, j in zip(begins.tolist(), ends.tolist(), strict=False)], words[np.concatenate([[0], ends]).astype(np.int64)]
 
 
@@ -125,9 +131,12 @@ def _without(text: Column, ranges: Column) -> Column:
         claim("substring", _kinds.clear)
         out = []
         for t, rs in zip(text, ranges, strict=True):
+            if rs is None:
+                out.append((t, len(_cuts(t or "")[2]), 0))
+                continue
             parts, _ = sentences(t or "")
             drop = np.zeros(len(parts) + 1, dtype=np.int64)
-            for r in rs if rs is not None else ():
+            for r in rs:
                 drop[r["first"]] += 1
                 drop[r["end"]] -= 1
             gone = np.cumsum(drop)[:-1] > 0
