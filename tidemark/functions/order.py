@@ -11,17 +11,29 @@ from pyspark.sql import functions as F
 from tidemark.sources.scratch import cut
 
 
-def running_total(df: DataFrame, order: Sequence[Column], value: Column, name: str) -> DataFrame:
-    """Adds the sum of ``value`` over all rows up to and with this one in the order.
+def running_totals(df: DataFrame, by: Sequence[str], order: Sequence[Column], values: dict[str, Column]) -> DataFrame:
+    """Adds sums over the rows of the same ``by`` up to and with each row in the order, by name.
 
-    Rows are parted by ranges of the order, summed within their part, and shifted by the totals of
-    the parts before: those are one row per part. The order should be total.
+    Rows are parted by ranges of ``by`` and the order, summed within their part, and shifted by the
+    totals of the parts before: those are a row per part and per value of ``by``. The order should be
+    total. A large group of one value of ``by`` lies in many parts.
     """
-    parted = cut(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).withColumn("_value", value), "ranges")
-    totals = parted.groupBy("_part").agg(F.sum("_value").alias("_t"))
-    before = totals.select("_part", (F.sum("_t").over(W.orderBy("_part")) - F.col("_t")).alias("_before"))
-    within = F.sum("_value").over(W.partitionBy("_part").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow))
-    return parted.withColumn("_within", within).join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_within")).drop("_part", "_value", "_within", "_before")
+    parts = df.repartitionByRange(*[F.col(c) for c in by], *order).withColumn("_part", F.spark_partition_id())
+    parted = cut(parts.withColumns({f"_value{i}": v for i, v in enumerate(values.values())}), "ranges")
+    totals = parted.groupBy("_part", *by).agg(*[F.sum(f"_value{i}").alias(f"_t{i}") for i in range(len(values))])
+    w = W.partitionBy(*by).orderBy("_part")
+    keys = [F.col(c).alias(f"_by{i}") for i, c in enumerate(by)]
+    before = totals.select(F.col("_part").alias("_at"), *keys, *[(F.sum(f"_t{i}").over(w) - F.col(f"_t{i}")).alias(f"_before{i}") for i in range(len(values))])
+    within = W.partitionBy("_part", *by).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    same = [F.col("_part") == F.col("_at"), *[F.col(c).eqNullSafe(F.col(f"_by{i}")) for i, c in enumerate(by)]]
+    rows = parted.withColumns({f"_within{i}": F.sum(f"_value{i}").over(within) for i in range(len(values))})
+    # Not hinted: by many small groups the table of totals can be large.
+    return rows.join(before if by else F.broadcast(before), same).select(*df.columns, *[(F.col(f"_before{i}") + F.col(f"_within{i}")).alias(n) for i, n in enumerate(values)])
+
+
+def running_total(df: DataFrame, order: Sequence[Column], value: Column, name: str) -> DataFrame:
+    """Adds the sum of ``value`` over all rows up to and with this one in the order."""
+    return running_totals(df, (), order, {name: value})
 
 
 def number_rows(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:

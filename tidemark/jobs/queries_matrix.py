@@ -439,8 +439,8 @@ def filtered_rates_top(spark, d):
 
 @REGISTER("SELECT l_linenumber::BIGINT AS model_id, max(l_shipdate)::DATE AS newest, count(*) AS n FROM lineitem GROUP BY 1")
 def read_source_query(spark, d):
-    S.read_source(spark, d, table="lineitem").createOrReplaceTempView("tidemark_lineitem")
-    return S.read_source(spark, query="select cast(l_linenumber as long) as model_id, cast(max(l_shipdate) as date) as newest, count(*) as n from tidemark_lineitem group by 1")
+    lines = S.read_source(spark, d, table="lineitem")
+    return S.read_source(spark, query="select cast(l_linenumber as long) as model_id, cast(max(l_shipdate) as date) as newest, count(*) as n from {lines} group by 1", lines=lines)
 
 
 @REGISTER("SELECT o_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1")

@@ -110,9 +110,9 @@ def rank_predictions_random(spark, d):
     return rounded(R.rank_predictions(predictions(spark, d), "random", seed=7).select(_RANKS))
 
 
-@REGISTER(f"WITH {PRED} {_ranks_sql('worst')} WHERE model_id = 1")
+@REGISTER(f"WITH {PRED} {_ranks_sql('worst')}")
 def rank_distributed(spark, d):
-    return rounded(R.rank_distributed(predictions(spark, d).filter("model_id = 1"), "worst").select(_RANKS))
+    return rounded(R.rank_distributed(predictions(spark, d), "worst").select(_RANKS))
 
 
 @REGISTER(f"WITH {PRED}, r AS ({_ranks_sql('best')}) SELECT model_id, entity_id, rank_abs_no_ties FROM r WHERE rank_abs_no_ties <= 25")

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.operators.rank import tie_key, tie_order
+from tidemark.functions.order import running_totals
+from tidemark.operators.rank import tie_key
+from tidemark.sources.scratch import cut
 
 #: Orders tried at random, and the relative closeness of extremes within which none is tried.
 TRIALS, CLOSE = 30, 0.01
@@ -76,25 +77,49 @@ def binarize(ranked: DataFrame, thresholds: DataFrame, rank_col: str = "rank_abs
     return ranked.join(_cutoffs(sizes, thresholds), "model_id").withColumn("predicted", (F.col(rank_col) <= F.col("cutoff")).cast("int"))
 
 
-def confusion(pred: DataFrame, thresholds: DataFrame, rule: str = "worst", seed: int = 0) -> DataFrame:
-    """Counts per model and threshold over labelled rows; cutoffs count unlabelled rows too.
+def score_groups(pred: DataFrame) -> DataFrame:
+    """``model_id, score, m, l, p`` (rows, labelled rows, positives of a score) and ``m0, l0, p0``, the same
+    of all higher scores of the model. A null score comes last. Made once, it serves all metrics."""
+    y = F.coalesce(F.sum("label"), F.lit(0)).cast("long")
+    groups = pred.groupBy("model_id", "score").agg(F.count("*").alias("m"), F.count("label").alias("l"), y.alias("p"))
+    upto = running_totals(groups, ["model_id"], [F.col("score").desc_nulls_last()], {"m0": F.col("m"), "l0": F.col("l"), "p0": F.col("p")})
+    return cut(upto.withColumns({f"{c}0": F.col(f"{c}0") - F.col(c) for c in ("m", "l", "p")}), "scores")
 
-    Running counts over the ranking are looked up at the cutoffs; rows are not crossed with
-    thresholds.
-    """
-    w = W.partitionBy("model_id")
-    upto = w.orderBy(*tie_order(rule, seed)).rowsBetween(W.unboundedPreceding, W.currentRow)
-    run = pred.select("model_id", F.row_number().over(w.orderBy(*tie_order(rule, seed))).cast("long").alias("cutoff"), F.count("label").over(upto).alias("n_above"), F.coalesce(F.sum("label").over(upto), F.lit(0)).cast("long").alias("tp"))
-    return _finish(pred, thresholds, run)
+
+def _around(groups: DataFrame, thresholds: DataFrame) -> DataFrame:
+    """Each model and threshold with its totals and, beside them, the score at which it cuts; ``k`` rows of that score
+    are above the cutoff. A cutoff of 0 has no such score."""
+    totals = groups.groupBy("model_id").agg(F.sum("m").alias("n"), F.sum("l").alias("n_labeled"), F.sum("p").alias("n_positive"))
+    at = _cutoffs(totals, thresholds)
+    inside = at.select(F.col("model_id").alias("_m"), F.col("unit").alias("_u"), F.col("value").alias("_v"), "cutoff")
+    # Models by a config's thresholds.
+    found = groups.join(F.broadcast(inside), [F.col("model_id") == F.col("_m"), F.col("m0") < F.col("cutoff"), F.col("cutoff") <= F.col("m0") + F.col("m")])
+    found = found.select("_m", "_u", "_v", "score", "m", "l", "p", "l0", "p0", (F.col("cutoff") - F.col("m0")).alias("k"))
+    return at.join(found, [F.col("model_id") == F.col("_m"), F.col("unit") == F.col("_u"), F.col("value") == F.col("_v")], "left").drop("_m", "_u", "_v")
 
 
-def _finish(pred: DataFrame, thresholds: DataFrame, run: DataFrame) -> DataFrame:
-    sizes = pred.groupBy("model_id").agg(F.count("*").alias("n"), F.count("label").alias("n_labeled"), F.coalesce(F.sum("label"), F.lit(0)).cast("long").alias("n_positive"))
-    at = _cutoffs(sizes, thresholds).join(run, ["model_id", "cutoff"], "left")
-    at = at.withColumns({"n_above": F.coalesce("n_above", F.lit(0)), "tp": F.coalesce("tp", F.lit(0))})
+def _with_counts(at: DataFrame, n_above: Column, tp: Column) -> DataFrame:
+    at = at.withColumns({"n_above": F.coalesce(n_above, F.lit(0)).cast("long"), "tp": F.coalesce(tp, F.lit(0)).cast("long")})
     return at.withColumns({"fp": F.col("n_above") - F.col("tp"), "fn": F.col("n_positive") - F.col("tp")}).withColumn("tn", F.col("n_labeled") - F.col("n_above") - F.col("fn"))
 
 
+def _extreme(around: DataFrame, rule: str) -> DataFrame:
+    """Counts with the tied rows of the cut in ``worst`` order (unlabelled, negatives, positives) or in ``best`` order."""
+    m, n, p, k = F.col("m"), F.col("l"), F.col("p"), F.col("k")
+    labelled, positive = {"worst": (F.greatest(F.lit(0), k - (m - n)), F.greatest(F.lit(0), k - (m - p))), "best": (F.least(k, n), F.least(k, p))}[rule]
+    return _with_counts(around, F.col("l0") + labelled, F.col("p0") + positive).drop("score", "m", "l", "p", "l0", "p0", "k")
+
+
+def confusion(pred: DataFrame, thresholds: DataFrame, rule: str = "worst") -> DataFrame:
+    """Counts per model and threshold over labelled rows; cutoffs count unlabelled rows too. Ties are in ``worst`` or
+    ``best`` order (see ``tie_trials`` for random ones).
+
+    Running counts over the distinct scores are looked up at the cutoffs; rows are neither sorted nor
+    crossed with thresholds.
+    """
+    return _extreme(_around(score_groups(pred), thresholds), rule)
+
+
 def metrics(conf: DataFrame, defs: DataFrame, value: str = "value_") -> DataFrame:
     """``metric, parameter`` and its value for each row of counts, as ``value``."""
     joined = conf.join(F.broadcast(defs.withColumnsRenamed({"unit": "_u", "value": "_v"})), (F.col("unit") == F.col("_u")) & (F.col("value") == F.col("_v")))
@@ -112,22 +137,31 @@ def _fbeta_by_column() -> Column:
     return _ratio((1 + b2) * tp, (1 + b2) * tp + b2 * fn + fp)
 
 
+def _auc(groups: DataFrame) -> DataFrame:
+    negatives = F.col("l") - F.col("p")
+    totals = groups.groupBy("model_id").agg(F.sum(negatives).alias("_q"))
+    below = F.col("_q") - (F.col("l0") - F.col("p0")) - negatives
+    won = F.sum(F.col("p") * (below + negatives / 2))
+    return groups.join(totals, "model_id").groupBy("model_id").agg(F.try_divide(won, (F.sum("p") * F.first("_q")).cast("double")).alias("roc_auc"), F.sum("l").alias("_l")).filter("_l > 0").drop("_l")
+
+
 def roc_auc(pred: DataFrame) -> DataFrame:
     """``model_id, roc_auc`` by score groups; tied scores count half, and one class only gives null."""
-    g = pred.filter("label is not null").groupBy("model_id", "score").agg(F.sum("label").cast("double").alias("p"), F.sum(1 - F.col("label")).cast("double").alias("q"))
-    below = F.sum("q").over(W.partitionBy("model_id").orderBy("score").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("q")
-    return g.withColumn("_u", F.col("p") * (below + F.col("q") / 2)).groupBy("model_id").agg(F.try_divide(F.sum("_u"), F.sum("p") * F.sum("q")).alias("roc_auc"))
+    return _auc(score_groups(pred))
+
+
+def _average_precision(groups: DataFrame) -> DataFrame:
+    p, n = F.col("p"), F.col("l")
+    return groups.filter("l > 0").groupBy("model_id").agg(F.try_divide(F.sum(p * (F.col("p0") + p) / (F.col("l0") + n)), F.sum("p").cast("double")).alias("average_precision"))
 
 
 def average_precision(pred: DataFrame) -> DataFrame:
     """``model_id, average_precision``: precision at each distinct score, weighted by gained recall."""
-    g = pred.filter("label is not null").groupBy("model_id", "score").agg(F.sum("label").cast("double").alias("p"), F.count("*").cast("double").alias("m"))
-    w = W.partitionBy("model_id").orderBy(F.col("score").desc()).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return g.withColumn("_s", F.col("p") * F.sum("p").over(w) / F.sum("m").over(w)).groupBy("model_id").agg(F.try_divide(F.sum("_s"), F.sum("p")).alias("average_precision"))
+    return _average_precision(score_groups(pred))
 
 
-#: Metrics of the scores alone, without a threshold: their values by model. Greater is better in both.
-SCORE_METRICS: dict[str, Callable[[DataFrame], DataFrame]] = {"roc_auc": roc_auc, "average precision score": average_precision}
+#: Metrics of the scores alone, without a threshold: their values by model from score groups. Greater is better in both.
+SCORE_METRICS: dict[str, Callable[[DataFrame], DataFrame]] = {"roc_auc": _auc, "average precision score": _average_precision}
 
 
 def greater_is_better(metric: str) -> bool:
@@ -139,28 +173,27 @@ def greater_is_better(metric: str) -> bool:
     return METRICS[metric][1]
 
 
-def tie_trials(pred: DataFrame, thresholds: DataFrame, trials: int = TRIALS) -> DataFrame:
-    """Counts as in ``confusion`` for each of ``trials`` random tie orders, with a ``trial`` column.
+def tie_trials(pred: DataFrame, thresholds: DataFrame, trials: int = TRIALS, groups: DataFrame | None = None) -> DataFrame:
+    """Counts as in ``confusion`` for each of ``trials`` random tie orders, with a ``trial`` column, of the
+    thresholds whose counts depend on the order of ties; those of the others are the same in each order.
 
-    Only the tied rows around a cutoff can change: those alone are ordered anew, the counts above
-    them are known.
+    Only the tied rows around such a cutoff are ordered, once per trial for all thresholds that cut
+    the same score; the counts above them are known.
     """
-    w = W.partitionBy("model_id").orderBy(F.col("score").desc_nulls_last())
-    groups = pred.groupBy("model_id", "score").agg(F.count("*").alias("m"), F.count("label").alias("l"), F.coalesce(F.sum("label"), F.lit(0)).cast("long").alias("p"))
-    before = w.rowsBetween(W.unboundedPreceding, -1)
-    groups = groups.select("model_id", "score", "m", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}0") for c in ("m", "l", "p")])
-    sizes = pred.groupBy("model_id").agg(F.count("*").alias("n"))
-    cut_at = _cutoffs(sizes, thresholds)
-    around = cut_at.join(groups, "model_id").filter((F.col("m0") < F.col("cutoff")) & (F.col("cutoff") <= F.col("m0") + F.col("m")))
-    rows = pred.withColumn("_s", F.col("score")).drop("score").join(around, [pred["model_id"] == around["model_id"], F.col("_s").eqNullSafe(F.col("score"))]).drop(around["model_id"])
+    around = _around(score_groups(pred) if groups is None else groups, thresholds)
+    n_rows, n, p, k = F.col("m"), F.col("l"), F.col("p"), F.col("k")
+    varies = (F.least(k, n) > F.greatest(F.lit(0), k - (n_rows - n))) | (F.least(k, p) > F.greatest(F.lit(0), k - (n_rows - p)))
+    open_ = cut(around.filter(varies), "ties")
+    tied = open_.select(F.col("model_id").alias("_m"), F.col("score").alias("_s")).distinct()
+    rows = pred.join(F.broadcast(tied), [F.col("model_id") == F.col("_m"), F.col("score").eqNullSafe(F.col("_s"))], "left_semi")
     tried = rows.withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(trials))))
-    nth = F.row_number().over(W.partitionBy("model_id", "unit", "value", "trial").orderBy(tie_key(F.col("trial").cast("string")), "entity_id", "as_of_date"))
-    taken = tried.withColumn("_nth", nth).filter(F.col("m0") + F.col("_nth") <= F.col("cutoff"))
-    got = taken.groupBy("model_id", "unit", "value", "trial").agg((F.first("l0") + F.count("label")).alias("n_above"), (F.first("p0") + F.coalesce(F.sum("label"), F.lit(0))).cast("long").alias("tp"))
-    every = cut_at.withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(trials))))
-    totals = pred.groupBy("model_id").agg(F.count("label").alias("n_labeled"), F.coalesce(F.sum("label"), F.lit(0)).cast("long").alias("n_positive"))
-    at = every.join(got, ["model_id", "unit", "value", "trial"], "left").join(totals, "model_id").withColumns({"n_above": F.coalesce("n_above", F.lit(0)), "tp": F.coalesce("tp", F.lit(0))})
-    return at.withColumns({"fp": F.col("n_above") - F.col("tp"), "fn": F.col("n_positive") - F.col("tp")}).withColumn("tn", F.col("n_labeled") - F.col("n_above") - F.col("fn"))
+    order = [tie_key(F.col("trial").cast("string")), F.col("entity_id"), F.col("as_of_date")]
+    one = F.lit(1).cast("long")
+    run = running_totals(tried, ["model_id", "score", "trial"], order, {"_nth": one, "_l": F.col("label").isNotNull().cast("long"), "_p": F.coalesce("label", F.lit(0)).cast("long")})
+    run = run.select(F.col("model_id").alias("_m"), F.col("score").alias("_s"), "trial", "_nth", "_l", "_p")
+    # Models by a config's thresholds; each has one row per trial.
+    at = run.join(F.broadcast(open_), [F.col("_m") == F.col("model_id"), F.col("_s").eqNullSafe(F.col("score")), F.col("_nth") == F.col("k")])
+    return _with_counts(at, F.col("l0") + F.col("_l"), F.col("p0") + F.col("_p")).select(*[c for c in open_.columns if c not in ("score", "m", "l", "p", "l0", "p0", "k")], "trial", "n_above", "tp", "fp", "fn", "tn")
 
 
 def evaluate(pred: DataFrame, defs: DataFrame, trials: int = TRIALS, subset: DataFrame | None = None) -> DataFrame:
@@ -169,26 +202,27 @@ def evaluate(pred: DataFrame, defs: DataFrame, trials: int = TRIALS, subset: Dat
     Best and worst order ties by label; where they differ by more than 1 %, the stochastic value
     is the mean over random orders, with its deviation, else it is the worst value. Metrics of the scores
     (AUC, average precision) don't depend on an order of ties; with one class only they are null. A
-    subset is taken before ranking. A metric without a definition is an error.
+    subset is taken before ranking. A metric without a definition is an error. Predictions are read
+    for the score groups and, where ties matter, for the tied rows.
     """
     wanted = {r.metric for r in defs.select("metric").distinct().collect()}  # a config's rows
     for name in wanted:
         greater_is_better(name)
     rows = pred if subset is None else pred.join(subset.select("entity_id", "as_of_date").distinct(), ["entity_id", "as_of_date"], "left_semi")
-    at = _thresholds(defs)
+    at, groups = _thresholds(defs), score_groups(rows)
     keys = ["model_id", "metric", "parameter"]
-    worst = confusion(rows, at, "worst")
-    best = confusion(rows, at, "best")
+    around = cut(_around(groups, at), "around")
+    worst, best = _extreme(around, "worst"), _extreme(around, "best")
     for name in sorted(wanted & set(SCORE_METRICS)):
-        score = SCORE_METRICS[name](rows).toDF("model_id", name)
+        score = SCORE_METRICS[name](groups).toDF("model_id", name)
         worst, best = worst.join(score, "model_id", "left"), best.join(score, "model_id", "left")
     worst = metrics(worst, defs, "worst_value").select(*keys, "unit", "value", "beta", "worst_value", "n_labeled", "n_above", "n_positive")
     best = metrics(best, defs, "best_value").select(*keys, "best_value")
     both = worst.join(best, keys)
     close = F.col("best_value").isNull() | (F.abs(F.col("best_value") - F.col("worst_value")) <= CLOSE * F.greatest(F.abs("best_value"), F.abs("worst_value")))
     both = both.withColumn("_close", close)
-    tried = metrics(tie_trials(rows, at, trials), defs, "_t").groupBy(*keys).agg(F.avg("_t").alias("_mean"), F.stddev_samp("_t").alias("_sd"))
-    return both.join(tried, keys).select(
+    tried = metrics(tie_trials(rows, at, trials, groups), defs, "_t").groupBy(*keys).agg(F.avg("_t").alias("_mean"), F.stddev_samp("_t").alias("_sd"))
+    return both.join(tried, keys, "left").select(
         *keys, "best_value", "worst_value",
         F.when(F.col("_close"), F.col("worst_value")).otherwise(F.col("_mean")).alias("stochastic_value"),
         F.when(F.col("_close"), F.lit(0.0)).otherwise(F.col("_sd")).alias("standard_deviation"),

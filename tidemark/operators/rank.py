@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.functions.order import number_rows, value_ranks
+from tidemark.functions.order import running_totals
 
 
 def tie_key(seed: int | str | Column) -> Column:
@@ -39,15 +39,16 @@ def rank_predictions(pred: DataFrame, rule: str = "worst", seed: int = 0, by: Se
 
 
 def rank_distributed(pred: DataFrame, rule: str = "worst", seed: int = 0) -> DataFrame:
-    """The same ranks for one model whose rows do not fit in one task: rows are numbered by ranges,
-    and tied ranks come from the table of distinct scores."""
-    numbered = number_rows(pred, tie_order(rule, seed), "rank_abs_no_ties")
-    values = value_ranks(pred, F.col("score"), descending=True)
-    top = values.agg(F.max("dense_rank").alias("_top"), F.sum("n").alias("_all"))
-    return (
-        numbered.join(values, F.col("score").eqNullSafe(F.col("_v")))
-        .crossJoin(F.broadcast(top))  # one row
-        .select(*pred.columns, "rank_abs_no_ties", F.col("rank").alias("rank_abs_with_ties"), (F.col("rank_abs_no_ties") / F.col("_all")).alias("rank_pct_no_ties"), (F.col("dense_rank") / F.col("_top")).alias("rank_pct_with_ties"))
+    """The same ranks for models whose rows do not fit in one task each: rows are numbered by ranges
+    within their model, and tied ranks come from the table of distinct scores."""
+    one = F.lit(1).cast("long")
+    numbered = running_totals(pred, ["model_id"], tie_order(rule, seed), {"rank_abs_no_ties": one})
+    values = pred.groupBy("model_id", "score").agg(F.count("*").alias("_n"))
+    ranks = running_totals(values, ["model_id"], [F.col("score").desc_nulls_last()], {"_upto": F.col("_n"), "_dense": one})
+    top = ranks.groupBy(F.col("model_id").alias("_m")).agg(F.max("_dense").alias("_top"), F.sum("_n").alias("_all"))
+    ranks = ranks.join(top, F.col("model_id").eqNullSafe(F.col("_m"))).select("_m", F.col("score").alias("_v"), (F.col("_upto") - F.col("_n") + 1).alias("rank_abs_with_ties"), "_all", (F.col("_dense") / F.col("_top")).alias("rank_pct_with_ties"))
+    return numbered.join(ranks, [F.col("model_id").eqNullSafe(F.col("_m")), F.col("score").eqNullSafe(F.col("_v"))]).select(
+        *pred.columns, "rank_abs_no_ties", "rank_abs_with_ties", (F.col("rank_abs_no_ties") / F.col("_all")).alias("rank_pct_no_ties"), "rank_pct_with_ties"
     )
 
 

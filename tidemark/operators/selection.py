@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.operators.evaluate import METRICS, greater_is_better
+from tidemark.sources.scratch import cut
 
 SERIES = ["model_group_id", "metric", "parameter"]
 
@@ -149,8 +150,13 @@ def rule_best_average(h: DataFrame, metric: str, parameter: str) -> DataFrame:
 
 
 def rule_lowest_variance(h: DataFrame, metric: str, parameter: str) -> DataFrame:
-    """A group with a single time has no deviation and comes last."""
-    return _one(h, metric, parameter).groupBy(*BY).agg(F.stddev_samp("raw_value").alias("value"))
+    """The group with the least deviation over time. While no group has one yet (a single value each) all tie, and the
+    lowest group stands for a random pick; a time at which only some have one is an error, for they can't be compared."""
+    by = _one(h, metric, parameter).groupBy(*BY).agg(F.stddev_samp("raw_value").alias("_sd"))
+    w = W.partitionBy("as_of_time")  # the groups of a time
+    known = F.count("_sd").over(w)
+    fault = F.raise_error(F.concat(F.lit("groups without a deviation beside others at "), F.col("as_of_time").cast("string"))).cast("double")
+    return by.withColumn("value", F.when((known == 0) | (known == F.count("*").over(w)), F.col("_sd")).otherwise(fault)).select(*BY, "value")
 
 
 def rule_most_frequent_best(h: DataFrame, metric: str, parameter: str, within: float = 0.05) -> DataFrame:
@@ -208,7 +214,7 @@ def rule_grid(spec: Sequence[dict]) -> list[tuple[str, str, dict]]:
 
 def rule_picks(dist: DataFrame, grid: Sequence[tuple[str, str, dict]], n: int = 1) -> DataFrame:
     """``rule, as_of_time, nth, model_group_id`` for each rule of a grid and each time."""
-    h = history(dist)
+    h = cut(history(dist), "history")  # one plan of distances for all rules
     return reduce(DataFrame.unionByName, [picks(RULES[rule](h, **args), n).withColumn("rule", F.lit(label)) for label, rule, args in grid])
 
 

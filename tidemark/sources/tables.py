@@ -10,15 +10,23 @@ from pyspark.sql import functions as F
 from tidemark.sources.scratch import cut
 
 
-def read_source(spark: SparkSession, sf_dir: str | None = None, table: str | None = None, query: str | None = None) -> DataFrame:
-    """A Parquet table of a folder, a catalog table, or a query (with an alias if it is used as a table)."""
+def read_source(spark: SparkSession, sf_dir: str | None = None, table: str | None = None, query: str | None = None, **tables: DataFrame) -> DataFrame:
+    """A Parquet table of a folder, a catalog table, or a query; ``tables`` are named in it as ``{name}``, so that
+    no name is left in the session. ``read_jdbc`` reads from a database."""
     if (table is None) == (query is None):
         raise ValueError("give a table or a query")
     if query is not None:
-        return spark.sql(query)
+        return spark.sql(query, **tables)
     return spark.table(table) if sf_dir is None else spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def read_jdbc(spark: SparkSession, url: str, table: str, key: str, bounds: tuple[int, int], parts: int = 64, **options: str) -> DataFrame:
+    """A database table read by ``parts`` tasks, each with a range of the integer ``key`` between ``bounds`` (rows
+    outside fall to the first and last task, nulls to the first). Filters and columns are pushed to the database."""
+    spread = {"partitionColumn": key, "lowerBound": bounds[0], "upperBound": bounds[1], "numPartitions": parts, "fetchsize": 10_000}
+    return spark.read.format("jdbc").options(url=url, dbtable=table, **{k: str(v) for k, v in spread.items()}, **options).load()
+
+
 def materialize(df: DataFrame, path: str | None = None) -> DataFrame:
     """Writes a source that many plans read, and reads it back."""
     if path is None:
