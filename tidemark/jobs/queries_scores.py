@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from tidemark.jobs import pipelines
@@ -11,6 +13,8 @@ from tidemark.operators import evaluate as V
 from tidemark.operators import importance as N
 from tidemark.operators import rank as R
 from tidemark.operators import score as B
+from tidemark.operators.splits import TemporalConfig
+from tidemark.sources.scratch import cut
 
 REGISTER = Register()
 
@@ -396,11 +400,82 @@ def predict_forward(spark, d):
 
 
 def retrain_and_predict(spark, d):
-    return pipelines.retrain_and_predict(table(spark, d, "events"), EVENT_DATES[:-1], EVENT_DATES[-1], _FORWARD_COLS, maxIter=10)
+    return pipelines.retrain_and_predict(table(spark, d, "events"), EVENT_CONFIG, EVENT_DATES[-1], _FORWARD_COLS, maxIter=10)
 
 
 REGISTER.queries |= {"predict_forward": predict_forward, "retrain_and_predict": retrain_and_predict}
 
+#: Events by splits of a week: two of them, with daily test rows over three days.
+EVENT_CONFIG = TemporalConfig(datetime(2024, 1, 1), datetime(2024, 1, 31), datetime(2024, 1, 1), datetime(2024, 1, 31), "7 days", ("3 days",), ("1 day",), ("14 days",), ("3 days",), ("7 days",), ("7 days",))
+_SPLIT_MATRICES = """plan AS (
+  SELECT split_time, 'train' AS matrix_type, (split_time - to_days((7 + 3 * i)::INTEGER))::DATE AS as_of_date FROM (VALUES (DATE '2024-01-14'), (DATE '2024-01-21')) t(split_time), range(0, 5) r(i)
+  WHERE split_time - to_days((7 + 3 * i)::INTEGER) >= DATE '2024-01-01'
+  UNION ALL SELECT split_time, 'test', (split_time + to_days(i::INTEGER))::DATE FROM (VALUES (DATE '2024-01-14'), (DATE '2024-01-21')) t(split_time), range(0, 3) r(i)),
+dd AS (SELECT DISTINCT as_of_date FROM plan),
+f AS (SELECT user_id AS entity_id, as_of_date, count(*) FILTER (WHERE ts >= as_of_date - INTERVAL 7 DAY) AS c7, count(*) AS ca, sum(value) FILTER (WHERE ts >= as_of_date - INTERVAL 7 DAY) AS s7, sum(value) AS sa FROM events, dd WHERE ts < as_of_date GROUP BY ALL),
+y AS (SELECT user_id AS entity_id, as_of_date, bool_or(event_type = 'purchase')::INTEGER::BIGINT AS label FROM events, dd WHERE ts >= as_of_date AND ts < as_of_date + INTERVAL 7 DAY GROUP BY ALL),
+mx AS (SELECT dense_rank() OVER (ORDER BY split_time) - 1 AS split, split_time, matrix_type, entity_id, as_of_date, c7::FLOAT::DOUBLE AS c7, coalesce(s7, 0)::FLOAT::DOUBLE AS s7, ca::FLOAT::DOUBLE AS ca, coalesce(sa, 0)::FLOAT::DOUBLE AS sa, label
+  FROM plan JOIN f USING (as_of_date) LEFT JOIN y USING (entity_id, as_of_date) WHERE matrix_type = 'test' OR label IS NOT NULL)"""
+
+
+def _split_matrices(spark, d):
+    return pipelines.run_matrices(table(spark, d, "events"), EVENT_CONFIG)
+
+
+def _feature_sets(matrices):
+    return pipelines.feature_sets(matrices, {"metric": ["count", "sum"]}, ["leave-one-in"])
+
+
+@REGISTER(f"WITH {_SPLIT_MATRICES} SELECT split_time, matrix_type, entity_id, as_of_date, c7 AS ev_user_7days_n_count, round(s7, 1) AS ev_user_7days_value_sum, ca AS ev_user_all_n_count, round(sa, 1) AS ev_user_all_value_sum, label FROM mx")
+def run_matrices(spark, d):
+    """Train and test matrices of every split."""
+    cols = ["ev_user_7days_n_count", "ev_user_7days_value_sum", "ev_user_all_n_count", "ev_user_all_value_sum"]
+    return rounded(_split_matrices(spark, d).select("split_time", "matrix_type", "entity_id", "as_of_date", *cols, "label"), 1)
+
+
+@REGISTER(f"""WITH {_SPLIT_MATRICES} SELECT split_time, matrix_type, feature_set, columns, count(*) AS n_rows, count(label) AS n_labelled, round(avg(label), 6) AS label_rate
+FROM mx, (VALUES ('metric: count', 'ev_user_7days_n_count,ev_user_all_n_count'), ('metric: sum', 'ev_user_7days_value_sum,ev_user_all_value_sum')) v(feature_set, columns) GROUP BY ALL""")
+def matrix_catalogue(spark, d):
+    m = _split_matrices(spark, d)
+    out = pipelines.matrix_catalogue(m, _feature_sets(m)).withColumn("columns", F.concat_ws(",", "columns"))
+    return rounded(out.select("split_time", "matrix_type", "feature_set", "columns", "n_rows", "n_labelled", "label_rate"))
+
+
+def _scaled_sql(c: str) -> str:
+    return f"greatest(0, least(1, ({c} - {c}_l) / CASE WHEN {c}_h = {c}_l THEN 1 ELSE {c}_h - {c}_l END))"
+
+
+_RANGES = ", ".join(f"min({c}) AS {c}_l, max({c}) AS {c}_h" for c in ("c7", "ca", "s7", "sa"))
+_EXPERIMENT_PRED = f"""{_SPLIT_MATRICES}, st AS (SELECT split, avg(label) AS rate, {_RANGES} FROM mx WHERE matrix_type = 'train' GROUP BY 1),
+pred AS (SELECT split * 4 + j AS model_id, entity_id, as_of_date, round(CASE j WHEN 1 THEN ({_scaled_sql('c7')} + {_scaled_sql('ca')}) / 2 WHEN 3 THEN ({_scaled_sql('s7')} + {_scaled_sql('sa')}) / 2 ELSE rate END, 6) AS score, label
+  FROM mx JOIN st USING (split), range(1, 5) r(j) WHERE matrix_type = 'test')"""
+
+
+def _experiment(spark, d):
+    m = cut(_split_matrices(spark, d), "matrices")
+    return pipelines.run_experiment(m, EVENT_CONFIG, _feature_sets(m), [("linear", {}), ("prior", {})], _defs(spark))
+
+
+@REGISTER(_EVALUATE_SQL.format(pred=_EXPERIMENT_PRED))
+def run_experiment(spark, d):
+    """Baselines over splits and sets of features, evaluated on their test matrices."""
+    return rounded(_experiment(spark, d)["evaluations"])
+
+
+@REGISTER(f"WITH {_EXPERIMENT_PRED} {_ranks_sql('worst').replace('entity_id)', 'entity_id, as_of_date)').replace('SELECT model_id, entity_id,', 'SELECT model_id, entity_id, as_of_date,')}")
+def experiment_predictions(spark, d):
+    return rounded(_experiment(spark, d)["predictions"].select(*_RANKS, "as_of_date"))
+
+
+def experiment_learned(spark, d):
+    """The same with a logistic model and a tree, and the models' data beside the metrics."""
+    m = cut(_split_matrices(spark, d), "matrices")
+    out = pipelines.run_experiment(m, EVENT_CONFIG, _feature_sets(m), [("logistic", {"maxIter": 10}), ("tree", {"maxDepth": 3, "seed": 0})], _defs(spark))
+    return out["evaluations"].join(out["models"].select("model_id", "model_group_id", "train_end_time", "feature_set", "model_type"), "model_id")
+
+
+REGISTER.queries["experiment_learned"] = experiment_learned
+
 
 @REGISTER(f"""WITH {MATRIX}, m AS (SELECT * FROM (VALUES (1::BIGINT, 'quantity'), (2, 'tax'), (3, 'lines')) v(model_id, c)),
 t AS (SELECT model_id, entity_id, CASE c WHEN 'quantity' THEN quantity WHEN 'tax' THEN tax ELSE lines END AS score, as_of_date FROM matrix, m WHERE model_id <> 2)

@@ -60,16 +60,9 @@ def subset_entity_dates(subset: DataFrame, cohort: DataFrame) -> DataFrame:
 
 def make_labels(events: DataFrame, entity: str, when: str, dates: Sequence[date], timespans: Sequence[str], outcome: Column, name: str = "outcome") -> DataFrame:
     """1 if any event in ``[date, date + timespan)`` has the outcome, else 0; only entities with events there."""
-    def inside(span: str):
-        return lambda d: (F.col(when) >= d) & (F.col(when) < ahead(d, span))
-
-    parts = []
-    for span in timespans:
-        rows = expand(events, dates, inside(span))
-        parts.append(rows.select(F.col(entity).alias("entity_id"), "as_of_date", F.lit(span).alias("label_timespan"), outcome.alias("_o")))
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
+    windows = F.array(*[F.struct(F.lit(d).alias("as_of_date"), F.lit(span).alias("label_timespan"), ahead(F.lit(d), span).alias("_end")) for d in sorted(set(dates)) for span in timespans])
+    hit = F.explode(F.filter(windows, lambda w: (F.col(when) >= w["as_of_date"]) & (F.col(when) < w["_end"])))
+    rows = events.select(F.col(entity).alias("entity_id"), outcome.alias("_o"), hit.alias("_w")).select("entity_id", "_o", "_w.*")
     return rows.groupBy("entity_id", "as_of_date", "label_timespan").agg(F.bool_or("_o").cast("int").alias("label")).select("entity_id", "as_of_date", "label_timespan", F.lit(name).alias("label_name"), F.lit("binary").alias("label_type"), "label")
 
 

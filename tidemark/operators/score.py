@@ -104,7 +104,9 @@ def flatten_grid(grid: dict[str, dict[str, Sequence]]) -> list[tuple[str, dict]]
 
 
 def train_grid(train: DataFrame, cols: Sequence[str], grid: dict[str, dict[str, Sequence]]) -> list[tuple[str, dict, object]]:
-    """A model for each point of the grid. Fits run on the cluster, one after the other."""
+    """A model for each point of the grid, in its order. Fits run on the cluster, four at a time."""
+    from concurrent.futures import ThreadPoolExecutor
+
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
@@ -112,8 +114,14 @@ def train_grid(train: DataFrame, cols: Sequence[str], grid: dict[str, dict[str,
     kinds = {"tree": DecisionTreeClassifier, "forest": RandomForestClassifier, "boosted": GBTClassifier, "logistic": LogisticRegression}
     assembler = VectorAssembler(inputCols=list(cols), outputCol="_features", handleInvalid="skip")
     data = train.persist()
+
+    def fit(point: tuple[str, dict]) -> tuple[str, dict, object]:
+        kind, params = point
+        return kind, params, Pipeline(stages=[assembler, kinds[kind](featuresCol="_features", labelCol="label", **params)]).fit(data)
+
     try:
-        return [(kind, params, Pipeline(stages=[assembler, kinds[kind](featuresCol="_features", labelCol="label", **params)]).fit(data)) for kind, params in flatten_grid(grid)]
+        with ThreadPoolExecutor(4) as pool:
+            return list(pool.map(fit, flatten_grid(grid)))
     finally:
         data.unpersist()
 

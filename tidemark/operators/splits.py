@@ -63,15 +63,19 @@ def as_of_times(start: datetime, end: datetime, frequency: str, forward: bool =
     return found if forward else found[::-1]
 
 
+def training_times(cfg: TemporalConfig, at: datetime, timespan: str, frequency: str, history: str) -> list[datetime]:
+    """Dates of the rows to train on for a split at ``at``: the last one's labels are known by then."""
+    last = shift(at, timespan, -1)
+    return as_of_times(max(cfg.feature_start, cfg.label_start, shift(last, history, -1)), last, frequency)
+
+
 def matrix_plans(cfg: TemporalConfig) -> list[dict]:
     """One plan per matrix: ``split, split_time, matrix_type, timespan, frequency, history, dates``."""
     plans, split = [], 0
-    first = max(cfg.feature_start, cfg.label_start)
     for train_span, test_span, duration in product(cfg.train_timespans, cfg.test_timespans, cfg.test_durations):
         times = split_times(cfg, train_span, test_span, duration)
         for frequency, history, at in product(cfg.train_frequencies, cfg.max_histories, times):
-            last = shift(at, train_span, -1)
-            train = as_of_times(max(first, shift(last, history, -1)), last, frequency)
+            train = training_times(cfg, at, train_span, frequency, history)
             plans.append({"split": split, "split_time": at, "matrix_type": "train", "timespan": train_span, "frequency": frequency, "history": history, "dates": train})
             for test_frequency in cfg.test_frequencies:
                 test = as_of_times(at, shift(at, duration), test_frequency, forward=True)

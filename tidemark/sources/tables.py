@@ -46,15 +46,14 @@ def read_matrix(spark: SparkSession, path: str, schema, fmt: str = "parquet") ->
     return reader.parquet(path) if fmt == "parquet" else reader.csv(path, header=True)
 
 
+def write_results(df: DataFrame, path: str, by: Sequence[str] = ("model_id",)) -> None:
+    """Replaces the partitions ``by`` that ``df`` has and leaves the others."""
+    df.repartition(*by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+
+
 def write_predictions(df: DataFrame, path: str) -> None:
-    """Replaces the (model, date) partitions that ``df`` has and leaves the others."""
-    (
-        df.repartition("model_id", "as_of_date")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("model_id", "as_of_date")
-        .parquet(path)
-    )
+    """Predictions by (model, date)."""
+    write_results(df, path, ("model_id", "as_of_date"))
 
 
 def upsert(existing: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
