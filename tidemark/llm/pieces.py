@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -117,20 +118,30 @@ def piece_digests(docs: DataFrame, model: str) -> DataFrame:
     return docs.select("doc_id", encode_decode(F.col("text"), model).alias("e")).select("doc_id", "e.*")
 
 
-def frequent_lengths(docs: DataFrame, model: str, sample_docs: int = 2048, sample_chars: int = 8000, entries: int = 65_536, longest: int = 64) -> dict[str, int]:
-    """The first tier: token counts of frequent marked words.
+def frequent_lengths(docs: DataFrame, model: str, entries: int = 65_536, per_task: int = 4096, longest: int = 64, counted: int = 200_000) -> dict[str, int]:
+    """The first tier: token counts of the most frequent marked words of all texts.
 
-    Taken from the beginnings of at most ``sample_docs`` texts, for which Spark reads as few input
-    splits as have so many rows. A word that is missing here only costs an encoding by the second
-    tier. At most ``entries`` words of at most ``longest`` characters, so the table stays under 20 MB
-    whatever the corpus.
+    Each task counts the words of its whole texts in a table of at most ``counted`` words, forgetting
+    the rarer half when that is full, and hands on its ``per_task`` most frequent ones; only these sums are
+    shuffled. A word that is missing in the end only costs an encoding by the second tier. At most ``entries`` words of at most
+    ``longest`` characters, so the table stays under 20 MB whatever the corpus.
     """
-    seen: dict[str, int] = {}
-    for (text,) in docs.select(F.substring("text", 1, sample_chars)).limit(sample_docs).collect():
-        for w in marked_words(text or ""):
-            if len(w) <= longest:
-                seen[w] = seen.get(w, 0) + 1
-    words = [w for w, n in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:entries] if n > 1]
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        claim("pieces", PieceCoder._made.clear)
+        seen: Counter[str] = Counter()
+        for batch in batches:
+            for text in batch["text"]:
+                words = [w for w in marked_words(text or "") if len(w) <= longest]
+                for at in range(0, len(words), counted):
+                    seen.update(words[at : at + counted])
+                    if len(seen) > counted:
+                        seen = Counter(dict(seen.most_common(counted // 2)))
+        top = [(w, n) for w, n in seen.most_common(per_task) if n > 1]
+        yield pd.DataFrame(top, columns=["word", "n"]).astype({"word": object, "n": "int64"})
+
+    sums = docs.select("text").mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    words = [r.word for r in sums.orderBy(F.col("n").desc(), "word").limit(entries).collect()]
     return dict(zip(words, map(len, PieceCoder.of(model)._encode(words)), strict=True)) if words else {}
 
 
