@@ -222,7 +222,9 @@ def test_small_caches_change_nothing():
         assert [known[k] for k in keys] == make(keys)
 
 
-def test_packing(docs, rows):
+@pytest.mark.parametrize("per_salt", [packing.PER_SALT, 3])
+def test_packing(docs, rows, per_salt, monkeypatch):
+    monkeypatch.setattr(packing, "PER_SALT", per_salt)
     model = packing.WordCoder.of(WORDS).model
     out = packing.pack_documents(docs, WORDS, max_len=64).toPandas()
     ids = {i: np.array(model.encode(t or "", add_special_tokens=False).ids + [1], "<u4") for i, t, *_ in rows}

@@ -8,6 +8,7 @@ import unicodedata
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import Cache, claim, joined_ids, slices
 from tidemark.sources.scratch import cut
 
-#: Ranks of pieces of one length are dealt over so many salts, so no length is ranked in one task.
-SALTS = 32
+#: Pieces of one length are ranked in groups of about so many, so no length is ranked in one task.
+PER_SALT = 10_000
 
 
 #: A run of letters and the punctuation behind it, up to Latin Extended-B; an apostrophe may begin a
@@ -147,17 +148,18 @@ def shortest_pack_first(histogram: dict[int, int], max_len: int) -> list[tuple[i
 
 
 def pattern_places(patterns: list[tuple[int, tuple[int, ...]]]) -> pd.DataFrame:
-    """For runs of ranks of a length: where they go. Rank r in ``[first, first + count)`` of ``length``
-    lies at ``offset`` of sequence ``sequence + r - first``."""
+    """For runs of ranks of a length: where they go. With ``j = r - first``, rank r lies in sequence ``sequence + j // copies``
+    at ``offset + j % copies * length``. A pack is one row per distinct length, which are 63 at most in 2,048 tokens."""
     rows, used, sequence = [], defaultdict(int), 0
     for count, pack in patterns:
         offset = 0
-        for length in pack:
-            rows.append((length, used[length], sequence, offset))
-            used[length] += count
-            offset += length
+        for length, same in groupby(pack):  # longest first, so equal ones are neighbours
+            copies = len(list(same))
+            rows.append((length, used[length], copies, sequence, offset))
+            used[length] += count * copies
+            offset += copies * length
         sequence += count
-    return pd.DataFrame(rows, columns=["length", "first", "sequence", "offset"]).astype("int64").sort_values(["length", "first"], ignore_index=True)
+    return pd.DataFrame(rows, columns=["length", "first", "copies", "sequence", "offset"]).astype("int64").sort_values(["length", "first"], ignore_index=True)
 
 
 def pack(pieces: DataFrame, max_len: int = 2048) -> DataFrame:
@@ -165,29 +167,33 @@ def pack(pieces: DataFrame, max_len: int = 2048) -> DataFrame:
 
     The driver sees the histogram (``max_len`` rows at most); the patterns come back to the pieces by
     the rank of each piece among those of its length. Ranks are counted within salts and shifted by
-    the salts' sizes, so a length that a third of all pieces have is spread over many tasks. Equal
-    rows get places of their own; no pieces give no rows.
+    the salts' sizes; a length has as many salts as its pieces need, so a length that a third of all
+    pieces have is spread over many tasks. Equal rows get places of their own; no pieces give no rows.
     """
     spark = pieces.sparkSession
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(SALTS)))
+    histogram = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    places = pattern_places(shortest_pack_first(histogram, max_len))
+    salts = spark.createDataFrame([(k, -(-n // PER_SALT)) for k, n in histogram.items()], "length long, _salts long")  # max_len rows at most
+    salted = pieces.join(F.broadcast(salts), "length").withColumn("_salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.col("_salts"))).drop("_salts")
     sizes = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
     shift = cut(sizes.withColumn("_before", F.sum("_n").over(W.partitionBy("length").orderBy("_salt")) - F.col("_n")), "pack-sizes")
-    histogram = {r.length: r.n for r in shift.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
-    places = pattern_places(shortest_pack_first(histogram, max_len))
-    # A single sorted key finds the run: rank below 2^48 within the length.
-    known = spark.sparkContext.broadcast(((places["length"].to_numpy() << 48) + places["first"].to_numpy(), places["first"].to_numpy(), places["sequence"].to_numpy(), places["offset"].to_numpy()))
+    # A single sorted key finds the run: rank below 2^48 within the length. The table is bounded by the lengths: each opens two
+    # packs and splits one at most, and a pack has 63 rows, whatever the number of pieces.
+    known = spark.sparkContext.broadcast(((places["length"].to_numpy() << 48) + places["first"].to_numpy(), *(places[c].to_numpy() for c in ("first", "copies", "sequence", "offset"))))
 
     @F.pandas_udf("sequence_id long, offset long")
     def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
-        keys, first, sequence, offset = known.value
-        at = np.searchsorted(keys, (length.to_numpy("int64") << 48) + rank.to_numpy("int64"), side="right") - 1
-        return pd.DataFrame({"sequence_id": sequence[at] + rank.to_numpy("int64") - first[at], "offset": offset[at]})
+        keys, first, copies, sequence, offset = known.value
+        size = length.to_numpy("int64")
+        at = np.searchsorted(keys, (size << 48) + rank.to_numpy("int64"), side="right") - 1
+        packs, nth = np.divmod(rank.to_numpy("int64") - first[at], copies[at])
+        return pd.DataFrame({"sequence_id": sequence[at] + packs, "offset": offset[at] + nth * size})
 
     rank = F.row_number().over(W.partitionBy("length", "_salt").orderBy("doc_id", "start", "ids_crc32")).cast("long") - 1
-    # At most max_len * SALTS rows of three longs.
+    # A row per length and PER_SALT pieces. Not hinted: Spark broadcasts it while it is small.
     return (
         salted.withColumn("_rank", rank)
-        .join(F.broadcast(shift.drop("_n")), ["length", "_salt"])
+        .join(shift.drop("_n"), ["length", "_salt"])
         .withColumn("_place", place("length", F.col("_rank") + F.col("_before")))
         .select(*pieces.columns, "_place.sequence_id", "_place.offset")
     )
