@@ -62,15 +62,15 @@ class WordCoder:
         for i in range(0, len(roots), 500):
             part = roots[i : i + 500]
             ids = np.array(self.model.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            out += [x.tobytes() for x in np.split(ids, stops[:-1])] if len(stops) == len(part) else self._each(part)
+            raw, stops = ids.tobytes(), (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            out += [raw[a:b] for a, b in zip([0, *stops], stops)] if len(stops) == len(part) and stops[-1] == len(raw) else self._each(part)
         return out
 
     def _encode(self, words: list[str]) -> list[bytes]:
         split: list[tuple[str, str] | None] = []
         for w in words:
             m = _PLAIN.fullmatch(w)
-            root = m[1].lower() if m and unicodedata.is_normalized("NFC", w) else ""
+            root = m[1].lower() if m and (w.isascii() or unicodedata.is_normalized("NFC", w)) else ""
             split.append((root, m[2]) if root.isalpha() else None)
         roots = self.roots.get_all({x[0] for x in split if x}, self._joined)
         tails = self.tails.get_all({x[1] for x in split if x and x[1]}, self._each)
