@@ -22,7 +22,7 @@ from tidemark.llm.common import Cache, claim, joined_ids, slices
 from tidemark.sources.scratch import cut
 
 #: Pieces of one length are ranked in groups of about so many, so no length is ranked in one task.
-PER_SALT = 10_000
+PER_SALT = 1_000
 
 
 #: A run of letters and the punctuation behind it, up to Latin Extended-B; an apostrophe may begin a
