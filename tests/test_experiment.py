@@ -73,8 +73,8 @@ def _pred(spark):
 def test_ranks_of_several_models(spark):
     p = _pred(spark)
     rows = lambda df: sorted(tuple(r) for r in df.select("model_id", "entity_id", "rank_abs_no_ties", "rank_abs_with_ties", "rank_pct_no_ties", "rank_pct_with_ties").collect())
-    assert rows(R.rank_predictions(p, "best")) == rows(R.rank_distributed(p, "best"))
-    assert R.rank_distributed(p.limit(0)).count() == 0
+    assert rows(R.rank_small_models(p, "best")) == rows(R.rank_predictions(p, "best"))
+    assert R.rank_predictions(p.limit(0)).count() == 0
 
 
 @pytest.mark.parametrize("rule", ["worst", "best"])

@@ -28,8 +28,8 @@ def test_tie_orders(spark):
 
 def test_ranks_agree_with_the_distributed_way(spark):
     p = pred(spark, [0.5, 0.4, 0.6, 0.5, 0.6, 0.5], [0, 0, 1, 1, None, 1])
-    a = R.rank_predictions(p, "worst").orderBy("entity_id").collect()
-    b = R.rank_distributed(p, "worst").orderBy("entity_id").collect()
+    a = R.rank_small_models(p, "worst").orderBy("entity_id").collect()
+    b = R.rank_predictions(p, "worst").orderBy("entity_id").collect()
     assert [r.asDict() for r in a] == [r.asDict() for r in b]
     assert a[1].rank_pct_with_ties == 1.0 and a[2].rank_abs_with_ties == 1
 
@@ -146,3 +146,21 @@ def test_error_trees_for_each_model(spark):
     out = A.error_trees(rows, ["x", "y"], depths=(2,)).collect()
     assert {(r.model_id, r.target) for r in out} == {(m, t) for m in range(2) for t in ("error", "error_fp", "error_fn")}
     assert all(r.importance == (1.0 if r.feature == "x" else 0.0) for r in out)
+
+
+def test_group_crosstab_by_place(spark):
+    """Counts by place among the cutoffs are those of each row at each threshold, without rank too."""
+    from tidemark.operators.audit import group_crosstab
+
+    rows = [(1, i, date(2016, 1, 1), [None, 0, 1][i % 3], i + 1 if i < 10 else None, "a" if i % 2 else None) for i in range(12)]
+    p = spark.createDataFrame(rows, "model_id long, entity_id long, as_of_date date, label int, rank_abs_no_ties long, kind string")
+    at = spark.createDataFrame([("abs", 4.0), ("pct", 50.0), ("abs", 0.0), ("abs", 6.0)], "unit string, value double")
+    got = {(r.parameter, r.attribute_value): (r.group_size, r.pp, r.pn, r.tp, r.fp, r.tn, r.fn, r.k) for r in group_crosstab(p.drop("kind"), p.select("entity_id", "as_of_date", "kind"), ["kind"], at).collect()}
+    want = {}
+    for name, cutoff in (("4.0_abs", 4), ("50.0_pct", 6), ("0.0_abs", 0), ("6.0_abs", 6)):
+        k = sum(1 for r in rows if r[3] is not None and r[4] is not None and r[4] <= cutoff)
+        for kind in ("a", "None"):
+            mine = [(r[3], None if r[4] is None else r[4] <= cutoff) for r in rows if r[3] is not None and (r[5] or "None") == kind]
+            n = {(y, up): mine.count((y, up)) for y in (0, 1) for up in (True, False)}
+            want[name, kind] = (len(mine), n[0, True] + n[1, True], n[0, False] + n[1, False], n[1, True], n[0, True], n[0, False], n[1, False], k)
+    assert got == want

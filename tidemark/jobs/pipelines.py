@@ -77,7 +77,7 @@ def retrain_and_predict(events: DataFrame, cfg: TemporalConfig, day: date, colum
     dates = [t.date() for t in training_times(cfg, datetime(day.year, day.month, day.day), timespan, cfg.train_frequencies[0], cfg.max_histories[0])]
     model = B.train_scaled_lr(training_matrix(events, dates, timespan), columns, **params)
     pred = B.score(model, forward_matrix(events, day)).select(F.lit(1).cast("long").alias("model_id"), *KEYS, "score", F.lit(None).cast("int").alias("label"))
-    return rank.rank_distributed(pred, "random", seed=1).drop("label")
+    return rank.rank_predictions(pred, "random", seed=1).drop("label")
 
 
 def run_matrices(events: DataFrame, cfg: TemporalConfig, path: str | None = None) -> DataFrame:
@@ -173,7 +173,7 @@ def run_experiment(matrices: DataFrame, cfg: TemporalConfig, sets: dict[str, lis
     if (learned := score_learned(matrices, listed, sets)) is not None:
         parts.append(learned)
     pred = cut(reduce(DataFrame.unionByName, parts), "predictions")
-    out = {"models": selection.assign_model_groups(rows), "predictions": rank.rank_distributed(pred, "worst"), "evaluations": evaluate.evaluate(pred, defs)}
+    out = {"models": selection.assign_model_groups(rows), "predictions": rank.rank_predictions(pred, "worst"), "evaluations": evaluate.evaluate(pred, defs)}
     if path is not None:
         for name, df in out.items():
             write_results(df, f"{path}/{name}")

@@ -116,7 +116,12 @@ def rank_predictions_random(spark, d):
 
 @REGISTER(f"WITH {PRED} {_ranks_sql('worst')}")
 def rank_distributed(spark, d):
-    return rounded(R.rank_distributed(predictions(spark, d), "worst").select(_RANKS))
+    return rounded(R.rank_predictions(predictions(spark, d), "worst").select(_RANKS))
+
+
+@REGISTER(f"WITH {PRED} {_ranks_sql('best')}")
+def rank_small_models(spark, d):
+    return rounded(R.rank_small_models(predictions(spark, d), "best").select(_RANKS))
 
 
 @REGISTER(f"WITH {PRED}, r AS ({_ranks_sql('best')}) SELECT model_id, entity_id, rank_abs_no_ties FROM r WHERE rank_abs_no_ties <= 25")

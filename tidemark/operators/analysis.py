@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.functions.order import running_totals
 from tidemark.functions.ttail import t_p_value
+from tidemark.operators.evaluate import score_groups
 
 KEYS = ["entity_id", "as_of_date"]
 
@@ -123,8 +125,8 @@ def pairwise_features(ranked_importances: DataFrame, n: int) -> DataFrame:
 
 def pr_k_curve(ranked: DataFrame, step: int = 1, rank_col: str = "rank_abs_no_ties") -> DataFrame:
     """Precision and recall of labelled rows in the first k % of the list, for every ``step`` percent."""
-    w = W.partitionBy("model_id").orderBy(rank_col)
-    rows = ranked.filter("label is not null").select("model_id", F.row_number().over(w).cast("long").alias("cutoff"), F.sum("label").over(w.rowsBetween(W.unboundedPreceding, W.currentRow)).alias("tp"))
+    labelled = ranked.filter("label is not null").select("model_id", "label", rank_col)
+    rows = running_totals(labelled, ["model_id"], [F.col(rank_col)], {"cutoff": F.lit(1).cast("long"), "tp": F.col("label")})
     total = rows.groupBy("model_id").agg(F.max("cutoff").alias("n"), F.max("tp").alias("p"))
     at = total.withColumn("k_pct", F.explode(F.sequence(F.lit(0), F.lit(100), F.lit(step)))).withColumn("cutoff", F.bround(F.col("k_pct") * F.col("n") / 100.0, 0).cast("long"))
     got = at.join(rows, ["model_id", "cutoff"], "left")
@@ -164,8 +166,8 @@ def disparity_vs_performance(evals: DataFrame, audit: DataFrame, metric: str, pa
 
 def roc_points(pred: DataFrame) -> DataFrame:
     """At each distinct score, from the top: false and true positive rates and share of the list."""
-    g = pred.filter("label is not null").groupBy("model_id", "score").agg(F.sum("label").alias("p"), F.count("*").alias("m"))
-    w = W.partitionBy("model_id")
-    upto = w.orderBy(F.col("score").desc()).rowsBetween(W.unboundedPreceding, W.currentRow)
-    q = F.col("m") - F.col("p")
-    return g.select("model_id", "score", F.try_divide(F.sum(q).over(upto), F.sum(q).over(w)).alias("fpr"), F.try_divide(F.sum("p").over(upto), F.sum("p").over(w)).alias("tpr"), (F.sum("m").over(upto) / F.sum("m").over(w)).alias("list_pct"))
+    g = score_groups(pred.filter("label is not null"))
+    all_of = g.groupBy("model_id").agg(F.sum("l").alias("_n"), F.sum("p").alias("_p"))
+    m, p = F.col("l0") + F.col("l"), F.col("p0") + F.col("p")
+    rates = [F.try_divide(m - p, F.col("_n") - F.col("_p")).alias("fpr"), F.try_divide(p, F.col("_p")).alias("tpr"), (m / F.col("_n")).alias("list_pct")]
+    return g.join(all_of, "model_id").select("model_id", "score", *rates)  # a row per model

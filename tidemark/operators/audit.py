@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.operators.evaluate import binarize
+from tidemark.operators.evaluate import cutoffs
 
 GROUP = ["model_id", "parameter", "attribute_name"]
 RATES = ("ppr", "pprev", "precision", "fdr", "for", "fpr", "fnr", "tpr", "tnr", "npv")
@@ -17,13 +17,24 @@ RATES = ("ppr", "pprev", "precision", "fdr", "for", "fpr", "fnr", "tpr", "tnr",
 def group_crosstab(ranked: DataFrame, attributes: DataFrame, names: Sequence[str], thresholds: DataFrame) -> DataFrame:
     """Counts per model, threshold, attribute and value. Rows without a label are left out after the
     cutoff; a missing attribute is a group of its own, ``None``."""
-    rows = binarize(ranked, thresholds).filter("label is not null").withColumn("parameter", F.concat_ws("_", F.col("value").cast("string"), "unit"))
+    sizes = ranked.groupBy("model_id").agg(F.count("*").alias("n"))
+    at = cutoffs(sizes, thresholds).select("model_id", "cutoff", F.concat_ws("_", F.col("value").cast("string"), "unit").alias("parameter"))
+    # A row is above all cutoffs of its model from its own place among them on: rows are counted by place, once, not by threshold.
+    places = at.groupBy("model_id").agg(F.array_sort(F.collect_set("cutoff")).alias("_cutoffs"))
+    rows = ranked.filter("label is not null").join(F.broadcast(places), "model_id")  # models by a config's thresholds
+    rows = rows.withColumn("_place", F.when(F.col("rank_abs_no_ties").isNotNull(), F.size(F.filter("_cutoffs", lambda c: c < F.col("rank_abs_no_ties")))))
     joined = rows.join(attributes.select("entity_id", "as_of_date", *[F.coalesce(F.col(n).cast("string"), F.lit("None")).alias(n) for n in names]), ["entity_id", "as_of_date"])
-    tall = joined.unpivot(["model_id", "parameter", "label", "predicted"], list(names), "attribute_name", "attribute_value")
-    y, p = F.col("label") == 1, F.col("predicted") == 1
-    counts = tall.groupBy(*GROUP, "attribute_value").agg(
-        F.count("*").alias("group_size"), F.count_if(y).alias("group_label_pos"), F.count_if(~y).alias("group_label_neg"),
-        F.count_if(p).alias("pp"), F.count_if(~p).alias("pn"), F.count_if(p & y).alias("tp"), F.count_if(p & ~y).alias("fp"), F.count_if(~p & ~y).alias("tn"), F.count_if(~p & y).alias("fn"),
+    tall = joined.unpivot(["model_id", "_place", "_cutoffs", "label"], list(names), "attribute_name", "attribute_value")
+    by_place = tall.groupBy("model_id", "_place", "_cutoffs", "attribute_name", "attribute_value").agg(F.count_if(F.col("label") == 1).alias("_pos"), F.count_if(F.col("label") != 1).alias("_neg"))
+    spread = by_place.join(at, "model_id").withColumn("_above", F.col("_place") < F.array_position("_cutoffs", F.col("cutoff")))
+    pos, neg, p = F.col("_pos"), F.col("_neg"), F.col("_above")
+
+    def total(n: Column, where: Column | None = None) -> Column:
+        return F.sum(n if where is None else F.when(where, n).otherwise(0))
+
+    counts = spread.groupBy(*GROUP, "attribute_value").agg(
+        total(pos + neg).alias("group_size"), total(pos).alias("group_label_pos"), total(neg).alias("group_label_neg"),
+        total(pos + neg, p).alias("pp"), total(pos + neg, ~p).alias("pn"), total(pos, p).alias("tp"), total(neg, p).alias("fp"), total(neg, ~p).alias("tn"), total(pos, ~p).alias("fn"),
     )
     w = W.partitionBy(*GROUP)  # the groups of one attribute
     return counts.withColumns({"total_entities": F.sum("group_size").over(w), "k": F.sum("pp").over(w)})

@@ -64,7 +64,7 @@ def _thresholds(defs: DataFrame) -> DataFrame:
     return defs.select("unit", "value").distinct()
 
 
-def _cutoffs(sizes: DataFrame, thresholds: DataFrame) -> DataFrame:
+def cutoffs(sizes: DataFrame, thresholds: DataFrame) -> DataFrame:
     """``model_id, unit, value, n, cutoff``: how many of the first rows are predicted positive."""
     raw = F.when(F.col("unit") == "abs", F.col("value")).otherwise(F.floor(F.col("n") * F.col("value") / 100))
     # A handful of thresholds from a config.
@@ -74,7 +74,7 @@ def _cutoffs(sizes: DataFrame, thresholds: DataFrame) -> DataFrame:
 def binarize(ranked: DataFrame, thresholds: DataFrame, rank_col: str = "rank_abs_no_ties") -> DataFrame:
     """Each row once per threshold with its predicted class; for small tables, see ``confusion``."""
     sizes = ranked.groupBy("model_id").agg(F.count("*").alias("n"))
-    return ranked.join(_cutoffs(sizes, thresholds), "model_id").withColumn("predicted", (F.col(rank_col) <= F.col("cutoff")).cast("int"))
+    return ranked.join(cutoffs(sizes, thresholds), "model_id").withColumn("predicted", (F.col(rank_col) <= F.col("cutoff")).cast("int"))
 
 
 def score_groups(pred: DataFrame) -> DataFrame:
@@ -90,7 +90,7 @@ def _around(groups: DataFrame, thresholds: DataFrame) -> DataFrame:
     """Each model and threshold with its totals and, beside them, the score at which it cuts; ``k`` rows of that score
     are above the cutoff. A cutoff of 0 has no such score."""
     totals = groups.groupBy("model_id").agg(F.sum("m").alias("n"), F.sum("l").alias("n_labeled"), F.sum("p").alias("n_positive"))
-    at = _cutoffs(totals, thresholds)
+    at = cutoffs(totals, thresholds)
     inside = at.select(F.col("model_id").alias("_m"), F.col("unit").alias("_u"), F.col("value").alias("_v"), "cutoff")
     # Models by a config's thresholds.
     found = groups.join(F.broadcast(inside), [F.col("model_id") == F.col("_m"), F.col("m0") < F.col("cutoff"), F.col("cutoff") <= F.col("m0") + F.col("m")])

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,14 +21,13 @@ def tie_order(rule: str, seed: int = 0) -> list[Column]:
     return [F.col("score").desc_nulls_last(), ties[rule](), F.col("entity_id").asc(), F.col("as_of_date").asc()]
 
 
-def rank_predictions(pred: DataFrame, rule: str = "worst", seed: int = 0, by: Sequence[str] = ("model_id",)) -> DataFrame:
-    """Adds the four ranks of each model's rows: absolute and as a share, with and without ties. The
-    share with ties is the dense rank over the number of distinct scores."""
-    w = W.partitionBy(*by)
+def rank_small_models(pred: DataFrame, rule: str = "worst", seed: int = 0) -> DataFrame:
+    """The ranks of ``rank_predictions`` where each model's rows fit in one task: nothing is written in between."""
+    w = W.partitionBy("model_id")
     ordered, tied = w.orderBy(*tie_order(rule, seed)), w.orderBy(F.col("score").desc_nulls_last())
     return (
-        pred.withColumn("rank_abs_no_ties", F.row_number().over(ordered))
-        .withColumn("rank_abs_with_ties", F.rank().over(tied))
+        pred.withColumn("rank_abs_no_ties", F.row_number().over(ordered).cast("long"))
+        .withColumn("rank_abs_with_ties", F.rank().over(tied).cast("long"))
         .withColumn("rank_pct_no_ties", F.col("rank_abs_no_ties") / F.count("*").over(w))
         .withColumn("_dense", F.dense_rank().over(tied))
         .withColumn("rank_pct_with_ties", F.col("_dense") / F.max("_dense").over(w))
@@ -38,9 +35,13 @@ def rank_predictions(pred: DataFrame, rule: str = "worst", seed: int = 0, by: Se
     )
 
 
-def rank_distributed(pred: DataFrame, rule: str = "worst", seed: int = 0) -> DataFrame:
-    """The same ranks for models whose rows do not fit in one task each: rows are numbered by ranges
-    within their model, and tied ranks come from the table of distinct scores."""
+def rank_predictions(pred: DataFrame, rule: str = "worst", seed: int = 0) -> DataFrame:
+    """Adds the four ranks of each model's rows: absolute and as a share, with and without ties. The
+    share with ties is the dense rank over the number of distinct scores.
+
+    Rows are numbered by ranges within their model, and tied ranks come from the table of distinct
+    scores, so one model may have any number of rows.
+    """
     one = F.lit(1).cast("long")
     numbered = running_totals(pred, ["model_id"], tie_order(rule, seed), {"rank_abs_no_ties": one})
     values = pred.groupBy("model_id", "score").agg(F.count("*").alias("_n"))
