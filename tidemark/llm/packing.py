@@ -23,6 +23,8 @@ from tidemark.sources.scratch import cut
 
 #: Pieces of one length are ranked in groups of about so many, so no length is ranked in one task.
 PER_SALT = 1_000
+#: Characters of whole texts that a task tokenizes at a time.
+SLICE = 2_000_000
 
 
 #: A run of letters and the punctuation behind it, up to Latin Extended-B; an apostrophe may begin a
@@ -93,13 +95,14 @@ def cut_pieces(docs: DataFrame, model: str, max_len: int = 2048, end_id: int = 1
     Rows ``doc_id, start, length, ids_crc32, doc_tokens``. Null and empty texts have the end id alone.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("packing", WordCoder._made.clear)
         coder = WordCoder.of(model)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             out, at = [], 0
-            for texts in slices(batch["text"]):
+            # Texts stay in Arrow's buffer; those of a slice alone are strings.
+            for texts in slices((x.as_py() for x in batch.column("text")), SLICE):
                 for i, ids in enumerate(coder.encode(texts)):
                     raw = ids.astype("<u4").tobytes() + end
                     n = len(raw) // 4
@@ -107,10 +110,11 @@ def cut_pieces(docs: DataFrame, model: str, max_len: int = 2048, end_id: int = 1
                         part = raw[4 * k : 4 * (k + max_len)]
                         out.append((at + i, k, len(part) // 4, zlib.crc32(part), n))
                 at += len(texts)
-            got = pd.DataFrame(out, columns=["row", "start", "length", "ids_crc32", "doc_tokens"]).astype("int64")
-            yield got.assign(doc_id=batch["doc_id"].to_numpy()[got["row"]])[["doc_id", "start", "length", "ids_crc32", "doc_tokens"]]
+            table = np.array(out, dtype=np.int64).reshape(-1, 5)
+            columns = [batch.column("doc_id").take(pa.array(table[:, 0])), *(pa.array(table[:, k]) for k in range(1, 5))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def shortest_pack_first(histogram: dict[int, int], max_len: int) -> list[tuple[int, tuple[int, ...]]]:
