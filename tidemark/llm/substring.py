@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -95,20 +96,21 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def spans(keyed: DataFrame) -> DataFrame:
     """``_id, _copy, first, end, h1, h2, again``: the runs of each text; ``again`` where the text has it before."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("substring", _kinds.clear)
         for batch in batches:
-            ids, copies = batch["_id"].to_numpy(), batch["_copy"].to_numpy()
             at, firsts, ends, keys, again = [], [], [], [], []
 
-            def frame() -> pd.DataFrame:
-                row = np.repeat(np.array(at, dtype=np.int64), [len(x) for x in firsts])
+            def frame() -> pa.RecordBatch:
+                row = pa.array(np.repeat(np.array(at, dtype=np.int64), np.array([len(x) for x in firsts], dtype=np.int64)))
                 h = np.frombuffer(b"".join(keys), dtype="<i8").reshape(-1, 2)
                 join = lambda parts: np.concatenate([np.zeros(0, np.int64), *parts]).astype(np.int32)
-                return pd.DataFrame({"_id": ids[row], "_copy": copies[row], "first": join(firsts), "end": join(ends), "h1": h[:, 0], "h2": (h[:, 1] >> 32).astype(np.int32), "again": np.array(again, dtype=bool)})
+                made = {"first": join(firsts), "end": join(ends), "h1": h[:, 0], "h2": (h[:, 1] >> 32).astype(np.int32), "again": np.array(again, dtype=bool)}
+                return pa.RecordBatch.from_arrays([batch.column("_id").take(row), batch.column("_copy").take(row), *map(pa.array, made.values())], names=["_id", "_copy", *made])
 
-            for i, text in enumerate(batch["text"]):
-                first, end, own = runs(text or "")
+            # Texts stay in Arrow's buffer; one at a time is a string.
+            for i, text in enumerate(batch.column("text")):
+                first, end, own = runs(text.as_py() or "")
                 at.append(i), firsts.append(first), ends.append(end), keys.extend(own)
                 seen: set[bytes] = set()
                 for k in own:
@@ -120,7 +122,7 @@ def spans(keyed: DataFrame) -> DataFrame:
             yield frame()
 
     kind = keyed.schema["_id"].dataType.simpleString()
-    return keyed.select("_id", "_copy", "text").mapInPandas(run, f"_id {kind}, _copy long, first int, end int, h1 long, h2 int, again boolean")
+    return keyed.select("_id", "_copy", "text").mapInArrow(run, f"_id {kind}, _copy long, first int, end int, h1 long, h2 int, again boolean")
 
 
 def _without(text: Column, ranges: Column) -> Column:
