@@ -6,8 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.automaton import bpe_digests
 from tidemark.llm.exactdedup import exact_dedup
 from tidemark.llm.linededup import line_dedup, page_line_dedup
+from tidemark.llm.middle import fill_in_middle
 from tidemark.llm.neardup import near_duplicates
 from tidemark.llm.outliers import quality_outliers
 from tidemark.llm.packing import pack_documents
@@ -15,6 +17,7 @@ from tidemark.llm.pieces import piece_digests, token_counts
 from tidemark.llm.sharding import assign_shards
 from tidemark.llm.substring import substring_dedup
 from tidemark.llm.toxicity import toxicity
+from tidemark.llm.whitening import whiten
 
 PIECE_MODEL = "piece_bpe_32k.model"
 WORD_MODEL = "word_bpe_49k.json"
@@ -66,6 +69,18 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_line_dedup(_table(spark, sf_dir, "pages"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_MODEL))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle(_table(spark, sf_dir, "documents")).drop("pieces")
+
+
 def line_dedup_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same over documents, which have no address: their source is the site."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
@@ -74,7 +89,7 @@ def line_dedup_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_substring_dedup, op2_virtual_slots, op3_mcd_outliers, op4_token_counts, op5_exact_dedup, op6_toxicity, op7_pieces, op8_near_dedup, op9_packing, op10_line_dedup, line_dedup_by_source)
+    for f in (op1_substring_dedup, op2_virtual_slots, op3_mcd_outliers, op4_token_counts, op5_exact_dedup, op6_toxicity, op7_pieces, op8_near_dedup, op9_packing, op10_line_dedup, op11_whitening, op12_bpe_automaton, op13_fill_in_middle, line_dedup_by_source)
 }
 
 LINE_DEDUP_SQL = """
@@ -122,5 +137,21 @@ FROM pages p LEFT JOIN kept k USING (r)
     + """SELECT p.doc_id AS page_id, p.source AS host, CASE WHEN p.text IS NULL THEN NULL ELSE k.text END AS text,
        coalesce(k.n_lines, 0) AS n_lines, coalesce(k.n_dropped, 0) AS n_dropped
 FROM sited p LEFT JOIN kept k USING (r)
+""",
+    "op13_fill_in_middle": r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS s FROM documents
+), u AS (
+  SELECT doc_id, t, regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u,
+         ('0x' || s[1:8])::BIGINT AS h1, ('0x' || s[9:16])::BIGINT AS h2, ('0x' || s[17:24])::BIGINT AS h3, ('0x' || s[25:32])::BIGINT AS h4 FROM d
+), c AS (
+  SELECT *, len(u) AS n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS b,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM u
+), p AS (
+  SELECT *, array_to_string(u[1:a], '') AS pre, array_to_string(u[a + 1:b], '') AS mid, array_to_string(u[b + 1:], '') AS suf FROM c
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+       sha256(t) AS restored_sha256 FROM p
 """,
 }
