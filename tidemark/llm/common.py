@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import gc
 from collections.abc import Callable, Iterable, Iterator
@@ -9,7 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word: a run without ASCII white space.
@@ -86,15 +87,36 @@ def slices(texts: Iterable[str | None], limit: int = 4_000_000) -> Iterator[list
         yield part
 
 
+def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """Arrow batches of this session have ``most`` bytes or so, not 10,000 whole texts.
+
+    A batch is held by the JVM, outside its heap and in buffers that grow by doubling, and again by the Python
+    worker. A text longer than that is a batch of its own. A smaller setting of the session stays.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(spark.conf.get(name, "-1"))
+    if not 0 < now <= most:
+        spark.conf.set(name, str(most))
+
+
 _holders: dict[str, Callable[[], object]] = {}
 
 
+#: Fixed values of malloc.h.
+M_TRIM_THRESHOLD, M_MMAP_THRESHOLD = -1, -3
+
+
 def claim(operator: str, clear: Callable[[], object] = bool) -> None:
     """Called by an operator's task as it begins: what other operators hold in this Python worker goes.
 
     Spark keeps workers for later stages, so tokenizers and caches of one stage would take memory from
     all that follow. ``clear`` drops what ``operator`` holds itself.
     """
+    if not _holders:
+        # glibc raises its threshold for memory that goes back to the system each time a large array is freed.
+        with contextlib.suppress(AttributeError):
+            ctypes.CDLL(None).mallopt(M_MMAP_THRESHOLD, 1 << 18)
+            ctypes.CDLL(None).mallopt(M_TRIM_THRESHOLD, 1 << 20)
     others = [o for o in _holders if o != operator]
     for other in others:
         _holders.pop(other)()

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import small_batches
+
 PREFIX, SUFFIX, MIDDLE = b"<P>", b"<S>", b"<M>"
 SENTINELS = (PREFIX, SUFFIX, MIDDLE)
 #: Arrangements of prefix (0), middle (1) and suffix (2) behind their sentinels, by form.
@@ -148,6 +150,7 @@ def fill_in_middle(docs: DataFrame, rate: int = 50, spm: int = 80, seed: int = 4
             columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "n", "form", "pieces", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256"])
 
+    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, form string, pieces {DESCRIPTORS}, prefix_chars long, middle_chars long, output_sha256 string, restored_sha256 string")
 

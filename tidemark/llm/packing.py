@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Cache, claim, joined_ids, slices
+from tidemark.llm.common import Cache, claim, joined_ids, slices, small_batches
 from tidemark.sources.scratch import cut
 
 #: Pieces of one length are ranked in groups of about so many, so no length is ranked in one task.
@@ -114,6 +114,7 @@ def cut_pieces(docs: DataFrame, model: str, max_len: int = 2048, end_id: int = 1
             columns = [batch.column("doc_id").take(pa.array(table[:, 0])), *(pa.array(table[:, k]) for k in range(1, 5))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
 

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import claim, free_names, key_filter, with_maybe
+from tidemark.llm.common import claim, free_names, key_filter, with_maybe, small_batches
 from tidemark.sources.scratch import cut
 
 #: A run has this many words at least. One word in CUT (on average) ends a sentence by its hash; where none does,
@@ -156,6 +156,7 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     with an empty text if all of it repeats; null stays null. Rows that share an id are not held
     against each other: they count as one document.
     """
+    small_batches(docs.sparkSession)
     keyed = _keyed(docs)
     found = cut(spans(keyed), "spans")
     shared = cut(found.filter("not again").groupBy("h1", "h2").agg(F.min("_id").alias("_first"), F.count("*").alias("_n")).filter("_n > 1").drop("_n"), "shared-spans")

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import claim
+from tidemark.llm.common import claim, small_batches
 
 #: At most so many labelled documents are fitted on, and so many features have a weight.
 SAMPLE, WORDS = 6000, 30_000
@@ -173,6 +173,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
 
 def toxicity_score(text: Column, model: ToxicityModel, spark) -> Column:
     """Score of each whole text; null and texts without words have the prior."""
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # WORDS weights at most
 
     @F.pandas_udf("double")
