@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import re
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
@@ -94,9 +95,9 @@ def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
     worker. A text longer than that is a batch of its own. A smaller setting of the session stays.
     """
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = int(spark.conf.get(name, "-1"))
-    if not 0 < now <= most:
-        spark.conf.set(name, str(most))
+    number, unit = re.fullmatch(r"(\d+)\s*([kmgt]?)i?b?", spark.conf.get(name).lower()).groups()
+    if int(number) << 10 * " kmgt".index(unit or " ") > most:
+        spark.conf.set(name, f"{most}b")
 
 
 _holders: dict[str, Callable[[], object]] = {}
