@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-NAMES = ["matrix_pipeline", "spacetime_aggregate", "protected_as_of", "impute_rules", "impute_part_of_cohort", "evaluate_scores", "impute_null_category", "evaluate_subset", "rank_predictions_random", "evaluate", "disparity_majority", "distance_from_best", "rule_regrets", "crosstabs", "resolve_entities", "upsert", "model_performance", "rule_winners", "run_matrices", "matrix_catalogue", "run_experiment", "rank_distributed"]
+NAMES = ["matrix_pipeline", "spacetime_aggregate", "protected_as_of", "impute_rules", "impute_part_of_cohort", "evaluate_scores", "impute_null_category", "evaluate_subset", "rank_predictions_random", "evaluate", "disparity_majority", "distance_from_best", "rule_regrets", "crosstabs", "resolve_entities", "upsert", "model_performance", "rule_winners", "run_matrices", "matrix_catalogue", "run_experiment", "rank_distributed", "spacetime_daily", "label_outcomes", "cohort_within", "cohort_active"]
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the given tables")

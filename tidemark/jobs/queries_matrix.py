@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -86,6 +86,13 @@ def cohort_from_events(spark, d):
     return _cohort(spark, d)
 
 
+@REGISTER(f"""SELECT DISTINCT o_custkey AS entity_id, as_of_date, TRUE AS active FROM orders, ({YEARS_SQL})
+WHERE o_orderstatus = 'F' AND o_orderdate < as_of_date AND o_orderdate >= as_of_date - INTERVAL 2 YEAR""")
+def cohort_within(spark, d):
+    """Customers with a finished order in the two years before each date."""
+    return E.cohort_from_events(_orders(spark, d), "o_custkey", "o_orderdate", YEARS, F.col("o_orderstatus") == "F", within="2 years")
+
+
 @REGISTER(f"WITH {LABELS_SQL} SELECT DISTINCT entity_id, as_of_date, TRUE AS active FROM labels")
 def cohort_from_labels(spark, d):
     return E.cohort_from_labels(_labels(spark, d))
@@ -133,6 +140,21 @@ def make_labels_timespans(spark, d):
     return rounded(out.select(*KEYS, "label_timespan", "label"))
 
 
+_OUTCOMES = {"any": "bool_or(o_totalprice > 100000)::INTEGER", "every": "bool_and(o_totalprice > 100000)::INTEGER", "count": "count(o_totalprice)", "sum": "round(sum(o_totalprice), 2)", "min": "min(o_totalprice)", "max": "max(o_totalprice)", "avg": "round(avg(o_totalprice), 8)"}
+
+
+@REGISTER(" UNION ALL ".join(f"""SELECT o_custkey AS entity_id, as_of_date, s AS label_timespan, '{how}' AS label_name, '{'binary' if how in ('any', 'every') else 'regression'}' AS label_type, ({value})::DOUBLE AS label
+FROM orders, ({YEARS_SQL}), (VALUES ('6 months', INTERVAL 6 MONTH), ('1 year', INTERVAL 1 YEAR)) v(s, i) WHERE o_orderdate >= as_of_date AND o_orderdate < as_of_date + i GROUP BY ALL""" for how, value in _OUTCOMES.items()))
+def label_outcomes(spark, d):
+    """Labels by every outcome: whether any or every order is large, how many, their sum, mean and extremes."""
+    price, out = F.col("o_totalprice"), None
+    for how in _OUTCOMES:
+        one = E.make_labels(_orders(spark, d), "o_custkey", "o_orderdate", YEARS, ["6 months", "1 year"], price > 100_000 if how in ("any", "every") else price, how, how)
+        one = one.withColumn("label", F.round(F.col("label").cast("double"), 8 if how == "avg" else 2))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @REGISTER("SELECT o_custkey, o_orderpriority, count(*) AS n FROM orders GROUP BY ALL HAVING count(*) > 1")
 def duplicate_keys(spark, d):
     return E.duplicate_keys(_orders(spark, d), ["o_custkey", "o_orderpriority"])
@@ -187,6 +209,18 @@ def spacetime_cohort_floor(spark, d):
     return rounded(out)
 
 
+DAILY = [date(1997, 1, 1) + timedelta(days=k) for k in range(400)]
+_DAILY_SQL = "SELECT DATE '1997-01-01' + k::INTEGER AS as_of_date FROM range(400) r(k)"
+_DAILY_WINDOWS = (("7days", "o_orderdate >= as_of_date - INTERVAL 7 DAY"), ("6months", "o_orderdate >= as_of_date - INTERVAL 6 MONTH"), ("all", "TRUE"))
+
+
+@REGISTER("SELECT o_custkey AS entity_id, as_of_date, " + ", ".join(f"count(*) FILTER (WHERE {w}) AS od_cust_{n}_n_count, round(sum(o_totalprice) FILTER (WHERE {w}), 2) AS od_cust_{n}_price_sum, max(o_totalprice) FILTER (WHERE {w}) AS od_cust_{n}_price_max, round(stddev_samp(o_totalprice) FILTER (WHERE {w}), 2) AS od_cust_{n}_price_stddev, min(date_diff('day', o_orderdate::DATE, as_of_date)) FILTER (WHERE {w}) AS od_cust_{n}_days_min, count(DISTINCT o_orderpriority) FILTER (WHERE {w}) AS od_cust_{n}_priorities_count" for n, w in _DAILY_WINDOWS) + f" FROM orders, ({_DAILY_SQL}) WHERE o_orderdate < as_of_date GROUP BY ALL")
+def spacetime_daily(spark, d):
+    """Windows that end on each of 400 days, from one aggregation by segments of time."""
+    aggs = [X.Agg("n", "*", ("count",)), X.Agg("price", "o_totalprice", ("sum", "max", "stddev")), X.Agg("days", "datediff(as_of_date, o_orderdate)", ("min",)), X.Agg("priorities", "o_orderpriority", ("count",), distinct=True)]
+    return rounded(X.spacetime_aggregate(_orders(spark, d), "o_custkey", "o_orderdate", DAILY, ["7 days", "6 months", "all"], aggs, "od", "cust"), 2)
+
+
 @REGISTER("""WITH k AS (SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem)
 SELECT k.*, a.li_l_returnflag_price_sum, a.li_l_returnflag_price_avg, b.li_l_linestatus_price_sum, b.li_l_linestatus_price_avg FROM k
 LEFT JOIN (SELECT l_returnflag, round(sum(l_extendedprice), 2) AS li_l_returnflag_price_sum, round(avg(l_extendedprice), 2) AS li_l_returnflag_price_avg FROM lineitem GROUP BY 1) a USING (l_returnflag)

@@ -1,19 +1,20 @@
 """Cohorts, subsets, labels and protected attributes: rows of (entity, as-of date).
 
-Dates are few and known when the plan is made, so each event is expanded to the dates it matters
-for by a filter over a literal array: no join, no shuffle before the aggregation.
+Dates are known when the plan is made. Events are aggregated by segments of time between the ends of all windows,
+and those are merged for each date; no event is copied to its dates.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from datetime import date
+from collections.abc import Callable, Sequence
+from datetime import date, datetime, time
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.functions.intervals import ahead
+from tidemark.functions.intervals import shift
+from tidemark.operators.segments import Segments, State, Window, merge_moments, moments, window_states
 
 
 def date_array(dates: Sequence[date]) -> Column:
@@ -25,9 +26,21 @@ def expand(events: DataFrame, dates: Sequence[date], keep) -> DataFrame:
     return events.withColumn("as_of_date", F.explode(F.filter(date_array(dates), keep)))
 
 
-def cohort_from_events(events: DataFrame, entity: str, when: str, dates: Sequence[date], condition: Column | None = None) -> DataFrame:
-    """Entities with an event (that meets the condition) before each date."""
+def entity_dates(events: DataFrame, entity: str, when: str, windows: Sequence[Window]) -> DataFrame:
+    """``entity_id, as_of_date`` with an event in a window of the date, once each; no row for each event and date."""
+    found = window_states(events.select(entity, when), entity, when, Segments(windows), [State("_n", F.count(F.lit(1)), F.sum)])
+    return found.select("entity_id", "as_of_date").distinct()
+
+
+def cohort_from_events(events: DataFrame, entity: str, when: str, dates: Sequence[date], condition: Column | None = None, within: str | None = None) -> DataFrame:
+    """Entities with an event (that meets the condition) before each date; ``within`` a time before it, where given.
+
+    The condition is on the event alone; what depends on the date is ``within``, e.g. ``2 years``.
+    """
     rows = events if condition is None else events.filter(condition)
+    if within is not None:
+        ends = [(d, datetime.combine(d, time())) for d in sorted(set(dates))]
+        return entity_dates(rows, entity, when, [Window(d, 0, shift(at, within, -1), at) for d, at in ends]).withColumn("active", F.lit(True))
     seen = rows.groupBy(entity).agg(F.min(when).alias("_first"))  # one row per entity is enough
     return expand(seen, dates, lambda d: F.col("_first") < d).select(F.col(entity).alias("entity_id"), "as_of_date", F.lit(True).alias("active"))
 
@@ -42,9 +55,23 @@ def append_missing_dates(existing: DataFrame, new: DataFrame, keys: Sequence[str
 
 
 def cohort_active(entities: DataFrame, entity: str, dates: Sequence[date], start: str, end: str) -> DataFrame:
-    """Entities whose interval holds the date, both ends included; no end means open."""
-    inside = expand(entities, dates, lambda d: (F.col(start) <= d) & (F.col(end).isNull() | (F.col(end) >= d)))
-    return inside.select(F.col(entity).alias("entity_id"), "as_of_date").distinct().withColumn("active", F.lit(True))
+    """Entities whose interval holds the date, both ends included; no end means open.
+
+    An interval is the first date it holds and the first after it. Of an entity those are summed by date, and
+    intervals that overlap or touch run together as a running sum above zero: two rows for each interval go
+    into the sum, and one for each date of an entity comes out of it.
+    """
+    days = sorted(set(dates))
+    known = date_array(days)
+    before = F.size(F.filter(known, lambda d: d < F.col(start)))
+    upto = F.when(F.col(end).isNull(), len(days)).otherwise(F.size(F.filter(known, lambda d: d <= F.col(end))))
+    spans = entities.filter(F.col(start).isNotNull()).select(F.col(entity).alias("entity_id"), before.alias("_a"), upto.alias("_b")).filter("_a < _b").distinct()
+    steps = F.explode(F.array(F.struct(F.col("_a").alias("_at"), F.lit(1).alias("_step")), F.struct(F.col("_b").alias("_at"), F.lit(-1).alias("_step"))))
+    sums = spans.select("entity_id", steps.alias("_s")).groupBy("entity_id", "_s._at").agg(F.sum("_s._step").alias("_step"))
+    w = W.partitionBy("entity_id").orderBy("_at")  # as many rows as dates at most
+    islands = sums.withColumns({"_open": F.sum("_step").over(w), "_next": F.lead("_at").over(w)}).filter("_open > 0")
+    held = islands.select("entity_id", F.explode(F.slice(known, F.col("_at") + 1, F.col("_next") - F.col("_at"))).alias("as_of_date"))
+    return held.withColumn("active", F.lit(True))
 
 
 def cohort_excluding(cohort: DataFrame, excluded: DataFrame, entity: str, when: str) -> DataFrame:
@@ -58,12 +85,38 @@ def subset_entity_dates(subset: DataFrame, cohort: DataFrame) -> DataFrame:
     return cohort.join(subset.select("entity_id", "as_of_date"), ["entity_id", "as_of_date"], "left_semi").select("entity_id", "as_of_date").distinct().withColumn("active", F.lit(True))
 
 
-def make_labels(events: DataFrame, entity: str, when: str, dates: Sequence[date], timespans: Sequence[str], outcome: Column, name: str = "outcome") -> DataFrame:
-    """1 if any event in ``[date, date + timespan)`` has the outcome, else 0; only entities with events there."""
-    windows = F.array(*[F.struct(F.lit(d).alias("as_of_date"), F.lit(span).alias("label_timespan"), ahead(F.lit(d), span).alias("_end")) for d in sorted(set(dates)) for span in timespans])
-    hit = F.explode(F.filter(windows, lambda w: (F.col(when) >= w["as_of_date"]) & (F.col(when) < w["_end"])))
-    rows = events.select(F.col(entity).alias("entity_id"), outcome.alias("_o"), hit.alias("_w")).select("entity_id", "_o", "_w.*")
-    return rows.groupBy("entity_id", "as_of_date", "label_timespan").agg(F.bool_or("_o").cast("int").alias("label")).select("entity_id", "as_of_date", "label_timespan", F.lit(name).alias("label_name"), F.lit("binary").alias("label_type"), "label")
+#: Outcomes of a label window: an aggregate over its events and one over such aggregates, by name.
+OUTCOMES: dict[str, tuple[Callable[[Column], Column], Callable[[Column], Column]]] = {
+    "any": (F.bool_or, F.bool_or),
+    "every": (F.bool_and, F.bool_and),
+    "count": (F.count, F.sum),
+    "sum": (F.sum, F.sum),
+    "min": (F.min, F.min),
+    "max": (F.max, F.max),
+    "avg": (moments, merge_moments),
+}
+
+
+def make_labels(events: DataFrame, entity: str, when: str, dates: Sequence[date], timespans: Sequence[str], outcome: Column, name: str = "outcome", how: str = "any", label_type: str | None = None) -> DataFrame:
+    """A label of the events in ``[date, date + timespan)``; only entities with events there have one.
+
+    ``how`` is 1 or 0 for ``any`` or ``every`` true outcome (a null one says nothing; null if all are), else ``count``
+    (of outcomes that are not null), ``sum``, ``avg``, ``min`` or ``max`` of a numeric outcome. Those are of the type ``regression``, the first two ``binary``.
+    """
+    of, merge = OUTCOMES[how]
+    starts = [(d, datetime.combine(d, time())) for d in sorted(set(dates))]
+    segments = Segments([Window(d, k, at, shift(at, span)) for d, at in starts for k, span in enumerate(timespans)])
+    rows = events.select(F.col(entity).alias("entity_id"), F.col(when).alias("_when"), outcome.alias("_o"))
+    found = window_states(rows, "entity_id", "_when", segments, [State("_label", of(F.col("_o")), merge)])
+    value = merge(F.col("_label"))
+    if how in ("any", "every"):
+        value = value.cast("int")
+    elif how == "avg":
+        value = F.when(value["n"] > 0, value["m"])
+    spans = F.array(*[F.lit(s) for s in timespans])
+    labels = found.groupBy("entity_id", "as_of_date", "_slot").agg(value.alias("label"))
+    kind = label_type or ("binary" if how in ("any", "every") else "regression")
+    return labels.select("entity_id", "as_of_date", F.get(spans, F.col("_slot")).alias("label_timespan"), F.lit(name).alias("label_name"), F.lit(kind).alias("label_type"), "label")
 
 
 def assert_nonempty(df: DataFrame, what: str = "table") -> DataFrame:

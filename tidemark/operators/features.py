@@ -2,26 +2,28 @@
 
 An event counts for a date when its knowledge date lies strictly before it and, unless ``all`` is
 among the intervals, not before the date less the widest interval; each interval's aggregates see
-the events from the date less that interval on (included). All dates go through one expansion and
-one aggregation.
+the events from the date less that interval on (included). All dates and intervals share one aggregation
+by segments of time.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
-from datetime import date
+from datetime import date, datetime, time
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.intervals import back, parse_interval, shift, slug
-from tidemark.operators.entities import date_array
+from tidemark.operators.entities import date_array, entity_dates
+from tidemark.operators.segments import Segments, State, Window, comoments, merge_comoments, merge_moments, moments, window_states
 
 #: Aggregates that take the plain quantity.
 BASIC = {"count": F.count, "sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max, "stddev": F.stddev_samp, "variance": F.var_samp, "mode": lambda c: F.mode(c, True)}
-TWO = {"corr": F.corr, "regr_slope": F.regr_slope}
+TWO = ("corr", "regr_slope")
 
 
 @dataclass(frozen=True)
@@ -49,8 +51,9 @@ class Agg:
             value = F.struct(*[F.expr(p) for p in parts]) if len(parts) > 1 else F.expr(parts[0])
             out = F.count_distinct(only(value))
         elif metric in TWO:
-            x, y = self.quantity
-            out = TWO[metric](only(F.expr(x)), only(F.expr(y)))
+            y, x = (only(F.expr(q)) for q in self.quantity)
+            own = {"y": F.covar_pop(y, F.when(x.isNotNull(), y)), "x": F.covar_pop(x, F.when(y.isNotNull(), x))}  # over whole pairs
+            out = F.try_divide(F.covar_pop(y, x), F.sqrt(own["y"] * own["x"]) if metric == "corr" else own["x"])  # null without scatter
         elif metric.startswith("percentile_"):
             out = F.percentile(only(F.expr(self.quantity)), float(metric.split("_")[1]) / 100)
         else:
@@ -106,6 +109,12 @@ def _lower(intervals: Sequence[str], at: Column) -> Column | None:
     return starts[0] if len(starts) == 1 else F.least(*starts)
 
 
+def interval_windows(dates: Sequence[date], intervals: Sequence[str]) -> list[Window]:
+    """The windows before each date; slots are the intervals' places in the list."""
+    ends = [(d, datetime.combine(d, time())) for d in sorted(set(dates))]
+    return [Window(d, k, None if i == "all" else shift(at, i, -1), at) for d, at in ends for k, i in enumerate(intervals)]
+
+
 def check_floor(dates: Sequence[date], intervals: Sequence[str], floor) -> None:
     """No window may reach back before the floor."""
     for d in dates:
@@ -126,24 +135,139 @@ def known_events(events: DataFrame, when: str, dates: Sequence[date], intervals:
     if cohort is None:
         return rows.withColumn("as_of_date", F.explode(F.filter(date_array(dates), keep)))
     # One row per entity carries its dates, so events are multiplied only by dates that count.
-    own = cohort.filter(F.col("as_of_date").isin(list(dates))).groupBy("entity_id").agg(F.collect_set("as_of_date").alias("_dates"))
-    return rows.join(own, rows[entity] == own["entity_id"]).drop("entity_id" if entity != "entity_id" else own["entity_id"]).withColumn("as_of_date", F.explode(F.filter("_dates", keep))).drop("_dates")
+    own = cohort.filter(F.col("as_of_date").isin(list(dates))).groupBy(F.col("entity_id").alias("_cohort_id")).agg(F.collect_set("as_of_date").alias("_dates"))
+    joined = rows.join(own, F.col(entity) == F.col("_cohort_id"))
+    return joined.withColumn("as_of_date", F.explode(F.filter("_dates", keep))).drop("_cohort_id", "_dates")
+
+
+#: Dates up to which events are copied to their dates before one aggregation; it affects speed only.
+FEW_DATES = 4
+
+#: A quantity that is a number of days before the date: it differs between dates by their distance alone.
+_DAYS_BEFORE = re.compile(r"\s*datediff\(\s*as_of_date\s*,(?P<rest>.*)\)\s*", re.IGNORECASE | re.DOTALL)
+
+
+class _States:
+    """States of quantities, each made once, and how metrics follow from them."""
+
+    def __init__(self, ref: date):
+        self.ref, self.states = ref, {"_any": State("_any", F.count(F.lit(1)), F.sum)}
+        self.names: dict[tuple, str] = {}
+
+    def _state(self, kind: str, quantity, of: Column, merge) -> str:
+        name = self.names.setdefault((kind, quantity), f"_{kind}{len(self.names)}")
+        self.states.setdefault(name, State(name, of, merge))
+        return name
+
+    def metric(self, agg: Agg, metric: str, got) -> Column:
+        """The metric from ``got(state)``, the merged state of an interval's window."""
+        if metric in TWO:
+            y, x = (F.expr(q) for q in agg.quantity)
+            s = got(self._state("pairs", agg.quantity, comoments(y, x), merge_comoments))
+            value = F.try_divide(s["c"], F.sqrt(s["qy"] * s["qx"]) if metric == "corr" else s["qx"])
+            # What the rounding of equal values leaves is no scatter.
+            scatter = lambda q, m: s[q] > s["n"] * (s[m] * 1e-13) * (s[m] * 1e-13)
+            return F.when((s["n"] > 1) & scatter("qx", "mx") & (scatter("qy", "my") if metric == "corr" else F.lit(True)), value)
+        relative = isinstance(agg.quantity, str) and _DAYS_BEFORE.fullmatch(agg.quantity) is not None
+        text = re.sub(r"\bas_of_date\b", f"date'{self.ref}'", agg.quantity, flags=re.IGNORECASE) if relative else agg.quantity
+        x, later = F.lit(1) if text == "*" else F.expr(text), F.datediff("as_of_date", F.lit(self.ref))
+        n = F.coalesce(got(self._state("count", text, F.count(x), F.sum)), F.lit(0)) if metric in ("count", "sum", "avg") else None
+        if metric == "count":
+            return n
+        if metric in ("sum", "avg"):
+            total = got(self._state("sum", text, F.sum(x), F.sum))
+            total = total + later * n if relative else total
+            return total if metric == "sum" else F.try_divide(total, n)
+        if metric in ("min", "max"):
+            f = {"min": F.min, "max": F.max}[metric]
+            value = got(self._state(metric, text, f(x), f))
+            return value + later if relative else value
+        s = got(self._state("moments", text, moments(x), merge_moments))
+        variance = F.when(s["n"] > 1, F.try_divide(s["q"], s["n"] - 1))
+        return F.sqrt(variance) if metric == "stddev" else variance
+
+
+def _by_date(agg: Agg) -> bool:
+    """The quantity depends on the date in a way that no state of the events alone can follow."""
+    parts = agg.quantity if isinstance(agg.quantity, tuple) else (agg.quantity,)
+    relative = not agg.distinct and len(parts) == 1 and (found := _DAYS_BEFORE.fullmatch(parts[0])) and "as_of_date" not in found["rest"].lower()
+    return any("as_of_date" in p.lower() for p in parts) and not (relative and all(m in ("count", "sum", "avg", "min", "max", "stddev", "variance") for m in agg.metrics))
+
+
+def _by_value(agg: Agg, metric: str) -> bool:
+    return agg.distinct or metric == "mode" or metric.startswith("percentile_")
+
+
+def _value_metrics(agg: Agg, rows: DataFrame, entity: str, when: str, segments: Segments, intervals: Sequence[str], prefix: str, group: str, own: DataFrame | None) -> DataFrame:
+    """Metrics of the values themselves: how often an entity has each of them is counted by segment and merged for each
+    window, then distinct ones, the most frequent (the least of them) or percentiles are taken."""
+    parts = agg.quantity if isinstance(agg.quantity, tuple) else (agg.quantity,)
+    names = [f"_v{i}" for i in range(len(parts))]
+    values = rows.select(F.col(entity).alias("_e"), F.col(when).alias("_t"), *[F.expr(p).alias(n) for p, n in zip(parts, names, strict=True)])
+    if len(parts) == 1:
+        values = values.filter("_v0 is not null")
+    found = window_states(values, "_e", "_t", segments, [State("_n", F.count(F.lit(1)), F.sum)], names, own)
+    counts = found.groupBy("entity_id", *names, "as_of_date", "_slot").agg(F.sum("_n").alias("_n"))
+
+    def column(slot: int, metric: str) -> Column:
+        inside = F.col("_slot") == slot
+        if agg.distinct:
+            return F.count_if(inside)
+        if metric == "mode":
+            return F.min(F.when(inside, F.struct(-F.col("_n"), F.col("_v0").alias("v"))))["v"]
+        return F.percentile(F.when(inside, F.col("_v0")), float(metric.split("_")[1]) / 100, F.col("_n"))
+
+    columns = {feature_name(prefix, group, i, agg.name, m): column(k, m) for k, i in enumerate(intervals) for m in agg.metrics if _by_value(agg, m)}
+    return counts.groupBy("entity_id", "as_of_date").agg(*[(c.cast(agg.cast) if agg.cast else c).alias(n) for n, c in columns.items()])
+
+
+def _at_each_date(events: DataFrame, entity: str, when: str, dates: Sequence[date], intervals: Sequence[str], aggs: Sequence[Agg], prefix: str, group: str, cohort: DataFrame | None) -> DataFrame:
+    """For few dates, and for quantities that depend on the date: each event once for each date it counts for."""
+    rows = known_events(events, when, dates, intervals, cohort, entity)
+    flags = {i: None if i == "all" or intervals == [i] else F.col(when) >= back(F.col("as_of_date"), i) for i in intervals}
+    columns = [a.column(m, flags[i]).alias(feature_name(prefix, group, i, a.name, m)) for i in intervals for a in aggs for m in a.metrics]
+    return rows.groupBy(F.col(entity).alias("entity_id"), "as_of_date").agg(*columns)
 
 
 def spacetime_aggregate(events: DataFrame, entity: str, when: str, dates: Sequence[date], intervals: Sequence[str], aggs: Sequence[Agg], prefix: str, group: str = "entity_id", cohort: DataFrame | None = None, input_min: Column | None = None) -> DataFrame:
     """``entity_id, as_of_date`` and a column per interval, quantity and metric. An entity without
-    any counting event is absent; one without events in a narrow window has count 0 and sum null."""
-    rows = known_events(events, when, dates, intervals, cohort, entity, input_min)
-    widest_all = "all" in intervals
-    flags = {}
-    for i in intervals:
-        if i == "all" or (not widest_all and len(intervals) == 1):
-            flags[i] = None
-        else:
-            rows = rows.withColumn(f"_in_{slug(i)}", F.col(when) >= back(F.col("as_of_date"), i))
-            flags[i] = F.col(f"_in_{slug(i)}")
-    columns = [a.column(m, flags[i]).alias(feature_name(prefix, group, i, a.name, m)) for i in intervals for a in aggs for m in a.metrics]
-    return rows.groupBy(F.col(entity).alias("entity_id"), "as_of_date").agg(*columns)
+    any counting event is absent; one without events in a narrow window has count 0 and sum null.
+
+    Events are aggregated by entity and segment of time, whatever the number of dates (see ``segments``); metrics of
+    the values themselves by entity, value and segment. Quantities that depend on the date otherwise than as a
+    number of days before it are computed for each event and date, and so are all for up to FEW_DATES dates: that
+    takes one exchange in place of two."""
+    days, intervals = sorted(set(dates)), list(intervals)
+    rows = events if input_min is None else events.filter(F.col(when) >= input_min)
+    if len(days) <= FEW_DATES:
+        return _at_each_date(rows, entity, when, days, intervals, aggs, prefix, group, cohort)
+    own = None
+    if cohort is not None:
+        # One row per entity carries its dates.
+        own = cohort.filter(F.col("as_of_date").isin(days)).groupBy("entity_id").agg(F.collect_set(F.col("as_of_date").cast("date")).alias("_dates"))
+        rows = rows.join(own.select("entity_id").withColumnRenamed("entity_id", "_cohort"), F.col(entity) == F.col("_cohort"), "left_semi")
+    segments = Segments(interval_windows(days, intervals))
+    made = _States(days[0])
+    columns = {}
+    for k, i in enumerate(intervals):
+        got = lambda name, k=k: made.states[name].merge(F.when(F.col("_slot") == k, F.col(name)))
+        for a in aggs:
+            for m in a.metrics:
+                if not _by_date(a) and not _by_value(a, m):
+                    column = made.metric(a, m, got)
+                    columns[feature_name(prefix, group, i, a.name, m)] = column.cast(a.cast) if a.cast else column
+    states = list(made.states.values())
+    # A date that is a column of the events is not the date of the window.
+    plain = rows.drop("as_of_date") if "as_of_date" in rows.columns else rows
+    out = window_states(plain, entity, when, segments, states, (), own).groupBy("entity_id", "as_of_date").agg(F.sum("_any").alias("_any"), *[c.alias(n) for n, c in columns.items()]).drop("_any")
+    parts = [_value_metrics(a, plain, entity, when, segments, intervals, prefix, group, own) for a in aggs if not _by_date(a) and any(_by_value(a, m) for m in a.metrics)]
+    if late := [a for a in aggs if _by_date(a)]:
+        parts.append(_at_each_date(plain, entity, when, days, intervals, late, prefix, group, cohort))
+    for p in parts:
+        p = p.withColumnsRenamed({"entity_id": "_e", "as_of_date": "_d"})
+        out = out.join(p, [F.col("entity_id").eqNullSafe(F.col("_e")), F.col("as_of_date") == F.col("_d")], "left").drop("_e", "_d")
+    named = [(feature_name(prefix, group, i, a.name, m), a.distinct or m == "count") for i in intervals for a in aggs for m in a.metrics]
+    return out.select("entity_id", "as_of_date", *[(F.coalesce(F.col(f"`{n}`"), F.lit(0)) if zero else F.col(f"`{n}`")).alias(n) for n, zero in named])
 
 
 def aggregate(df: DataFrame, groups: Sequence[str], aggs: Sequence[Agg], prefix: str) -> DataFrame:
@@ -188,7 +312,7 @@ class AggExpr:
 
 def source_entity_dates(events: DataFrame, entity: str, when: str, dates: Sequence[date], intervals: Sequence[str]) -> DataFrame:
     """All (entity, date) pairs with an event that counts."""
-    return known_events(events.select(entity, when), when, dates, intervals).select(F.col(entity).alias("entity_id"), "as_of_date").distinct()
+    return entity_dates(events, entity, when, interval_windows(dates, intervals))
 
 
 def missing_feature_rows(cohort: DataFrame, features: DataFrame) -> DataFrame:
