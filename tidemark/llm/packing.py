@@ -48,7 +48,8 @@ class WordCoder:
 
         self.model = Tokenizer.from_file(path)
         self.ends = np.array([str(self.model.id_to_token(i)).endswith("</w>") for i in range(self.model.get_vocab_size())])
-        self.words, self.roots, self.tails = Cache(4_000_000), Cache(3_000_000), Cache(100_000)
+        # Words are put together from roots and tails at little cost; some 200 bytes for 8 characters.
+        self.words, self.roots, self.tails = Cache(1_200_000), Cache(2_000_000), Cache(100_000)
 
     @classmethod
     def of(cls, path: str) -> WordCoder:
