@@ -111,3 +111,21 @@ def test_lowest_variance_gates(spark):
     mixed = spark.createDataFrame([*rows, (1, "precision@", "100_abs", two, two, 0.9)], cols)
     with pytest.raises(Exception, match="without a deviation"):
         G.picks(G.rule_lowest_variance(mixed, "precision@", "100_abs")).collect()
+
+
+def test_a_share_is_a_double(spark):
+    """29 % of 100 rows are 28."""
+    p = spark.createDataFrame([(1, i, date(2016, 1, 1), float(i), i % 2) for i in range(100)], "model_id long, entity_id long, as_of_date date, score double, label int")
+    at = spark.createDataFrame([("pct", 29.0), ("pct", 10.0)], "unit string, value double")
+    assert {r.value: r.tp + r.fp for r in V.confusion(p, at, "worst").collect()} == {29.0: 28, 10.0: 10}
+
+
+def test_fallback_ranks_and_tiles(spark):
+    from pyspark.sql import Window as W
+
+    rows = [(m, date(2016, 1, d), i, float(i * 7 % 13), None if i % 4 else i, None) for m, d, n in ((1, 1, 257), (1, 2, 42), (2, 1, 100)) for i in range(n)]
+    p = spark.createDataFrame(rows, "model_id long, as_of_date date, entity_id long, score double, rank_abs_no_ties long, rank_pct_no_ties double")
+    w = W.partitionBy("model_id", "as_of_date").orderBy(F.col("score").desc(), "entity_id")
+    want = p.select("model_id", "as_of_date", "entity_id", F.coalesce("rank_abs_no_ties", F.row_number().over(w)), F.ntile(100).over(w).cast("double"))
+    got = R.fallback_ranks(p).select("model_id", "as_of_date", "entity_id", "rank_abs", "rank_pct")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))

@@ -118,3 +118,34 @@ def test_the_first_exchange_has_no_more_rows_than_events(spark, events):
     first = plan[plan.rindex("Exchange hashpartitioning") :]
     assert "Generate" not in first and "partial" in first and "explode" not in first
     assert len(re.findall(r"Exchange hashpartitioning", plan)) == 2
+
+
+def test_a_key_with_half_of_all_rows_is_parted(spark):
+    """The last known value is carried into the next parts of a key; nulls of the latest row stay."""
+    rng = random.Random(9)
+    moment = lambda: datetime(2024, 1, 1) + timedelta(hours=rng.randrange(3000))
+    history = [(0 if i % 2 else rng.randrange(40), moment(), rng.choice(["a", "b", None]), i) for i in range(3000)] + [(None, datetime(2024, 1, 2), "n", -1)]
+    asked = [(0 if i % 2 else rng.randrange(45), moment().date()) for i in range(1500)] + [(None, date(2024, 2, 1)), (0, date(2023, 1, 1))]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        left, right = spark.createDataFrame(asked, "entity_id int, as_of_date date"), spark.createDataFrame(history, "entity_id int, t timestamp_ntz, v string, nth int")
+        joined = E.as_of_join(left, right, ["entity_id"], "as_of_date", "t", ["v", "nth"], ["nth"])
+        got = joined.collect()
+        parts = spark.read.parquet(*{f.rsplit("/", 1)[0] for f in joined.inputFiles()}).filter("entity_id = 0").select("_part").distinct().count()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert parts >= 4
+    want = []
+    for e, d in asked:
+        known = [(t, n, v) for k, t, v, n in history if k == e and t < datetime.combine(d, datetime.min.time())]
+        want.append((e, d, *((max(known)[2], max(known)[1]) if known else (None, None))))
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+def test_names_of_choices():
+    with pytest.raises(ValueError, match="one name"):
+        X.compare("c", "=", ["x" * 80, "x" * 81], ("sum",))
+    assert X.compare("c" * 70, "=", [], ("sum",))[0].name.endswith("__NULL")

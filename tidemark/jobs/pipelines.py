@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import json
-import operator
 from collections.abc import Sequence
 from datetime import date, datetime
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.jobs.experiment import PLAN, experiment_models, run_experiment
 from tidemark.operators import analysis, audit, evaluate, rank, selection
 from tidemark.operators import features as X
 from tidemark.operators import impute as I
@@ -18,13 +16,8 @@ from tidemark.operators import score as B
 from tidemark.operators.entities import cohort_from_events, make_labels
 from tidemark.operators.matrix import KEYS, build_matrix, downcast, feature_groups, matrix_index, mix_groups
 from tidemark.operators.splits import TemporalConfig, chop_time, matrix_plans, training_times
-from tidemark.sources.scratch import cut
 from tidemark.sources.tables import write_results
 
-#: What a matrix of a plan is known by.
-PLAN = ("split", "split_time", "matrix_type", "timespan", "frequency")
-#: Scorers without a fit.
-BASELINES = ("linear", "prior")
 MATRIX_INTERVALS = ["7 days", "all"]
 MATRIX_AGGS = [X.Agg("n", "*", ("count",), rules={"all": "zero"}), X.Agg("value", "value", ("sum",), rules={"all": "zero"})]
 
@@ -117,70 +110,6 @@ def matrix_catalogue(matrices: DataFrame, sets: dict[str, list[str]]) -> DataFra
     return both.withColumn("matrix_uuid", F.md5(F.to_json(F.struct(*PLAN, "columns"))))
 
 
-def experiment_models(cfg: TemporalConfig, sets: dict[str, list[str]], scorers: Sequence[tuple[str, dict]]) -> list[dict]:
-    """A model for each split, set of features and scorer, numbered in this order from 1."""
-    splits = {p["split"]: p["split_time"].date() for p in matrix_plans(cfg)}
-    points = [(split, at, name, kind, params) for split, at in splits.items() for name in sets for kind, params in scorers]
-    return [{"model_id": i, "split": s, "train_end_time": at, "feature_set": n, "model_type": k, "hyperparameters": json.dumps(p, sort_keys=True)} for i, (s, at, n, k, p) in enumerate(points, 1)]
-
-
-def score_baselines(matrices: DataFrame, models: Sequence[dict], sets: dict[str, list[str]]) -> DataFrame:
-    """Predictions of all ``prior`` models (label rate of training) and ``linear`` ones (mean of the features, scaled by their
-    range in training and clipped) on the test rows, in one pass over all splits."""
-    features = sorted({c for cols in sets.values() for c in cols})
-    stats = matrices.filter("matrix_type = 'train'").groupBy("split").agg(F.avg("label").alias("_rate"), *[f(F.col(f"`{c}`")).cast("double").alias(f"_{n}{i}") for i, c in enumerate(features) for n, f in (("low", F.min), ("high", F.max))])
-
-    def scaled(c: str) -> Column:
-        i = features.index(c)
-        low, high = F.col(f"_low{i}"), F.col(f"_high{i}")
-        return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col(f"`{c}`").cast("double") - low) / F.when(high == low, 1.0).otherwise(high - low)))
-
-    def value(m: dict) -> Column:
-        cols = sets[m["feature_set"]]
-        return F.col("_rate") if m["model_type"] == "prior" else reduce(operator.add, map(scaled, cols)) / len(cols)
-
-    own = {}
-    for m in (m for m in models if m["model_type"] in BASELINES):
-        own.setdefault(m["split"], []).append(F.struct(F.lit(m["model_id"]).cast("long").alias("model_id"), F.round(value(m), 6).alias("score")))
-    lists = F.coalesce(*[F.when(F.col("split") == split, F.array(*scores)) for split, scores in own.items()])
-    rows = matrices.filter("matrix_type = 'test'").join(F.broadcast(stats), "split")  # a row per split
-    return rows.withColumn("_m", F.explode(lists)).select("_m.model_id", *KEYS, "_m.score", "label")
-
-
-def score_learned(matrices: DataFrame, models: Sequence[dict], sets: dict[str, list[str]]) -> DataFrame | None:
-    """Predictions of the learned models, fitted on their split's training rows, on its test rows."""
-    out, todo = None, [m for m in models if m["model_type"] not in BASELINES]
-    for split, name in dict.fromkeys((m["split"], m["feature_set"]) for m in todo):
-        rows = matrices.filter(F.col("split") == split)
-        for m in (m for m in todo if (m["split"], m["feature_set"]) == (split, name)):
-            grid = {m["model_type"]: {k: [v] for k, v in json.loads(m["hyperparameters"]).items()}}
-            [(_, _, model)] = B.train_grid(rows.filter("matrix_type = 'train'"), sets[name], grid)
-            one = B.score(model, rows.filter("matrix_type = 'test'")).select(F.lit(m["model_id"]).cast("long").alias("model_id"), *KEYS, F.round("score", 6).alias("score"), "label")
-            out = one if out is None else out.unionByName(one)
-    return out
-
-
-def run_experiment(matrices: DataFrame, cfg: TemporalConfig, sets: dict[str, list[str]], scorers: Sequence[tuple[str, dict]], defs: DataFrame, path: str | None = None) -> dict[str, DataFrame]:
-    """Trains and scores a model for each split, set of features and scorer; ranks and evaluates its test rows.
-
-    Gives ``models`` (with their group), ``predictions`` with ranks and ``evaluations``. With a ``path`` each is stored by
-    model, so that a run again replaces its own models' rows and leaves those of others.
-    """
-    spark = matrices.sparkSession
-    listed = experiment_models(cfg, sets, scorers)
-    rows = spark.createDataFrame([{**m, "feature_list": sets[m["feature_set"]], "model_config": "{}"} for m in listed], "model_id long, split int, train_end_time date, feature_set string, model_type string, hyperparameters string, feature_list array<string>, model_config string")
-    parts = [score_baselines(matrices, listed, sets)] if any(m["model_type"] in BASELINES for m in listed) else []
-    if (learned := score_learned(matrices, listed, sets)) is not None:
-        parts.append(learned)
-    pred = cut(reduce(DataFrame.unionByName, parts), "predictions")
-    out = {"models": selection.assign_model_groups(rows), "predictions": rank.rank_predictions(pred, "worst"), "evaluations": evaluate.evaluate(pred, defs)}
-    if path is not None:
-        for name, df in out.items():
-            write_results(df, f"{path}/{name}")
-            out[name] = spark.read.schema(df.schema).parquet(f"{path}/{name}")
-    return out
-
-
 def run_selection(dist: DataFrame, groups: DataFrame, filters: Sequence[dict], times: Sequence, grid: Sequence, metric: str, parameter: str) -> DataFrame:
     """Complete groups past the thresholds, their regrets by rule, and the mean regret."""
     good = selection.threshold_groups(dist, filters, times).join(groups, "model_group_id", "left_semi")

@@ -14,7 +14,7 @@ from tidemark.operators import importance as N
 from tidemark.operators import rank as R
 from tidemark.operators import score as B
 from tidemark.operators.splits import TemporalConfig
-from tidemark.sources.scratch import cut
+from tidemark.sources.scratch import cut, new_path
 
 REGISTER = Register()
 
@@ -472,6 +472,19 @@ def experiment_predictions(spark, d):
     return rounded(_experiment(spark, d)["predictions"].select(*_RANKS, "as_of_date"))
 
 
+_LEDGER_PRED = _EXPERIMENT_PRED.replace("split * 4 + j AS model_id", "CASE WHEN j IN (1, 3) THEN split * 2 + (j + 1) // 2 ELSE 4 + split * 2 + j // 2 END AS model_id")
+
+
+@REGISTER(f"WITH {_LEDGER_PRED} {_ranks_sql('worst').replace('entity_id)', 'entity_id, as_of_date)').replace('SELECT model_id, entity_id,', 'SELECT model_id, entity_id, as_of_date,')}")
+def experiment_ledger(spark, d):
+    """Two experiments in one path: the second adds a scorer, and the first one's models keep their ids and rows."""
+    m, path = cut(_split_matrices(spark, d), "matrices"), new_path(spark, "experiments")
+    auc = V.metric_definitions(spark, [{"metrics": ["roc_auc"]}])
+    for scorers in ([("linear", {})], [("prior", {})], [("linear", {}), ("prior", {})]):
+        out = pipelines.run_experiment(m, EVENT_CONFIG, _feature_sets(m), scorers, auc, path)
+    return rounded(out["predictions"].select(*_RANKS, "as_of_date"))
+
+
 def experiment_learned(spark, d):
     """The same with a logistic model and a tree, and the models' data beside the metrics."""
     m = cut(_split_matrices(spark, d), "matrices")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.intervals import shift
 from tidemark.operators.segments import Segments, State, Window, merge_moments, moments, window_states
+from tidemark.sources.scratch import cut
 
 
 def date_array(dates: Sequence[date]) -> Column:
@@ -154,16 +155,25 @@ def assert_schema(df: DataFrame, spec: dict[str, str]) -> DataFrame:
 def as_of_join(rows: DataFrame, history: DataFrame, keys: Sequence[str], at: str, when: str, values: Sequence[str], ties: Sequence[str] = ()) -> DataFrame:
     """The latest history row strictly before each row's time, or nulls.
 
-    Rows and history are stacked and sorted by time within the key, rows first on equal times; a
-    running last value then finds the match. No pair of row and history is ever built. Among history
-    rows of one time the largest ``ties`` win. Null values of the latest row stay null.
+    Rows and history are stacked and parted by ranges of key and time, rows first on equal times; a running last
+    value finds the match within a part, and what a key had last in the parts before is carried in. No pair of row and
+    history is ever built, and a key with half of all rows lies in many parts. Among history rows of one time the
+    largest ``ties`` win. Null values of the latest row stay null.
     """
     packed = F.struct(*[F.col(v) for v in values])
     left = rows.select(*rows.columns, F.col(at).cast("timestamp_ntz").alias("_t"), F.lit(0).alias("_side"), *[F.lit(None).cast(history.schema[t].dataType).alias(f"_tie{i}") for i, t in enumerate(ties)], F.lit(None).cast(history.select(packed.alias("v")).schema["v"].dataType).alias("_v"))
     right = history.select(*[F.col(c) if c in keys else F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns], F.col(when).cast("timestamp_ntz").alias("_t"), F.lit(1).alias("_side"), *[F.col(t).alias(f"_tie{i}") for i, t in enumerate(ties)], packed.alias("_v"))
-    w = W.partitionBy(*keys).orderBy("_t", "_side", *[f"_tie{i}" for i in range(len(ties))]).rowsBetween(W.unboundedPreceding, W.currentRow)
-    found = left.unionByName(right).withColumn("_hit", F.last("_v", ignorenulls=True).over(w)).filter("_side = 0")
-    return found.select(*rows.columns, *[F.col("_hit")[v].alias(v) for v in values])
+    order = ["_t", "_side", *[f"_tie{i}" for i in range(len(ties))]]
+    parted = cut(left.unionByName(right).repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()), "as-of")
+    within = W.partitionBy("_part", *keys).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    # Keys that lie in several parts: one at each end of a part at most, so two rows a part, however many keys there are.
+    ends = parted.groupBy(*keys, "_part").agg(F.max_by("_v", F.when(F.col("_side") == 1, F.struct(*order))).alias("_last"))
+    own = [F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)]
+    spans = ends.withColumn("_parts", F.count("*").over(W.partitionBy(*keys))).filter("_parts > 1")
+    carried = spans.select(*own, F.col("_part").alias("_at"), F.last("_last", ignorenulls=True).over(W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)).alias("_before"))
+    same = [F.col("_part") == F.col("_at"), *[F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)]]
+    found = parted.withColumn("_hit", F.last("_v", ignorenulls=True).over(within)).filter("_side = 0").join(F.broadcast(carried), same, "left")
+    return found.select(*rows.columns, *[F.coalesce("_hit", "_before")[v].alias(v) for v in values])
 
 
 def protected_as_of(cohort: DataFrame, source: DataFrame, attributes: Sequence[str], when: str, ties: Sequence[str] = ()) -> DataFrame:

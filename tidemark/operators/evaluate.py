@@ -65,8 +65,11 @@ def _thresholds(defs: DataFrame) -> DataFrame:
 
 
 def cutoffs(sizes: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """``model_id, unit, value, n, cutoff``: how many of the first rows are predicted positive."""
-    raw = F.when(F.col("unit") == "abs", F.col("value")).otherwise(F.floor(F.col("n") * F.col("value") / 100))
+    """``model_id, unit, value, n, cutoff``: how many of the first rows are predicted positive.
+
+    A share is a double before it is multiplied: 29 % of 100 are 28.999..., so 28 rows.
+    """
+    raw = F.when(F.col("unit") == "abs", F.col("value")).otherwise(F.floor(F.col("n") * (F.col("value") / 100)))
     # A handful of thresholds from a config.
     return sizes.crossJoin(F.broadcast(thresholds)).withColumn("cutoff", F.least(raw.cast("long"), F.col("n")))
 

@@ -63,14 +63,20 @@ class Agg:
 
 def compare(col: str, op: str, choices: Sequence, metrics: tuple[str, ...], include_null: bool = True, names: dict | None = None, max_len: int = 63, rules: dict | None = None) -> list[Agg]:
     """One 0/1 quantity per choice, ``col op choice``; a null column gives null and is ignored by
-    sums, except for the null indicator. Names are cut to ``max_len`` characters."""
+    sums, except for the null indicator. Names are cut to ``max_len`` characters, but for the ``__NULL`` of the indicator;
+    choices that then have one name are an error."""
+
+    def name(label: object) -> str:
+        return f"{col}_{label}"[:max_len]
+
     out = []
     for c in choices:
         literal = "NULL" if c is None else str(c) if isinstance(c, (int, float)) else "'" + str(c).replace("'", "''") + "'"
-        label = (names or {}).get(c, c)
-        out.append(Agg(f"{col}_{label}"[:max_len], f"cast(`{col}` {op} {literal} as int)", metrics, rules=rules or {}, categorical=True))
+        out.append(Agg(name((names or {}).get(c, c)), f"cast(`{col}` {op} {literal} as int)", metrics, rules=rules or {}, categorical=True))
     if include_null:
-        out.append(Agg(f"{col}__NULL"[:max_len], f"cast(`{col}` is null as int)", metrics, rules=rules or {}, categorical=True))
+        out.append(Agg(col[: max_len - len("__NULL")] + "__NULL", f"cast(`{col}` is null as int)", metrics, rules=rules or {}, categorical=True))
+    if len({a.name for a in out}) < len(out):
+        raise ValueError(f"choices of {col} have one name within {max_len} characters: give them names")
     return out
 
 

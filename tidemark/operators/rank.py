@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import operator
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -57,13 +60,30 @@ def top_k(pred: DataFrame, rank_col: str, k: float) -> DataFrame:
     return pred.filter(F.col(rank_col) <= k)
 
 
-def missing_predictions(models: DataFrame, pred: DataFrame, dates: DataFrame) -> DataFrame:
-    """(model, date) without predictions, or with a row that has no rank."""
-    done = pred.groupBy("model_id", "as_of_date").agg(F.bool_or(F.col("rank_abs_no_ties").isNull()).alias("_gap")).filter("not _gap")
+RANKS = ("rank_abs_no_ties", "rank_abs_with_ties", "rank_pct_no_ties", "rank_pct_with_ties")
+
+
+def missing_predictions(models: DataFrame, pred: DataFrame, dates: DataFrame, tie_rule: str | None = None) -> DataFrame:
+    """(model, date) without predictions, with a row that lacks one of the ranks that are stored, or ranked by another
+    ``tie_rule`` than the one asked for."""
+    faults = [F.col(c).isNull() for c in RANKS if c in pred.columns]
+    if tie_rule is not None:
+        faults.append(~F.col("tie_rule").eqNullSafe(F.lit(tie_rule)))
+    done = pred.groupBy("model_id", "as_of_date").agg(F.bool_or(reduce(operator.or_, faults, F.lit(False))).alias("_gap")).filter("not _gap")
     return models.select("model_id").crossJoin(F.broadcast(dates.select("as_of_date").distinct())).join(done, ["model_id", "as_of_date"], "left_anti")  # a list of dates
 
 
 def fallback_ranks(pred: DataFrame) -> DataFrame:
-    """Stored ranks, or where they are missing the row number and percentile by score."""
-    w = W.partitionBy("model_id", "as_of_date").orderBy(F.col("score").desc(), "entity_id")
-    return pred.select("model_id", "as_of_date", "entity_id", "score", F.coalesce("rank_abs_no_ties", F.row_number().over(w)).alias("rank_abs"), F.coalesce(F.col("rank_pct_no_ties") * 100, F.ntile(100).over(w)).cast("double").alias("rank_pct"))
+    """Stored ranks, or where they are missing the row number and percentile by score within model and date.
+
+    Rows are numbered by ranges. Of n rows in 100 tiles the first n % 100 tiles have one row more, so a tile follows from
+    the number.
+    """
+    by = ["model_id", "as_of_date"]
+    numbered = running_totals(pred, by, [F.col("score").desc(), F.col("entity_id").asc()], {"_nth": F.lit(1).cast("long")})
+    sizes = pred.groupBy(*[F.col(c).alias(f"_{c}") for c in by]).agg(F.count("*").alias("_n"))
+    rows = numbered.join(sizes, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by])
+    small, more = F.floor(F.col("_n") / 100), F.col("_n") % 100
+    long_tiles = more * (small + 1)  # rows in tiles with one row more
+    tile = F.when(F.col("_nth") <= long_tiles, F.floor((F.col("_nth") - 1) / (small + 1)) + 1).otherwise(more + F.floor((F.col("_nth") - long_tiles - 1) / F.greatest(small, F.lit(1))) + 1)
+    return rows.select(*by, "entity_id", "score", F.coalesce("rank_abs_no_ties", F.col("_nth")).alias("rank_abs"), F.coalesce(F.col("rank_pct_no_ties") * 100, tile).cast("double").alias("rank_pct"))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.order import value_ranks
+from tidemark.sources.scratch import cut
 
 _OPS = {">": operator.gt, ">=": operator.ge, "<": operator.lt, "<=": operator.le, "==": operator.eq}
 
@@ -82,19 +83,13 @@ def score_prior(train: DataFrame, test: DataFrame) -> DataFrame:
     return test.crossJoin(F.broadcast(train.agg(F.avg("label").alias("score"))))
 
 
-def _assembled(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    from pyspark.ml.feature import VectorAssembler
-
-    return VectorAssembler(inputCols=list(cols), outputCol="_features", handleInvalid="skip").transform(df)
-
-
 def train_scaled_lr(train: DataFrame, cols: Sequence[str], **params):
     """Logistic regression on min–max scaled features."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import MinMaxScaler, VectorAssembler
 
-    stages = [VectorAssembler(inputCols=list(cols), outputCol="_raw", handleInvalid="skip"), MinMaxScaler(inputCol="_raw", outputCol="_features"), LogisticRegression(featuresCol="_features", labelCol="label", **params)]
+    stages = [VectorAssembler(inputCols=list(cols), outputCol="_raw", handleInvalid="error"), MinMaxScaler(inputCol="_raw", outputCol="_features"), LogisticRegression(featuresCol="_features", labelCol="label", **params)]
     return Pipeline(stages=stages).fit(train)
 
 
@@ -112,22 +107,26 @@ def train_grid(train: DataFrame, cols: Sequence[str], grid: dict[str, dict[str,
     from pyspark.ml.feature import VectorAssembler
 
     kinds = {"tree": DecisionTreeClassifier, "forest": RandomForestClassifier, "boosted": GBTClassifier, "logistic": LogisticRegression}
-    assembler = VectorAssembler(inputCols=list(cols), outputCol="_features", handleInvalid="skip")
-    data = train.persist()
+    assembler = VectorAssembler(inputCols=list(cols), outputCol="_features", handleInvalid="error")
+    if train.isEmpty():
+        raise ValueError("no rows to train on")
+    data = cut(train.select("label", *[F.col(f"`{c}`") for c in cols]), "train")
 
     def fit(point: tuple[str, dict]) -> tuple[str, dict, object]:
         kind, params = point
         return kind, params, Pipeline(stages=[assembler, kinds[kind](featuresCol="_features", labelCol="label", **params)]).fit(data)
 
-    try:
-        with ThreadPoolExecutor(4) as pool:
-            return list(pool.map(fit, flatten_grid(grid)))
-    finally:
-        data.unpersist()
+    with ThreadPoolExecutor(4) as pool:
+        return list(pool.map(fit, flatten_grid(grid)))
 
 
 def score(model, matrix: DataFrame) -> DataFrame:
-    """``entity_id, as_of_date, score, label``: probability of class 1."""
+    """``entity_id, as_of_date, score, label``: probability of class 1; 0 by a model that saw class 0 only, null for a
+    row with a null feature."""
     from pyspark.ml.functions import vector_to_array
 
-    return model.transform(matrix).select("entity_id", "as_of_date", vector_to_array("probability")[1].alias("score"), "label")
+    cols = model.stages[0].getInputCols()
+    whole = reduce(operator.and_, [F.col(f"`{c}`").isNotNull() & ~F.isnan(F.col(f"`{c}`")) for c in cols])
+    rows = matrix.select("entity_id", "as_of_date", "label", whole.alias("_whole"), *[F.when(whole, F.col(f"`{c}`")).otherwise(F.lit(0)).alias(c) for c in cols])
+    one = F.coalesce(F.get(vector_to_array("probability"), F.lit(1)), F.lit(0.0))
+    return model.transform(rows).select("entity_id", "as_of_date", F.when(F.col("_whole"), one).alias("score"), "label")

@@ -47,8 +47,9 @@ def read_matrix(spark: SparkSession, path: str, schema, fmt: str = "parquet") ->
 
 
 def write_results(df: DataFrame, path: str, by: Sequence[str] = ("model_id",)) -> None:
-    """Replaces the partitions ``by`` that ``df`` has and leaves the others."""
-    df.repartition(*by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+    """Replaces the partitions ``by`` that ``df`` has and leaves the others. Rows of a partition are brought together
+    as far as a task can take them: a large one is several files."""
+    df.hint("rebalance", *by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
 def write_predictions(df: DataFrame, path: str) -> None:
