@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import free_names
 from tidemark.sources.scratch import cut
 
-#: A broadcast table of boilerplate lines has at most so many lines (48 bytes each).
+#: A broadcast table of boilerplate lines has at most so many lines (64 bytes each).
 BROADCAST_LINES = 50_000
 
 
@@ -39,7 +39,7 @@ def _full(line: Column) -> Column:
 
 
 def boilerplate_lines(docs: DataFrame, site: Column, max_ratio: float = 0.1, min_pages: int = 5) -> DataFrame:
-    """``_site, line`` (digest): lines on more than ``max_ratio`` of a site's pages, ``min_pages`` at least.
+    """``_site, line`` (digest in hexadecimal): lines on more than ``max_ratio`` of a site's pages, ``min_pages`` at least.
 
     A page counts once for a line however often it has it. Counting is a sum with a map-side combine,
     so a line on each page of a huge site is no hot group.
@@ -47,7 +47,7 @@ def boilerplate_lines(docs: DataFrame, site: Column, max_ratio: float = 0.1, min
     # A null site is a site of its own.
     pages = docs.select(F.coalesce(site, F.lit("\0")).alias("_site"), "text")
     total = pages.groupBy("_site").agg(F.count("*").alias("pages"))
-    digests = F.array_distinct(F.transform(F.filter(_lines(F.col("text")), _full), lambda x: F.unhex(F.md5(x))))
+    digests = F.array_distinct(F.transform(F.filter(_lines(F.col("text")), _full), F.md5))
     counts = pages.select("_site", F.explode(digests).alias("line")).groupBy("_site", "line").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
     return counts.join(total, "_site").filter(F.col("n") > max_ratio * F.col("pages")).select("_site", "line")
 
@@ -66,12 +66,15 @@ def line_dedup(docs: DataFrame, site: Column, max_ratio: float = 0.1, min_pages:
     if found.count() <= BROADCAST_LINES:
         lists = F.broadcast(lists)
     names = free_names(docs, "_n_lines", "_n_dropped")
-    stay = F.filter("_all", lambda x: ~(_full(x) & F.array_contains(F.col("_drop"), F.unhex(F.md5(x)))))
+    # Sets of strings are met by hashing, so a page costs its lines and its site's list, not their product.
+    hit = F.array_intersect(F.transform("_all", F.md5), "_drop")
+    stay = F.when(F.size("_hit") == 0, F.col("_all")).otherwise(F.filter("_all", lambda x: ~(_full(x) & F.array_contains(F.col("_hit"), F.md5(x)))))
     text = F.when(F.col("_drop").isNull(), F.col("text")).otherwise(F.array_join("_stay", "\n"))
     return (
         docs.select(F.struct("*").alias("_row"), "text", F.coalesce(site, F.lit("\0")).alias("_site"))
         .join(lists, "_site", "left")
         .withColumn("_all", _lines(F.col("text")))
+        .withColumn("_hit", F.when(F.col("_drop").isNotNull(), hit))
         .withColumn("_stay", F.when(F.col("_drop").isNull(), F.col("_all")).otherwise(stay))
         .select(
             *[text.alias(c) if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns],
