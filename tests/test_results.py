@@ -164,3 +164,39 @@ def test_group_crosstab_by_place(spark):
             n = {(y, up): mine.count((y, up)) for y in (0, 1) for up in (True, False)}
             want[name, kind] = (len(mine), n[0, True] + n[1, True], n[0, False] + n[1, False], n[1, True], n[0, True], n[0, False], n[1, False], k)
     assert got == want
+
+
+def test_crosstabs_of_thousands_of_features(spark):
+    """2,000 features by ten cutoffs of two rank columns, against numpy; the plan has no expression for each."""
+    import numpy as np
+
+    from tidemark.operators import analysis as A
+
+    rng = np.random.default_rng(3)
+    n, width = 60, 2000
+    x = rng.normal(size=(n, width)).round(3)
+    x[rng.random(x.shape) < 0.1] = np.nan
+    day = date(2016, 1, 1)
+    names = [f"f{i}" for i in range(width)]
+    import pandas as pd
+
+    frame = pd.concat([pd.DataFrame({"entity_id": range(n), "as_of_date": [day] * n}), pd.DataFrame(x, columns=names)], axis=1)
+    matrix = spark.createDataFrame(frame)
+    pred = spark.createDataFrame([(m, i, day, (i * m) % n + 1, None if i == 5 else ((i * m) % n + 1) / n) for m in (1, 7) for i in range(n)], "model_id long, entity_id long, as_of_date date, r long, p double")
+    cuts = [("r", float(k)) for k in (1, 3, 10, 20, 60)] + [("p", k / 10) for k in (1, 2, 5, 9, 10)]
+    got = {(r.model_id, r.threshold_type, r.threshold, r.feature): r for r in A.crosstabs(pred, matrix, names, cuts).collect()}
+    assert len(got) == 2 * len(cuts) * width
+    for m in (1, 7):
+        rank = np.array([(i * m) % n + 1 for i in range(n)], float)
+        share = np.where(np.arange(n) == 5, np.nan, rank / n)
+        for c, k in cuts:
+            side = (rank if c == "r" else share) <= k
+            rest = (rank if c == "r" else share) > k
+            for f in (0, 1, 999, 1999):
+                r = got[m, c, k, f"f{f}"]
+                for name, rows in (("pos", side), ("neg", rest)):
+                    v = x[rows, f]
+                    v = v[~np.isnan(v)]
+                    assert (r[f"count_{name}"], r[f"support_{name}"]) == (len(v), (v > 0).sum())
+                    assert r[f"mean_{name}"] == (pytest.approx(v.mean(), abs=1e-9) if len(v) else None)
+                    assert r[f"std_{name}"] == (pytest.approx(v.std(ddof=1), abs=1e-9) if len(v) > 1 else None)

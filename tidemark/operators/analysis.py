@@ -2,36 +2,102 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.order import running_totals
 from tidemark.functions.ttail import t_p_value
 from tidemark.operators.evaluate import score_groups
+from tidemark.operators.segments import merge_moments
 
 KEYS = ["entity_id", "as_of_date"]
 
 
+#: Cells of a task's tables before it hands them on: groups of rows by features.
+CELLS = 1_000_000
+
+
+def _feature_moments(n_features: int):
+    """A task's numbers, means, squared deviations and positive values of all features, by model and place.
+
+    Rows come with a list of their models and places; each is read once into arrays.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list[np.ndarray]] = {}
+
+        def emit() -> pa.RecordBatch:
+            keys, values = list(held), list(held.values())
+            whole = lambda k: pa.array([v[k].astype("int64").tolist() for v in values], pa.list_(pa.int64()))
+            real = lambda k: pa.array([v[k].tolist() for v in values], pa.list_(pa.float64()))
+            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([list(k[1:]) for k in keys], pa.list_(pa.int32())), whole(0), real(1), real(2), whole(3)], names=["model_id", "_places", "n", "m", "q", "u"])
+
+        for batch in batches:
+            x = np.column_stack([batch.column(f"x{i}").to_numpy(zero_copy_only=False).astype(float) for i in range(n_features)])
+            groups: dict[tuple, list[int]] = {}
+            for row, own in enumerate(batch.column("_models").to_pylist()):
+                for g in own:
+                    groups.setdefault((g["model_id"], *g["places"]), []).append(row)
+            for key, rows in groups.items():
+                part = x[rows]
+                there = ~np.isnan(part)
+                n = there.sum(axis=0)
+                mean = np.where(there, part, 0.0).sum(axis=0) / np.maximum(n, 1)
+                q = (np.where(there, part - mean, 0.0) ** 2).sum(axis=0)
+                u = (np.where(there, part, 0.0) > 0).sum(axis=0)
+                old = held.get(key)
+                if old is not None:
+                    total = old[0] + n
+                    share, d = n / np.maximum(total, 1), mean - old[1]
+                    n, mean, q, u = total, old[1] + d * share, old[2] + q + d * d * old[0] * share, old[3] + u
+                held[key] = [n, mean, q, u]
+            if len(held) * n_features > CELLS:
+                yield emit()
+                held.clear()
+        yield emit()
+
+    return run
+
+
 def crosstabs(pred: DataFrame, matrix: DataFrame, features: Sequence[str], thresholds: Sequence[tuple[str, float]]) -> DataFrame:
     """Predicted positives against the rest, per model, threshold (rank column, at most) and feature.
 
-    One wide aggregation per model; its few rows are then turned into long form, so rows are never
-    multiplied by features or thresholds.
+    A row's place among the cutoffs says on which side of each it is, so rows are counted once, by place, and
+    spread over thresholds afterwards. Each matrix row meets the places it has by all models at once; tasks keep moments of
+    all features as arrays, so thousands of features are no thousands of expressions. Null and NaN features
+    count nowhere; rows without the rank are on neither side.
     """
-    rows = pred.join(matrix.select(*KEYS, *[F.col(f"`{f}`").cast("double").alias(f"x{i}") for i, f in enumerate(features)]), KEYS)
-    aggs, parts = [], []
-    for j, (col, most) in enumerate(thresholds):
-        for i, f in enumerate(features):
-            for side, inside in (("p", F.col(col) <= most), ("n", ~(F.col(col) <= most))):
-                x, k = F.when(inside, F.col(f"x{i}")), f"{side}{j}_{i}"
-                aggs += [F.count(x).alias(f"c_{k}"), F.avg(x).alias(f"m_{k}"), F.stddev_samp(x).alias(f"s_{k}"), F.count_if(x > 0).alias(f"u_{k}")]
-            values = [F.col(f"{m}_{side}{j}_{i}").alias(f"{name}_{long}") for side, long in (("p", "pos"), ("n", "neg")) for m, name in (("c", "count"), ("m", "mean"), ("s", "std"), ("u", "support"))]
-            parts.append(F.struct(F.lit(col).alias("threshold_type"), F.lit(float(most)).alias("threshold"), F.lit(f).alias("feature"), *values))
-    long = rows.groupBy("model_id").agg(*aggs).select("model_id", F.explode(F.array(*parts)).alias("r")).select("model_id", "r.*")
+    columns = list(dict.fromkeys(c for c, _ in thresholds))
+    cutoffs = {c: sorted({float(k) for own, k in thresholds if own == c}) for c in columns}
+    place = lambda c: F.when(F.col(c).isNull(), -1).otherwise(F.size(F.filter(F.array(*map(F.lit, cutoffs[c])), lambda k: k < F.col(c))))
+    placed = pred.groupBy(*KEYS).agg(F.collect_list(F.struct(F.col("model_id").cast("long").alias("model_id"), F.array(*map(place, columns)).alias("places"))).alias("_models"))
+    rows = placed.join(matrix.select(*KEYS, *[F.col(f"`{f}`").cast("double").alias(f"x{i}") for i, f in enumerate(features)]), KEYS).drop(*KEYS)
+    states = rows.mapInArrow(_feature_moments(len(features)), "model_id long, _places array<int>, n array<long>, m array<double>, q array<double>, u array<long>")
+    each = states.select("model_id", "_places", F.posexplode(F.arrays_zip("n", "m", "q", "u")).alias("_i", "_s")).filter("_s.n > 0")
+    # A state for each task.
+    moments = each.groupBy("model_id", "_places", "_i").agg(merge_moments(F.struct("_s.n", "_s.m", "_s.q")).alias("_s"), F.sum("_s.u").alias("_u"))
+    table = F.array(*[F.struct(F.lit(c).alias("threshold_type"), F.lit(float(k)).alias("threshold"), F.lit(columns.index(c)).alias("_c"), F.lit(cutoffs[c].index(float(k))).alias("_k")) for c, k in thresholds])
+    own = F.get("_places", F.col("_t._c"))
+    spread = moments.withColumn("_t", F.explode(table)).withColumn("_side", F.when(own >= 0, own <= F.col("_t._k"))).filter("_side is not null")
+
+    def side(inside: Column, name: str) -> list[Column]:
+        s = merge_moments(F.when(inside, F.col("_s")))
+        n = s["n"]
+        return [n.alias(f"count_{name}"), F.when(n > 0, s["m"]).alias(f"mean_{name}"), F.when(n > 1, F.sqrt(s["q"] / (n - 1))).alias(f"std_{name}"), F.coalesce(F.sum(F.when(inside, F.col("_u"))), F.lit(0)).alias(f"support_{name}")]
+
+    sums = spread.groupBy("model_id", "_t.threshold_type", "_t.threshold", "_i").agg(*side(F.col("_side"), "pos"), *side(~F.col("_side"), "neg"))
+    names = F.split(F.lit("\x1f".join(features)), "\x1f")
+    # Features without any value have a row too.
+    models = pred.select(F.col("model_id").cast("long").alias("model_id")).distinct()
+    all_rows = models.withColumn("_t", F.explode(table)).select("model_id", "_t.threshold_type", "_t.threshold", F.posexplode(names).alias("_i", "feature"))
+    long = all_rows.join(sums, ["model_id", "threshold_type", "threshold", "_i"], "left").drop("_i")
+    long = long.withColumns({f"{k}_{s}": F.coalesce(F.col(f"{k}_{s}"), F.lit(0)) for k in ("count", "support") for s in ("pos", "neg")})
     ratio = F.try_divide(F.col("mean_pos"), F.col("mean_neg"))
     return long.withColumns({
         "ratio": ratio, "max_ratio": F.greatest(ratio, F.try_divide(F.lit(1.0), ratio)),
