@@ -24,7 +24,7 @@ from tidemark.sources.scratch import cut
 #: Pieces of one length are ranked in groups of about so many, so no length is ranked in one task.
 PER_SALT = 1_000
 #: Characters of whole texts that a task tokenizes at a time.
-SLICE = 2_000_000
+SLICE = 1_000_000
 
 
 #: A run of letters and the punctuation behind it, up to Latin Extended-B; an apostrophe may begin a
@@ -49,7 +49,7 @@ class WordCoder:
         self.model = Tokenizer.from_file(path)
         self.ends = np.array([str(self.model.id_to_token(i)).endswith("</w>") for i in range(self.model.get_vocab_size())])
         # Words are put together from roots and tails at little cost; some 200 bytes for 8 characters.
-        self.words, self.roots, self.tails = Cache(1_200_000), Cache(2_000_000), Cache(100_000)
+        self.words, self.roots, self.tails = Cache(800_000), Cache(1_000_000), Cache(100_000)
 
     @classmethod
     def of(cls, path: str) -> WordCoder:
