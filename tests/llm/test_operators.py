@@ -48,6 +48,25 @@ def test_index_takes_more_runs(spark, tmp_path):
     assert index.lookup(hashlib.sha256(b"t0").digest()).first().keep_id == 0
 
 
+def test_levels_and_filters_of_the_index(spark, tmp_path):
+    """Runs are merged level by level and deleted; look-ups skip files by range and filter, and a filter turns rows away."""
+    index = exactdedup.DigestIndex(spark, str(tmp_path / "index"), fan=2)
+    keyed = lambda ids: spark.createDataFrame([(i, f"t{i % 40}") for i in ids], "doc_id long, text string").withColumn("digest", exactdedup.sha256_digest(F.col("text")))
+    shape = []
+    for k in range(4):
+        index.flush(keyed(range(10 * k, 10 * k + 10)))
+        shape.append([len(level) for level in index.levels])
+    assert shape == [[1], [0, 1], [1, 1], [0, 0, 1]]
+    index.flush(keyed([5, 100, 100]))
+    merged = {r.digest: (r.keep_id, r.n) for r in index.compact().collect()}
+    assert len(index.runs) == 1 and len(merged) == 40 and merged[hashlib.sha256(b"t5").digest()] == (5, 2) and merged[hashlib.sha256(b"t20").digest()] == (20, 3)
+    assert [p.name for p in (tmp_path / "index").glob("level*/run*")] == ["run-00009"]
+    marked = common.with_maybe(keyed(range(40)), index.filter(), "_maybe", "digest")
+    assert {r.doc_id for r in marked.filter("_maybe").collect()} >= {5, 20} and marked.filter("_maybe").count() < 6
+    index.drop()
+    assert not (tmp_path / "index").exists()
+
+
 def test_line_dedup(docs, rows):
     site = lambda r: r[3]
     pages, hits = Counter(map(site, rows)), Counter()
