@@ -98,6 +98,26 @@ def test_tables_score_as_the_models_do(spark, matrices):
     assert {(r.model_id, r.entity_id): r.score for r in wide.collect()} == {(i, e): s for i in range(50) for (m, e), s in got.items() if m == i % 8}
 
 
+def test_results_of_stored_models(spark, matrices, tmp_path):
+    """Training rows, a subset, importances and an audit of models in a path."""
+    path = f"file://{tmp_path}/store"
+    P.run_experiment(matrices, CONFIG, SETS, [("logistic", {"maxIter": 3}), ("tree", {"maxDepth": 2})], defs(spark), path)
+    subset = matrices.filter("entity_id < 30").select("entity_id", "as_of_date")
+    people = matrices.select("entity_id", "as_of_date").distinct().withColumn("side", F.when(F.col("entity_id") < 20, "a").otherwise("b"))
+    at = spark.createDataFrame([("abs", 15.0)], "unit string, value double")
+    out = P.experiment_results(matrices, path, defs(spark), {"young": subset}, people, ["side"], at, top=1)
+    got = {(r.model_id, r.matrix_type, r.subset, r.metric): r for r in out["evaluations"].collect()}
+    assert len(got) == 8 * 2 * 2 * 2
+    assert got[1, "train", "", "roc_auc"].num_labeled_examples == 60 and got[1, "train", "young", "roc_auc"].num_labeled_examples == 30
+    test = {(r.model_id, r.metric): r.best_value for r in spark.read.parquet(f"{path}/evaluations").collect()}
+    assert {(m, k): r.best_value for (m, t, s, k), r in got.items() if (t, s) == ("test", "")} == test
+    weights = {(r.model_id, r.feature): r.feature_importance for r in out["importances"].collect()}
+    assert weights[1, "x"] > 1 and sum(v for (m, _), v in weights.items() if m == 2) == pytest.approx(1)  # odds, shares of gains
+    single = out["individual"].collect()
+    assert len(single) == 8 * 60 and {r.feature for r in single if r.model_id in (1, 2)} == {"x"}
+    assert {r.attribute_value for r in out["audit"].collect()} == {"a", "b"}
+
+
 def test_splits_that_cannot_be_learned(spark, matrices):
     """One class and no rows are listed, the rest goes on; nulls in training are an error."""
     odd = matrices.filter("not (split = 1 and matrix_type = 'train')").withColumn("label", F.when((F.col("split") == 0) & (F.col("matrix_type") == "train"), F.lit(0)).otherwise(F.col("label")))

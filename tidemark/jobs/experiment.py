@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.jobs.ledger import Ledger, content_hash, stored
-from tidemark.operators import evaluate, rank, selection
+from tidemark.operators import audit, evaluate, importance, rank, selection
 from tidemark.operators.matrix import KEYS
-from tidemark.operators.models import TABLE, Fit, fit_models, score_models, training_faults
+from tidemark.operators.models import TABLE, Fit, fit_models, importances, score_models, training_faults
 from tidemark.operators.splits import TemporalConfig, matrix_plans
 from tidemark.sources.scratch import cut
 from tidemark.sources.tables import upsert, write_results
@@ -43,9 +43,9 @@ def experiment_models(cfg: TemporalConfig, sets: dict[str, list[str]], scorers:
     ]
 
 
-def score_baselines(matrices: DataFrame, models: Sequence[dict], sets: dict[str, list[str]]) -> DataFrame:
+def score_baselines(matrices: DataFrame, models: Sequence[dict], sets: dict[str, list[str]], kind: str = "test") -> DataFrame:
     """Predictions of all ``prior`` models (label rate of training) and ``linear`` ones (mean of the features, scaled by their
-    range in training and clipped) on the test rows, in one pass over all splits."""
+    range in training and clipped) on the test (or ``train``) rows, in one pass over all splits."""
     features = sorted({c for cols in sets.values() for c in cols})
     stats = matrices.filter("matrix_type = 'train'").groupBy("split").agg(F.avg("label").alias("_rate"), *[f(F.col(f"`{c}`")).cast("double").alias(f"_{n}{i}") for i, c in enumerate(features) for n, f in (("low", F.min), ("high", F.max))])
 
@@ -62,7 +62,7 @@ def score_baselines(matrices: DataFrame, models: Sequence[dict], sets: dict[str,
     for m in (m for m in models if m["model_type"] in BASELINES):
         own.setdefault(m["split"], []).append(F.struct(F.lit(m["model_id"]).cast("long").alias("model_id"), F.round(value(m), 6).alias("score")))
     lists = F.coalesce(*[F.when(F.col("split") == split, F.array(*scores)) for split, scores in own.items()])
-    rows = matrices.filter("matrix_type = 'test'").join(F.broadcast(stats), "split")  # a row per split
+    rows = matrices.filter(F.col("matrix_type") == kind).join(F.broadcast(stats), "split")  # a row per split
     return rows.withColumn("_m", F.explode(lists)).select("_m.model_id", *KEYS, "_m.score", "label")
 
 
@@ -70,13 +70,13 @@ def _fits(models: Sequence[dict], sets: dict[str, list[str]]) -> list[Fit]:
     return [Fit(m["model_id"], m["split"], m["model_type"], json.loads(m["hyperparameters"]), tuple(sets[m["feature_set"]])) for m in models]
 
 
-def predict(matrices: DataFrame, models: Sequence[dict], sets: dict[str, list[str]], tables: DataFrame | None) -> DataFrame:
-    """Scores of the test rows: baselines in one pass, learned models (from their tables) in another."""
+def predict(matrices: DataFrame, models: Sequence[dict], sets: dict[str, list[str]], tables: DataFrame | None, kind: str = "test") -> DataFrame:
+    """Scores of the test (or ``train``) rows: baselines in one pass, learned models (from their tables) in another."""
     spark, parts = matrices.sparkSession, []
     if any(m["model_type"] in BASELINES for m in models):
-        parts.append(score_baselines(matrices, models, sets))
+        parts.append(score_baselines(matrices, models, sets, kind))
     if tables is not None and (learned := [m for m in models if m["model_type"] not in BASELINES]):
-        scored = score_models(matrices.filter("matrix_type = 'test'"), tables, _fits(learned, sets))
+        scored = score_models(matrices.filter(F.col("matrix_type") == kind), tables, _fits(learned, sets))
         parts.append(scored.withColumn("score", F.round("score", 6)))
     kinds = {f.name: f.dataType.simpleString() for f in matrices.schema}
     none = spark.createDataFrame([], f"model_id long, {KEYS[0]} {kinds[KEYS[0]]}, {KEYS[1]} {kinds[KEYS[1]]}, score double, label {kinds['label']}")
@@ -171,3 +171,47 @@ def run_experiment(matrices: DataFrame, cfg: TemporalConfig, sets: dict[str, lis
         ledger.commit(late, "evaluations", asked, table("evaluations"))
     chosen = F.col("model_id").isin(mine)
     return {"models": models, **{name: table(name).filter(chosen) for name in ("predictions", "evaluations", "skipped")}}
+
+
+def experiment_results(matrices: DataFrame, path: str, defs: DataFrame, subsets: dict[str, DataFrame] | None = None, attributes: DataFrame | None = None, names: Sequence[str] = (), thresholds: DataFrame | None = None, top: int = 5) -> dict[str, DataFrame]:
+    """What else is asked of the models that are stored in a path and whose splits the matrices have.
+
+    ``evaluations`` by ``matrix_type`` (training rows are scored here, test scores are stored) and ``subset`` (entity
+    dates, ``""`` for all): all of them go through one table of score groups. ``importances`` of the learned models, ranked,
+    ``individual`` ones of the test rows for the ``top`` features, and with ``attributes`` an ``audit`` of the test rows.
+    """
+    spark, ledger = matrices.sparkSession, Ledger(matrices.sparkSession, path)
+    splits = [r.split for r in matrices.select("split").distinct().collect()]
+    skipped = stored(spark, f"{path}/skipped", "reason string, model_id long").select("model_id")
+    plan = [r.asDict() for r in ledger.models().filter(F.col("split").isin(splits)).join(skipped, "model_id", "left_anti").collect()]  # a config's models
+    sets = {f"{m['model_id']}": m["feature_list"] for m in plan}
+    for m in plan:
+        m["feature_set"] = f"{m['model_id']}"
+    ids = [m["model_id"] for m in plan]
+    tables = stored(spark, f"{path}/tables", f"{TABLE.removeprefix('model_id long, ')}, model_id long").filter(F.col("model_id").isin(ids))
+    base = ["model_id", *KEYS, "score", "label"]
+    test = spark.read.parquet(f"{path}/predictions").filter(F.col("model_id").isin(ids)).select(*base)
+    train = cut(predict(matrices, plan, sets, tables, "train").select(*base), "train-scores")
+
+    # A model, type of matrix and subset is a model of its own to the metrics.
+    kinds = [(t, s) for s in ("", *sorted(subsets or {})) for t in ("train", "test")]
+    rows = None
+    for code, (kind, name) in enumerate(kinds):
+        one = train if kind == "train" else test
+        if name:
+            one = one.join(subsets[name].select(*KEYS).distinct(), list(KEYS), "left_semi")
+        one = one.withColumn("model_id", (F.col("model_id") * len(kinds) + code).cast("long"))
+        rows = one if rows is None else rows.unionByName(one)
+    found = evaluate.evaluate(rows, defs)
+    place = F.pmod(F.col("model_id"), F.lit(len(kinds))).cast("int")
+    named = [F.get(F.array(*[F.lit(k[i]) for k in kinds]), place).alias(n) for i, n in enumerate(("matrix_type", "subset"))]
+    out = {"evaluations": found.select(F.floor(F.col("model_id") / len(kinds)).cast("long").alias("model_id"), *named, *[c for c in found.columns if c != "model_id"])}
+    weights = importances(tables)
+    out["importances"] = importance.rank_importances(weights)
+    if any(m["model_type"] not in BASELINES for m in plan):
+        own = F.broadcast(spark.createDataFrame([(m["model_id"], m["split"]) for m in plan], "model_id long, split int"))
+        out["individual"] = importance.individual_importance(matrices.filter("matrix_type = 'test'"), weights.join(own, "model_id"), top, ["split"])
+    if attributes is not None:
+        ct = audit.group_crosstab(rank.rank_predictions(test, "worst"), attributes, names, thresholds)
+        out["audit"] = audit.parity(audit.disparity(audit.group_rates(ct), "majority"))
+    return out

@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from datetime import date, datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.jobs.experiment import PLAN, experiment_models, run_experiment
+from tidemark.jobs.experiment import BASELINES, PLAN, experiment_models, experiment_results, run_experiment
+from tidemark.jobs.ledger import Ledger
 from tidemark.operators import analysis, audit, evaluate, rank, selection
 from tidemark.operators import features as X
 from tidemark.operators import impute as I
 from tidemark.operators import score as B
 from tidemark.operators.entities import cohort_from_events, make_labels
-from tidemark.operators.matrix import KEYS, build_matrix, downcast, feature_groups, matrix_index, mix_groups
+from tidemark.operators.matrix import KEYS, align_columns, build_matrix, downcast, feature_groups, matrix_index, mix_groups
+from tidemark.operators.models import Fit, score_models
 from tidemark.operators.splits import TemporalConfig, chop_time, matrix_plans, training_times
 from tidemark.sources.tables import write_results
 
@@ -22,23 +26,85 @@ MATRIX_INTERVALS = ["7 days", "all"]
 MATRIX_AGGS = [X.Agg("n", "*", ("count",), rules={"all": "zero"}), X.Agg("value", "value", ("sum",), rules={"all": "zero"})]
 
 
+@dataclass(frozen=True)
+class FeatureSpec:
+    """Aggregates over windows of the events that meet a condition (SQL)."""
+
+    prefix: str
+    group: str
+    intervals: tuple[str, ...]
+    aggs: tuple[X.Agg, ...]
+    condition: str | None = None
+
+    def of(self, events: DataFrame, spec: MatrixSpec, cohort: DataFrame, dates: Sequence[date]) -> DataFrame:
+        rows = events if self.condition is None else events.filter(self.condition)
+        raw = X.spacetime_aggregate(rows, spec.entity, spec.when, dates, self.intervals, self.aggs, self.prefix, self.group, cohort)
+        return I.impute(cohort, raw, I.resolve_rules(self.prefix, self.group, self.intervals, self.aggs))
+
+
+@dataclass(frozen=True)
+class MatrixSpec:
+    """What a user's matrices are made of: whose events and when, who is in the cohort (by a condition, in SQL, on an event
+    before the date, or ``within`` a time before it), the outcome (SQL) and how it makes a label, and features
+    with their imputation rules."""
+
+    entity: str = "user_id"
+    when: str = "ts"
+    outcome: str = "event_type = 'purchase'"
+    how: str = "any"
+    condition: str | None = None
+    within: str | None = None
+    features: tuple[FeatureSpec, ...] = (FeatureSpec("ev", "user", tuple(MATRIX_INTERVALS), tuple(MATRIX_AGGS)),)
+
+    def cohort(self, events: DataFrame, dates: Sequence[date]) -> DataFrame:
+        return cohort_from_events(events, self.entity, self.when, dates, None if self.condition is None else F.expr(self.condition), self.within)
+
+    def labels(self, events: DataFrame, dates: Sequence[date], timespans: Sequence[str]) -> DataFrame:
+        return make_labels(events, self.entity, self.when, dates, timespans, F.expr(self.outcome), how=self.how)
+
+    def matrix_features(self, events: DataFrame, cohort: DataFrame, dates: Sequence[date]) -> DataFrame:
+        """Imputed features of the cohort's rows."""
+        parts = [f.of(events, self, cohort, dates) for f in self.features]
+        return reduce(lambda a, b: a.join(b, list(KEYS)), parts)
+
+
+#: Users by their events, labelled by purchases.
+USERS = MatrixSpec()
+
+
 def matrix_features(events: DataFrame, cohort: DataFrame, dates: Sequence[date]) -> DataFrame:
-    """Imputed features of the cohort's rows."""
-    raw = X.spacetime_aggregate(events, "user_id", "ts", dates, MATRIX_INTERVALS, MATRIX_AGGS, "ev", "user", cohort)
-    return I.impute(cohort, raw, I.resolve_rules("ev", "user", MATRIX_INTERVALS, MATRIX_AGGS))
+    """Imputed features of users in a cohort."""
+    return USERS.matrix_features(events, cohort, dates)
 
 
-def training_matrix(events: DataFrame, dates: Sequence[date], timespan: str = "7 days") -> DataFrame:
+def training_matrix(events: DataFrame, dates: Sequence[date], timespan: str = "7 days", spec: MatrixSpec = USERS) -> DataFrame:
     """Splits given: cohort, labels, features, imputation and matrix for all dates at once."""
-    cohort = cohort_from_events(events, "user_id", "ts", dates)
-    labels = make_labels(events, "user_id", "ts", dates, [timespan], F.col("event_type") == "purchase")
-    return build_matrix(matrix_index(cohort, labels, dates, "train"), [matrix_features(events, cohort, dates)], labels)
+    cohort, labels = spec.cohort(events, dates), spec.labels(events, dates, [timespan])
+    return build_matrix(matrix_index(cohort, labels, dates, "train"), [spec.matrix_features(events, cohort, dates)], labels)
 
 
-def forward_matrix(events: DataFrame, day: date) -> DataFrame:
-    """Rows to score on a day that has no labels yet."""
-    cohort = cohort_from_events(events, "user_id", "ts", [day])
-    return build_matrix(cohort.select(*KEYS), [matrix_features(events, cohort, [day])], None)
+def forward_matrix(events: DataFrame, day: date, spec: MatrixSpec = USERS, columns: Sequence[str] | None = None) -> DataFrame:
+    """Rows to score on a day that has no labels yet, with the features ``columns`` of a model, where given, in
+    their order; one that is not there is an error."""
+    cohort = spec.cohort(events, [day])
+    out = build_matrix(cohort.select(*KEYS), [spec.matrix_features(events, cohort, [day])], None)
+    if columns is None:
+        return out
+    return align_columns(out.select(*[c for c in out.columns if c in (*KEYS, "label", *columns)]), columns)
+
+
+def predict_with_model(events: DataFrame, day: date, path: str, model_id: int, spec: MatrixSpec = USERS) -> DataFrame:
+    """A new day's rows scored by a model that an experiment has stored in ``path``, and ranked."""
+    spark = events.sparkSession
+    found = Ledger(spark, path).models().filter(F.col("model_id") == model_id).collect()
+    if not found or found[0].model_type in BASELINES:
+        raise ValueError(f"no learned model {model_id} in {path}")
+    model = found[0]
+    rows = forward_matrix(events, day, spec, model.feature_list).withColumn("split", F.lit(model.split))
+    tables = spark.read.parquet(f"{path}/tables").filter(F.col("model_id") == model_id)
+    pred = score_models(rows, tables, [Fit(model_id, model.split, model.model_type, {}, tuple(model.feature_list))])
+    pred = pred.withColumns({"score": F.round("score", 6), "label": F.lit(None).cast("int")})
+    return rank.rank_predictions(pred, "random", seed=1).drop("label")
 
 
 def run_scoring(matrix: DataFrame, columns: Sequence[str], weights: Sequence[float], defs: DataFrame) -> DataFrame:
@@ -63,17 +129,17 @@ def predict_forward(events: DataFrame, day: date, train: DataFrame, columns: Seq
     return rank.rank_predictions(pred, "random", seed=1).drop("label")
 
 
-def retrain_and_predict(events: DataFrame, cfg: TemporalConfig, day: date, columns: Sequence[str], **params) -> DataFrame:
+def retrain_and_predict(events: DataFrame, cfg: TemporalConfig, day: date, columns: Sequence[str], spec: MatrixSpec = USERS, **params) -> DataFrame:
     """A logistic model on the rows that a split at ``day`` trains on by the config (first of each list), then scores
     and ranks for the day."""
     timespan = cfg.train_timespans[0]
     dates = [t.date() for t in training_times(cfg, datetime(day.year, day.month, day.day), timespan, cfg.train_frequencies[0], cfg.max_histories[0])]
-    model = B.train_scaled_lr(training_matrix(events, dates, timespan), columns, **params)
-    pred = B.score(model, forward_matrix(events, day)).select(F.lit(1).cast("long").alias("model_id"), *KEYS, "score", F.lit(None).cast("int").alias("label"))
+    model = B.train_scaled_lr(training_matrix(events, dates, timespan, spec), columns, **params)
+    pred = B.score(model, forward_matrix(events, day, spec)).select(F.lit(1).cast("long").alias("model_id"), *KEYS, "score", F.lit(None).cast("int").alias("label"))
     return rank.rank_predictions(pred, "random", seed=1).drop("label")
 
 
-def run_matrices(events: DataFrame, cfg: TemporalConfig, path: str | None = None) -> DataFrame:
+def run_matrices(events: DataFrame, cfg: TemporalConfig, path: str | None = None, spec: MatrixSpec = USERS) -> DataFrame:
     """Train and test rows of every split of the config: ``split, split_time, matrix_type, timespan, frequency``,
     the keys, features and ``label``.
 
@@ -83,10 +149,9 @@ def run_matrices(events: DataFrame, cfg: TemporalConfig, path: str | None = None
     """
     plans = matrix_plans(cfg)
     dates = sorted({d.date() for p in plans for d in p["dates"]})
-    cohort = cohort_from_events(events, "user_id", "ts", dates)
-    labels = make_labels(events, "user_id", "ts", dates, sorted({p["timespan"] for p in plans}), F.col("event_type") == "purchase")
+    cohort, labels = spec.cohort(events, dates), spec.labels(events, dates, sorted({p["timespan"] for p in plans}))
     plan = F.broadcast(chop_time(events.sparkSession, cfg))  # a config's dates
-    rows = matrix_features(events, cohort, dates).join(plan, "as_of_date")
+    rows = spec.matrix_features(events, cohort, dates).join(plan, "as_of_date")
     labels = labels.select(*KEYS, F.col("label_timespan").alias("timespan"), "label")
     rows = rows.join(labels, [*KEYS, "timespan"], "left").filter("matrix_type = 'test' or label is not null")
     out = downcast(rows.select(*PLAN, *KEYS, *[c for c in rows.columns if c not in (*PLAN, *KEYS, "label")], "label"), (*PLAN, *KEYS, "label"))
@@ -127,4 +192,4 @@ def add_predictions(models: DataFrame, matrix: DataFrame, known: DataFrame) -> D
     return rank.rank_predictions(pred.select("model_id", *KEYS, F.col("score").cast("double").alias("score"), F.lit(None).cast("int").alias("label")), "random")
 
 
-__all__ = ["add_predictions", "analysis", "forward_matrix", "predict_forward", "experiment_models", "feature_sets", "matrix_catalogue", "retrain_and_predict", "run_audit", "run_experiment", "run_matrices", "run_scoring", "run_selection", "training_matrix"]
+__all__ = ["add_predictions", "analysis", "forward_matrix", "predict_forward", "predict_with_model", "experiment_models", "experiment_results", "feature_sets", "matrix_catalogue", "retrain_and_predict", "run_audit", "run_experiment", "run_matrices", "run_scoring", "run_selection", "training_matrix"]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.jobs.fixtures import AS_OF, EVENT_DATES, YEARS, YEARS_SQL, Register, rounded, table
-from tidemark.jobs.pipelines import MATRIX_AGGS, MATRIX_INTERVALS, forward_matrix, training_matrix
+from tidemark.jobs.pipelines import MATRIX_AGGS, MATRIX_INTERVALS, FeatureSpec, MatrixSpec, forward_matrix, run_matrices, training_matrix
 from tidemark.operators import entities as E
 from tidemark.operators import features as X
 from tidemark.operators import impute as I
@@ -422,6 +422,31 @@ def forward_matrix_rows(spark, d):
     return rounded(forward_matrix(_events(spark, d), EVENT_DATES[-1]), 1)
 
 
+#: Another user's config: customers with a finished order in two years, who will order for much, by two tables of features.
+CUSTOMERS = MatrixSpec("o_custkey", "o_orderdate", "o_totalprice", "max", "o_orderstatus = 'F'", "2 years", (
+    FeatureSpec("od", "cust", ("6 months", "1 year"), (X.Agg("n", "*", ("count",), rules={"all": "zero"}), X.Agg("price", "o_totalprice", ("sum", "max"), rules={"all": "zero_noflag"}))),
+    FeatureSpec("urgent", "cust", ("1 year",), (X.Agg("n", "*", ("count",), rules={"all": "zero_noflag"}),), "o_orderpriority = '1-URGENT'"),
+))
+
+
+def _in(interval: str) -> str:
+    return f"FILTER (WHERE o_orderdate >= as_of_date - INTERVAL {interval})"
+
+
+@REGISTER(f"""WITH {SPLITS_SQL}, dd AS (SELECT DISTINCT as_of_date FROM plan),
+c AS (SELECT DISTINCT o_custkey, as_of_date FROM orders, dd WHERE o_orderstatus = 'F' AND o_orderdate < as_of_date AND o_orderdate >= as_of_date - INTERVAL 2 YEAR),
+f AS (SELECT o_custkey, as_of_date, count(*) {_in('6 MONTH')} AS n6, count(*) AS n12, sum(o_totalprice) {_in('6 MONTH')} AS s6, sum(o_totalprice) AS s12, max(o_totalprice) {_in('6 MONTH')} AS m6, max(o_totalprice) AS m12,
+  count(*) FILTER (WHERE o_orderpriority = '1-URGENT') AS u12 FROM orders, dd WHERE o_orderdate < as_of_date AND o_orderdate >= as_of_date - INTERVAL 1 YEAR GROUP BY ALL),
+y AS (SELECT o_custkey, as_of_date, max(o_totalprice) AS label FROM orders, dd WHERE o_orderdate >= as_of_date AND o_orderdate < as_of_date + INTERVAL 6 MONTH GROUP BY ALL)
+SELECT split_time, matrix_type, o_custkey AS entity_id, as_of_date, coalesce(n6, 0)::DOUBLE AS od_cust_6months_n_count, (n6 IS NULL)::INTEGER::DOUBLE AS od_cust_6months_n_imp, coalesce(n12, 0)::DOUBLE AS od_cust_1year_n_count, (n12 IS NULL)::INTEGER::DOUBLE AS od_cust_1year_n_imp,
+  coalesce(s6, 0)::FLOAT::DOUBLE AS od_cust_6months_price_sum, coalesce(s12, 0)::FLOAT::DOUBLE AS od_cust_1year_price_sum, coalesce(m6, 0)::FLOAT::DOUBLE AS od_cust_6months_price_max, coalesce(m12, 0)::FLOAT::DOUBLE AS od_cust_1year_price_max, coalesce(u12, 0)::DOUBLE AS urgent_cust_1year_n_count, label
+FROM plan JOIN c USING (as_of_date) LEFT JOIN f USING (o_custkey, as_of_date) LEFT JOIN y USING (o_custkey, as_of_date) WHERE matrix_type = 'test' OR label IS NOT NULL""")
+def run_matrices_orders(spark, d):
+    """The matrices of a config of one's own: another entity, cohort, outcome and features."""
+    out = run_matrices(_orders(spark, d), CONFIG, spec=CUSTOMERS).drop("split", "timespan", "frequency")
+    return out.select(*[F.col(c).cast("double").alias(c) if c.startswith(("od_", "urgent_")) else c for c in out.columns])
+
+
 @REGISTER("""SELECT p_partkey, lower(trim(p_name)) AS name, coalesce(nullif(regexp_extract(lower(trim(p_brand)), 'brand#(\\d+)', 1), ''), 'unknown') AS brand, regexp_replace(lower(trim(p_type)), 'small', 'little', 'g') AS kind FROM part""")
 def clean_text(spark, d):
     specs = [P.Clean("name", "p_name", required=True), P.Clean("brand", "p_brand", capture=r"brand#(\d+)"), P.Clean("kind", "p_type", replace=("SMALL", "little"))]

@@ -485,6 +485,32 @@ def experiment_ledger(spark, d):
     return rounded(out["predictions"].select(*_RANKS, "as_of_date"))
 
 
+_RESULTS_PRED = f"""{_EXPERIMENT_PRED.replace("pred AS (SELECT", "pb AS (SELECT matrix_type,").replace("WHERE matrix_type = 'test')", ")")},
+pred AS (SELECT model_id * 4 + (matrix_type = 'test')::INTEGER AS model_id, entity_id, as_of_date, score, label FROM pb
+  UNION ALL SELECT model_id * 4 + 2 + (matrix_type = 'test')::INTEGER, entity_id, as_of_date, score, label FROM pb WHERE entity_id % 2 = 0)"""
+
+
+@REGISTER(f"""SELECT z.* EXCLUDE (model_id), model_id // 4 AS model_id, CASE WHEN model_id % 2 = 0 THEN 'train' ELSE 'test' END AS matrix_type, CASE WHEN model_id % 4 >= 2 THEN 'even' ELSE '' END AS subset
+FROM ({_EVALUATE_SQL.format(pred=_RESULTS_PRED)}) z""")
+def experiment_results(spark, d):
+    """Training and test rows, all and those of even users, evaluated together."""
+    m, path = cut(_split_matrices(spark, d), "matrices"), new_path(spark, "experiments")
+    pipelines.run_experiment(m, EVENT_CONFIG, _feature_sets(m), [("linear", {}), ("prior", {})], _defs(spark).limit(1), path)
+    even = m.filter("entity_id % 2 = 0").select("entity_id", "as_of_date")
+    return rounded(pipelines.experiment_results(m, path, _defs(spark), {"even": even})["evaluations"])
+
+
+def predict_with_model(spark, d):
+    """The newest day's users by a logistic model that an experiment has stored."""
+    m, path = cut(_split_matrices(spark, d), "matrices"), new_path(spark, "experiments")
+    auc = V.metric_definitions(spark, [{"metrics": ["roc_auc"]}])
+    pipelines.run_experiment(m, EVENT_CONFIG, _feature_sets(m), [("logistic", {"maxIter": 10})], auc, path)
+    return pipelines.predict_with_model(table(spark, d, "events"), EVENT_DATES[-1], path, 2)
+
+
+REGISTER.queries["predict_with_model"] = predict_with_model
+
+
 def experiment_learned(spark, d):
     """The same with a logistic model and a tree, and the models' data beside the metrics."""
     m = cut(_split_matrices(spark, d), "matrices")

@@ -30,12 +30,14 @@ def group_importances(df: DataFrame, prefixes: Sequence[str]) -> DataFrame:
     return df.groupBy("model_id", group.alias("feature_group")).agg(F.max(F.abs("feature_importance")).alias("importance"))
 
 
-def individual_importance(matrix: DataFrame, importances: DataFrame, n: int = 5) -> DataFrame:
-    """Uniform method: each entity gets the model's top features with their values and importances."""
-    top = top_features(importances, n).select("model_id", "feature", F.col("feature_importance").alias("importance_score"))
+def individual_importance(matrix: DataFrame, importances: DataFrame, n: int = 5, by: Sequence[str] = ()) -> DataFrame:
+    """Uniform method: each entity gets the model's top features with their values and importances. Columns ``by`` of both
+    say which rows a model is for."""
+    keys = ["entity_id", "as_of_date", *by]
+    top = top_features(importances, n).select("model_id", *by, "feature", F.col("feature_importance").alias("importance_score"))
     names = [r.feature for r in top.select("feature").distinct().orderBy("feature").collect()]  # n for each model
-    tall = matrix.select("entity_id", "as_of_date", *[F.col(f"`{c}`").cast("double").alias(c) for c in names]).unpivot(["entity_id", "as_of_date"], [f"`{c}`" for c in names], "feature", "feature_value")
-    return tall.join(F.broadcast(top), "feature").select("model_id", "entity_id", "as_of_date", "feature", F.lit("uniform").alias("method"), "feature_value", "importance_score")
+    tall = matrix.select(*keys, *[F.col(f"`{c}`").cast("double").alias(c) for c in names]).unpivot(keys, [f"`{c}`" for c in names], "feature", "feature_value")
+    return tall.join(F.broadcast(top), ["feature", *by]).select("model_id", "entity_id", "as_of_date", "feature", F.lit("uniform").alias("method"), "feature_value", "importance_score")
 
 
 def importance_summary(df: DataFrame, n: int) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
@@ -16,7 +17,8 @@ from tidemark.operators.matrix import KEYS
 
 #: How a model's sums become the probability of class 1.
 LINKS = ("logit", "mean", "margin")
-#: A row is a coefficient (``tree`` -1; without a feature it is the intercept) or a node of a tree.
+#: A row is a coefficient (``tree`` -1; without a feature it is the intercept), a node of a tree, or what a feature
+#: weighs in the model (``tree`` -2): its odds ratio, or its share of what the splits of the trees gain.
 TABLE = "model_id long, link string, tree int, weight double, node int, feature string, threshold double, left int, right int, value double"
 KINDS = ("logistic", "tree", "forest", "boosted")
 
@@ -89,17 +91,24 @@ def fit_models(train: DataFrame, fits: Sequence[Fit], at_once: int = 4) -> DataF
         model = kinds[f.kind](featuresCol="_features", labelCol="label", **f.params).fit(data)
         if f.kind == "logistic":
             weights = [(c, float(w)) for c, w in zip(f.columns, model.coefficients.toArray(), strict=True)]
-            return [(f.model_id, "logit", -1, 1.0, i, c, None, None, None, w) for i, (c, w) in enumerate([*weights, (None, float(model.intercept))])]
+            odds = [(f.model_id, "logit", -2, 1.0, i, c, None, None, None, math.exp(min(w, 700.0))) for i, (c, w) in enumerate(weights)]
+            return odds + [(f.model_id, "logit", -1, 1.0, i, c, None, None, None, w) for i, (c, w) in enumerate([*weights, (None, float(model.intercept))])]
+        link = "margin" if f.kind == "boosted" else "mean"
+        gains = [(f.model_id, link, -2, 1.0, i, c, None, None, None, float(g)) for i, (c, g) in enumerate(zip(f.columns, model.featureImportances.toArray(), strict=True))]
         if f.kind == "tree":
-            return _tree(f.model_id, "mean", 0, 1.0, model._call_java("rootNode"), f.columns)
-        link = "mean" if f.kind == "forest" else "margin"
-        return [r for t, (tree, w) in enumerate(zip(model.trees, model.treeWeights, strict=True)) for r in _tree(f.model_id, link, t, float(w), tree._call_java("rootNode"), f.columns)]
+            return gains + _tree(f.model_id, "mean", 0, 1.0, model._call_java("rootNode"), f.columns)
+        return gains + [r for t, (tree, w) in enumerate(zip(model.trees, model.treeWeights, strict=True)) for r in _tree(f.model_id, link, t, float(w), tree._call_java("rootNode"), f.columns)]
 
     with ThreadPoolExecutor(at_once) as pool:
         rows = [r for part in pool.map(fit, fits) for r in part]
     return train.sparkSession.createDataFrame(rows, TABLE)
 
 
+def importances(tables: DataFrame) -> DataFrame:
+    """``model_id, feature, feature_importance`` of the models."""
+    return tables.filter("tree = -2").select("model_id", "feature", F.col("value").alias("feature_importance"))
+
+
 @dataclass(frozen=True)
 class _Model:
     model_id: int
@@ -129,7 +138,7 @@ class _Model:
 def _models(tables: DataFrame, fits: Sequence[Fit], columns: Sequence[str]) -> list[_Model]:
     """Models from their rows, which a config bounds: models by trees by nodes."""
     place, rows, out = {c: i for i, c in enumerate(columns)}, defaultdict(list), []
-    for r in tables.collect():
+    for r in tables.filter("tree > -2").collect():
         rows[r.model_id].append(r)
     for f in fits:
         own = rows.get(f.model_id)
