@@ -56,7 +56,7 @@ def line_dedup(docs: DataFrame, site: Column, max_ratio: float = 0.1, min_pages:
     """All columns of ``docs``, the text without boilerplate lines, and two more: lines it had and lost.
 
     These are ``_n_lines`` and ``_n_dropped``, with more underscores in front where ``docs`` has such columns.
-    A null text stays null and has no lines. Other rows, empty texts included, stay too. A site
+    No rows give none. A null text stays null and has no lines. Other rows, empty texts included, stay too. A site
     has at most (distinct lines per page) / ``max_ratio`` boilerplate lines, so its list fits in a row
     however many pages it has. Lists are broadcast up to BROADCAST_LINES lines in all; beyond that
     rows are joined by site, where adaptive execution splits a site with very many.
@@ -89,6 +89,7 @@ def page_line_dedup(pages: DataFrame, max_ratio: float = 0.1, min_pages: int = 5
 
     ``text`` has the lines of a page that are not boilerplate of its host. Pages without an address, or with
     one without host, are a group of their own (null host). A null page has a null text and no lines.
+    Repeated pages count each, ids may be null, other columns are ignored, and no pages give no rows.
     """
     # Written once: both passes read the lines, and the markup is taken apart once.
     lines = cut(pages.select("page_id", url_host(F.col("url")).alias("host"), html_lines(F.col("html")).alias("text")), "page-lines")

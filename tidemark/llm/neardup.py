@@ -246,7 +246,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     start. A text without words (null, empty, white space) is linked with nothing.
 
     Two sets at the threshold share no bucket, and so may be missed, with a chance of at most 1e-6; at 5
-    percent above it the chance is under 1e-8. Rows that repeat an id and text stay together.
+    percent above it the chance is under 1e-8. Rows that repeat an id and text stay together; a null id is never
+    the smallest of others. No rows give none; other columns are ignored.
     """
     rows = cut(docs.select("doc_id", sketch(F.col("text"), width, *bands_for(percent)).alias("s")).select("doc_id", "s.*"), "sketches")
     classes = cut(rows.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")

@@ -224,7 +224,8 @@ def quality_outliers(docs: DataFrame, quantile: float = 0.99999, min_rows: int =
     ``base_failed``: fewer than 10 words, or more than 20 in 100 words inside repeated windows.
     Estimates come from all rows that pass. A row is kept if it passes and its squared distance,
     scaled, is at most the chi-square ``quantile``. Null language or source is a value of its own.
-    Rows alike get the same verdict.
+    Rows alike, and rows at the same distance, get the same verdict. Null and empty texts have no words and fail the base
+    rules; ids may be null, and no rows give none.
     """
     nulls = {"ignoreNullFields": "false"}  # a cell without source is not its language
     cell, lang = F.to_json(F.struct("lang", "source"), nulls), F.to_json(F.struct("lang"), nulls)

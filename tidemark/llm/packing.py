@@ -93,7 +93,8 @@ class WordCoder:
 def cut_pieces(docs: DataFrame, model: str, max_len: int = 2048, end_id: int = 1) -> DataFrame:
     """Tokenizes whole texts, adds ``end_id`` and cuts them at multiples of ``max_len``.
 
-    Rows ``doc_id, start, length, ids_crc32, doc_tokens``. Null and empty texts have the end id alone.
+    Rows ``doc_id, start, length, ids_crc32, doc_tokens``. Null and empty texts have the end id alone. Ids
+    may be null and of any type.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,7 +117,8 @@ def cut_pieces(docs: DataFrame, model: str, max_len: int = 2048, end_id: int = 1
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def shortest_pack_first(histogram: dict[int, int], max_len: int) -> list[tuple[int, tuple[int, ...]]]:

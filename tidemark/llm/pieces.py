@@ -114,7 +114,9 @@ def decode_ids(ids: Column, model: str) -> Column:
 
 
 def piece_digests(docs: DataFrame, model: str) -> DataFrame:
-    """One row per document: ``doc_id, n_tokens, ids_sha256, decoded_sha256``; rows may repeat."""
+    """One row per document: ``doc_id, n_tokens, ids_sha256, decoded_sha256``; rows may repeat.
+
+    Ids may be null and of any type; no rows give none, other columns are ignored."""
     return docs.select("doc_id", encode_decode(F.col("text"), model).alias("e")).select("doc_id", "e.*")
 
 
@@ -173,7 +175,11 @@ def count_tokens(text: Column, model: str, frequent: Broadcast, misses: int = 30
 
 
 def token_counts(docs: DataFrame, model: str, limit: int = 4096) -> DataFrame:
-    """``doc_id, n_bytes, n_tokens, over_limit`` for each row of ``docs``."""
+    """``doc_id, n_bytes, n_tokens, over_limit`` for each row of ``docs``, repeated ones too.
+
+    A null text counts as empty, with 0 bytes and tokens; ids may be null and of any type. No rows give none; other
+    columns are ignored.
+    """
     table = docs.sparkSession.sparkContext.broadcast(frequent_lengths(docs, model))
     text = F.coalesce("text", F.lit(""))
     out = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), count_tokens(text, model, table).alias("n_tokens"))

@@ -104,7 +104,8 @@ def assign_shards(docs: DataFrame, shards: int = 8, slots: int = SLOTS, map_path
     A map saved at ``map_path`` is taken up and edited (a new version), else a fresh one is. ``slot``
     is the row's place in its shard, gapless from 0: the virtual slots of a shard follow each other,
     and rows are numbered within their virtual slot, so no shard is numbered in one task. Rows alike
-    share a virtual slot and have places of their own. ``grown_shard`` is null under this law.
+    share a virtual slot and have places of their own; the law is about bytes, so equal texts under different
+    ids may lie in different shards. A null text has one byte, ids may be null, no rows give none. ``grown_shard`` is null under this law.
     """
     spark = docs.sparkSession
     sizes = slot_sizes(docs, slots).toPandas()  # one row for each of a fixed number of slots

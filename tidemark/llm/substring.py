@@ -153,7 +153,7 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
 
     These are ``_n_sentences`` and ``_n_removed``, with more underscores in front where ``docs`` has such
     columns. The first of equal runs is the one in the smallest ``doc_id``, earliest there. Each row stays,
-    with an empty text if all of it repeats; null stays null. Rows that share an id are not held
+    with an empty text if all of it repeats; null stays null, and no rows give none. Rows that share an id are not held
     against each other: they count as one document.
     """
     small_batches(docs.sparkSession)

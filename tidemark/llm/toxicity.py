@@ -250,7 +250,11 @@ def toxicity_score(text: Column, model: ToxicityModel, spark) -> Column:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` for each row. Scores see the text and nothing else."""
+    """``doc_id, held_out, score, predicted`` for each row, repeated ones too. Scores see the text and nothing else.
+
+    Null and empty texts, and texts without words, have the share of toxic labels as their score; a null id is not held
+    out. No rows give none; without labels all scores are 0.
+    """
     model = train_toxicity(docs, labels)
     scored = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), toxicity_score(F.col("text"), model, docs.sparkSession).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
