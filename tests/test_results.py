@@ -200,3 +200,14 @@ def test_crosstabs_of_thousands_of_features(spark):
                     assert (r[f"count_{name}"], r[f"support_{name}"]) == (len(v), (v > 0).sum())
                     assert r[f"mean_{name}"] == (pytest.approx(v.mean(), abs=1e-9) if len(v) else None)
                     assert r[f"std_{name}"] == (pytest.approx(v.std(ddof=1), abs=1e-9) if len(v) > 1 else None)
+
+
+def test_exact_quantiles(spark):
+    from tidemark.functions.order import exact_quantiles
+
+    rows = [(float(i * i % 97), None if i % 3 else i % 5, None) for i in range(401)]
+    df = spark.createDataFrame(rows, "a double, b int, c double").repartition(7)
+    for p in (0.0, 0.25, 0.5, 0.99, 1.0):
+        r = exact_quantiles(df, ["a", "b", "c"], p).first()
+        assert r.a == pytest.approx(np.quantile([x for x, _, _ in rows], p)) and r.b == pytest.approx(np.quantile([x for _, x, _ in rows if x is not None], p)) and r.c is None
+    assert exact_quantiles(df.limit(0), ["a"], 0.5).first().a is None

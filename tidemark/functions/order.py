@@ -48,3 +48,23 @@ def value_ranks(df: DataFrame, value: Column, descending: bool = False) -> DataF
     order = [F.col("_v").desc() if descending else F.col("_v").asc()]
     with_rank = running_total(counts, order, F.col("n"), "_upto").withColumn("rank", F.col("_upto") - F.col("n") + 1).drop("_upto")
     return number_rows(with_rank, order, "dense_rank")
+
+
+def exact_quantiles(df: DataFrame, cols: Sequence[str], p: float) -> DataFrame:
+    """One row with the exact quantile ``p`` of each column, as doubles; between two values it is interpolated, without
+    values it is null.
+
+    Equal values of all columns are counted together, then numbered by ranges of column and value: only the two
+    that the quantile lies between are looked at, and no task holds all values of a column.
+    """
+    tall = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(cols)]).unpivot([], [f"c{i}" for i in range(len(cols))], "_c", "_v").filter("_v is not null")
+    counts = tall.groupBy("_c", "_v").agg(F.count("*").alias("_n"))
+    run = running_totals(counts, ["_c"], [F.col("_v").asc()], {"_upto": F.col("_n")})
+    sizes = run.groupBy(F.col("_c").alias("_of")).agg(((F.sum("_n") - 1) * p).alias("_at"))  # a row per column
+    near = run.join(F.broadcast(sizes), F.col("_c") == F.col("_of"))
+    low, high, first = F.floor("_at"), F.ceil("_at"), F.col("_upto") - F.col("_n")
+    holds = lambda k: (first <= k) & (k < F.col("_upto"))
+    ends = near.filter(holds(low) | holds(high)).groupBy("_c").agg(F.max("_at").alias("_at"), F.max(F.when(holds(low), F.col("_v"))).alias("_a"), F.max(F.when(holds(high), F.col("_v"))).alias("_b"))
+    between = F.when(low == high, F.col("_a")).otherwise((high - F.col("_at")) * F.col("_a") + (F.col("_at") - low) * F.col("_b"))
+    found = ends.select("_c", between.alias("_q"))
+    return found.agg(*[F.max(F.when(F.col("_c") == f"c{i}", F.col("_q"))).alias(c) for i, c in enumerate(cols)])

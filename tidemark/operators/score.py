@@ -11,7 +11,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.order import value_ranks
+from tidemark.functions.order import exact_quantiles, value_ranks
 from tidemark.sources.scratch import cut
 
 _OPS = {">": operator.gt, ">=": operator.ge, "<": operator.lt, "<=": operator.le, "==": operator.eq}
@@ -56,8 +56,10 @@ def score_linear(df: DataFrame, cols: Sequence[str], weights: Sequence[float], a
     """Weighted sum of features, each capped at its 99th percentile and divided by it (unless that
     is 0); weights are scaled to sum 1."""
     total = sum(weights)
-    tail = (lambda c: F.percentile_approx(c, 0.99, 10_000)) if approx else (lambda c: F.percentile(c, 0.99))
-    caps = df.agg(*[tail(F.col(f"`{c}`")).alias(f"_cap{i}") for i, c in enumerate(cols)])
+    if approx:
+        caps = df.agg(*[F.percentile_approx(F.col(f"`{c}`"), 0.99, 10_000).alias(f"_cap{i}") for i, c in enumerate(cols)])
+    else:
+        caps = exact_quantiles(df, cols, 0.99).toDF(*[f"_cap{i}" for i in range(len(cols))])
     parts = [F.when(F.col(f"_cap{i}") == 0, F.least(F.col(f"`{c}`"), F.col(f"_cap{i}"))).otherwise(F.least(F.col(f"`{c}`"), F.col(f"_cap{i}")) / F.col(f"_cap{i}")) * (w / total) for i, (c, w) in enumerate(zip(cols, weights, strict=True))]
     return df.crossJoin(F.broadcast(caps)).withColumn("score", reduce(operator.add, parts)).drop(*[f"_cap{i}" for i in range(len(cols))])
 
