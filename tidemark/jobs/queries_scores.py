@@ -265,11 +265,12 @@ def custom_metric(spark, d):
     name = "f1 less fpr@"
     V.register_metric(name, lambda: V.METRICS["f1"][0]() - F.coalesce(V.METRICS["fpr@"][0](), F.lit(0.0)), True)
     try:
-        conf = V.confusion(predictions(spark, d), _defs(spark).select("unit", "value").distinct(), "worst")
-        own = V.METRICS[name][0]()
+        at = _defs(spark).select("unit", "value").distinct()
+        defs = at.select(F.lit(name).alias("metric"), "unit", "value", F.lit(1.0).alias("beta"), F.lit("").alias("parameter"))
+        out = V.metrics(V.confusion(predictions(spark, d), at, "worst"), defs, "f1_less_fpr")
     finally:
         del V.METRICS[name]
-    return rounded(conf.select("model_id", "unit", "value", own.alias("f1_less_fpr")))
+    return rounded(out.select("model_id", "unit", "value", "f1_less_fpr"))
 
 
 _ATTRS = """attrs AS (SELECT o_orderkey AS entity_id, o_orderpriority AS priority, o_orderstatus AS status FROM orders)"""

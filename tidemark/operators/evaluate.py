@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.order import running_totals
@@ -13,6 +14,8 @@ from tidemark.sources.scratch import cut
 
 #: Orders tried at random, and the relative closeness of extremes within which none is tried.
 TRIALS, CLOSE = 30, 0.01
+#: Leading hexadecimal digits of tie keys by which tied rows are counted.
+DIGITS = 3
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -180,8 +183,8 @@ def tie_trials(pred: DataFrame, thresholds: DataFrame, trials: int = TRIALS, gro
     """Counts as in ``confusion`` for each of ``trials`` random tie orders, with a ``trial`` column, of the
     thresholds whose counts depend on the order of ties; those of the others are the same in each order.
 
-    Only the tied rows around such a cutoff are ordered, once per trial for all thresholds that cut
-    the same score; the counts above them are known.
+    Only the tied rows around such a cutoff are looked at, and they are not sorted: they are counted by the leading
+    digits of their tie key, with a map-side combine, and only those of the digits in which a cutoff falls are ordered.
     """
     around = _around(score_groups(pred) if groups is None else groups, thresholds)
     n_rows, n, p, k = F.col("m"), F.col("l"), F.col("p"), F.col("k")
@@ -189,14 +192,23 @@ def tie_trials(pred: DataFrame, thresholds: DataFrame, trials: int = TRIALS, gro
     open_ = cut(around.filter(varies), "ties")
     tied = open_.select(F.col("model_id").alias("_m"), F.col("score").alias("_s")).distinct()
     rows = pred.join(F.broadcast(tied), [F.col("model_id") == F.col("_m"), F.col("score").eqNullSafe(F.col("_s"))], "left_semi")
-    tried = rows.withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(trials))))
-    order = [tie_key(F.col("trial").cast("string")), F.col("entity_id"), F.col("as_of_date")]
-    one = F.lit(1).cast("long")
-    run = running_totals(tried, ["model_id", "score", "trial"], order, {"_nth": one, "_l": F.col("label").isNotNull().cast("long"), "_p": F.coalesce("label", F.lit(0)).cast("long")})
-    run = run.select(F.col("model_id").alias("_m"), F.col("score").alias("_s"), "trial", "_nth", "_l", "_p")
+    tried = rows.withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(trials)))).withColumn("_key", tie_key(F.col("trial").cast("string")))
+    one, labelled, positive = F.lit(1).cast("long"), F.col("label").isNotNull().cast("long"), F.coalesce("label", F.lit(0)).cast("long")
+    tried = tried.select(F.col("model_id").alias("_m"), F.col("score").alias("_s"), "trial", F.substring("_key", 1, DIGITS).alias("_bin"), "_key", "entity_id", "as_of_date", one.alias("_n"), labelled.alias("_l"), positive.alias("_p"))
+    by = ["_m", "_s", "trial"]
+    sums = {c: F.sum(c) for c in ("_n", "_l", "_p")}
+    bins = tried.groupBy(*by, "_bin").agg(*[f.alias(c) for c, f in sums.items()])
+    w = W.partitionBy(*by).orderBy("_bin")  # 16^DIGITS rows at most
+    before = bins.withColumns({f"{c}0": f.over(w) - F.col(c) for c, f in sums.items()})
     # Models by a config's thresholds; each has one row per trial.
-    at = run.join(F.broadcast(open_), [F.col("_m") == F.col("model_id"), F.col("_s").eqNullSafe(F.col("score")), F.col("_nth") == F.col("k")])
-    return _with_counts(at, F.col("l0") + F.col("_l"), F.col("p0") + F.col("_p")).select(*[c for c in open_.columns if c not in ("score", "m", "l", "p", "l0", "p0", "k")], "trial", "n_above", "tp", "fp", "fn", "tn")
+    found = cut(before.join(F.broadcast(open_), [F.col("_m") == F.col("model_id"), F.col("_s").eqNullSafe(F.col("score")), F.col("_n0") < F.col("k"), F.col("k") <= F.col("_n0") + F.col("_n")]), "trials")
+    there = found.select(*[F.col(c).alias(f"{c}_") for c in (*by, "_bin")]).distinct()
+    same = [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in (*by, "_bin")]
+    within = tried.join(F.broadcast(there), same, "left_semi")
+    order = W.partitionBy(*by, "_bin").orderBy("_key", "entity_id", "as_of_date").rowsBetween(W.unboundedPreceding, W.currentRow)
+    run = within.withColumns({f"{c}1": f.over(order) for c, f in sums.items()}).select(*[F.col(c).alias(f"{c}_") for c in (*by, "_bin")], "_n1", "_l1", "_p1")
+    at = run.join(F.broadcast(found), [*same, F.col("_n0") + F.col("_n1") == F.col("k")])
+    return _with_counts(at, F.col("l0") + F.col("_l0") + F.col("_l1"), F.col("p0") + F.col("_p0") + F.col("_p1")).select(*[c for c in open_.columns if c not in ("score", "m", "l", "p", "l0", "p0", "k")], "trial", "n_above", "tp", "fp", "fn", "tn")
 
 
 def evaluate(pred: DataFrame, defs: DataFrame, trials: int = TRIALS, subset: DataFrame | None = None) -> DataFrame:
