@@ -60,7 +60,7 @@ def drop_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents with their places in sequences of 2048 tokens. Null and empty texts are one
     piece, the end id; equal rows get places of their own."""
-    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), memory=1_000_000)
 
 
 def _counted(df: DataFrame, docs: DataFrame) -> DataFrame:
