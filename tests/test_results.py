@@ -148,6 +148,22 @@ def test_error_trees_for_each_model(spark):
     assert all(r.importance == (1.0 if r.feature == "x" else 0.0) for r in out)
 
 
+def test_error_trees_make_their_rows_once(spark):
+    """All fits read rows that were written by model; what the rows come from is run once."""
+    from tidemark.operators import analysis as A
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = spark.sql("select m.id as model_id, cast(r.id % 2 as int) as predicted, cast(r.id % 4 = 1 as int) as error_fp, cast(r.id % 4 = 0 as int) as error_fn, cast(r.id % 4 < 2 as int) as error, cast(r.id % 4 as double) as x from range(2) m, range(40) r")
+    out = A.error_trees(rows.mapInArrow(count, rows.schema), ["x"], depths=(1, 2)).collect()
+    assert seen.value == 80 and len(out) == 12 and all(r.importance == 1.0 for r in out)
+
+
 def test_group_crosstab_by_place(spark):
     """Counts by place among the cutoffs are those of each row at each threshold, without rank too."""
     from tidemark.operators.audit import group_crosstab

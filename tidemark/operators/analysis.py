@@ -15,6 +15,7 @@ from tidemark.functions.order import running_totals
 from tidemark.functions.ttail import t_p_value
 from tidemark.operators.evaluate import score_groups
 from tidemark.operators.segments import merge_moments
+from tidemark.sources.scratch import cut
 
 KEYS = ["entity_id", "as_of_date"]
 
@@ -150,10 +151,13 @@ def error_labels(ranked: DataFrame, k: float, rank_col: str = "rank_abs_no_ties"
 def error_trees(rows: DataFrame, features: Sequence[str], depths: Sequence[int] = (2, 3)) -> DataFrame:
     """A decision tree for each model, kind of error and depth: ``model_id, target, depth, feature,
     importance``. False positives are told from true positives, false negatives from true negatives.
-    Models are a list of a config's length; their fits overlap. A kind that a model has no rows of has no tree."""
+    Models are a list of a config's length; their fits overlap. A kind that a model has no rows of has no tree.
+
+    Rows are written once, by model: a fit goes several times over those of its model, and over no others."""
     from pyspark.ml.classification import DecisionTreeClassifier
     from pyspark.ml.feature import VectorAssembler
 
+    rows = cut(rows.select("model_id", "predicted", "error", "error_fp", "error_fn", *[F.col(f"`{f}`") for f in features]), "errors", "model_id")
     ready = VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="skip").transform(rows)
     slices = {"error": ready, "error_fp": ready.filter("predicted = 1"), "error_fn": ready.filter("predicted = 0")}
     counts = rows.groupBy("model_id").agg(F.count("*").alias("error"), F.sum("predicted").alias("error_fp"), F.sum(1 - F.col("predicted")).alias("error_fn")).collect()

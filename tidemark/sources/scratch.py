@@ -21,14 +21,15 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
+def cut(df: DataFrame, name: str = "cut", by: str | None = None) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back, in a folder for each value of ``by`` where given.
 
     Later plans start from the files, so a lost executor costs a re-read and not the whole
     lineage; unlike a cached table nothing depends on an executor's own disk.
     """
     path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    out = df.write.option("compression", "zstd")
+    (out if by is None else out.partitionBy(by)).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
