@@ -25,6 +25,21 @@ def test_same_rows(spark, name):
     assert plain(got) == plain(want)
 
 
+def test_sums_at_a_half_do_not_depend_on_their_order(spark, tmp_path):
+    """0.1 + 0.7 + 0.7 is below 1.5 in doubles; as whole numbers the sums are 2, -2 and a number beyond 32 bits."""
+    from datetime import datetime
+
+    values = [(1, v) for v in (0.1, 0.7, 0.7)] + [(2, v) for v in (0.7, 0.7, 0.1)] + [(3, v) for v in (-0.1, -0.7, -0.7, None)] + [(4, None), (5, 3e9), (5, 0.5)]
+    rows = spark.createDataFrame([(i, datetime(2024, 1, 23), u, v) for i, (u, v) in enumerate(values)], "event_id long, ts timestamp_ntz, user_id long, value double")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view events as select * from read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    want = [(1, 2), (2, 2), (3, -2), (4, None), (5, 3_000_000_001)]
+    got = entry.queries()["cast_aggregate"](spark, str(tmp_path)).collect()
+    assert sorted((r.entity_id, r.ev_user_all_whole_sum) for r in got) == want
+    assert sorted((r[0], r[2]) for r in con.sql(entry.oracle_sql()["cast_aggregate"]).fetchall()) == want
+
+
 def _item(v):
     import pandas as pd
 

@@ -266,9 +266,12 @@ def aggregate_arithmetic(spark, d):
     return rounded(table(spark, d, "lineitem").groupBy("l_returnflag").agg(*cols), 4)
 
 
-@REGISTER(_window_sql("sum(floor(value)::INTEGER) AS ev_user_all_whole_sum").replace("sum(floor(value)::INTEGER)", "round(sum(value), 0)::INTEGER::BIGINT"))
+@REGISTER(_window_sql("round(sum(value::DECIMAL(28, 4)), 0)::BIGINT AS ev_user_all_whole_sum"))
 def cast_aggregate(spark, d):
-    return rounded(X.spacetime_aggregate(_events(spark, d), "user_id", "ts", EVENT_DATES, ["all"], [X.Agg("whole", "value", ("sum",), cast="decimal(18,0)")], "ev", "user")).withColumn("ev_user_all_whole_sum", F.col("ev_user_all_whole_sum").cast("long"))
+    """Sums as whole numbers. Values are taken with four decimals, so a sum is exact: one that ends in a half goes away from zero in whatever order it is made."""
+    aggs = [X.Agg("whole", "cast(value as decimal(28,4))", ("sum",), cast="decimal(18,0)")]
+    out = X.spacetime_aggregate(_events(spark, d), "user_id", "ts", EVENT_DATES, ["all"], aggs, "ev", "user")
+    return out.withColumn("ev_user_all_whole_sum", F.col("ev_user_all_whole_sum").cast("long"))
 
 
 @REGISTER(_window_sql(", ".join(f"sum((value > {v})::INTEGER)::BIGINT AS \"ev_user_all_value_{n}_sum\", max((value > {v})::INTEGER)::BIGINT AS \"ev_user_all_value_{n}_max\"" for v, n in ((10, "low"), (100, "high"))) + ", sum((value IS NULL)::INTEGER)::BIGINT AS ev_user_all_value__NULL_sum, max((value IS NULL)::INTEGER)::BIGINT AS ev_user_all_value__NULL_max"))
