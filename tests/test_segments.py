@@ -120,6 +120,38 @@ def test_the_first_exchange_has_no_more_rows_than_events(spark, events):
     assert len(re.findall(r"Exchange hashpartitioning", plan)) == 2
 
 
+def _plan(spark, df):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_rows_of_dates_are_neither_moved_nor_sorted(spark, events):
+    """400 days by three windows, with a deviation and distinct values: after dates are there, nothing is exchanged, sorted or aggregated."""
+    days = [date(2024, 1, 1) + timedelta(days=k) for k in range(400)]
+    aggs = [X.Agg("v", "v", ("sum", "max", "stddev")), X.Agg("k", "k", ("count",), distinct=True)]
+    plan = _plan(spark, X.spacetime_aggregate(events, "entity_id", "t", days, ["7 days", "6 months", "all"], aggs, "p"))
+    above = plan[: plan.rindex("Generate explode")]
+    assert not any(step in above for step in ("Exchange", "Sort", "Aggregate", "Join"))
+
+
+def test_all_outcomes_in_one_pass(spark):
+    import __spark_entry__ as entry
+
+    plan = _plan(spark, entry.queries()["label_outcomes"](spark, "/root/testdata/sf0.001"))
+    assert plan.count("FileScan") == 1 and plan.count("Exchange hashpartitioning") == 2
+
+
+def test_windows_of_a_slot_go_by_day():
+    at = lambda k: datetime(2024, 1, k)
+    days, [(enter, leave)] = Segments([Window(date(2024, 1, k), 0, at(k - 2), at(k)) for k in (5, 9, 12)]).runs()
+    assert [str(d) for d in days] == ["2024-01-05", "2024-01-09", "2024-01-12"] and list(zip(enter, leave)) == [(0, 0), (0, 1), (1, 1), (1, 2), (2, 2), (2, 3), (3, 3)]
+    with pytest.raises(ValueError, match="slot 0"):
+        Segments([Window(date(2024, 1, 5), 0, at(4), at(5)), Window(date(2024, 1, 6), 0, at(2), at(6))]).runs()
+
+
 def test_a_key_with_half_of_all_rows_is_parted(spark):
     """The last known value is carried into the next parts of a key; nulls of the latest row stay."""
     rng = random.Random(9)

@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.intervals import shift
-from tidemark.operators.segments import Segments, State, Window, merge_moments, moments, window_states
+from tidemark.operators.segments import Segments, State, Window, add_moments, both, either, moments, plus, window_rows
 from tidemark.sources.scratch import cut
 
 
@@ -29,8 +29,7 @@ def expand(events: DataFrame, dates: Sequence[date], keep) -> DataFrame:
 
 def entity_dates(events: DataFrame, entity: str, when: str, windows: Sequence[Window]) -> DataFrame:
     """``entity_id, as_of_date`` with an event in a window of the date, once each; no row for each event and date."""
-    found = window_states(events.select(entity, when), entity, when, Segments(windows), [State("_n", F.count(F.lit(1)), F.sum)])
-    return found.select("entity_id", "as_of_date").distinct()
+    return window_rows(events.select(entity, when), entity, when, Segments(windows), [State("_n", F.count(F.lit(1)), plus)]).select("entity_id", "as_of_date")
 
 
 def cohort_from_events(events: DataFrame, entity: str, when: str, dates: Sequence[date], condition: Column | None = None, within: str | None = None) -> DataFrame:
@@ -86,38 +85,51 @@ def subset_entity_dates(subset: DataFrame, cohort: DataFrame) -> DataFrame:
     return cohort.join(subset.select("entity_id", "as_of_date"), ["entity_id", "as_of_date"], "left_semi").select("entity_id", "as_of_date").distinct().withColumn("active", F.lit(True))
 
 
-#: Outcomes of a label window: an aggregate over its events and one over such aggregates, by name.
-OUTCOMES: dict[str, tuple[Callable[[Column], Column], Callable[[Column], Column]]] = {
-    "any": (F.bool_or, F.bool_or),
-    "every": (F.bool_and, F.bool_and),
-    "count": (F.count, F.sum),
-    "sum": (F.sum, F.sum),
-    "min": (F.min, F.min),
-    "max": (F.max, F.max),
-    "avg": (moments, merge_moments),
+#: Outcomes of a label window: an aggregate over its events and what two such are together, by name.
+OUTCOMES: dict[str, tuple[Callable[[Column], Column], Callable[[Column, Column], Column]]] = {
+    "any": (F.bool_or, either),
+    "every": (F.bool_and, both),
+    "count": (F.count, plus),
+    "sum": (F.sum, plus),
+    "min": (F.min, F.least),
+    "max": (F.max, F.greatest),
+    "avg": (moments, add_moments),
 }
 
 
+def type_of(how: str) -> str:
+    return "binary" if how in ("any", "every") else "regression"
+
+
+def label_columns(events: DataFrame, entity: str, when: str, dates: Sequence[date], timespans: Sequence[str], outcomes: Sequence[tuple[Column, str]]) -> DataFrame:
+    """``entity_id, as_of_date, label_timespan`` and ``_label0``...: all outcomes of the events in ``[date, date + timespan)``, in one pass.
+
+    An outcome comes with how it is taken, see ``make_labels``.
+    """
+    starts = [(d, datetime.combine(d, time())) for d in sorted(set(dates))]
+    segments = Segments([Window(d, k, at, shift(at, span)) for d, at in starts for k, span in enumerate(timespans)])
+    rows = events.select(F.col(entity).alias("entity_id"), F.col(when).alias("_when"), *[o.alias(f"_o{i}") for i, (o, _) in enumerate(outcomes)])
+    made = [State(f"_label{i}", OUTCOMES[how][0](F.col(f"_o{i}")), OUTCOMES[how][1]) for i, (_, how) in enumerate(outcomes)]
+    found = window_rows(rows, "entity_id", "_when", segments, [State("_any", F.count(F.lit(1)), plus), *made])
+
+    def value(i: int, how: str) -> Column:
+        own = F.col(f"_w._of._label{i}")
+        return own.cast("int") if how in ("any", "every") else F.when(own["n"] > 0, own["m"]) if how == "avg" else own
+
+    spans = F.filter(F.array(*[F.struct(F.lit(s).alias("label_timespan"), F.col(f"_w{k}").alias("_of")) for k, s in enumerate(timespans)]), lambda x: x["_of"].isNotNull())
+    tall = found.select("entity_id", "as_of_date", F.explode(spans).alias("_w"))
+    return tall.select("entity_id", "as_of_date", "_w.label_timespan", *[value(i, how).alias(f"_label{i}") for i, (_, how) in enumerate(outcomes)])
+
+
 def make_labels(events: DataFrame, entity: str, when: str, dates: Sequence[date], timespans: Sequence[str], outcome: Column, name: str = "outcome", how: str = "any", label_type: str | None = None) -> DataFrame:
     """A label of the events in ``[date, date + timespan)``; only entities with events there have one.
 
     ``how`` is 1 or 0 for ``any`` or ``every`` true outcome (a null one says nothing; null if all are), else ``count``
     (of outcomes that are not null), ``sum``, ``avg``, ``min`` or ``max`` of a numeric outcome. Those are of the type ``regression``, the first two ``binary``.
     """
-    of, merge = OUTCOMES[how]
-    starts = [(d, datetime.combine(d, time())) for d in sorted(set(dates))]
-    segments = Segments([Window(d, k, at, shift(at, span)) for d, at in starts for k, span in enumerate(timespans)])
-    rows = events.select(F.col(entity).alias("entity_id"), F.col(when).alias("_when"), outcome.alias("_o"))
-    found = window_states(rows, "entity_id", "_when", segments, [State("_label", of(F.col("_o")), merge)])
-    value = merge(F.col("_label"))
-    if how in ("any", "every"):
-        value = value.cast("int")
-    elif how == "avg":
-        value = F.when(value["n"] > 0, value["m"])
-    spans = F.array(*[F.lit(s) for s in timespans])
-    labels = found.groupBy("entity_id", "as_of_date", "_slot").agg(value.alias("label"))
-    kind = label_type or ("binary" if how in ("any", "every") else "regression")
-    return labels.select("entity_id", "as_of_date", F.get(spans, F.col("_slot")).alias("label_timespan"), F.lit(name).alias("label_name"), F.lit(kind).alias("label_type"), "label")
+    kind = label_type or type_of(how)
+    labels = label_columns(events, entity, when, dates, timespans, [(outcome, how)])
+    return labels.select("entity_id", "as_of_date", "label_timespan", F.lit(name).alias("label_name"), F.lit(kind).alias("label_type"), F.col("_label0").alias("label"))
 
 
 def assert_nonempty(df: DataFrame, what: str = "table") -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.intervals import back, parse_interval, shift, slug
 from tidemark.operators.entities import date_array, entity_dates
-from tidemark.operators.segments import Segments, State, Window, comoments, merge_comoments, merge_moments, moments, window_states
+from tidemark.operators.segments import Segments, State, Window, add_moments, comoments, merge_comoments, moments, plus, window_nodes, window_rows
 
 #: Aggregates that take the plain quantity.
 BASIC = {"count": F.count, "sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max, "stddev": F.stddev_samp, "variance": F.var_samp, "mode": lambda c: F.mode(c, True)}
@@ -157,38 +157,31 @@ class _States:
     """States of quantities, each made once, and how metrics follow from them."""
 
     def __init__(self, ref: date):
-        self.ref, self.states = ref, {"_any": State("_any", F.count(F.lit(1)), F.sum)}
+        self.ref, self.states = ref, {"_any": State("_any", F.count(F.lit(1)), plus)}
         self.names: dict[tuple, str] = {}
 
-    def _state(self, kind: str, quantity, of: Column, merge) -> str:
+    def _state(self, kind: str, quantity, of: Column, fold) -> str:
         name = self.names.setdefault((kind, quantity), f"_{kind}{len(self.names)}")
-        self.states.setdefault(name, State(name, of, merge))
+        self.states.setdefault(name, State(name, of, fold))
         return name
 
     def metric(self, agg: Agg, metric: str, got) -> Column:
         """The metric from ``got(state)``, the merged state of an interval's window."""
-        if metric in TWO:
-            y, x = (F.expr(q) for q in agg.quantity)
-            s = got(self._state("pairs", agg.quantity, comoments(y, x), merge_comoments))
-            value = F.try_divide(s["c"], F.sqrt(s["qy"] * s["qx"]) if metric == "corr" else s["qx"])
-            # What the rounding of equal values leaves is no scatter.
-            scatter = lambda q, m: s[q] > s["n"] * (s[m] * 1e-13) * (s[m] * 1e-13)
-            return F.when((s["n"] > 1) & scatter("qx", "mx") & (scatter("qy", "my") if metric == "corr" else F.lit(True)), value)
         relative = isinstance(agg.quantity, str) and _DAYS_BEFORE.fullmatch(agg.quantity) is not None
         text = re.sub(r"\bas_of_date\b", f"date'{self.ref}'", agg.quantity, flags=re.IGNORECASE) if relative else agg.quantity
         x, later = F.lit(1) if text == "*" else F.expr(text), F.datediff("as_of_date", F.lit(self.ref))
-        n = F.coalesce(got(self._state("count", text, F.count(x), F.sum)), F.lit(0)) if metric in ("count", "sum", "avg") else None
+        n = F.coalesce(got(self._state("count", text, F.count(x), plus)), F.lit(0)) if metric in ("count", "sum", "avg") else None
         if metric == "count":
             return n
         if metric in ("sum", "avg"):
-            total = got(self._state("sum", text, F.sum(x), F.sum))
+            total = got(self._state("sum", text, F.sum(x), plus))
             total = total + later * n if relative else total
             return total if metric == "sum" else F.try_divide(total, n)
         if metric in ("min", "max"):
-            f = {"min": F.min, "max": F.max}[metric]
-            value = got(self._state(metric, text, f(x), f))
+            f, fold = {"min": (F.min, F.least), "max": (F.max, F.greatest)}[metric]
+            value = got(self._state(metric, text, f(x), fold))
             return value + later if relative else value
-        s = got(self._state("moments", text, moments(x), merge_moments))
+        s = got(self._state("moments", text, moments(x), add_moments))
         variance = F.when(s["n"] > 1, F.try_divide(s["q"], s["n"] - 1))
         return F.sqrt(variance) if metric == "stddev" else variance
 
@@ -201,24 +194,18 @@ def _by_date(agg: Agg) -> bool:
 
 
 def _by_value(agg: Agg, metric: str) -> bool:
-    return agg.distinct or metric == "mode" or metric.startswith("percentile_")
+    return not agg.distinct and (metric == "mode" or metric.startswith("percentile_"))
 
 
 def _value_metrics(agg: Agg, rows: DataFrame, entity: str, when: str, segments: Segments, intervals: Sequence[str], prefix: str, group: str, own: DataFrame | None) -> DataFrame:
     """Metrics of the values themselves: how often an entity has each of them is counted by segment and merged for each
-    window, then distinct ones, the most frequent (the least of them) or percentiles are taken."""
-    parts = agg.quantity if isinstance(agg.quantity, tuple) else (agg.quantity,)
-    names = [f"_v{i}" for i in range(len(parts))]
-    values = rows.select(F.col(entity).alias("_e"), F.col(when).alias("_t"), *[F.expr(p).alias(n) for p, n in zip(parts, names, strict=True)])
-    if len(parts) == 1:
-        values = values.filter("_v0 is not null")
-    found = window_states(values, "_e", "_t", segments, [State("_n", F.count(F.lit(1)), F.sum)], names, own)
-    counts = found.groupBy("entity_id", *names, "as_of_date", "_slot").agg(F.sum("_n").alias("_n"))
+    window, then the most frequent (the least of them) or percentiles are taken."""
+    values = rows.select(F.col(entity).alias("_e"), F.col(when).alias("_t"), F.expr(agg.quantity).alias("_v0")).filter("_v0 is not null")
+    found = window_nodes(values, "_e", "_t", segments, F.count(F.lit(1)), F.sum, ["_v0"], own)
+    counts = found.groupBy("entity_id", "_v0", "as_of_date", "_slot").agg(F.sum("_n").alias("_n"))
 
     def column(slot: int, metric: str) -> Column:
         inside = F.col("_slot") == slot
-        if agg.distinct:
-            return F.count_if(inside)
         if metric == "mode":
             return F.min(F.when(inside, F.struct(-F.col("_n"), F.col("_v0").alias("v"))))["v"]
         return F.percentile(F.when(inside, F.col("_v0")), float(metric.split("_")[1]) / 100, F.col("_n"))
@@ -227,6 +214,22 @@ def _value_metrics(agg: Agg, rows: DataFrame, entity: str, when: str, segments:
     return counts.groupBy("entity_id", "as_of_date").agg(*[(c.cast(agg.cast) if agg.cast else c).alias(n) for n, c in columns.items()])
 
 
+def _pair_metrics(agg: Agg, rows: DataFrame, entity: str, when: str, segments: Segments, intervals: Sequence[str], prefix: str, group: str, own: DataFrame | None) -> DataFrame:
+    """Metrics of two quantities: moments of their pairs by segment, merged for each window."""
+    y, x = (F.expr(q) for q in agg.quantity)
+    found = window_nodes(rows, entity, when, segments, comoments(y, x), merge_comoments, (), own)
+
+    def column(slot: int, metric: str) -> Column:
+        s = merge_comoments(F.when(F.col("_slot") == slot, F.col("_n")))
+        value = F.try_divide(s["c"], F.sqrt(s["qy"] * s["qx"]) if metric == "corr" else s["qx"])
+        # What the rounding of equal values leaves is no scatter.
+        scatter = lambda q, m: s[q] > s["n"] * (s[m] * 1e-13) * (s[m] * 1e-13)
+        return F.when((s["n"] > 1) & scatter("qx", "mx") & (scatter("qy", "my") if metric == "corr" else F.lit(True)), value)
+
+    columns = {feature_name(prefix, group, i, agg.name, m): column(k, m) for k, i in enumerate(intervals) for m in agg.metrics if m in TWO and not agg.distinct}
+    return found.groupBy("entity_id", "as_of_date").agg(*[(c.cast(agg.cast) if agg.cast else c).alias(n) for n, c in columns.items()])
+
+
 def _at_each_date(events: DataFrame, entity: str, when: str, dates: Sequence[date], intervals: Sequence[str], aggs: Sequence[Agg], prefix: str, group: str, cohort: DataFrame | None) -> DataFrame:
     """For few dates, and for quantities that depend on the date: each event once for each date it counts for."""
     rows = known_events(events, when, dates, intervals, cohort, entity)
@@ -254,19 +257,21 @@ def spacetime_aggregate(events: DataFrame, entity: str, when: str, dates: Sequen
         rows = rows.join(own.select("entity_id").withColumnRenamed("entity_id", "_cohort"), F.col(entity) == F.col("_cohort"), "left_semi")
     segments = Segments(interval_windows(days, intervals))
     made = _States(days[0])
+    distinct = [a for a in aggs if a.distinct and not _by_date(a)]
     columns = {}
     for k, i in enumerate(intervals):
-        got = lambda name, k=k: made.states[name].merge(F.when(F.col("_slot") == k, F.col(name)))
+        got = lambda name, k=k: F.col(f"_w{k}")[name]
         for a in aggs:
             for m in a.metrics:
-                if not _by_date(a) and not _by_value(a, m):
-                    column = made.metric(a, m, got)
+                if not _by_date(a) and not _by_value(a, m) and (a.distinct or m not in TWO):
+                    column = got(f"_d{distinct.index(a)}") if a.distinct else made.metric(a, m, got)
                     columns[feature_name(prefix, group, i, a.name, m)] = column.cast(a.cast) if a.cast else column
-    states = list(made.states.values())
     # A date that is a column of the events is not the date of the window.
     plain = rows.drop("as_of_date") if "as_of_date" in rows.columns else rows
-    out = window_states(plain, entity, when, segments, states, (), own).groupBy("entity_id", "as_of_date").agg(F.sum("_any").alias("_any"), *[c.alias(n) for n, c in columns.items()]).drop("_any")
+    values = [[F.expr(q) for q in (a.quantity if isinstance(a.quantity, tuple) else (a.quantity,))] for a in distinct]
+    out = window_rows(plain, entity, when, segments, list(made.states.values()), values, own).select("entity_id", "as_of_date", *[c.alias(n) for n, c in columns.items()])
     parts = [_value_metrics(a, plain, entity, when, segments, intervals, prefix, group, own) for a in aggs if not _by_date(a) and any(_by_value(a, m) for m in a.metrics)]
+    parts += [_pair_metrics(a, plain, entity, when, segments, intervals, prefix, group, own) for a in aggs if not _by_date(a) and not a.distinct and any(m in TWO for m in a.metrics)]
     if late := [a for a in aggs if _by_date(a)]:
         parts.append(_at_each_date(plain, entity, when, days, intervals, late, prefix, group, cohort))
     for p in parts:
