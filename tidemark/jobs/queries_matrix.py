@@ -146,13 +146,12 @@ _OUTCOMES = {"any": "bool_or(o_totalprice > 100000)::INTEGER", "every": "bool_an
 @REGISTER(" UNION ALL ".join(f"""SELECT o_custkey AS entity_id, as_of_date, s AS label_timespan, '{how}' AS label_name, '{'binary' if how in ('any', 'every') else 'regression'}' AS label_type, ({value})::DOUBLE AS label
 FROM orders, ({YEARS_SQL}), (VALUES ('6 months', INTERVAL 6 MONTH), ('1 year', INTERVAL 1 YEAR)) v(s, i) WHERE o_orderdate >= as_of_date AND o_orderdate < as_of_date + i GROUP BY ALL""" for how, value in _OUTCOMES.items()))
 def label_outcomes(spark, d):
-    """Labels by every outcome: whether any or every order is large, how many, their sum, mean and extremes."""
-    price, out = F.col("o_totalprice"), None
-    for how in _OUTCOMES:
-        one = E.make_labels(_orders(spark, d), "o_custkey", "o_orderdate", YEARS, ["6 months", "1 year"], price > 100_000 if how in ("any", "every") else price, how, how)
-        one = one.withColumn("label", F.round(F.col("label").cast("double"), 8 if how == "avg" else 2))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Labels by every outcome: whether any or every order is large, how many, their sum, mean and extremes; in one pass."""
+    price = F.col("o_totalprice")
+    outcomes = [(price > 100_000 if how in ("any", "every") else price, how) for how in _OUTCOMES]
+    wide = E.label_columns(_orders(spark, d), "o_custkey", "o_orderdate", YEARS, ["6 months", "1 year"], outcomes)
+    each = [F.struct(F.lit(how).alias("label_name"), F.lit(E.type_of(how)).alias("label_type"), F.round(F.col(f"_label{i}").cast("double"), 8 if how == "avg" else 2).alias("label")) for i, how in enumerate(_OUTCOMES)]
+    return wide.select(*KEYS, "label_timespan", F.explode(F.array(*each)).alias("_l")).select(*KEYS, "label_timespan", "_l.*")
 
 
 @REGISTER("SELECT o_custkey, o_orderpriority, count(*) AS n FROM orders GROUP BY ALL HAVING count(*) > 1")
