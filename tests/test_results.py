@@ -164,6 +164,26 @@ def test_error_trees_make_their_rows_once(spark):
     assert seen.value == 80 and len(out) == 12 and all(r.importance == 1.0 for r in out)
 
 
+def test_crosstabs_ask_for_one_rank(spark):
+    """Crosstabs read the rows that one numbering wrote; scores and their tied ranks are not made."""
+    import __spark_entry__ as entry
+
+    df = entry.queries()["crosstab_ttest_p"](spark, "/root/testdata/sf0.001")
+    assert len({f.rsplit("/", 1)[0] for f in df.inputFiles() if "/ranges-" in f}) == 1
+
+
+def test_rows_of_a_batch_by_model_and_place():
+    import pyarrow as pa
+
+    from tidemark.operators.analysis import _rows_by_place
+
+    kind = pa.list_(pa.struct([("model_id", pa.int64()), ("places", pa.list_(pa.int32()))]))
+    at = lambda m, *p: {"model_id": m, "places": list(p)}
+    own = pa.array([[at(9, 0, 0)], [at(1, 0, -1), at(2, 1, 0)], [], [at(2, 1, 0), at(None, 0, 0)], [at(1, 0, -1)]], kind)[1:]
+    assert {k: r.tolist() for k, r in _rows_by_place(own)} == {(1, 0, -1): [0, 3], (2, 1, 0): [0, 2], (None, 0, 0): [2]}
+    assert list(_rows_by_place(own[1:2])) == []
+
+
 def test_group_crosstab_by_place(spark):
     """Counts by place among the cutoffs are those of each row at each threshold, without rank too."""
     from tidemark.operators.audit import group_crosstab

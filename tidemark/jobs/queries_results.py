@@ -11,7 +11,7 @@ from tidemark.jobs.pipelines import matrix_features
 from tidemark.operators import analysis as X
 from tidemark.operators import reports as Q
 from tidemark.operators.audit import disparity, group_rates
-from tidemark.operators.rank import rank_predictions
+from tidemark.operators.rank import number_predictions, rank_predictions
 from tidemark.sources import tables as S
 from tidemark.sources.scratch import new_path
 
@@ -31,7 +31,7 @@ ct AS (SELECT model_id, feature, count(x) FILTER (WHERE p) AS count_pos, count(x
 
 
 def _crosstabs(spark, d):
-    return X.crosstabs(_ranked(spark, d), matrix(spark, d), ["quantity", "tax", "lines"], [("rank_abs_no_ties", 500)])
+    return X.crosstabs(number_predictions(predictions(spark, d), "worst"), matrix(spark, d), ["quantity", "tax", "lines"], [("rank_abs_no_ties", 500)])
 
 
 @REGISTER(_CT + """ SELECT model_id, feature, count_pos, count_neg, round(mean_pos, 6) AS mean_pos, round(mean_neg, 6) AS mean_neg, round(std_pos, 6) AS std_pos, round(std_neg, 6) AS std_neg, support_pos, support_neg, round(mean_pos / nullif(mean_neg, 0), 6) AS ratio,

@@ -7,6 +7,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,6 +25,24 @@ KEYS = ["entity_id", "as_of_date"]
 CELLS = 1_000_000
 
 
+#: Stands for a null model in arrays.
+NO_MODEL = -(2**63)
+
+
+def _rows_by_place(own: pa.ListArray) -> Iterator[tuple[tuple, np.ndarray]]:
+    """For each model and place of a batch, ``(model_id, *places)``, its rows in order."""
+    row, each = np.repeat(np.arange(len(own)), pc.list_value_length(own).to_numpy(zero_copy_only=False).astype(np.int64)), own.flatten()
+    if not len(each):
+        return
+    model = pc.fill_null(pc.struct_field(each, "model_id"), NO_MODEL).to_numpy(zero_copy_only=False)
+    places = pc.list_flatten(pc.struct_field(each, "places")).to_numpy(zero_copy_only=False).reshape(len(each), -1)
+    keys, place = np.unique(np.column_stack([model, places.astype(np.int64)]), axis=0, return_inverse=True)
+    order = np.argsort(place.ravel(), kind="stable")
+    ends = np.cumsum(np.bincount(place.ravel(), minlength=len(keys)))
+    for key, rows in zip(keys.tolist(), np.split(row[order], ends[:-1]), strict=True):
+        yield (None if key[0] == NO_MODEL else key[0], *key[1:]), rows
+
+
 def _feature_moments(n_features: int):
     """A task's numbers, means, squared deviations and positive values of all features, by model and place.
 
@@ -41,11 +60,7 @@ def _feature_moments(n_features: int):
 
         for batch in batches:
             x = np.column_stack([batch.column(f"x{i}").to_numpy(zero_copy_only=False).astype(float) for i in range(n_features)])
-            groups: dict[tuple, list[int]] = {}
-            for row, own in enumerate(batch.column("_models").to_pylist()):
-                for g in own:
-                    groups.setdefault((g["model_id"], *g["places"]), []).append(row)
-            for key, rows in groups.items():
+            for key, rows in _rows_by_place(batch.column("_models")):
                 part = x[rows]
                 there = ~np.isnan(part)
                 n = there.sum(axis=0)

@@ -38,6 +38,11 @@ def rank_small_models(pred: DataFrame, rule: str = "worst", seed: int = 0) -> Da
     )
 
 
+def number_predictions(pred: DataFrame, rule: str = "worst", seed: int = 0) -> DataFrame:
+    """Adds ``rank_abs_no_ties`` alone, where the other ranks are not asked for."""
+    return running_totals(pred, ["model_id"], tie_order(rule, seed), {"rank_abs_no_ties": F.lit(1).cast("long")})
+
+
 def rank_predictions(pred: DataFrame, rule: str = "worst", seed: int = 0) -> DataFrame:
     """Adds the four ranks of each model's rows: absolute and as a share, with and without ties. The
     share with ties is the dense rank over the number of distinct scores.
@@ -46,7 +51,7 @@ def rank_predictions(pred: DataFrame, rule: str = "worst", seed: int = 0) -> Dat
     scores, so one model may have any number of rows.
     """
     one = F.lit(1).cast("long")
-    numbered = running_totals(pred, ["model_id"], tie_order(rule, seed), {"rank_abs_no_ties": one})
+    numbered = number_predictions(pred, rule, seed)
     values = pred.groupBy("model_id", "score").agg(F.count("*").alias("_n"))
     ranks = running_totals(values, ["model_id"], [F.col("score").desc_nulls_last()], {"_upto": F.col("_n"), "_dense": one})
     top = ranks.groupBy(F.col("model_id").alias("_m")).agg(F.max("_dense").alias("_top"), F.sum("_n").alias("_all"))
