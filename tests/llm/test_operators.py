@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tidemark.llm import common, exactdedup, linededup, neardup, outliers, packing, pieces, sharding, substring, toxicity
@@ -399,3 +400,30 @@ def test_a_large_cell_has_estimates_of_its_own(spark):
     assert not out[2001].kept and not out[2002].kept and out[2000].kept
     assert len({out[i].stratum for i in (0, 1000, 2000)}) == 3
     assert sum(not out[i].kept for i in [*range(260), *range(1000, 1260)]) <= 5
+
+
+def test_sentences_of_many_texts_at_once():
+    """Sentences cut by arrays are those of the rule told token by token, in texts of any script and white space."""
+    token = re.compile(rf"\s*(?:[{substring._UNSPACED}]|[^\s{substring._UNSPACED}]+)\s*|\s+")
+
+    def plain(text):
+        parts, now = [], []
+        for t in token.findall(text):
+            now.append(t)
+            word = t.strip()
+            if "\n" in t or (word and (word[-1] in substring._STOPS or zlib.crc32(word.encode()) % substring.CUT == 0)):
+                parts.append(now)
+                now = []
+        parts += [now] if now else []
+        return ["".join(p[i : i + substring.MOST]) for p in parts for i in range(0, len(p), substring.MOST)]
+
+    rng = random.Random(3)
+    bits = [" ", "  ", "\n", "\t", "\u3000", "\xa0", "\x1c", "a", "bc ", "d\u00e9f", "\u03a9 ", "\u6f22", "\u3002", "!", ".", "\U0001f600", "\U00020000", "x" * 40, "w "]
+    texts = ["", " \n ", "", *["".join(rng.choice(bits) for _ in range(rng.choice([1, 3, 40, 200]))) for _ in range(200)], ""]
+    found = substring.Sentences.of(texts)
+    assert [found.parts(i) for i in range(len(texts))] == [plain(t) for t in texts]
+    text, first, end, keys = found.runs()
+    own = [(i, a, b, k) for i, t in enumerate(texts) for a, b, k in zip(*substring.runs(t), strict=True)]
+    assert len(own) > 500 and list(zip(text, first, end, keys, strict=True)) == own
+    for i, a, b, k in own[::50]:
+        assert k == xxhash.xxh3_128_digest(b"".join(xxhash.xxh3_128_digest(" ".join(p.split())) for p in plain(texts[i])[a:b]))

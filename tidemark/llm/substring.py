@@ -10,9 +10,10 @@ its kind are removed.
 
 from __future__ import annotations
 
-import re
+import sys
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -21,64 +22,153 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import claim, free_names, key_filter, with_maybe, small_batches
+from tidemark.llm.common import claim, free_names, key_filter, slices, small_batches, with_maybe
 from tidemark.sources.scratch import cut
 
 #: A run has this many words at least. One word in CUT (on average) ends a sentence by its hash; where none does,
 #: and no stop, a sentence ends after MOST words.
 WORDS, CUT, MOST = 25, 6, 10
+#: Characters of whole texts that a task cuts at a time.
+SLICE = 250_000
 
 #: Scripts without spaces between words, with their punctuation: each character counts as a word.
 _UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3000-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff00-\uffef\U00020000-\U0003ffff"
-_TOKEN = re.compile(rf"\s*(?:[{_UNSPACED}]|[^\s{_UNSPACED}]+)\s*|\s+")
 _STOPS = ".!?,;:\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f"
-
-
-class _Kinds(dict):
-    """For tokens: 2 if there is a word in it, and 1 more if it ends a sentence. Bounded by starting anew."""
-
-    def __missing__(self, token: str) -> int:
-        if len(self) > 50_000:
-            self.clear()
-        word = token.strip()
-        ends = "\n" in token or (word and (word[-1] in _STOPS or zlib.crc32(word.encode("utf-8", "surrogatepass")) % CUT == 0))
-        self[token] = kind = 2 * bool(word) + bool(ends)
-        return kind
-
-
-_kinds = _Kinds()
-
-
-def _cuts(text: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens of the text, where sentences begin and end among them, and whether there is a word in each."""
-    tokens = _TOKEN.findall(text)
-    kinds = np.fromiter(map(_kinds.__getitem__, tokens), dtype=np.int8, count=len(tokens))
-    ends = np.flatnonzero(kinds & 1) + 1
-    if len(tokens) and (not len(ends) or ends[-1] < len(tokens)):
-        ends = np.append(ends, len(tokens))
-    begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-    if len(wide := np.flatnonzero(ends - begins > MOST)):
-        ends = np.unique(np.concatenate([ends, *[np.arange(begins[i] + MOST, ends[i], MOST) for i in wide]]))
-        begins = np.concatenate([[0], ends[:-1]])
-    return tokens, begins, ends, kinds >> 1
+#: What a code point is: white space, a word by itself, a stop (added to the others).
+_SPACE, _ALONE, _STOP = 1, 2, 4
+
+
+def _classes() -> np.ndarray:
+    out = np.zeros(sys.maxunicode + 1, np.uint8)
+    for low, high in zip(_UNSPACED[::3], _UNSPACED[2::3], strict=True):
+        out[ord(low) : ord(high) + 1] = _ALONE
+    out[[c for c in range(1 << 16) if chr(c).isspace()]] = _SPACE  # the ideographic one too
+    out[[ord(c) for c in _STOPS]] += _STOP
+    return out
+
+
+_CLASS = _classes()
+
+
+def _crc_table() -> np.ndarray:
+    crc = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        crc = np.where(crc & 1, (crc >> 1) ^ np.uint32(0xEDB88320), crc >> 1)
+    return crc
+
+
+_CRC = _crc_table()
+
+
+def _crc32(raw: bytes, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """CRC-32 of stretches of ``raw``: short ones side by side, a byte of each at a time."""
+    data, out = np.frombuffer(raw, np.uint8), np.zeros(len(begin), np.uint32)
+    long = end - begin > 32
+    for i in np.flatnonzero(long).tolist():
+        out[i] = zlib.crc32(raw[begin[i] : end[i]])
+    left = np.flatnonzero(~long & (begin < end))
+    at, stop, crc = begin[left], end[left], np.full(len(left), 0xFFFFFFFF, np.uint32)
+    while len(left):
+        crc = _CRC[(crc ^ data[at]) & 255] ^ (crc >> 8)
+        at = at + 1
+        more = at < stop
+        out[left[~more]] = ~crc[~more]
+        left, at, stop, crc = left[more], at[more], stop[more], crc[more]
+    return out
+
+
+@dataclass
+class Sentences:
+    """The sentences of some texts, one after the other: parts that together are the texts."""
+
+    raw: bytes  # all texts in UTF-8
+    at: np.ndarray  # where a sentence begins in it, and its end
+    words: np.ndarray  # words before a sentence, and in all
+    text: np.ndarray  # the first sentence of each text, and their number
+    _core: tuple[np.ndarray, np.ndarray]  # first and last word of a sentence in ``raw``
+    _plain: np.ndarray  # whether its words have one space between them
+
+    @classmethod
+    def of(cls, texts: Sequence[str]) -> Sentences:
+        whole = "".join(texts)
+        raw = whole.encode("utf-8", "surrogatepass")
+        code = np.frombuffer(raw, np.uint8) if len(raw) == len(whole) else np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), "<u4")
+        size = np.fromiter(map(len, texts), np.int64, len(texts))
+        edge = np.concatenate([[0], np.cumsum(size)])
+        classes = _CLASS[code]
+        kind = classes & 3
+        # A word begins behind a space, another kind or at the edge of a text. A token is a word and the white space behind it; the first
+        # has that before it as well, and a text without words is one token.
+        around = np.full(len(code) + 2, _SPACE, np.uint8)
+        around[1:-1] = kind
+        inner = edge[(edge > 0) & (edge < len(code))]
+        before, after = around[:-2].copy(), around[2:].copy()
+        before[inner], after[inner - 1] = _SPACE, _SPACE
+        begin = np.flatnonzero((kind == _ALONE) | ((kind == 0) & (before != 0)))
+        end = np.flatnonzero((kind == _ALONE) | ((kind == 0) & (after != 0))) + 1
+        blank = edge[:-1][(size > 0) & (np.diff(np.searchsorted(begin, edge)) == 0)]
+        if len(blank):
+            place = np.searchsorted(begin, blank)
+            begin, end = np.insert(begin, place, blank), np.insert(end, place, blank)
+        first = np.searchsorted(begin, edge)  # tokens of a text
+        start = begin.copy()
+        start[first[:-1][size > 0]] = edge[:-1][size > 0]
+        last = first[1:][size > 0] - 1
+
+        if len(raw) == len(whole):
+            byte = np.arange(len(code) + 1, dtype=np.int32)
+        else:
+            byte = np.zeros(len(code) + 1, np.int64)
+            np.cumsum(1 + (code >= 0x80).view(np.uint8) + (code >= 0x800) + (code >= 0x10000), out=byte[1:])
+        has = begin < end
+        ends = np.zeros(len(begin), bool)
+        ends[np.searchsorted(start, np.flatnonzero(code == 10), side="right") - 1] = True
+        ends |= has & (classes[np.maximum(end, 1) - 1] >= _STOP) if len(code) else ends
+        ask = np.flatnonzero(has & ~ends)
+        ends[ask[_crc32(raw, byte[begin[ask]], byte[end[ask]]) % CUT == 0]] = True
+        ends[last] = True
+        to = np.flatnonzero(ends) + 1
+        since = np.concatenate([[0], to])[: len(to)]
+        pieces = (to - since - 1) // MOST + 1
+        nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        to = np.minimum(np.repeat(since, pieces) + MOST * (nth + 1), np.repeat(to, pieces))
+        since = np.concatenate([[0], to])[: len(to)]
+
+        gap = begin[1:] - end[:-1]
+        odd = (gap > 1) | ((gap == 1) & (code[end[:-1]] != 32)) if len(gap) else np.zeros(0, bool)
+        odds = np.concatenate([[0], np.cumsum(odd)])
+        plain = odds[to - 1] == odds[since]
+        count = np.concatenate([[0], np.cumsum(has)])
+        return cls(raw, byte[np.append(start[since], len(code))], count[np.concatenate([[0], to])], np.searchsorted(to, first, side="right"), (byte[begin[since]], byte[end[to - 1]]), plain)
+
+    def parts(self, i: int) -> list[str]:
+        """The sentences of a text."""
+        at = self.at[self.text[i] : self.text[i + 1] + 1].tolist()
+        return [self.raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip(at[:-1], at[1:], strict=True)]
+
+    def runs(self, words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+        """Text, first sentence, end (both counted in the text) and digest of the run at each sentence that has one."""
+        n = len(self.words) - 1
+        text = np.repeat(np.arange(len(self.text) - 1), np.diff(self.text))
+        ends = np.maximum(np.searchsorted(self.words, self.words[:-1] + words), np.arange(n) + 2)
+        first = np.flatnonzero((ends <= self.text[1:][text]) & (np.diff(self.words) > 0))
+        ends, text, digest = ends[first], text[first], xxhash.xxh3_128_digest
+        each = [digest(self.raw[a:b]) for a, b in zip(self._core[0].tolist(), self._core[1].tolist(), strict=True)]
+        for i in np.flatnonzero(~self._plain).tolist():
+            each[i] = digest(" ".join(self.raw[self._core[0][i] : self._core[1][i]].decode("utf-8", "surrogatepass").split()).encode("utf-8", "surrogatepass"))
+        all_ = b"".join(each)
+        return text, first - self.text[text], ends - self.text[text], [digest(all_[i:j]) for i, j in zip((16 * first).tolist(), (16 * ends).tolist(), strict=True)]
 
 
 def sentences(text: str) -> tuple[list[str], np.ndarray]:
     """Parts that together are the text, and the words before each part and in all."""
-    tokens, begins, ends, is_word = _cuts(text)
-    words = np.concatenate([[0], np.cumsum(is_word)])
-    return ["".join(tokens[i:j]) for i, j in zip(begins.tolist(), ends.tolist(), strict=False)], words[np.concatenate([[0], ends]).astype(np.int64)]
+    found = Sentences.of([text])
+    return found.parts(0), found.words
 
 
 def runs(text: str, words: int = WORDS) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """First sentence, end and digest of the run at each sentence; white space counts as one space."""
-    parts, count = sentences(text)
-    if count[-1] < words:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), []
-    ends = np.maximum(np.searchsorted(count, count[:-1] + words), np.arange(len(parts)) + 2)
-    first = np.flatnonzero((ends <= len(parts)) & (np.diff(count) > 0))
-    each = b"".join(xxhash.xxh3_128_digest(" ".join(p.split())) for p in parts)
-    return first, ends[first], [xxhash.xxh3_128_digest(each[16 * i : 16 * j]) for i, j in zip(first.tolist(), ends[first].tolist(), strict=True)]
+    return Sentences.of([text]).runs(words)[1:]
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -97,29 +187,24 @@ def spans(keyed: DataFrame) -> DataFrame:
     """``_id, _copy, first, end, h1, h2, again``: the runs of each text; ``again`` where the text has it before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim("substring", _kinds.clear)
+        claim("substring")
         for batch in batches:
-            at, firsts, ends, keys, again = [], [], [], [], []
-
-            def frame() -> pa.RecordBatch:
-                row = pa.array(np.repeat(np.array(at, dtype=np.int64), np.array([len(x) for x in firsts], dtype=np.int64)))
-                h = np.frombuffer(b"".join(keys), dtype="<i8").reshape(-1, 2)
-                join = lambda parts: np.concatenate([np.zeros(0, np.int64), *parts]).astype(np.int32)
-                made = {"first": join(firsts), "end": join(ends), "h1": h[:, 0], "h2": (h[:, 1] >> 32).astype(np.int32), "again": np.array(again, dtype=bool)}
-                return pa.RecordBatch.from_arrays([batch.column("_id").take(row), batch.column("_copy").take(row), *map(pa.array, made.values())], names=["_id", "_copy", *made])
-
-            # Texts stay in Arrow's buffer; one at a time is a string.
-            for i, text in enumerate(batch.column("text")):
-                first, end, own = runs(text.as_py() or "")
-                at.append(i), firsts.append(first), ends.append(end), keys.extend(own)
-                seen: set[bytes] = set()
-                for k in own:
-                    again.append(k in seen)
-                    seen.add(k)
-                if len(keys) > 50_000:
-                    yield frame()
-                    at, firsts, ends, keys, again = [], [], [], [], []
-            yield frame()
+            at = 0
+            # Texts stay in Arrow's buffer; those of a slice alone are strings.
+            for texts in slices((x.as_py() for x in batch.column("text")), SLICE):
+                text, first, end, keys = Sentences.of(texts).runs()
+                again, bounds = np.zeros(len(keys), bool), np.searchsorted(text, np.arange(len(texts) + 1)).tolist()
+                for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                    own = keys[a:b]
+                    if len(set(own)) < b - a:
+                        seen: set[bytes] = set()
+                        for i, k in enumerate(own, a):
+                            again[i] = k in seen
+                            seen.add(k)
+                h, row = np.frombuffer(b"".join(keys), dtype="<i8").reshape(-1, 2), pa.array(at + text)
+                made = {"first": first.astype(np.int32), "end": end.astype(np.int32), "h1": h[:, 0], "h2": (h[:, 1] >> 32).astype(np.int32), "again": again}
+                yield pa.RecordBatch.from_arrays([batch.column("_id").take(row), batch.column("_copy").take(row), *map(pa.array, made.values())], names=["_id", "_copy", *made])
+                at += len(texts)
 
     kind = keyed.schema["_id"].dataType.simpleString()
     return keyed.select("_id", "_copy", "text").mapInArrow(run, f"_id {kind}, _copy long, first int, end int, h1 long, h2 int, again boolean")
@@ -130,19 +215,21 @@ def _without(text: Column, ranges: Column) -> Column:
 
     @F.pandas_udf("text string, n_sentences long, n_removed long")
     def run(text: pd.Series, ranges: pd.Series) -> pd.DataFrame:
-        claim("substring", _kinds.clear)
-        out = []
-        for t, rs in zip(text, ranges, strict=True):
-            if rs is None:
-                out.append((t, len(_cuts(t or "")[2]), 0))
-                continue
-            parts, _ = sentences(t or "")
-            drop = np.zeros(len(parts) + 1, dtype=np.int64)
-            for r in rs:
-                drop[r["first"]] += 1
-                drop[r["end"]] -= 1
-            gone = np.cumsum(drop)[:-1] > 0
-            out.append((t if t is None or not gone.any() else "".join(p for p, g in zip(parts, gone, strict=True) if not g), len(parts), int(gone.sum())))
+        claim("substring")
+        out, every = [], zip(text, ranges, strict=True)
+        for texts in slices(text, SLICE):
+            found = Sentences.of(texts)
+            for i, n in enumerate(np.diff(found.text).tolist()):
+                t, rs = next(every)
+                if rs is None:
+                    out.append((t, n, 0))
+                    continue
+                drop = np.zeros(n + 1, dtype=np.int64)
+                for r in rs:
+                    drop[r["first"]] += 1
+                    drop[r["end"]] -= 1
+                gone = np.cumsum(drop)[:-1] > 0
+                out.append((t if t is None or not gone.any() else "".join(p for p, g in zip(found.parts(i), gone, strict=True) if not g), n, int(gone.sum())))
         return pd.DataFrame(out, columns=["text", "n_sentences", "n_removed"])
 
     return run(text, ranges)
