@@ -427,3 +427,16 @@ def test_sentences_of_many_texts_at_once():
     assert len(own) > 500 and list(zip(text, first, end, keys, strict=True)) == own
     for i, a, b, k in own[::50]:
         assert k == xxhash.xxh3_128_digest(b"".join(xxhash.xxh3_128_digest(" ".join(p.split())) for p in plain(texts[i])[a:b]))
+
+
+def test_words_are_parted_before_they_are_looked_up():
+    """Case and punctuation make no new words, where the library's ids allow it."""
+    coder = packing.WordCoder(WORDS)
+    assert packing.part_words(["Foo,foo.", "", "FOO(foo)!?", "d'Été.é"]).to_pylist() == ["foo , foo .", "", "foo ( foo )!?", "d 'Été . é"]
+    coder.encode(["Foo,foo.", "FOO(foo)!?\nfoo;"])
+    assert set(coder.words.known) == {"foo", ",", ".", "(", ")!?", ";"}
+    rng = random.Random(5)
+    bits = ["a", "B", "Foo", "É", "é", "W̊", "İ", "İ", "İ,", "ß", "'s", "'S", "''", "'re", "d", "1", "42", ",", "!", "×", "÷", " ", "\n", "\t", "<|", "<|startoftext|>", "<|ENDOFTEXT|>", "|>", "“", "—", "漢", "Σ", "≠", "x̸", "\U0001f600", "\x85", "\xa0", "@", "\x00"]
+    for _ in range(500):
+        texts = ["".join(rng.choice(bits) for _ in range(rng.choice([0, 1, 3, 12]))) for _ in range(3)]
+        assert [x.tolist() for x in coder.encode(texts)] == [coder.model.encode(t, add_special_tokens=False).ids for t in texts]

@@ -27,29 +27,65 @@ PER_SALT = 1_000
 SLICE = 1_000_000
 
 
-#: A run of letters and the punctuation behind it, up to Latin Extended-B; an apostrophe may begin a
-#: pre-token of its own and stays out.
-_PLAIN = re.compile(r"([A-Za-z\u00c0-\u024f]+)([!-&(-/:-@\[-`{-~]*)")
+#: Letters up to Latin Extended-B.
+_PLAIN = re.compile(r"[A-Za-z\u00c0-\u024f]+")
+
+
+def part_words(texts: list[str]) -> pa.Array:
+    """The texts with a space between letters and other ASCII characters, and A-Z in lower case: fewer distinct words.
+
+    A pre-token is letters, a digit or a run of others, so it ends where letters do; before letters it ends too, but for an
+    apostrophe, which may begin one that has letters. Texts with marks that may combine (from U+0300 on) keep
+    their case, for some marks combine with one case only. Those that may name a special token stay as they are.
+    """
+    column = pa.array([t.replace("\n", " ") for t in texts], pa.large_string())
+    _, edges, data = column.buffers()
+    edge = np.frombuffer(edges, np.int64)[: len(texts) + 1]
+    if not edge[-1]:
+        return column
+    raw = np.frombuffer(data, np.uint8)[: edge[-1]]
+    size = np.diff(edge)
+    low = np.where((raw >= 65) & (raw <= 90), raw | 32, raw)
+    letter = ((low >= 97) & (low <= 122)).view(np.uint8)
+    # Two bytes from C3 to C9 are a letter, but for the signs of multiplication and division, and for the capital I with a dot,
+    # whose lower case ends with a mark.
+    wide = (raw[:-1] >= 0xC3) & (raw[:-1] <= 0xC9) & ~((raw[:-1] == 0xC3) & ((raw[1:] == 0x97) | (raw[1:] == 0xB7))) & ~((raw[:-1] == 0xC4) & (raw[1:] == 0xB0))
+    letter[:-1] |= wide.view(np.uint8)
+    letter[1:] |= wide.view(np.uint8)
+    other = (raw < 0x80) & (raw != 32) & ~letter.view(bool)
+    parts = (letter[:-1].view(bool) & other[1:]) | (other[:-1] & (raw[:-1] != 39) & letter[1:].view(bool))
+    whole = np.array(["<|" in t for t in texts])
+    marks = np.concatenate([[0], np.cumsum(raw >= 0xCC)])
+    cased = whole | (marks[edge[1:]] > marks[edge[:-1]])
+    for i in np.flatnonzero(cased).tolist():
+        low[edge[i] : edge[i + 1]] = raw[edge[i] : edge[i + 1]]
+    for i in np.flatnonzero(whole).tolist():
+        parts[edge[i] : edge[i + 1]] = False
+    parts[(edge[1:-1] - 1)[(edge[1:-1] > 0) & (edge[1:-1] < edge[-1])]] = False  # between two texts
+    at = np.flatnonzero(parts) + 1
+    edge = edge + np.searchsorted(at, edge)
+    return pa.Array.from_buffers(pa.large_string(), len(texts), [None, pa.py_buffer(edge), pa.py_buffer(np.insert(low, at, 32))])
 
 
 class WordCoder:
     """A ``tokenizers`` file that lower-cases and whose pre-tokens never cross white space.
 
-    Distinct words are encoded once per worker and batch cache. Most are letters with punctuation
-    behind, which are two pre-tokens: the letters are looked up, or encoded many in one text, where
-    the tokens that end a word tell them apart. All other words go through the library one by one.
+    Distinct words are encoded once per worker and batch cache. Most are letters (see ``part_words``), which are encoded many
+    in one text, where the tokens that end a word tell them apart. All other words go through the library one by one.
     """
 
     _made: dict[str, WordCoder] = {}
 
     def __init__(self, path: str, memory: int = 4_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.model = Tokenizer.from_file(path)
+        # The same model for words of letters that are normal already: they are parted at spaces alone.
+        self.letters = Tokenizer(self.model.model)
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.ends = np.array([str(self.model.id_to_token(i)).endswith("</w>") for i in range(self.model.get_vocab_size())])
-        # Words are put together from roots and tails at little cost; some 200 bytes for 8 characters.
-        self.words, self.roots, self.tails = Cache(memory), Cache(3 * memory // 4), Cache(100_000)
+        self.words = Cache(2 * memory)  # some 200 bytes for 8 characters
 
     @classmethod
     def of(cls, path: str, memory: int = 4_000_000) -> WordCoder:
@@ -64,27 +100,26 @@ class WordCoder:
         out: list[bytes] = []
         for i in range(0, len(roots), 500):
             part = roots[i : i + 500]
-            ids = np.array(self.model.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ids = np.array(self.letters.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
             raw, stops = ids.tobytes(), (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
             out += [raw[a:b] for a, b in zip([0, *stops], stops)] if len(stops) == len(part) and stops[-1] == len(raw) else self._each(part)
         return out
 
     def _encode(self, words: list[str]) -> list[bytes]:
-        split: list[tuple[str, str] | None] = []
-        for w in words:
-            m = _PLAIN.fullmatch(w)
-            root = m[1].lower() if m and (w.isascii() or unicodedata.is_normalized("NFC", w)) else ""
-            split.append((root, m[2]) if root.isalpha() else None)
-        roots = self.roots.get_all({x[0] for x in split if x}, self._joined)
-        tails = self.tails.get_all({x[1] for x in split if x and x[1]}, self._each)
-        rest = iter(self._each([w for w, x in zip(words, split, strict=True) if not x]))
-        return [roots[x[0]] + (tails[x[1]] if x[1] else b"") if x else next(rest) for x in split]
+        low = [w.lower() if w.isascii() or (_PLAIN.fullmatch(w) and unicodedata.is_normalized("NFC", w)) else "" for w in words]
+        plain = [w.isalpha() for w in low]
+        roots = iter(self._joined([w for w, p in zip(low, plain, strict=True) if p]))
+        rest = iter(self._each([w for w, p in zip(words, plain, strict=True) if not p]))
+        return [next(roots) if p else next(rest) for p in plain]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text. Spaces and newlines part the words here; other white space stays for the library."""
-        parts = pc.split_pattern(pa.array([t.replace("\n", " ") for t in texts], pa.large_string()), " ")
+        parts = pc.split_pattern(part_words(texts), " ")
         coded = parts.values.dictionary_encode()
-        table = coded.dictionary.to_pylist()
+        # Words have no spaces, so they may become one string and be parted again: quicker than one by one.
+        _, edges, data = coded.dictionary.buffers()
+        edge = np.frombuffer(edges, np.int64)[: len(coded.dictionary) + 1]
+        table = np.insert(np.frombuffer(data or b"", np.uint8)[: edge[-1]], edge[1:-1], 32).tobytes().decode().split(" ") if len(edge) > 1 else []
         known = self.words.get_all(table, self._encode)
         ids, each = joined_ids([known[w] for w in table], coded.indices.to_numpy(), np.diff(parts.offsets.to_numpy()))
         return np.split(ids, np.cumsum(each)[:-1])
@@ -94,7 +129,7 @@ def cut_pieces(docs: DataFrame, model: str, max_len: int = 2048, end_id: int = 1
     """Tokenizes whole texts, adds ``end_id`` and cuts them at multiples of ``max_len``.
 
     Rows ``doc_id, start, length, ids_crc32, doc_tokens``. Null and empty texts have the end id alone. Ids
-    may be null and of any type. A worker remembers words of ``memory`` characters, some 40 bytes each; it affects speed only.
+    may be null and of any type. A worker remembers words of ``memory`` characters, twice over, some 25 bytes each; it affects speed only.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
