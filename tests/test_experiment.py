@@ -129,3 +129,21 @@ def test_fallback_ranks_and_tiles(spark):
     want = p.select("model_id", "as_of_date", "entity_id", F.coalesce("rank_abs_no_ties", F.row_number().over(w)), F.ntile(100).over(w).cast("double"))
     got = R.fallback_ranks(p).select("model_id", "as_of_date", "entity_id", "rank_abs", "rank_pct")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_a_grid_scores_in_one_scan_and_trains_in_bounded_tasks(spark, tmp_path, monkeypatch):
+    rows = spark.createDataFrame([(i, date(2024, 1, 1), i % 7, float(i % 7 > 3), None if i == 5 else float(i % 5)) for i in range(400)], "entity_id long, as_of_date date, label int, x double, y double")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/m")
+    m = spark.read.parquet(f"{tmp_path}/m").withColumn("label", (F.col("label") > 3).cast("int"))
+    assert B.spread(m, 400).rdd.getNumPartitions() == 1
+    monkeypatch.setattr(B, "ROWS_A_TASK", 100)
+    dealt = B.spread(m, 400)
+    assert dealt.rdd.getNumPartitions() == 4 and sorted(dealt.collect(), key=lambda r: r.entity_id) == m.orderBy("entity_id").collect()
+    fits = B.train_grid(m, ["x"], {"tree": {"maxDepth": [1, 2]}}) + B.train_grid(m.filter("y is not null"), ["x", "y"], {"forest": {"numTrees": [2], "seed": [1]}})
+    models = [model for _, _, model in fits]
+    out = B.score_grid(models, m)
+    assert out._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    got = {(r.model_id, r.entity_id): r.score for r in out.collect()}
+    for i, model in enumerate(models):
+        assert {e: s for (k, e), s in got.items() if k == i} == {r.entity_id: r.score for r in B.score(model, m).collect()}
+    assert len(got) == 1200 and {k for k, s in got.items() if s is None} == {(2, 5)} and got[0, 4] == 1.0

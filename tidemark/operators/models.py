@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.matrix import KEYS
+from tidemark.operators.score import spread
 
 #: How a model's sums become the probability of class 1.
 LINKS = ("logit", "mean", "margin")
@@ -84,9 +85,11 @@ def fit_models(train: DataFrame, fits: Sequence[Fit], at_once: int = 4) -> DataF
     from pyspark.ml.feature import VectorAssembler
 
     kinds = {"tree": DecisionTreeClassifier, "forest": RandomForestClassifier, "boosted": GBTClassifier, "logistic": LogisticRegression}
+    sizes = {r.split: r["count"] for r in train.groupBy("split").count().collect()}  # a row per split
 
     def fit(f: Fit) -> list[tuple]:
         rows = train.filter((F.col("split") == f.split) & F.col("label").isNotNull()).select(F.col("label").cast("double").alias("label"), *[F.col(f"`{c}`").cast("double").alias(f"_x{i}") for i, c in enumerate(f.columns)])
+        rows = spread(rows, sizes.get(f.split, 0))
         data = VectorAssembler(inputCols=[f"_x{i}" for i in range(len(f.columns))], outputCol="_features", handleInvalid="error").transform(rows)
         model = kinds[f.kind](featuresCol="_features", labelCol="label", **f.params).fit(data)
         if f.kind == "logistic":

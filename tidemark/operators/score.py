@@ -100,6 +100,17 @@ def flatten_grid(grid: dict[str, dict[str, Sequence]]) -> list[tuple[str, dict]]
     return [(kind, dict(zip(params, values, strict=True))) for kind, params in grid.items() for values in product(*params.values())]
 
 
+#: Training rows of a task at most, about. A tree's fit on three features keeps some 140 bytes for each and reads them for each level.
+ROWS_A_TASK = 250_000
+
+
+def spread(data: DataFrame, n_rows: int) -> DataFrame:
+    """A written table of ``n_rows`` dealt over more tasks where one of them would have too many to train on: files are
+    small where rows are not, so the number of files says little."""
+    parts = -(-n_rows // ROWS_A_TASK)
+    return data if data.rdd.getNumPartitions() >= parts else data.repartition(parts)
+
+
 def train_grid(train: DataFrame, cols: Sequence[str], grid: dict[str, dict[str, Sequence]]) -> list[tuple[str, dict, object]]:
     """A model for each point of the grid, in its order. Fits run on the cluster, four at a time."""
     from concurrent.futures import ThreadPoolExecutor
@@ -113,6 +124,7 @@ def train_grid(train: DataFrame, cols: Sequence[str], grid: dict[str, dict[str,
     if train.isEmpty():
         raise ValueError("no rows to train on")
     data = cut(train.select("label", *[F.col(f"`{c}`") for c in cols]), "train")
+    data = spread(data, data.count())
 
     def fit(point: tuple[str, dict]) -> tuple[str, dict, object]:
         kind, params = point
@@ -122,13 +134,24 @@ def train_grid(train: DataFrame, cols: Sequence[str], grid: dict[str, dict[str,
         return list(pool.map(fit, flatten_grid(grid)))
 
 
-def score(model, matrix: DataFrame) -> DataFrame:
-    """``entity_id, as_of_date, score, label``: probability of class 1; 0 by a model that saw class 0 only, null for a
-    row with a null feature."""
+def score_grid(models: Sequence, matrix: DataFrame) -> DataFrame:
+    """``model_id`` (from 0), ``entity_id, as_of_date, score, label``: each row by all models, in one pass over the matrix.
+
+    The score is the probability of class 1; 0 by a model that saw class 0 only, null for a row with a null feature.
+    """
     from pyspark.ml.functions import vector_to_array
 
-    cols = model.stages[0].getInputCols()
-    whole = reduce(operator.and_, [F.col(f"`{c}`").isNotNull() & ~F.isnan(F.col(f"`{c}`")) for c in cols])
-    rows = matrix.select("entity_id", "as_of_date", "label", whole.alias("_whole"), *[F.when(whole, F.col(f"`{c}`")).otherwise(F.lit(0)).alias(c) for c in cols])
+    used = [m.stages[0].getInputCols() for m in models]
+    there = {c: F.col(f"`{c}`").isNotNull() & ~F.isnan(F.col(f"`{c}`")) for cols in used for c in cols}
+    whole = [reduce(operator.and_, [there[c] for c in cols]).alias(f"_whole{i}") for i, cols in enumerate(used)]
+    rows = matrix.select("entity_id", "as_of_date", "label", *whole, *[F.when(has, F.col(f"`{c}`")).otherwise(F.lit(0)).alias(c) for c, has in there.items()])
     one = F.coalesce(F.get(vector_to_array("probability"), F.lit(1)), F.lit(0.0))
-    return model.transform(rows).select("entity_id", "as_of_date", F.when(F.col("_whole"), one).alias("score"), "label")
+    for i, model in enumerate(models):
+        rows = model.transform(rows).withColumn(f"_score{i}", F.when(F.col(f"_whole{i}"), one)).drop("_features", "rawPrediction", "probability", "prediction")
+    scores = F.array(*[F.struct(F.lit(i).alias("model_id"), F.col(f"_score{i}").alias("score")) for i in range(len(models))])
+    return rows.withColumn("_s", F.explode(scores)).select("_s.model_id", "entity_id", "as_of_date", "_s.score", "label")
+
+
+def score(model, matrix: DataFrame) -> DataFrame:
+    """The same by one model: ``entity_id, as_of_date, score, label``."""
+    return score_grid([model], matrix).drop("model_id")
