@@ -184,27 +184,32 @@ def tie_trials(pred: DataFrame, thresholds: DataFrame, trials: int = TRIALS, gro
     thresholds whose counts depend on the order of ties; those of the others are the same in each order.
 
     Only the tied rows around such a cutoff are looked at, and they are not sorted: they are counted by the leading
-    digits of their tie key, with a map-side combine, and only those of the digits in which a cutoff falls are ordered.
+    digits of their tie key, with a map-side combine, and only those of the digits in which a cutoff falls are ordered. A tie key
+    is the same in all models: an entity and date has it made once for all of them, and is counted once for those that tie the same rows.
     """
     around = _around(score_groups(pred) if groups is None else groups, thresholds)
     n_rows, n, p, k = F.col("m"), F.col("l"), F.col("p"), F.col("k")
     varies = (F.least(k, n) > F.greatest(F.lit(0), k - (n_rows - n))) | (F.least(k, p) > F.greatest(F.lit(0), k - (n_rows - p)))
     open_ = cut(around.filter(varies), "ties")
-    tied = open_.select(F.col("model_id").alias("_m"), F.col("score").alias("_s")).distinct()
-    rows = pred.join(F.broadcast(tied), [F.col("model_id") == F.col("_m"), F.col("score").eqNullSafe(F.col("_s"))], "left_semi")
+    # Models by a config's thresholds, so one window numbers them.
+    tied = cut(open_.select(F.col("model_id").alias("_m"), F.col("score").alias("_s")).distinct().withColumn("_id", F.row_number().over(W.orderBy("_m", "_s"))), "tied")
+    rows = pred.join(F.broadcast(tied), [F.col("model_id") == F.col("_m"), F.col("score").eqNullSafe(F.col("_s"))])
+    rows = cut(rows.groupBy("entity_id", "as_of_date", "label").agg(F.sort_array(F.collect_list("_id")).alias("_ids")), "tied-rows")
     tried = rows.withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(trials)))).withColumn("_key", tie_key(F.col("trial").cast("string")))
     one, labelled, positive = F.lit(1).cast("long"), F.col("label").isNotNull().cast("long"), F.coalesce("label", F.lit(0)).cast("long")
-    tried = tried.select(F.col("model_id").alias("_m"), F.col("score").alias("_s"), "trial", F.substring("_key", 1, DIGITS).alias("_bin"), "_key", "entity_id", "as_of_date", one.alias("_n"), labelled.alias("_l"), positive.alias("_p"))
+    tried = tried.select("_ids", "trial", F.substring("_key", 1, DIGITS).alias("_bin"), "_key", "entity_id", "as_of_date", one.alias("_n"), labelled.alias("_l"), positive.alias("_p"))
     by = ["_m", "_s", "trial"]
     sums = {c: F.sum(c) for c in ("_n", "_l", "_p")}
-    bins = tried.groupBy(*by, "_bin").agg(*[f.alias(c) for c, f in sums.items()])
+    by_model = lambda df: df.withColumn("_id", F.explode("_ids")).drop("_ids").join(F.broadcast(tied), "_id").drop("_id")
+    bins = by_model(tried.groupBy("_ids", "trial", "_bin").agg(*[f.alias(c) for c, f in sums.items()])).groupBy(*by, "_bin").agg(*[f.alias(c) for c, f in sums.items()])
     w = W.partitionBy(*by).orderBy("_bin")  # 16^DIGITS rows at most
     before = bins.withColumns({f"{c}0": f.over(w) - F.col(c) for c, f in sums.items()})
     # Models by a config's thresholds; each has one row per trial.
     found = cut(before.join(F.broadcast(open_), [F.col("_m") == F.col("model_id"), F.col("_s").eqNullSafe(F.col("score")), F.col("_n0") < F.col("k"), F.col("k") <= F.col("_n0") + F.col("_n")]), "trials")
     there = found.select(*[F.col(c).alias(f"{c}_") for c in (*by, "_bin")]).distinct()
     same = [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in (*by, "_bin")]
-    within = tried.join(F.broadcast(there), same, "left_semi")
+    near = there.select(F.col("trial_").alias("trial"), F.col("_bin_").alias("_bin")).distinct()
+    within = by_model(tried.join(F.broadcast(near), ["trial", "_bin"], "left_semi")).join(F.broadcast(there), same, "left_semi")
     order = W.partitionBy(*by, "_bin").orderBy("_key", "entity_id", "as_of_date").rowsBetween(W.unboundedPreceding, W.currentRow)
     run = within.withColumns({f"{c}1": f.over(order) for c, f in sums.items()}).select(*[F.col(c).alias(f"{c}_") for c in (*by, "_bin")], "_n1", "_l1", "_p1")
     at = run.join(F.broadcast(found), [*same, F.col("_n0") + F.col("_n1") == F.col("k")])
