@@ -1,3 +1,4 @@
+import hashlib
 from datetime import date
 
 import numpy as np
@@ -247,3 +248,22 @@ def test_exact_quantiles(spark):
         r = exact_quantiles(df, ["a", "b", "c"], p).first()
         assert r.a == pytest.approx(np.quantile([x for x, _, _ in rows], p)) and r.b == pytest.approx(np.quantile([x for _, x, _ in rows if x is not None], p)) and r.c is None
     assert exact_quantiles(df.limit(0), ["a"], 0.5).first().a is None
+
+
+def test_tie_keys_are_made_once_for_all_models(spark):
+    """Three models that tie the same rows, and one that ties some of them: the trials go over each entity once."""
+    rows = [(m, e, date(2024, 1, 1), 0.5 if m < 4 or e % 2 else 0.1, None if e % 5 == 0 else e % 3 == 0) for m in range(1, 5) for e in range(60)]
+    pred = spark.createDataFrame([(*r[:4], None if r[4] is None else int(r[4])) for r in rows], "model_id long, entity_id long, as_of_date date, score double, label int")
+    at = spark.createDataFrame([("abs", 20.0)], "unit string, value double")
+    seen, cut = {}, V.cut
+    V.cut = lambda df, name="cut": seen.setdefault(name, cut(df, name))
+    try:
+        got = {(r.model_id, r.trial): (r.n_above, r.tp) for r in V.tie_trials(pred, at, trials=3).collect()}
+    finally:
+        V.cut = cut
+    assert seen["tied-rows"].count() == 60  # and not a row for each model
+    for m in range(1, 5):
+        for t in range(1, 4):
+            key = lambda r: (-r[3], hashlib.md5(f"{t}|{r[1]}|2024-01-01".encode()).hexdigest())  # noqa: B023, E731
+            top = sorted((r for r in rows if r[0] == m), key=key)[:20]
+            assert got[m, t] == (sum(r[4] is not None for r in top), sum(bool(r[4]) for r in top))

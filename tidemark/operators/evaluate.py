@@ -195,6 +195,7 @@ def tie_trials(pred: DataFrame, thresholds: DataFrame, trials: int = TRIALS, gro
     tied = cut(open_.select(F.col("model_id").alias("_m"), F.col("score").alias("_s")).distinct().withColumn("_id", F.row_number().over(W.orderBy("_m", "_s"))), "tied")
     rows = pred.join(F.broadcast(tied), [F.col("model_id") == F.col("_m"), F.col("score").eqNullSafe(F.col("_s"))])
     rows = cut(rows.groupBy("entity_id", "as_of_date", "label").agg(F.sort_array(F.collect_list("_id")).alias("_ids")), "tied-rows")
+    rows = rows.repartition(int(pred.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # few bytes, but a row is much work
     tried = rows.withColumn("trial", F.explode(F.sequence(F.lit(1), F.lit(trials)))).withColumn("_key", tie_key(F.col("trial").cast("string")))
     one, labelled, positive = F.lit(1).cast("long"), F.col("label").isNotNull().cast("long"), F.coalesce("label", F.lit(0)).cast("long")
     tried = tried.select("_ids", "trial", F.substring("_key", 1, DIGITS).alias("_bin"), "_key", "entity_id", "as_of_date", one.alias("_n"), labelled.alias("_l"), positive.alias("_p"))
